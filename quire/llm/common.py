@@ -45,6 +45,21 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Groups above this share of all rows are joined by broadcast; there are fewer than one in so many.
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of groups, inner. groups: a row per key, with the number of its rows in size.
+
+    A group with more than 1/HOT_GROUPS of all rows doesn't gather in one task: there are fewer than HOT_GROUPS of those, so
+    they are broadcast, and only rows of the other groups shuffle.
+    """
+    hot = F.col(size) > groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] / HOT_GROUPS
+    large = F.broadcast(groups.where(hot))
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(groups.where(~hot), key))
+
+
 class RepeatFilter:
     """A Bloom filter of the hashes that may occur more than once.
 

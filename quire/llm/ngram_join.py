@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import RepeatFilter, cut
+from quire.llm.common import RepeatFilter, cut, join_groups
 from quire.llm.components import components
 
 WORDS, THRESHOLD, DEPTH, LIMIT, TILE, RECALL, SKETCH = 5, 0.8, 3, 256, 256, 0.999, 32
@@ -253,7 +253,7 @@ def _leaves(sets: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
     out = None
     for d in range(depth):
         counts = rows.groupBy(f"p{d}").agg(F.count("*").alias("members")).where("members > 1")
-        shared = cut(rows.join(counts, f"p{d}"))
+        shared = cut(join_groups(rows, cut(counts), f"p{d}", "members"))
         done = shared if d == depth - 1 else shared.where(F.col("members") <= limit)
         done = done.select("node", "run", F.col(f"p{d}").alias("leaf"), "members")
         out = done if out is None else out.unionByName(done)
@@ -287,7 +287,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, l
     names = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     found = cut(found.join(names, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal"))
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_equal"))
-    return signed.where("node is not null").select("doc_id", "node").join(found, "node").drop("node").unionByName(alone)
+    rows = signed.where("node is not null").select("doc_id", "node")
+    return join_groups(rows, found, "node", "n_equal").drop("node").unionByName(alone)
 
 
 def dedup(docs: DataFrame, **more) -> DataFrame:

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import text_of
 
-FIT_ROWS, FACTORS, EPOCHS, FOLDS, THRESHOLD = 6000, 8, 8, 5, 0.3
+#: Passes over the fitted rows: EPOCHS, or as many as LEAST_STEPS batches take where the rows are few.
+FIT_ROWS, FACTORS, EPOCHS, LEAST_STEPS, FOLDS, THRESHOLD = 6000, 8, 10, 600, 5, 0.3
 WORD_SLOTS, SHAPE_SLOTS = 1 << 15, 1 << 11
 _REMEMBER = 400_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -96,15 +97,16 @@ class Machine:
         m, _ = self.margins(np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]), starts)
         return 1 / (1 + np.exp(-np.clip(m.astype("f8"), -30, 30)))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, batch: int = 64, seed: int = 2) -> Machine:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-5, batch: int = 64, seed: int = 2) -> Machine:
         """AdaGrad on the log loss."""
         if not len(y):
+            self.v[:] = 0
             return self
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
         self.w0 = float(np.log(share / (1 - share)))
         g0, gw, gv = 1e-2, np.full(len(self.w), 1e-2, "f4"), np.full(self.v.shape, 1e-2, "f4")
         rng = np.random.default_rng(seed)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(y)))):
             order = rng.permutation(len(y))
             for at in range(0, len(y), batch):
                 take = order[at : at + batch]

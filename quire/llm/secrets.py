@@ -3,7 +3,7 @@
 Every text is a blob, addressed by its SHA-256; the ledger holds, for each pair of blob and rule version, the spans found. A scan
 takes only pairs the ledger lacks: one path (document) per unseen blob is scanned, and the findings are joined back to every
 path that carries the blob. With no ledger yet, a repeat filter lets blobs of their own be scanned where they lie, and only
-texts that may be repeated move. The join back to the paths is one that adaptive execution splits where a blob is common.
+texts that may be repeated move. The join back to the paths keeps common blobs out of the shuffle (join_groups).
 
 Memory: one Arrow batch. Defined results: null text is the empty blob; a blob without findings has empty spans and is in the
 ledger too; repeated rows each get the findings; other columns are ignored; an empty table gives an empty result.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import RepeatFilter, cut, text_of
+from quire.llm.common import RepeatFilter, cut, join_groups, text_of
 
 # The kinds in their order, the pattern of each, the group that is measured, and its least length.
 KINDS = ("assign", "access", "hex")
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, version: str = VERSION)
     else:
         known = known.where(F.col("rule_version") == version).drop("rule_version")
         alone, again, unseen = None, texts, paths.join(known, "blob", "left_anti")
-    one = unseen.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    one = cut(unseen.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("paths")))
     chosen = again.alias("t").join(one.alias("o").hint("shuffle_hash"), (F.col("t.blob") == F.col("o.blob")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")
     new = chosen.select("doc_id", "text", "blob").mapInArrow(_scan, _SCHEMA)
     found = new.drop("doc_id").dropDuplicates(["blob"])  # rows that share doc_id and text
@@ -97,6 +97,9 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, version: str = VERSION)
     if ledger is not None:
         first = found if alone is None else found.unionByName(alone.drop("doc_id").select(found.columns))
         ledger.append(first.withColumn("rule_version", F.lit(version)))
-        return paths.join(ledger.rows().where(F.col("rule_version") == version).dropDuplicates(["blob"]), "blob").select("doc_id", "blob", *names)
-    back = seen.mark(paths, "h", "maybe").where("maybe").join(found, "blob").select("doc_id", "blob", *names)
+        found = ledger.rows().where(F.col("rule_version") == version).dropDuplicates(["blob"]).drop("rule_version")
+        found = cut(found.join(paths.groupBy("blob").agg(F.count("*").alias("paths")), "blob"))
+        return join_groups(paths.select("doc_id", "blob"), found, "blob", "paths").select("doc_id", "blob", *names)
+    found = cut(found.join(one.select("blob", "paths"), "blob"))
+    back = join_groups(unseen.select("doc_id", "blob"), found, "blob", "paths").select("doc_id", "blob", *names)
     return alone.select("doc_id", "blob", *names).unionByName(back)

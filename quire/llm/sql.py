@@ -1,7 +1,81 @@
-"""SQL, for DuckDB, of the operators that SQL can express."""
+"""SQL, for DuckDB, of the operators that SQL can express.
+
+Without SQL: op2 (the choice of copies follows a hash), op4 and op9 (tokenizers), op6 (a fitted model), op7 (match positions); the
+tests hold those against brute force, exact round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
+NGRAM_JOIN = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') w from documents),
+sets as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end)) s from words),
+nodes as (
+  select md5(array_to_string(s, '|')) node, s, min(doc_id) least, count(*) n_equal from sets where len(s) > 0 group by all),
+shingles as (select node, len(s) n, unnest(s) g from nodes),
+pairs as (
+  select a.node a, b.node b from shingles a join shingles b on a.g = b.g and a.node < b.node
+  group by a.node, b.node, a.n, b.n having count(*) * 1.0 / (a.n + b.n - count(*)) >= 0.8),
+links as (select a u, b v from pairs union select b, a from pairs),
+reach as (select node u, node v from nodes union select r.u, l.v from reach r join links l on r.v = l.u),
+named as (select r.u node, min(n.least) class_id from reach r join nodes n on n.node = r.v group by r.u),
+counted as (select u node, count(*) n_links from links group by u)
+select d.doc_id, coalesce(c.class_id, d.doc_id) class_id, cast(coalesce(k.n_links, 0) as bigint) n_links, cast(coalesce(n.n_equal, 1) as bigint) n_equal
+from sets d left join nodes n on md5(array_to_string(d.s, '|')) = n.node and len(d.s) > 0
+left join named c on c.node = n.node left join counted k on k.node = n.node
+"""
+
+URL_FILTER = r"""
+with parts as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else null end tail from pages),
+split as (
+  select page_id, coalesce(translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
+    coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') path from parts),
+rules(h, p, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits as (
+  select page_id, h || p as rule, r.verdict, row_number() over (partition by page_id order by length(h || p) desc) k
+  from split s join rules r on (s.host = r.h or ends_with(s.host, '.' || r.h)) and starts_with(s.path, r.p))
+select s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') verdict from split s left join fits f on f.page_id = s.page_id and f.k = 1
+"""
+
+EXACT_DEDUP = r"""
+with rows as (
+  select doc_id, length(coalesce(text, '')) n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) s from documents),
+ranked as (
+  select *, first_value(doc_id) over (partition by s order by n desc, doc_id) keep_id, count(*) over (partition by s) group_size,
+    row_number() over (partition by s order by n desc, doc_id) k from rows)
+select doc_id, keep_id, group_size, k = 1 as kept, s as text_sha256 from ranked
+"""
+
+TOPK = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from scores)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+CHAT_FORMAT = r"""
+with held as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) t(conv_id, turn, role, text)),
+escaped as (
+  select *, replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'),
+    '[/INST]', '[\/INST]'), '<|image|>', '<\|image|>'), '<|audio|>', '<\|audio|>'), '<|document|>', '<\|document|>') t from held)
+select conv_id, count(*) n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
+  cast(sum(length(t) + length(role) + 8 + case when role = 'user' then 15 else 0 end) as bigint) formatted_chars,
+  cast(0 as bigint) expanded_tokens
+from escaped group by conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": NGRAM_JOIN, "op3_url_filter": URL_FILTER, "op5_exact_dedup": EXACT_DEDUP, "op8_exact_topk": TOPK, "op10_chat_format": CHAT_FORMAT}
