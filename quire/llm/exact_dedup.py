@@ -2,7 +2,7 @@
 
 Pass 1 finds the hashes that may be repeated (RepeatFilter); pass 2 lets every other row straight through, and only possibly
 repeated rows shuffle. Their groups are formed by partial aggregation, so a group that holds a third of all rows costs one
-partial row a task; the join that brings the verdict back is one whose hot partitions adaptive execution splits.
+partial row a task; the verdict comes back by a join that keeps large groups out of the shuffle (join_groups).
 
 Defined results: a null text counts as empty; empty texts are equal; of rows equal in text, length and doc_id one stays; a
 null doc_id loses every tie; other columns are carried unread, whatever their names; an empty table gives an empty result.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BLANK, RepeatFilter, cut, text_of
+from quire.llm.common import BLANK, RepeatFilter, cut, join_groups, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -40,7 +40,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = RepeatFilter(rows, "h").mark(rows, "h", "maybe")
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     again = rows.where("maybe")
-    joined = again.join(_groups(again), "sha").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    joined = join_groups(again, cut(_groups(again)), "sha", "group_size").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(joined)
 
 
