@@ -149,10 +149,10 @@ def match_reason(folded: Column, raw: str, terms: list[str], mode: str) -> Colum
     """Why a page matched, from the terms found in its own text."""
     if mode == "phrase":
         return F.when(folded.contains(" ".join(terms)), f"phrase «{raw.strip()}» occurs in order on the page").otherwise("the index matched the phrase; its order isn't confirmed in the readable text")
-    listed = F.array(*(F.lit(t) for t in terms))
-    found = F.array_join(F.filter(listed, lambda t: folded.contains(t)), ", ")
-    count = F.size(F.filter(listed, lambda t: folded.contains(t))).cast("string")
-    missing = F.array_join(F.filter(listed, lambda t: ~folded.contains(t)), ", ")
+    # one condition a term, and no lambda, so that the folded text may come from an Arrow function
+    there = F.array_compact(F.array(*(F.when(folded.contains(t), t) for t in terms)))
+    gone = F.array_compact(F.array(*(F.when(~folded.contains(t), t) for t in terms)))
+    found, missing, count = F.array_join(there, ", "), F.array_join(gone, ", "), F.size(there).cast("string")
     if mode == "all_terms":
         return F.concat(F.lit("all terms on the page ("), count, F.lit(f"/{len(terms)}): "), found)
     return F.when(missing == "", F.concat(F.lit("every term found: "), found)).otherwise(F.concat(F.lit("found: "), found, F.lit(" - missing: "), missing))

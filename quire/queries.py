@@ -1,11 +1,540 @@
-"""Queries of the passage engine over the driver's tables, and the SQL each is held against."""
+"""Queries of the passage engine over the driver's tables, each with the SQL it is held against (quire.oracle)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire import oracle as O
+from quire import schema
+from quire.functions import text as T
+from quire.operators import catalogue as C
+from quire.operators import passages as P
+from quire.operators import search as S
+from quire.operators import toc as H
+from quire.plans import index as I
+from quire.plans.query import parse
+from quire.sources import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+ALL, ANY, PHRASE, TWICE = "of the and", "zu the est", "of the", "the the"
+RULES = [*C.RULES, *corpus.EXTRA_RULES]
+#: A second rule list: two rules of one strength contradict each other.
+CLASHING = [*C.RULES, {"id": "other", "school": "hanbali", "match_type": "equals", "patterns": ["الفقه الحنفي"], "reviewed": True}, {"id": "any", "school": "comparative", "match_type": "contains", "patterns": ["الفقه"], "reviewed": False}]
+OVERRIDES = {"overrides": [{"book_id": "src1-en", "school": "comparative"}, {"book_id": "src1-en", "school": "shafii"}, {"book_id": "src7-de", "school": "hanbali"}], "exclude": ["src2-fr"], "include": ["src9-en"]}
+REQUESTS = [("src0-en", 3), ("src0-en", 4), ("src0-en", 1), ("src3-en", 100000), ("src18-en", 2), ("nowhere", 1)]
+BUDGET = 20_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+
+
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return I.Index.over(corpus.pages(spark, sf_dir))
+
+
+def _books(spark: SparkSession, sf_dir: str, rules=None, overrides=None) -> DataFrame:
+    return C.classify(corpus.books(spark, sf_dir), C.Config.of(rules or RULES, overrides))
+
+
+def _hits(spark: SparkSession, sf_dir: str, raw: str, mode: str, scope=None) -> DataFrame:
+    return S.hits(_index(spark, sf_dir), parse(raw, mode), scope)
+
+
+def _joined(c: str = "ambiguity_reasons"):
+    return F.array_join(F.array_sort(c), ",")
+
+
+# text
+
+DOCS = "(select doc_id, text from documents where text is not null)"
+
+
+@query(f"select doc_id, {O.fold('text')} as folded from {DOCS}")
+def fold_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+_ARABISED = f"replace(replace(translate(lower(text), '{O.LATIN}', '{O.ARABIC}'), 'ت', 'ت\u064e\u0640'), '1', '\u0661')"
+
+
+@query(f"select doc_id, {O.fold(_ARABISED)} as folded, array_to_string({O.tokens(O.fold(_ARABISED))}, ' ') as tokens from {DOCS}")
+def fold_arabised(spark, sf_dir):
+    folded = T.fold(F.expr(_ARABISED))
+    return _docs(spark, sf_dir).select("doc_id", folded.alias("folded"), F.array_join(T.tokens(folded), " ").alias("tokens"))
+
+
+@query(f"select doc_id, cast(len(w) as bigint) n_tokens, cast(len(list_distinct(w)) as bigint) n_distinct from (select doc_id, {O.tokens(O.fold('text'))} w from {DOCS}) t")
+def tokenize_counts(spark, sf_dir):
+    w = T.tokens(T.fold(F.col("text")))
+    return _docs(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+
+
+def _plain_entities(x: str) -> str:
+    for k, v in T.ENTITIES.items():
+        if k != "amp":
+            x = f"replace({x}, '&{k};', '{v.replace(chr(39), chr(39) * 2)}')"
+    return f"replace({x}, '&amp;', '&')"
+
+
+def _plain_html(x: str) -> str:
+    for p in ("(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>"):
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    x = _plain_entities(f"regexp_replace(regexp_replace({x}, '(?i){T.BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g')")
+    for p, to in (("\\r\\n?", "chr(10)"), ("[ \\t\xa0]+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)")):
+        x = f"regexp_replace({x}, '{p}', {to}, 'g')"
+    return f"regexp_replace({x}, '^[{T.SPACES}]+|[{T.SPACES}]+$', '', 'g')"
+
+
+@query(f"select page_id, {_plain_html('html')} as text from pages where html is not null")
+def html_to_text_pages(spark, sf_dir):
+    return _html(spark, sf_dir).select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(f"select page_id, {_plain_entities('html')} as decoded from pages where html is not null")
+def decode_entities_pages(spark, sf_dir):
+    return _html(spark, sf_dir).select("page_id", T.decode_entities(F.col("html")).alias("decoded"))
+
+
+_FOLDED = f"(select doc_id, text, {O.fold('text')} f from {DOCS})"
+_AT = lambda terms: f"coalesce(list_min(list_filter([{', '.join(f"instr(f, '{t}') - 1" for t in terms)}], lambda x: x >= 0)), -1)"
+_OFFSET = f"case when instr(f, '{PHRASE}') > 0 then instr(f, '{PHRASE}') - 1 else {_AT(PHRASE.split())} end"
+
+
+@query(f"select doc_id, cast({_OFFSET} as int) phrase_at, cast({_AT(ANY.split())} as int) any_at from {_FOLDED} t")
+def first_match_offset(spark, sf_dir):
+    f = T.fold(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.first_match_offset(f, PHRASE.split(), "phrase").alias("phrase_at"), T.first_match_offset(f, ANY.split(), "any_terms").alias("any_at"))
+
+
+def _plain_list(terms: list[str], some: str) -> str:
+    return f"array_to_string(list_filter({O.LIST(terms)}, lambda t: {some}contains(f, t)), ', ')"
+
+
+@query(f"select doc_id, case when contains(f, '{PHRASE}') then 'phrase «{PHRASE}» occurs in order on the page' else 'the index matched the phrase; its order isn''t confirmed in the readable text' end reason from {_FOLDED} t")
+def match_reason_phrase(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.match_reason(T.fold(F.col("text")), PHRASE, PHRASE.split(), "phrase").alias("reason"))
+
+
+@query(f"select doc_id, 'all terms on the page (' || len(list_filter({O.LIST(ALL.split())}, lambda t: contains(f, t))) || '/3): ' || {_plain_list(ALL.split(), '')} reason from {_FOLDED} t")
+def match_reason_all(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.match_reason(T.fold(F.col("text")), ALL, ALL.split(), "all_terms").alias("reason"))
+
+
+@query(f"select doc_id, case when {_plain_list(ANY.split(), 'not ')} = '' then 'every term found: ' || {_plain_list(ANY.split(), '')} else 'found: ' || {_plain_list(ANY.split(), '')} || ' - missing: ' || {_plain_list(ANY.split(), 'not ')} end reason from {_FOLDED} t")
+def match_reason_any(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.match_reason(T.fold(F.col("text")), ANY, ANY.split(), "any_terms").alias("reason"))
+
+
+@query(
+    f"""with a as (select doc_id, text, greatest(0, {_AT(PHRASE.split())}) at_ from {_FOLDED} t),
+b as (select *, length(text) n, greatest(0, at_ - 180) s, least(length(text), at_ + 180) e from a),
+c as (select *, s - length(regexp_extract(substring(text, 1, s), '[^{T.SPACES}]*$')) l, e + length(regexp_extract(substring(text, e + 1), '^[^{T.SPACES}]*')) r from b)
+select doc_id, case when n <= 360 then text else case when l > 0 then '… ' else '' end || regexp_replace(substring(text, l + 1, r - l), '^[{T.SPACES}]+|[{T.SPACES}]+$', '', 'g') || case when r < n then ' …' else '' end end excerpt from c"""
+)
+def excerpt_window(spark, sf_dir):
+    at = F.greatest(F.lit(0), T.first_match_offset(T.fold(F.col("text")), PHRASE.split(), "any_terms"))
+    return _docs(spark, sf_dir).select("doc_id", T.excerpt(F.col("text"), at, schema.EXCERPT_SEARCH).alias("excerpt"))
+
+
+@query(f"select doc_id, f as folded, cast(length(f) as int) as mapped, true as rising from {_FOLDED} t")
+def fold_offset_map(spark, sf_dir):
+    m = _docs(spark, sf_dir).select("doc_id", T.fold_map(F.col("text")).alias("m"))
+    return m.select("doc_id", "m.folded", F.size("m.source_at").alias("mapped"), (F.col("m.source_at") == F.array_sort("m.source_at")).alias("rising"))
+
+
+# index
+
+
+@query(f"with {O.TOK}, u as (select doc, unnest(terms) term from tok) select term, count(distinct doc) df, count(*) cf from u group by term")
+def term_stats(spark, sf_dir):
+    return I.term_stats(_index(spark, sf_dir).tokens)
+
+
+@query(f"with {O.TOK} select count(*) n_docs, cast(sum(dl) as bigint) sum_dl from tok")
+def corpus_stats(spark, sf_dir):
+    return I.corpus_stats(_index(spark, sf_dir).tokens)
+
+
+@query(f"with {O.TOK} select doc, book_id, page_id, cast(dl as int) dl from tok")
+def doc_lengths(spark, sf_dir):
+    return _index(spark, sf_dir).tokens.select("doc", "book_id", "page_id", "dl")
+
+
+@query(f"with {O.TOK}, u as (select doc, unnest(terms) term, unnest(range(0, len(terms))) p from tok) select term, doc, cast(count(*) as int) tf, string_agg(p, ',' order by p) positions from u where term in ('the', 'der', 'de') group by term, doc")
+def postings_lookup(spark, sf_dir):
+    rows = I.postings(_index(spark, sf_dir).tokens).where(F.col("term").isin("the", "der", "de"))
+    return rows.select("term", "doc", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"with {O.TOK}, u as (select term, count(distinct doc) df from (select doc, unnest(terms) term from tok) x group by term) select term, df from u order by df desc, term limit 50")
+def postings_topdf(spark, sf_dir):
+    return I.term_stats(_index(spark, sf_dir).tokens).select("term", "df").orderBy(F.desc("df"), "term").limit(50)
+
+
+@query("select 'doc_id' as \"column\", count(*) as \"rows\", count(doc_id) present, max(octet_length(encode(cast(doc_id as varchar)))) longest, cast(sum(octet_length(encode(cast(doc_id as varchar)))) as bigint) bytes from documents"
+       + "".join(f" union all select '{c}', count(*), count({c}), max(octet_length(encode(cast({c} as varchar)))), cast(coalesce(sum(octet_length(encode(cast({c} as varchar)))), 0) as bigint) from documents" for c in ("text", "lang", "source", "n_chars")))
+def profile_columns(spark, sf_dir):
+    return I.describe(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("type")
+
+
+# match and rank
+
+
+@query(f"with {O.hits(ALL.split(), 'all_terms')} select doc, book_id, page_id from hits")
+def search_all_terms(spark, sf_dir):
+    return _hits(spark, sf_dir, ALL, "all_terms").drop("score")
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')} select doc, book_id, page_id from hits")
+def search_any_terms(spark, sf_dir):
+    return _hits(spark, sf_dir, ANY, "any_terms").drop("score")
+
+
+_CB = O.classified(RULES, C.HINTS)
+
+
+@query(f"with {O.hits(PHRASE.split(), 'phrase')}, {_CB}, best as (select *, row_number() over (order by score desc, doc) as rnk from hits) select cast(rnk as int) as rank, doc, best.book_id, page_id, round(score, 6) score, title, school from best join cb on cb.book_id = best.book_id where rnk <= 20")
+def search_phrase(spark, sf_dir):
+    best = S.page(_hits(spark, sf_dir, PHRASE, "phrase"), 20).withColumn("rank", F.expr("row_number() over (order by score desc, doc)"))
+    return best.join(_books(spark, sf_dir), "book_id").select("rank", "doc", "book_id", "page_id", F.round("score", 6).alias("score"), "title", "school")
+
+
+@query(f"with {O.TOK} select doc, {O.pf(TWICE.split())} pf from tok where {O.pf(TWICE.split())} > 0")
+def search_phrase_repeated_term(spark, sf_dir):
+    return S.matches(_index(spark, sf_dir), parse(TWICE, "phrase")).select("doc", F.col("pf").cast("long").alias("pf"))
+
+
+@query("select cast(0 as bigint) doc, '' book_id, 0 page_id where false")
+def search_missing_term(spark, sf_dir):
+    return _hits(spark, sf_dir, "the qqqzzzabsent", "all_terms").drop("score")
+
+
+@query("select cast(0 as bigint) doc, '' book_id, 0 page_id where false")
+def search_empty_scope(spark, sf_dir):
+    return _hits(spark, sf_dir, ANY, "any_terms", []).drop("score")
+
+
+_SCOPE = ["src1-en", "src1-de", "src2-fr", "src5-en"]
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms', 'book_id in (' + ', '.join(repr(b) for b in _SCOPE) + ')')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def search_scoped_global_stats(spark, sf_dir):
+    return S.page(_hits(spark, sf_dir, ANY, "any_terms", _SCOPE), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def bm25_top20(spark, sf_dir):
+    return S.page(_hits(spark, sf_dir, ANY, "any_terms"), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {O.hits(PHRASE.split(), 'phrase')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def bm25_phrase_top20(spark, sf_dir):
+    return S.page(_hits(spark, sf_dir, PHRASE, "phrase"), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {O.hits(['the', 'of', 'the'], 'all_terms')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def bm25_repeated_term(spark, sf_dir):
+    return S.page(_hits(spark, sf_dir, "the of the", "all_terms"), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20 offset 20")
+def keyset_page2(spark, sf_dir):
+    rows = _hits(spark, sf_dir, ANY, "any_terms")
+    last = S.page(rows, 20).agg(F.min("score").alias("s"), F.max_by("doc", F.struct(-F.col("score"), "doc")).alias("d")).first()
+    return S.page(rows, 20, (last["s"], last["d"])).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')}, {_CB}, k as (select h.*, school, row_number() over (partition by school order by score desc, doc) as rnk from hits h join cb using (book_id)) select school, cast(rnk as int) as rank, doc, book_id, page_id, round(score, 6) score from k where rnk <= 8")
+def top_n_per_school(spark, sf_dir):
+    rows = _hits(spark, sf_dir, ANY, "any_terms").join(_books(spark, sf_dir).select("book_id", "school"), "book_id")
+    return S.top_per(rows, "school", 8).select("school", "rank", "doc", "book_id", "page_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')}, k as (select *, row_number() over (partition by book_id order by score desc, doc) as rnk from hits) select book_id, count(*) as hits, string_agg(page_id, ',' order by page_id) filter (where rnk <= 10) page_ids, count(*) > 10 page_ids_truncated from k group by book_id")
+def page_sample_per_book(spark, sf_dir):
+    rows = P.page_samples(_hits(spark, sf_dir, ANY, "any_terms"), 10)
+    return rows.select("book_id", "hits", F.array_join(F.col("page_ids").cast("array<string>"), ",").alias("page_ids"), "page_ids_truncated")
+
+
+@query(f"with p as (select doc, octet_length(encode(body)) as bytes from {O.PAGES} q), c as (select *, sum(bytes) over (order by doc rows unbounded preceding) upto, row_number() over (order by doc) k from p) select doc, bytes from c where k = 1 or upto <= {BUDGET}")
+def byte_budget_prefix(spark, sf_dir):
+    rows = corpus.pages(spark, sf_dir).select("doc", "body")
+    return S.within_budget(rows, ["doc"], BUDGET, F.octet_length("body")).select("doc", "bytes")
+
+
+@query(f"with p as (select lang, source, doc_id, row_number() over (partition by lang, source order by doc_id) k from documents where source is not null and lang is not null) select lang, source, doc_id from p where k = 1")
+def first_occurrence(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and lang is not null").select("lang", "source", "doc_id")
+    return S.first_of(rows, ["lang", "source"], "doc_id")
+
+
+@query(f"with a as (with {O.hits(ANY.split(), 'any_terms')} select 'any' query, doc, score from hits order by score desc, doc limit 5), b as (with {O.hits(ALL.split(), 'all_terms')} select 'all' query, doc, score from hits order by score desc, doc limit 5), c as (with {O.hits(PHRASE.split(), 'phrase')} select 'phrase' query, doc, score from hits order by score desc, doc limit 5), u as (select * from a union all select * from b union all select * from c) select query, cast(row_number() over (partition by query order by score desc, doc) as int) as rank, doc, round(score, 6) score from u")
+def many_queries(spark, sf_dir):
+    asked = {"any": parse(ANY, "any_terms"), "all": parse(ALL, "all_terms"), "phrase": parse(PHRASE, "phrase")}
+    return S.many(_index(spark, sf_dir), asked, limit=5).select("query", "rank", "doc", F.round("score", 6).alias("score"))
+
+
+# catalogue
+
+
+@query(f"select book_id, title, author, category_id, trim(category) category, downloaded, file_path from {O.BOOKS} b")
+def catalogue_join(spark, sf_dir):
+    b = corpus.books(spark, sf_dir)
+    authors = b.select(F.col("book_id").alias("author_id"), "author")
+    categories = b.select(F.coalesce("category_id", F.lit("none")).alias("category_id"), "category", F.col("book_id").alias("_b"))
+    keyed = b.select("book_id", "title", F.col("book_id").alias("author_id"), "category_id", "downloaded", "file_path")
+    named = categories.groupBy("category_id").agg(F.min("category").alias("category")).where("category_id <> 'none'")
+    few = C.raw_books(keyed, authors, named)
+    exact = b.select(F.col("book_id").alias("_b"), F.trim("category").alias("_c"))
+    return few.join(exact, F.col("book_id") == F.col("_b")).withColumn("category", F.col("_c")).drop("_b", "_c")
+
+
+_TOLD = f"book_id, school, classification_source, verification_status, {O.joined_reasons()} as reasons, matched_rule"
+
+
+def _told(books: DataFrame) -> DataFrame:
+    return books.select("book_id", "school", "classification_source", "verification_status", _joined().alias("reasons"), "matched_rule")
+
+
+@query(f"with {_CB} select {_TOLD} from cb")
+def classify_books(spark, sf_dir):
+    return _told(_books(spark, sf_dir))
+
+
+@query(f"with {O.classified(CLASHING, C.HINTS)} select {_TOLD} from cb")
+def classify_conflicts(spark, sf_dir):
+    return _told(_books(spark, sf_dir, CLASHING))
+
+
+_FORCED = O.classified(RULES, C.HINTS, {"src1-en": "shafii", "src7-de": "hanbali"}, ["src2-fr"])
+
+
+@query(f"with {_FORCED} select {_TOLD} from cb where downloaded and (school in ('hanafi', 'shafii') or book_id = 'src9-en')")
+def override_exclude_include(spark, sf_dir):
+    config = C.Config.of(RULES, OVERRIDES)
+    books = C.classify(corpus.books(spark, sf_dir), config)
+    return _told(C.select_books(books, ["hanafi", "shafii"], downloaded_only=True, include=config.include))
+
+
+@query(f"with {_CB} select book_id, unnest(reasons) reason from cb")
+def hint_reasons(spark, sf_dir):
+    return _books(spark, sf_dir).select("book_id", F.explode("ambiguity_reasons").alias("reason"))
+
+
+@query(f"with {_CB} select trim(category) category, count(*) book_count from cb where classification_source = 'unclassified' and trim(category) <> '' group by 1")
+def unmapped_categories(spark, sf_dir):
+    return C.unmapped_categories(_books(spark, sf_dir))
+
+
+@query(f"with {O.classified(CLASHING, C.HINTS)} select r.rule, count(cb.book_id) books from (values {', '.join(f"('{r['id']}')" for r in CLASHING)}) r(rule) left join cb on cb.matched_rule = r.rule group by r.rule")
+def rule_effectiveness(spark, sf_dir):
+    return C.rule_effect(_books(spark, sf_dir, CLASHING), C.Config.of(CLASHING))
+
+
+@query(f"with {_CB} select split_part(r, ':', 1) reason, count(*) books from (select unnest(reasons) r from cb) t group by 1")
+def reason_histogram(spark, sf_dir):
+    return C.reason_histogram(_books(spark, sf_dir))
+
+
+@query(f"with {_CB} select school, count(*) filter (where verification_status = 'verified') verified, count(*) filter (where verification_status = 'needs_review') needs_review, count(*) filter (where verification_status = 'unverified') unverified from cb group by school")
+def verification_pivot(spark, sf_dir):
+    return C.verification_matrix(_books(spark, sf_dir))
+
+
+@query(f"with {_CB} select category, count(*) books, array_to_string(list_sort(list(distinct school)), ',') schools, bool_or(matched_rule is not null) mapped from cb group by category")
+def category_breakdown(spark, sf_dir):
+    return C.category_breakdown(_books(spark, sf_dir))
+
+
+@query(f"with {_CB} select book_id, title, school from cb where downloaded and verification_status = 'needs_review' and len(reasons) > 0 and contains({O.fold('title')}, 'Book') order by book_id limit 5 offset 2")
+def list_books_page(spark, sf_dir):
+    books = C.select_books(_books(spark, sf_dir), downloaded_only=True, title="Book")
+    return C.listing(books, ["needs_review"], True).select("book_id", "title", "school").orderBy("book_id").offset(2).limit(5)
+
+
+@query(f"with {_CB} select count(*) matched, count(*) filter (where downloaded) downloaded, count(*) filter (where verification_status = 'needs_review') needs_review from cb")
+def list_totals(spark, sf_dir):
+    return C.totals(_books(spark, sf_dir))
+
+
+_FILES = "(select source || '-' || lang book_id from (select distinct source, lang from documents) d where source <> 'src17' union all values ('orphan-1'), ('orphan-2'))"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus.books(spark, sf_dir).where("not startswith(book_id, 'src17-')").select("book_id")
+    return own.unionByName(spark.sql("select * from values ('orphan-1'), ('orphan-2') as t(book_id)"))
+
+
+@query(f"with b as (select book_id, downloaded from {O.BOOKS} x), f as {_FILES}, j as (select b.book_id b, f.book_id f, downloaded from b full join f using (book_id)) select count(b) catalogue, count(*) filter (where downloaded) downloaded, count(f) files_on_disk, count(*) filter (where b is not null and f is not null and not downloaded) structure_only, count(*) filter (where b is null) orphans from j")
+def structure_only_counts(spark, sf_dir):
+    return C.counts(corpus.books(spark, sf_dir), _files(spark, sf_dir))
+
+
+@query(f"select book_id from {_FILES} f where book_id not in (select book_id from {O.BOOKS} b)")
+def orphan_books(spark, sf_dir):
+    return _files(spark, sf_dir).join(corpus.books(spark, sf_dir), "book_id", "left_anti")
+
+
+@query(f"with {_CB} select s.school, ord, count(book_id) books, count(*) filter (where downloaded) downloaded from {O.SCHOOL_ROWS} left join cb on cb.school = s.school group by s.school, ord")
+def health_per_school(spark, sf_dir):
+    return C.by_school(_books(spark, sf_dir), books=F.count("*"), downloaded=F.count_if("downloaded"))
+
+
+# discovery and coverage
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')} select book_id, count(*) hits from hits group by book_id")
+def counts_by_book(spark, sf_dir):
+    return P.counts_by_book(_hits(spark, sf_dir, ANY, "any_terms"))
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')}, {_CB}, per as (select book_id, school, count(*) n from hits join cb using (book_id) group by all) select school, count(*) books, cast(sum(n) as bigint) hits from per group by rollup (school)")
+def totals_by_school_rollup(spark, sf_dir):
+    return P.totals_by_school(_hits(spark, sf_dir, ANY, "any_terms"), _books(spark, sf_dir))
+
+
+@query(f"with {O.hits(PHRASE.split(), 'phrase')}, {_CB}, k as (select *, row_number() over (partition by book_id order by score desc, doc) as rnk from hits), g as (select book_id, count(*) as hits, string_agg(page_id, ',' order by page_id) filter (where rnk <= 5) page_ids from k group by book_id) select g.*, title, school from g join cb using (book_id)")
+def discover_books(spark, sf_dir):
+    rows = P.discover(_hits(spark, sf_dir, PHRASE, "phrase"), _books(spark, sf_dir), 5)
+    return rows.select("book_id", "hits", F.array_join(F.col("page_ids").cast("array<string>"), ",").alias("page_ids"), "title", "school")
+
+
+@query(f"with {_CB} select s.school, ord, count(book_id) in_scope, count(*) filter (where downloaded) searched, count(*) filter (where not downloaded) not_downloaded from {O.SCHOOL_ROWS} left join cb on cb.school = s.school group by s.school, ord")
+def coverage_by_school(spark, sf_dir):
+    return C.coverage(_books(spark, sf_dir))
+
+
+@query(f"with m as (select book_id from {O.BOOKS} b where not downloaded) select (select count(*) from m) missing, (select string_agg(book_id, ',' order by book_id) from (select book_id from m order by book_id limit 20) t) named")
+def coverage_missing_sample(spark, sf_dir):
+    return C.missing_books(corpus.books(spark, sf_dir)).select("missing", F.array_join(F.transform("named", lambda x: x["book_id"]), ",").alias("named"))
+
+
+# context
+
+_REQ = "(values " + ", ".join(f"('{b}', {p})" for b, p in REQUESTS) + ") r(book_id, page_id)"
+_WIN = f"w as (select book_id, cast(near as int) page_id, bool_or(near = page_id) requested from (select book_id, page_id, unnest(range(greatest(0, page_id - 1), greatest(0, page_id + 1) + 1)) near from {_REQ}) x group by book_id, near)"
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    return spark.sql("select * from values " + ", ".join(f"('{b}', {p})" for b, p in REQUESTS) + " as r(book_id, page_id)")
+
+
+@query(f"with {_WIN} select * from w")
+def neighbour_windows(spark, sf_dir):
+    return P.windows(_requests(spark), 1)
+
+
+_STATUS = f"{_WIN}, s as (select w.*, case when not coalesce(b.downloaded, false) then 'failed' when p.doc is not null then 'found' when requested then 'missing' else 'absent' end status, p.doc from w left join {O.PAGES} p using (book_id, page_id) left join {O.BOOKS} b using (book_id))"
+
+
+@query(f"with {_STATUS} select book_id, page_id, requested, status from s")
+def fetch_found_missing(spark, sf_dir):
+    return P.fetch(_requests(spark), corpus.pages(spark, sf_dir), corpus.books(spark, sf_dir), 1).select("book_id", "page_id", "requested", "status")
+
+
+@query(f"with {_STATUS} select distinct book_id from s where status = 'failed'")
+def failed_books(spark, sf_dir):
+    return P.fetch(_requests(spark), corpus.pages(spark, sf_dir), corpus.books(spark, sf_dir), 1).where("status = 'failed'").select("book_id").distinct()
+
+
+@query(f"select r.book_id, r.page_id, p.doc is not null found, length(p.body) body_length from {_REQ} left join {O.PAGES} p using (book_id, page_id)")
+def lookup_batched_misses(spark, sf_dir):
+    return P.looked_up(_requests(spark), corpus.pages(spark, sf_dir)).select("book_id", "page_id", "found", F.length("body").cast("long").alias("body_length"))
+
+
+@query(f"with {O.TRAILS} select book_id, title_id, page_id, level, until from held")
+def toc_intervals(spark, sf_dir):
+    return H.intervals(corpus.toc(spark, sf_dir)).select("book_id", "title_id", "page_id", "level", "until")
+
+
+@query(f"with {O.TRAILS} select p.book_id, p.page_id, coalesce(string_agg(h.title, ' › ' order by h.level), '') trail from {O.PAGES} p left join held h on h.book_id = p.book_id and h.page_id <= p.page_id and (h.until is null or p.page_id < h.until) group by p.book_id, p.page_id")
+def toc_trail(spark, sf_dir):
+    return H.trails(corpus.pages(spark, sf_dir), corpus.toc(spark, sf_dir)).select("book_id", "page_id", F.array_join("toc_path", " › ").alias("trail"))
+
+
+# comparison, citation, export
+
+
+_GROUPS = f"{O.hits(PHRASE.split(), 'phrase')}, {_CB}, k as (select h.*, school, row_number() over (partition by school order by score desc, doc) as rnk from hits h join cb using (book_id)), few as (select * from k where rnk <= 8)"
+
+
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _hits(spark, sf_dir, PHRASE, "phrase").join(_books(spark, sf_dir).select("book_id", "school"), "book_id")
+    return S.top_per(rows, "school", 8).withColumn("excerpt", F.lit(""))
+
+
+@query(f"with {_GROUPS}, b as (select school, book_id, count(*) n, string_agg(page_id, ',' order by score desc, doc) pages from few group by school, book_id) select school, cast(sum(n) as bigint) n_passages, count(*) n_books, string_agg(book_id || ':' || pages, ';' order by n desc, book_id) groups from b group by school")
+def compare_groups_flat(spark, sf_dir):
+    g = P.groups(_few(spark, sf_dir))
+    flat = F.array_join(F.transform("books", lambda b: F.concat(b["book_id"], F.lit(":"), F.array_join(F.transform(b["passages"], lambda p: p["page_id"].cast("string")), ","))), ";")
+    return g.select("school", F.col("n_passages").cast("long").alias("n_passages"), "n_books", flat.alias("groups"))
+
+
+@query(f"with {_GROUPS} select s.school, ord, count(f.doc) passages, count(distinct f.book_id) books from {O.SCHOOL_ROWS} left join few f on f.school = s.school where ord < 4 group by s.school, ord")
+def schools_without_evidence(spark, sf_dir):
+    return P.evidence(_few(spark, sf_dir), list(schema.CORE))
+
+
+_LABEL = "case school " + " ".join(f"when '{k}' then '{v}'" for k, v in schema.SCHOOLS.items()) + " end"
+_CITED = f"""{O.TRAILS}, {_CB}, t as (select p.book_id, p.page_id, string_agg(h.title, ' › ' order by h.level) trail from {O.PAGES} p join held h on h.book_id = p.book_id and h.page_id <= p.page_id and (h.until is null or p.page_id < h.until) group by all),
+c as (select p.book_id, p.page_id, author, coalesce(title, p.book_id) name_, part, printed_page, trail, school, verification_status, classification_source,
+  'v.' || part || case when printed_page is null then '' else '/p.' || cast(cast(printed_page as int) as varchar) end locus
+  from {O.PAGES} p join cb using (book_id) left join t using (book_id, page_id) where p.page_id <= 12)"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, toc = corpus.pages(spark, sf_dir).where("page_id <= 12"), corpus.toc(spark, sf_dir)
+    return P.citations(pages.join(_books(spark, sf_dir), "book_id").join(H.trails(pages, toc), ["book_id", "page_id"], "left"))
+
+
+@query(f"with {_CITED} select book_id, page_id, coalesce(author || ', ', '') || name_ || ', ' || locus || ' (page id ' || page_id || ')' || coalesce(', in: ' || trail, '') || '. [' || {_LABEL} || '] - {P.NUMBERING}' formatted, name_ || ', ' || locus || case when printed_page is null then ' (page id ' || page_id || ')' else '' end formatted_short from c")
+def citation_strings(spark, sf_dir):
+    return _cited(spark, sf_dir).select("book_id", "page_id", "formatted", "formatted_short")
+
+
+@query(f"with {_CITED} select book_id, page_id, '{P.NUMBERING}' || case when printed_page is null then '|no printed page is recorded; none was guessed' else '' end || case when verification_status <> 'verified' then '|the attribution to ' || {_LABEL} || ' is ' || verification_status || ' (source: ' || classification_source || ')' else '' end || case when trail is null then '|the book has no headings for this page' else '' end caveats from c")
+def caveats(spark, sf_dir):
+    return _cited(spark, sf_dir).select("book_id", "page_id", F.array_join("caveats", "|").alias("caveats"))
+
+
+@query(f"with {O.hits(PHRASE.split(), 'phrase')}, {_CB}, {O.TRAILS}, t as (select p.book_id, p.page_id, string_agg(h.title, ' › ' order by h.level) trail from {O.PAGES} p join held h on h.book_id = p.book_id and h.page_id <= p.page_id and (h.until is null or p.page_id < h.until) group by all) select x.book_id, title, school, x.page_id, part, printed_page, coalesce(trail, '') toc_path, round(score, 6) score, case when contains({O.fold('body')}, '{PHRASE}') then 'phrase «{PHRASE}» occurs in order on the page' else 'the index matched the phrase; its order isn''t confirmed in the readable text' end match_reason, 'phrase' match_mode, sha256(body) text_sha256 from hits x join cb using (book_id) join {O.PAGES} p using (book_id, page_id) left join t using (book_id, page_id) where downloaded")
+def export_rows(spark, sf_dir):
+    q = parse(PHRASE, "phrase")
+    books = _books(spark, sf_dir).where("downloaded")
+    rows = P.passages(S.hits(_index(spark, sf_dir), q), corpus.pages(spark, sf_dir), books, corpus.toc(spark, sf_dir), q)
+    out = P.export_rows(rows, q)
+    return out.select("book_id", "title", "school", "page_id", "part", "printed_page", F.array_join("toc_path", " › ").alias("toc_path"), F.round("score", 6).alias("score"), "match_reason", "match_mode", F.sha2("text_original", 256).alias("text_sha256"))
+
+
+@query(f"with {O.hits(PHRASE.split(), 'phrase')}, {_CB} select cb.book_id, school, count(doc) as hits from cb left join hits using (book_id) where downloaded group by all")
+def export_by_book(spark, sf_dir):
+    hits = _hits(spark, sf_dir, PHRASE, "phrase").groupBy("book_id").agg(F.count("*").alias("hits"))
+    return _books(spark, sf_dir).where("downloaded").join(hits, "book_id", "left").select("book_id", "school", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
