@@ -14,6 +14,7 @@ aren't learned from; with no label at all every score is 0.5; repeated rows have
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,12 +29,16 @@ from quire.llm.common import text_of
 #: Passes over the fitted rows: EPOCHS, or as many as LEAST_STEPS batches take where the rows are few.
 FIT_ROWS, FACTORS, EPOCHS, LEAST_STEPS, FOLDS, THRESHOLD = 6000, 8, 10, 600, 5, 0.3
 WORD_SLOTS, SHAPE_SLOTS = 1 << 15, 1 << 11
-_REMEMBER = 400_000
+_REMEMBER = 300_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-STATS = ("bias_len", "n_chars", "upper", "marks", "digits", "odd", "space", "word_len", "long_words", "word_repeat", "line_repeat", "line_len", "caps_words", "marked_ends", "top_word", "lines")
+STATS = ("bias_len", "n_chars", "upper", "marks", "digits", "odd", "space", "word_len", "long_words", "word_repeat", "line_repeat", "line_len", "caps_words", "marks_a_word", "top_word", "lines")
 SLOTS = WORD_SLOTS + SHAPE_SLOTS + len(STATS)
 _RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "0")]
-_LETTER, _UPPER, _DIGIT, _ODD = re.compile(r"[^\W\d_]"), re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile(r"\d"), re.compile(r"[^\w\s.,]")
+#: Byte classes: other, upper case, lower case, digit, blank, line break, plain stop, mark, first byte of a longer character.
+_CLASS = np.zeros(256, "u1")
+for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t", "\r\n", ".,", "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"), 1):
+    _CLASS[[ord(c) for c in _chars]] = _k
+_CLASS[0xC0:] = 8
 
 
 def _shape(word: str) -> str:
@@ -44,36 +49,47 @@ def _shape(word: str) -> str:
 
 class Features:
     def __init__(self):
-        self.words: dict[str, tuple[int, int]] = {}
-
-    def _word(self, w: str) -> tuple[int, int]:
-        slot = zlib.crc32(w.strip(_EDGE).lower().encode()) % WORD_SLOTS, WORD_SLOTS + zlib.crc32(b"shape" + _shape(w).encode()) % SHAPE_SLOTS
-        if len(self.words) >= _REMEMBER:
-            self.words.clear()
-        self.words[w] = slot
+        #: Slots of words met lately, and of the generation before: the word's, and the shape's above it.
+        self.words: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def _word(self, w: str) -> int:
+        slot = self.old.get(w)
+        if slot is None:
+            slot = zlib.crc32(w.strip(_EDGE).lower().encode()) % WORD_SLOTS | zlib.crc32(b"shape" + _shape(w[:64]).encode()) % SHAPE_SLOTS << 20
+        if len(w) <= 64:
+            self.words[w] = slot
         return slot
 
     def of(self, text: str, n_chars: float) -> tuple[np.ndarray, np.ndarray]:
         """Slots and values."""
+        if len(self.words) >= _REMEMBER:
+            self.old, self.words = self.words, {}
         words = text.split()
         n, chars = len(words), max(1, len(text))
-        get = self.words.get
-        pairs = np.array([get(w) or self._word(w) for w in words], "i8").reshape(-1, 2)
-        ids, counts = np.unique(pairs, return_counts=True)
+        get, make = self.words.get, self._word
+        both = np.fromiter([make(w) if (s := get(w)) is None else s for w in words], "i8", n)
+        ids, counts = np.unique(np.concatenate([both & 0xFFFFF, (both >> 20) + WORD_SLOTS]), return_counts=True)
         lines = [x for x in text.split("\n") if x.strip()]
-        letters = len(_LETTER.findall(text))
-        marks = len(_ODD.findall(text))
+        _, upper, lower, digits, blanks, _, _, marks, wide = np.bincount(_CLASS[np.frombuffer(text.encode(), "u1")], minlength=9).tolist()
+        letters = upper + lower + wide
         shapes = ids >= WORD_SLOTS
         stats = [
-            np.log1p(chars) / 10, np.log1p(max(0.0, n_chars)) / 10, len(_UPPER.findall(text)) / max(1, letters), min(1.0, 5 * marks / chars), len(_DIGIT.findall(text)) / chars,
-            (chars - letters - marks) / chars, text.count(" ") / chars, min(3.0, chars / max(1, n) / 8), sum(len(w) > 20 for w in words) / max(1, n), 1 - (~shapes).sum() / max(1, n),
-            1 - len(set(lines)) / max(1, len(lines)), min(3.0, chars / max(1, len(lines)) / 200), sum(w.isupper() for w in words) / max(1, n), sum(w[-1] in "!#$%&*?" for w in words) / max(1, n),
+            np.log1p(chars) / 10, np.log1p(max(0.0, n_chars)) / 10, upper / max(1, letters), min(1.0, 5 * marks / chars), digits / chars,
+            (chars - letters - marks) / chars, blanks / chars, min(3.0, chars / max(1, n) / 8), sum(len(w) > 20 for w in words) / max(1, n), 1 - (~shapes).sum() / max(1, n),
+            1 - len(set(lines)) / max(1, len(lines)), min(3.0, chars / max(1, len(lines)) / 200), sum(map(str.isupper, words)) / max(1, n), marks / max(1, n),
             (counts[~shapes].max() if n else 0) / max(1, n), np.log1p(len(lines)) / 10,
         ]
         values = np.sqrt(counts / max(1, n))
         return np.concatenate([ids, np.arange(SLOTS - len(STATS), SLOTS)]), np.concatenate([values, stats]).astype("f4")
 
 
+@functools.lru_cache(maxsize=1)
+def held_features() -> Features:
+    """One for all tasks of a Python worker, so the words it remembers serve the next task too."""
+    return Features()
+
+
 class Machine:
     """w0, w and v of the factorisation machine."""
 
@@ -140,9 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).select("doc_id", "quality")
     some = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars")).join(F.broadcast(some), "doc_id")  # fit_rows rows at most
-    features = Features()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = held_features()
         for b in batches:
             found = [features.of(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "ids": [i.astype("i4").tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]})
@@ -156,7 +172,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m, features = Machine(1, 1), Features()
+        m, features = Machine(1, 1), held_features()
         m.w0, m.w, m.v = sent.value
         for text, n_chars in columns:
             out = []
