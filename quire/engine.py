@@ -41,6 +41,10 @@ class Engine:
     library: str | None = None
     nfc: bool = False
 
+    def __post_init__(self):
+        _, least, most = schema.RESPONSE_BYTES
+        self.byte_budget = max(least, min(most, self.byte_budget))
+
     # scope
 
     def scope(self, schools=None, book_ids=None, core_only: bool = False) -> DataFrame:
@@ -67,12 +71,12 @@ class Engine:
     def _envelope(total: int, returned: int, more: bool, cursor: str | None, reason: str) -> dict:
         return {"total_hits": total, "total_hits_exact": True, "returned": returned, "has_more": more, "next_cursor": cursor, "truncated": reason != "none", "truncation_reason": reason}
 
-    def _fit(self, rows: list[dict]) -> list[dict]:
-        """The prefix of rows within the byte budget; the first is always there."""
+    def _fit(self, rows: list[dict], share: int = 1) -> list[dict]:
+        """The prefix of rows within the byte budget, or one of so many equal shares of it; the first is always there."""
         out, used = [], 0
         for r in rows:
             used += len(json.dumps(r, ensure_ascii=False, default=str).encode())
-            if out and used > self.byte_budget:
+            if out and used > self.byte_budget // share:
                 break
             out.append(r)
         return out
@@ -177,7 +181,8 @@ class Engine:
             "failed_books": sorted({r["book_id"] for r in seen if r["status"] == "failed"}), "missing_pages": [{"book_id": r["book_id"], "page_id": r["page_id"]} for r in seen if r["status"] == "missing"],
         }
 
-    def compare_issue(self, query: str, mode: str = "all_terms", schools=None, book_ids=None, per_school=None) -> dict:
+    def compare_issue(self, query: str, mode: str = "all_terms", schools=None, book_ids=None, per_school=None, neighbors=0) -> dict:
+        """With neighbors every passage is read anew as a window: page order within a book, score 0."""
         q, n = parse(query, mode), schema.clamp(per_school, "per_school")
         asked = [s for s in schema.CORE if s in (schools or schema.CORE)]
         scope = self.scope(asked, book_ids).where(F.col("school").isin(asked))
@@ -185,6 +190,12 @@ class Engine:
         found = S.hits(self.index, q, ids).join(scope.select("book_id", "school"), "book_id")
         few = [r.asDict() for r in S.top_per(found, "school", n).collect()]  # per_school rows a school
         rows = self._passages(few, q, False)
+        if neighbors and rows:
+            school = {r["book_id"]: r["school"] for r in rows}
+            asked_pages = self.pages.sparkSession.createDataFrame([(r["book_id"], r["page_id"]) for r in few], "book_id string, page_id int")
+            near = P.fetch(asked_pages, self.pages.where(F.col("book_id").isin(list(school))), self.books, max(0, min(10, int(neighbors))))
+            rows = [r.asDict(True) for r in P.fetched_passages(near, self.books, self.toc).drop("text_original").orderBy("book_id", "page_id").collect()]
+        rows = [r for s in asked for r in self._fit([r for r in rows if r["school"] == s], len(asked))]
         groups: dict[str, dict[str, list]] = {}
         for r in rows:
             groups.setdefault(r["school"], {}).setdefault(r["book_id"], []).append(r)

@@ -12,6 +12,7 @@ from quire import schema
 from quire.functions import text as T
 from quire.operators import catalogue as C
 from quire.operators import passages as P
+from quire.operators import profile as R
 from quire.operators import search as S
 from quire.operators import toc as H
 from quire.plans import index as I
@@ -44,6 +45,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
 
 
+def _folded(df: DataFrame, text=None):
+    """The folded text of documents; with NFC only where some text could change by it."""
+    return T.fold(F.col("text") if text is None else text, T.needs_nfc(df if text is None else df.select(text.alias("text")), "text"))
+
+
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null")
 
@@ -71,7 +77,8 @@ DOCS = "(select doc_id, text from documents where text is not null)"
 
 @query(f"select doc_id, {O.fold('text')} as folded from {DOCS}")
 def fold_documents(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.fold(F.col("text")).alias("folded"))
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", _folded(d).alias("folded"))
 
 
 _ARABISED = f"replace(replace(translate(lower(text), '{O.LATIN}', '{O.ARABIC}'), 'ت', 'ت\u064e\u0640'), '1', '\u0661')"
@@ -79,14 +86,16 @@ _ARABISED = f"replace(replace(translate(lower(text), '{O.LATIN}', '{O.ARABIC}'),
 
 @query(f"select doc_id, {O.fold(_ARABISED)} as folded, array_to_string({O.tokens(O.fold(_ARABISED))}, ' ') as tokens from {DOCS}")
 def fold_arabised(spark, sf_dir):
-    folded = T.fold(F.expr(_ARABISED))
-    return _docs(spark, sf_dir).select("doc_id", folded.alias("folded"), F.array_join(T.tokens(folded), " ").alias("tokens"))
+    d = _docs(spark, sf_dir)
+    folded = _folded(d, F.expr(_ARABISED))
+    return d.select("doc_id", folded.alias("folded"), F.array_join(T.tokens(folded), " ").alias("tokens"))
 
 
 @query(f"select doc_id, cast(len(w) as bigint) n_tokens, cast(len(list_distinct(w)) as bigint) n_distinct from (select doc_id, {O.tokens(O.fold('text'))} w from {DOCS}) t")
 def tokenize_counts(spark, sf_dir):
-    w = T.tokens(T.fold(F.col("text")))
-    return _docs(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+    d = _docs(spark, sf_dir)
+    w = T.tokens(_folded(d))
+    return d.select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
 def _plain_entities(x: str) -> str:
@@ -122,8 +131,9 @@ _OFFSET = f"case when instr(f, '{PHRASE}') > 0 then instr(f, '{PHRASE}') - 1 els
 
 @query(f"select doc_id, cast({_OFFSET} as int) phrase_at, cast({_AT(ANY.split())} as int) any_at from {_FOLDED} t")
 def first_match_offset(spark, sf_dir):
-    f = T.fold(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", T.first_match_offset(f, PHRASE.split(), "phrase").alias("phrase_at"), T.first_match_offset(f, ANY.split(), "any_terms").alias("any_at"))
+    d = _docs(spark, sf_dir)
+    f = _folded(d)
+    return d.select("doc_id", T.first_match_offset(f, PHRASE.split(), "phrase").alias("phrase_at"), T.first_match_offset(f, ANY.split(), "any_terms").alias("any_at"))
 
 
 def _plain_list(terms: list[str], some: str) -> str:
@@ -132,17 +142,20 @@ def _plain_list(terms: list[str], some: str) -> str:
 
 @query(f"select doc_id, case when contains(f, '{PHRASE}') then 'phrase «{PHRASE}» occurs in order on the page' else 'the index matched the phrase; its order isn''t confirmed in the readable text' end reason from {_FOLDED} t")
 def match_reason_phrase(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.match_reason(T.fold(F.col("text")), PHRASE, PHRASE.split(), "phrase").alias("reason"))
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", T.match_reason(_folded(d), PHRASE, PHRASE.split(), "phrase").alias("reason"))
 
 
 @query(f"select doc_id, 'all terms on the page (' || len(list_filter({O.LIST(ALL.split())}, lambda t: contains(f, t))) || '/3): ' || {_plain_list(ALL.split(), '')} reason from {_FOLDED} t")
 def match_reason_all(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.match_reason(T.fold(F.col("text")), ALL, ALL.split(), "all_terms").alias("reason"))
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", T.match_reason(_folded(d), ALL, ALL.split(), "all_terms").alias("reason"))
 
 
 @query(f"select doc_id, case when {_plain_list(ANY.split(), 'not ')} = '' then 'every term found: ' || {_plain_list(ANY.split(), '')} else 'found: ' || {_plain_list(ANY.split(), '')} || ' - missing: ' || {_plain_list(ANY.split(), 'not ')} end reason from {_FOLDED} t")
 def match_reason_any(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.match_reason(T.fold(F.col("text")), ANY, ANY.split(), "any_terms").alias("reason"))
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", T.match_reason(_folded(d), ANY, ANY.split(), "any_terms").alias("reason"))
 
 
 @query(
@@ -152,8 +165,9 @@ c as (select *, s - length(regexp_extract(substring(text, 1, s), '[^{T.SPACES}]*
 select doc_id, case when n <= 360 then text else case when l > 0 then '… ' else '' end || regexp_replace(substring(text, l + 1, r - l), '^[{T.SPACES}]+|[{T.SPACES}]+$', '', 'g') || case when r < n then ' …' else '' end end excerpt from c"""
 )
 def excerpt_window(spark, sf_dir):
-    at = F.greatest(F.lit(0), T.first_match_offset(T.fold(F.col("text")), PHRASE.split(), "any_terms"))
-    return _docs(spark, sf_dir).select("doc_id", T.excerpt(F.col("text"), at, schema.EXCERPT_SEARCH).alias("excerpt"))
+    d = _docs(spark, sf_dir)
+    at = F.greatest(F.lit(0), T.first_match_offset(_folded(d), PHRASE.split(), "any_terms"))
+    return d.select("doc_id", T.excerpt(F.col("text"), at, schema.EXCERPT_SEARCH).alias("excerpt"))
 
 
 @query(f"select doc_id, f as folded, cast(length(f) as int) as mapped, true as rising from {_FOLDED} t")
@@ -197,6 +211,29 @@ def profile_columns(spark, sf_dir):
     return I.describe(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("type")
 
 
+_SIZE = "octet_length(encode(text))"
+
+
+@query(f"with d as (select {_SIZE} s from documents where text is not null), b as (select case when s < 1024 then 0 when s < 10240 then 1 when s < 102400 then 2 when s < 1048576 then 3 else 4 end bucket, s from d) select cast(r.k as int) bucket, count(s) n, cast(coalesce(sum(s), 0) as bigint) bytes from range(5) r(k) left join b on b.bucket = r.k group by r.k")
+def size_buckets(spark, sf_dir):
+    return R.size_buckets(_docs(spark, sf_dir), F.octet_length("text"))
+
+
+@query(f"select doc_id, {_SIZE} as bytes from documents where text is not null order by bytes desc, doc_id limit 10")
+def largest_texts(spark, sf_dir):
+    return R.largest(_docs(spark, sf_dir), "doc_id", F.octet_length("text"))
+
+
+@query("select source as \"value\", count(*) n from documents group by source order by n desc, source limit 6")
+def common_values(spark, sf_dir):
+    return R.common_values(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source")
+
+
+@query("select doc_id, sha256(concat_ws(chr(31), coalesce('=' || cast(doc_id as varchar), '-'), coalesce('=' || lang, '-'), coalesce('=' || source, '-'), coalesce('=' || cast(n_chars as varchar), '-'))) checksum from documents")
+def row_checksums(spark, sf_dir):
+    return R.row_checksums(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+
+
 # match and rank
 
 

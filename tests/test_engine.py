@@ -123,6 +123,8 @@ def test_compare_has_no_verdict(engine):
     assert r["summary"]["schools_with_evidence"] + r["summary"]["schools_without_evidence"] and all(len({p["page_id"] for b in g["books"] for p in b["passages"]}) <= 3 for g in r["groups"])
     told = json.dumps(r, default=str)
     assert not any(f'"{k}"' in told for k in ("verdict", "preferred", "winner", "strongest", "conclusion"))
+    near = engine.compare_issue("of the", "phrase", per_school=2, neighbors=1)
+    assert near["summary"]["passages"] >= r["summary"]["books"] and all(p["score"] == 0 for g in near["groups"] for b in g["books"] for p in b["passages"])
     one = engine.compare_issue("of the", "phrase", book_ids=["src1-en"])
     keys = [(b["book_id"], p["page_id"]) for g in one["groups"] for b in g["books"] for p in b["passages"]]
     assert len(keys) == len(set(keys))
