@@ -20,7 +20,7 @@ def size_buckets(rows: DataFrame, size: Column) -> DataFrame:
 
 
 def largest(rows: DataFrame, key: str, size: Column, n: int = 10) -> DataFrame:
-    return rows.select(key, size.alias("bytes")).orderBy(F.desc("bytes"), key).limit(n)
+    return rows.select(key, size.cast("long").alias("bytes")).orderBy(F.desc("bytes"), key).limit(n)
 
 
 def common_values(rows: DataFrame, column: str, n: int = 6) -> DataFrame:
