@@ -15,6 +15,10 @@ MAX_BROADCAST_WORDS = 1 << 20
 MAX_BROADCAST_ROWS = 20_000
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -29,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Texts are long: keeps Arrow batches to BATCH_ROWS rows, unless the session has a setting of its own. Python workers and the
+    JVM's buffers then hold a few MB of texts each instead of tens.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder once, with no lineage behind them."""
     shared_dir(df.sparkSession)

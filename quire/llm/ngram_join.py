@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import RepeatFilter, cut, join_groups
+from quire.llm.common import RepeatFilter, cut, join_groups, modest_batches
 from quire.llm.components import components
 
 WORDS, THRESHOLD, DEPTH, LIMIT, TILE, RECALL, SKETCH = 5, 0.8, 3, 256, 256, 0.999, 32
@@ -263,6 +263,7 @@ def _leaves(sets: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, limit: int = LIMIT, tile: int = TILE, recall: float = RECALL) -> DataFrame:
     """A row per document: doc_id, class_id (least doc_id of its class), n_links (other sets it is linked with), n_equal (rows with its very set)."""
+    modest_batches(docs.sparkSession)
     runs = runs_for(threshold, depth, recall)
     signed = cut(docs.select("doc_id", "text").mapInArrow(_signer(runs, depth), "doc_id long, node long, size long, walks array<long>, sketch binary"))
     sets = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"), F.first("size").alias("size"), F.first("walks").alias("walks"), F.first("sketch").alias("sketch")))
@@ -283,9 +284,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, l
     linked = cut(held.select(*by, "node", "partners", "tokens").mapInArrow(_verify(threshold), "node long, links long, root long"))
     labels = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    found = sets.select("node", "doc_id", "n_equal").join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    found = cut(found.join(names, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal"))
+    found = cut(sets.select("node", "doc_id", "n_equal").join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    names = cut(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("sets")))
+    found = cut(join_groups(found, names, "label", "sets").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal"))
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_equal"))
     rows = signed.where("node is not null").select("doc_id", "node")
     return join_groups(rows, found, "node", "n_equal").drop("node").unionByName(alone)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_of
+from quire.llm.common import modest_batches, text_of
 
 #: Passes over the fitted rows: EPOCHS, or as many as LEAST_STEPS batches take where the rows are few.
 FIT_ROWS, FACTORS, EPOCHS, LEAST_STEPS, FOLDS, THRESHOLD = 6000, 8, 10, 600, 5, 0.3
@@ -154,6 +154,7 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
     """A machine fitted on at most fit_rows labelled rows that aren't held out."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).select("doc_id", "quality")
+    modest_batches(docs.sparkSession)
     some = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars")).join(F.broadcast(some), "doc_id")  # fit_rows rows at most
 
@@ -169,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
 def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     """docs with a score column. The machine goes out as one broadcast of fixed size."""
+    modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

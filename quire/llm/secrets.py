@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import RepeatFilter, cut, join_groups, text_of
+from quire.llm.common import RepeatFilter, cut, join_groups, modest_batches, text_of
 
 # The kinds in their order, the pattern of each, the group that is measured, and its least length.
 KINDS = ("assign", "access", "hex")
@@ -77,6 +77,7 @@ class Ledger:
 
 def scan(docs: DataFrame, ledger: Ledger | None = None, version: str = VERSION) -> DataFrame:
     """doc_id, blob, n_assign, n_access, n_hex, spans of every row of docs."""
+    modest_batches(docs.sparkSession)
     texts = docs.select("doc_id", text_of().alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = cut(texts.select("doc_id", "blob").withColumn("h", F.xxhash64("blob")))
     known = ledger.rows() if ledger else None
