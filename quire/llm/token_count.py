@@ -3,7 +3,7 @@
 A word's byte symbols form a linked list; a heap holds its adjacent pairs that have a merge, by rank and then position. The
 lowest is popped again and again and merged, and entries that an earlier merge made stale are passed over. The count is the
 number of symbols at the start less the number of merges; no identifiers are made. Words are counted once and remembered in a
-table of bounded size, so a text costs a lookup a word. A word of n bytes costs O(n log n).
+table of bounded size that a Python worker keeps between tasks, so a text costs a lookup a word. A word of n bytes costs O(n log n).
 
 The tokenizer file is read for its merges, its added tokens and its word-end suffix; the normaliser (NFC, white space to one
 space, lower case by character) and the split pattern are those the file names, and a file with others is refused.
@@ -14,6 +14,7 @@ and texts are counted whole; repeated rows each get their row; other columns are
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -24,8 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words remembered by a task.
-REMEMBER = 300_000
+from quire.llm.common import modest_batches
+
+#: Words remembered, in each of two generations; a text may add its own beyond that.
+REMEMBER = 400_000
 _SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: White space as Unicode has it; Python's also takes U+001C to U+001F.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -87,7 +90,9 @@ class Counter:
         self.last = [vocab[s + suffix] for s in byte_symbols()]
         added = [re.escape(x["content"]) for x in held["added_tokens"]]
         self.added = re.compile("|".join(added)) if added else None
+        #: Words met lately, and those of the generation before.
         self.words: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def word(self, text: str) -> int:
         """Tokens of a text without white space (or of any text, for that matter)."""
@@ -102,15 +107,17 @@ class Counter:
         return total
 
     def _plain(self, text: str) -> int:
-        words = self.words
+        if len(self.words) >= REMEMBER:
+            self.old, self.words = self.words, {}
+        words, old = self.words, self.old
         total = 0
         for w in _SPACE.split(text) if _ODD_SPACE.search(text) else text.split():
             n = words.get(w)
             if n is None:
-                n = self.word(w)
+                n = old.get(w)
+                if n is None:
+                    n = self.word(w)
                 if len(w) <= 64:
-                    if len(words) >= REMEMBER:
-                        words.clear()
                     words[w] = n
             total += n
         return total
@@ -122,11 +129,19 @@ class Counter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
+@functools.lru_cache(maxsize=1)
+def held_counter(path: str) -> Counter:
+    """One counter for all tasks of a Python worker, so the words it remembers serve the next task too."""
+    return Counter(path)
+
+
 def count(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. path: the tokenizer file, at the same place on every machine."""
 
+    modest_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = held_counter(path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [counter.count(t) for t in texts]
