@@ -57,7 +57,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_mix(spark):
         assert 0 <= row.taken <= 3 * row["size"]
         taken[s] += row.taken
     for s in names:
-        assert abs(taken[s] - target[s]) <= max(size.values()), s
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 64, s
     again = queries.op2_source_mix(spark, SF).toPandas().set_index("doc_id")
     assert again.taken.sort_index().equals(got.taken.sort_index())
 
@@ -135,6 +135,22 @@ def test_ledger(spark, tmp_path):
     assert ledger.rows().count() == 6
 
 
+def test_rank_file_gives_the_same_ids():
+    """Over every plain character in several settings, and over random mixtures; unusual texts go to the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    e, t = packing.Encoder(path, queries.vocabulary("byte_bpe_50k.tiktoken")), Tokenizer.from_file(path)
+    rng = random.Random(1)
+    chars = [c for c in map(chr, range(0x2100)) if not packing._UNUSUAL.search(c)]
+    texts = [a + c + b for c in chars for a in ("", "a", " ", "1", "\n", "'") for b in ("", "a", " ", "s", "!", "9")]
+    texts += ["".join(rng.choice(chars) for _ in range(40)) for _ in range(3000)] + ["".join(rng.choice(" \n\xa0\tab's.") for _ in range(30)) for _ in range(3000)]
+    texts += ["", "a<|endoftext|>b", "\u4e2d\u6587 \U0001f642 \u0301 \x1c\x85", "x" * 20_000, " " * 5000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_many(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def check_packing(rows, texts):
     """rows: pieces; texts: (doc_id, text), each doc_id once."""
     from tokenizers import Tokenizer
