@@ -5,9 +5,10 @@ divergence from 1) are r = exp(sum of the multipliers of the document's levels),
 convex dual and are found by Newton steps: levels of one column don't overlap, so their block of the Hessian is diagonal, and
 each step is one aggregation over the cells (distinct combinations of levels, with their word sums) and one join back.
 
-Rates become copies: floor(r), and one more for those documents whose hash is below the cell's cutoff. The cutoff is placed by
-word sums over ranges of the hash, then exactly within the one range where the target is crossed, so each cell ends within
-about one document of its target and no document moves. Memory: a row per cell and range.
+Rates become copies: floor(r), and one more for those documents whose hash is below a cutoff. Each cell has a cutoff for each of
+three bands of length, long documents first, and what one band misses by is carried to the next, so a cell ends within about half a short
+document of its target. A cutoff is placed by word sums over ranges of the hash, then exactly within the one range where the target
+is crossed; no document moves. Memory: a row per cell and range.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; sources without words have target
 0 and take 0; copies never exceed the cap; repeated rows share one hash, hence one fate; an empty table gives an empty result.
@@ -23,6 +24,8 @@ from quire.llm.common import cut, small_side, text_of
 CAP = 3.0
 #: Rows of a hash range, on average.
 RANGE_ROWS = 256
+#: Least words of the bands of documents, the longest first, whose extra copies are chosen one band after the other.
+BANDS = (1024, 128, 0)
 
 
 def words(text: Column) -> Column:
@@ -73,43 +76,73 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP, s
     return cells.withColumn("rate", rate).drop("theta")
 
 
+def _same(levels: list[str]) -> Column:
+    on = F.lit(True)
+    for c in levels:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return on
+
+
+def _renamed(levels: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"_{c}") for c in levels]
+
+
+def _cutoffs(rows: DataFrame, needs: DataFrame, levels: list[str], cell_rows: int) -> DataFrame:
+    """For each cell of needs (level columns, need, bits) the hash (cut) below which the words of rows come nearest to need, and those
+    words (got). Word sums over ranges of the hash find the range where need is crossed; within it sums by hash decide.
+    """
+    side = small_side(needs.select(*_renamed(levels), "need", "bits"), cell_rows)
+    ranged = rows.join(side, _same(levels)).where("need > 0").withColumn("range", F.expr("if(bits = 0, 0L, shiftright(h, 63 - bits))"))
+    sums = ranged.groupBy(*levels, "need", "range").agg(F.sum("size").alias("s"))
+    before = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    edge = cut(sums.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("s") >= F.col("need"))).select(*_renamed(levels), F.col("range").alias("_range"), "before"))
+    inside = ranged.drop(*(f"_{c}" for c in levels)).join(small_side(edge, cell_rows), _same(levels) & (F.col("range") == F.col("_range")))
+    inside = inside.groupBy(*levels, "need", "before", "h").agg(F.sum("size").alias("s"))
+    upto = Window.partitionBy(*levels).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("s").over(upto))
+    with_it, without = F.abs(F.col("upto") - F.col("need")), F.abs(F.col("upto") - F.col("s") - F.col("need"))
+    taken = F.struct(with_it.alias("off"), (F.col("h") + 1).alias("cut"), F.col("upto").alias("got"))
+    left = F.struct(without.alias("off"), F.col("h").alias("cut"), (F.col("upto") - F.col("s")).alias("got"))
+    best = F.min(F.when(with_it <= without, taken).otherwise(left))
+    return cut(inside.groupBy(*_renamed(levels)).agg(best.alias("best")).select(*(f"_{c}" for c in levels), "best.cut", "best.got"))
+
+
 def copies(docs: DataFrame, extra_targets: dict[str, DataFrame] | None = None, weights: int = 3, cap: float = CAP, seed: int = 7) -> DataFrame:
-    """docs with size, source_size, target, rate and copies. extra_targets: further level columns, each with (column, target words)."""
+    """docs with _size, _copies and _mix (source_size, target, rate ...). extra_targets: further level columns, each with (column, target words)."""
     levels = ["source", *(extra_targets or {})]
     hashed = F.expr(f"xxhash64(doc_id, text, {seed}) & 9223372036854775807")
     rows = cut(docs.select(*levels, words(text_of()).alias("size"), hashed.alias("h")))
     target = cut(source_targets(rows, weights, cap))
-    cells = balance(cut(rows.groupBy(*levels).agg(F.sum("size").alias("size"), F.count("*").alias("n"))), {"source": target, **(extra_targets or {})}, cap)
+    cells = rows.groupBy(*levels).agg(F.sum("size").alias("size"), F.count("*").alias("n"), *(F.sum(F.when(_band("size") == k, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(len(BANDS))))
+    cells = balance(cut(cells), {"source": target, **(extra_targets or {})}, cap)
     near = F.abs(F.col("rate") - F.round("rate")) < 1e-7
     cells = cells.withColumn("rate", F.when(near, F.round("rate")).otherwise(F.col("rate"))).withColumn("base", F.floor("rate").cast("long"))
-    cells = cut(cells.withColumn("need", (F.col("rate") - F.col("base")) * F.col("size")).withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / RANGE_ROWS)))).cast("int")))
+    cells = cells.withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / RANGE_ROWS)))).cast("int")).withColumn("carry", F.lit(0.0))
+    cells = cut(cells)
     cell_rows = cells.count()
-    side = small_side(cells.select(*(F.col(c).alias(f"_{c}") for c in levels), "need", "bits"), cell_rows)
+    for k in range(len(BANDS)):
+        # what the longer documents missed by is made up for here, as far as it can be
+        # rounded, so that the last bits of a sum never decide between two equally near cutoffs
+        want = F.round((F.col("rate") - F.col("base")) * F.col(f"s{k}") + F.col("carry"), 6)
+        cells = cells.withColumn("want", want).withColumn("need", F.greatest(F.lit(0.0), F.least(F.col("want"), F.col(f"s{k}").cast("double"))))
+        found = _cutoffs(rows.where((F.col("size") > 0) & (_band("size") == k)), cells, levels, cell_rows)
+        cells = cells.join(found, _same(levels), "left").drop(*(f"_{c}" for c in levels))
+        cells = cut(cells.withColumn(f"cut{k}", F.coalesce("cut", F.lit(0))).withColumn("carry", F.col("want") - F.coalesce("got", F.lit(0))).drop("cut", "got", "want", "need"))
+    rates = cells.join(target.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
+    cuts = F.array(*(F.col(f"cut{k}") for k in range(len(BANDS))))
+    rates = small_side(cut(rates.select(F.struct(*levels).alias("_key"), F.struct("source_size", "target", "rate", "base", cuts.alias("cuts")).alias("_mix"))), cell_rows)
+    out = docs.withColumns({"_size": words(text_of()), "_h": hashed}).join(rates, _same_struct(levels), "left").drop("_key")
+    more = F.when(F.col("_h") < F.element_at("_mix.cuts", _band("_size") + 1), 1).otherwise(0)
+    return out.withColumn("_copies", F.col("_mix.base") + more)
 
-    def same(prefix="_"):
-        on = F.lit(True)
-        for c in levels:
-            on &= F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
-        return on
 
-    ranged = rows.where("size > 0").join(side, same()).where("need > 0").withColumn("range", F.expr("if(bits = 0, 0L, shiftright(h, 63 - bits))"))
-    sums = ranged.groupBy(*levels, "need", "range").agg(F.sum("size").alias("s"))
-    before = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
-    edge = cut(sums.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("s") >= F.col("need"))).select(*(F.col(c).alias(f"_{c}") for c in levels), F.col("range").alias("_range"), "before"))
-    inside = ranged.drop(*(f"_{c}" for c in levels)).join(small_side(edge, cell_rows), same() & (F.col("range") == F.col("_range")))
-    # cumulative words by hash value (ties together) within the one range; the cutoff is just above the hash that comes nearest
-    inside = inside.groupBy(*levels, "need", "before", "h").agg(F.sum("size").alias("s"))
-    upto = Window.partitionBy(*levels).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("s").over(upto))
-    inside = inside.withColumns({"over": F.abs(F.col("upto") - F.col("need")), "under": F.abs(F.col("upto") - F.col("s") - F.col("need"))})
-    choice = F.when(F.col("over") <= F.col("under"), F.struct(F.col("over").alias("off"), (F.col("h") + 1).alias("cut"))).otherwise(F.struct(F.col("under").alias("off"), F.col("h").alias("cut")))
-    cutoffs = inside.groupBy(*(F.col(c).alias(f"_{c}") for c in levels)).agg(F.min(choice).getField("cut").alias("cut"))
-    rates = cells.select(*levels, "rate", "base").join(cutoffs, same(), "left").drop(*(f"_{c}" for c in levels)).withColumn("cut", F.coalesce("cut", F.lit(0)))
-    rates = rates.join(target.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rates = small_side(cut(rates.select(F.struct(*levels).alias("_key"), F.struct("source_size", "target", "rate", "base", "cut").alias("_mix"))), cell_rows)
-    out = docs.withColumns({"_size": words(text_of()), "_h": hashed}).join(rates, _same_struct(levels), "left").drop("_key")
-    return out.withColumn("_copies", F.col("_mix.base") + F.when(F.col("_h") < F.col("_mix.cut"), 1).otherwise(0))
+def _band(size: str) -> Column:
+    """The place of a size among BANDS; the last takes the rest."""
+    out = F.lit(len(BANDS) - 1)
+    for k in reversed(range(len(BANDS) - 1)):
+        out = F.when(F.col(size) >= BANDS[k], k).otherwise(out)
+    return out
 
 
 def _same_struct(levels: list[str]) -> Column:
