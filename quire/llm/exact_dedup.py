@@ -54,5 +54,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     whole = seen.mark(whole.withColumn("h", F.xxhash64("sha")), "h", "maybe")
     again = whole.where("maybe").join(keep, (F.col("sha") == F.col("_k")) & (F.col("n") == F.col("_kn")) & F.col("row.doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # what is left of a group is one row, but for rows that share doc_id, length and text
-    first = again.withColumn("rank", F.expr("row_number() over (partition by sha order by n)")).where("rank = 1")
+    first = again.dropDuplicates(["sha"])
     return whole.where(~F.col("maybe")).select("row").unionByName(first.select("row")).select("row.*")
