@@ -84,6 +84,13 @@ class Index:
     path: str | None = None
     generation: str = "unstored"
     _stats: dict = field(default_factory=dict)
+    _tables: dict = field(default_factory=dict)
+
+    def table(self, name: str) -> DataFrame:
+        """A stored table; its files are listed once for each generation that is opened."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._tables[name]
 
     @classmethod
     def over(cls, pages: DataFrame, nfc: bool | None = None) -> Index:
@@ -116,8 +123,8 @@ class Index:
         key = json.dumps(sorted(terms))
         if key not in self._stats:
             if self.path:
-                n = self.spark.read.parquet(f"{self.path}/corpus_stats").first()
-                df = {r["term"]: r["df"] for r in self.spark.read.parquet(f"{self.path}/term_stats").where(F.col("term").isin(terms)).collect()}
+                n = self.table("corpus_stats").first()
+                df = {r["term"]: r["df"] for r in self.table("term_stats").where(F.col("term").isin(terms)).collect()}
                 self._stats[key] = Stats(n["n_docs"], n["sum_dl"], {t: df.get(t, 0) for t in terms})
             else:
                 row = self.tokens.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), *(F.count_if(F.array_contains("terms", t)) for t in terms)).first()
@@ -130,7 +137,7 @@ class Index:
             rows = self.tokens.where(F.arrays_overlap("terms", F.array(*(F.lit(t) for t in terms))))
             rows = rows.withColumn("tf", F.array(*(count_of(t, F.col("terms")) for t in terms)))
             return rows.withColumn("pf", phrase_count(phrase, F.col("terms")) if phrase else F.lit(0)).drop("terms")
-        held = self.spark.read.parquet(f"{self.path}/postings").where(F.col("term").isin(terms))
+        held = self.table("postings").where(F.col("term").isin(terms))
         tf = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
         places = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at{i}") for i, t in enumerate(terms)] if phrase else []
         rows = held.groupBy("doc", "book_id", "page_id", "dl").agg(*tf, *places)
