@@ -34,7 +34,8 @@ def tokens(pages: DataFrame, nfc: bool | None = None) -> DataFrame:
     if nfc is None:
         nfc = T.needs_nfc(pages, "body")
     terms = T.tokens(T.fold(F.col("body"), nfc))
-    return pages.select("doc", "book_id", "page_id", terms.alias("terms")).withColumn("dl", F.size("terms"))
+    # exploded from an array of one, so that no later filter or projection has the terms computed again
+    return pages.select("doc", "book_id", "page_id", F.explode(F.array(terms)).alias("terms")).withColumn("dl", F.size("terms"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return corpus.documents(spark, sf_dir).where("text is not null")
 
 
 def _folded(df: DataFrame, text=None):
@@ -253,7 +253,7 @@ _CB = O.classified(RULES, C.HINTS)
 @query(f"with {O.hits(PHRASE.split(), 'phrase')}, {_CB}, best as (select *, row_number() over (order by score desc, doc) as rnk from hits) select cast(rnk as int) as rank, doc, best.book_id, page_id, round(score, 6) score, title, school from best join cb on cb.book_id = best.book_id where rnk <= 20")
 def search_phrase(spark, sf_dir):
     best = S.page(_hits(spark, sf_dir, PHRASE, "phrase"), 20).withColumn("rank", F.expr("row_number() over (order by score desc, doc)"))
-    return best.join(_books(spark, sf_dir), "book_id").select("rank", "doc", "book_id", "page_id", F.round("score", 6).alias("score"), "title", "school")
+    return best.join(_books(spark, sf_dir), "book_id").select("rank", "doc", "book_id", "page_id", F.round("score", 6).alias("score"), "title", "school").orderBy("rank")
 
 
 @query(f"with {O.TOK} select doc, {O.pf(TWICE.split())} pf from tok where {O.pf(TWICE.split())} > 0")

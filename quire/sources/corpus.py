@@ -48,17 +48,20 @@ def duck(text: str) -> str:
     return f"({_sql(text, 'documents')})"
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table; if it lies in fewer splits than there are cores, it is small, and is spread over them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(PLACED), documents=_documents(spark, sf_dir))
+    return spark.sql(_sql(PLACED), documents=documents(spark, sf_dir))
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(BOOKS), documents=_documents(spark, sf_dir))
+    return spark.sql(_sql(BOOKS), documents=documents(spark, sf_dir))
 
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(TOC), documents=_documents(spark, sf_dir))
+    return spark.sql(_sql(TOC), documents=documents(spark, sf_dir))
