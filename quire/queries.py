@@ -540,7 +540,7 @@ c as (select p.book_id, p.page_id, author, coalesce(title, p.book_id) name_, par
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, toc = corpus.pages(spark, sf_dir).where("page_id <= 12"), corpus.toc(spark, sf_dir)
+    pages, toc = corpus.pages(spark, sf_dir), corpus.toc(spark, sf_dir)
     return P.citations(pages.join(_books(spark, sf_dir), "book_id").join(H.trails(pages, toc), ["book_id", "page_id"], "left"))
 
 
