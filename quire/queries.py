@@ -231,7 +231,7 @@ def common_values(spark, sf_dir):
 
 @query("select doc_id, sha256(concat_ws(chr(31), coalesce('=' || cast(doc_id as varchar), '-'), coalesce('=' || lang, '-'), coalesce('=' || source, '-'), coalesce('=' || cast(n_chars as varchar), '-'))) checksum from documents")
 def row_checksums(spark, sf_dir):
-    return R.row_checksums(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    return R.row_checksums(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 # match and rank

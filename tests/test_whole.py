@@ -1,5 +1,6 @@
 """Whole results, held against plain Python: nothing is cut by a page number, a column, a level, a null or a length."""
 
+import hashlib
 from collections import defaultdict
 
 import pandas as pd
@@ -60,3 +61,9 @@ def test_every_page_is_cited(spark, cited):
 def test_every_page_has_caveats(spark, cited):
     got = {(r.book_id, r.page_id): r.caveats for r in Q.caveats(spark, SF).collect()}
     assert got == {k: v[2] for k, v in cited.items()}
+
+
+def test_checksums_read_every_column(spark):
+    d = pd.read_parquet(f"{SF}/documents.parquet")
+    want = {r[0]: hashlib.sha256("\x1f".join("-" if x is None or x != x else f"={x}" for x in r).encode()).hexdigest() for r in d.itertuples(index=False, name=None)}
+    assert "text" in d.columns and {r.doc_id: r.checksum for r in Q.row_checksums(spark, SF).collect()} == want
