@@ -9,6 +9,7 @@ from conftest import SF
 
 from quire import queries as Q
 from quire import schema
+from quire.llm import queries, secrets
 from quire.operators import passages as P
 
 
@@ -67,3 +68,11 @@ def test_checksums_read_every_column(spark):
     d = pd.read_parquet(f"{SF}/documents.parquet")
     want = {r[0]: hashlib.sha256("\x1f".join("-" if x is None or x != x else f"={x}" for x in r).encode()).hexdigest() for r in d.itertuples(index=False, name=None)}
     assert "text" in d.columns and {r.doc_id: r.checksum for r in Q.row_checksums(spark, SF).collect()} == want
+
+
+def test_secret_query_stores_its_ledger(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(secrets, "Ledger", type("Seen", (secrets.Ledger,), {"__init__": lambda self, *a: made.append(self) or super(type(self), self).__init__(*a)}))
+    n = queries.op7_secret_scan(spark, SF).count()
+    d = pd.read_parquet(f"{SF}/documents.parquet")
+    assert n == len(d) and made[0].rows().count() == d.text.fillna("").nunique() and {r.rule_version for r in made[0].rows().select("rule_version").distinct().collect()} == {secrets.VERSION}
