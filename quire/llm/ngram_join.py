@@ -14,7 +14,8 @@ classes are the connected components.
 
 Memory: an Arrow batch of texts, or a tile pair with its sets. Defined results: null, empty and word-less texts have no set, no
 links, and a class of their own; texts of one to four words are one shingle; repeated rows share a class; a null doc_id is never
-a class id unless its class has no other; other columns are ignored; an empty table gives an empty result.
+a class id unless its class has no other; other columns are ignored; an empty table gives an empty result. Texts are fetched and
+removed by doc_id and a hash of the text, so rows without a doc_id, and different texts with one doc_id, count like any others.
 """
 
 from __future__ import annotations
@@ -111,17 +112,20 @@ def _signer(runs: int, depth: int):
                     sizes.append(len(tokens))
                     walks.append(paths(tokens, runs, depth).astype("i8").ravel() if some else None)
                     sketches.append(sketch(tokens).tobytes() if some else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(walks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "size", "walks", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(walks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "key", "node", "size", "walks", "sketch"])
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+    """Each set once a task, however many rows have it."""
+    shingler, seen = Shingler(), set()
     for b in batches:
         for at in range(0, b.num_rows, 1000):
-            found = [shingler.shingles(t) for t in b.column("text").slice(at, 1000).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "tokens"])
+            found = {node_of(x): x.tobytes() for x in map(shingler.shingles, b.column("text").slice(at, 1000).to_pylist())}
+            found = {n: x for n, x in found.items() if n not in seen}
+            seen.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["node", "tokens"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict]:
@@ -190,7 +194,7 @@ def _candidates(threshold: float):
             near = _sketch_similar(marks[a], marks[b], least)
             a, b = a[near], b[near]
             for x in np.unique(np.concatenate([a, b])).tolist():
-                rows.append((g["leaf"][0], g["i"][0], g["j"][0], g["node"][x], g["doc_id"][x], node[b[a == x]].tolist()))
+                rows.append((g["leaf"][0], g["i"][0], g["j"][0], g["node"][x], g["key"][x], node[b[a == x]].tolist()))
             if len(rows) >= 5000:
                 yield _batch(rows)
                 rows = []
@@ -199,7 +203,7 @@ def _candidates(threshold: float):
 
     def _batch(rows):
         c = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:5]), pa.array(c[5], pa.list_(pa.int64()))], ["leaf", "i", "j", "node", "doc_id", "partners"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:5]), pa.array(c[5], pa.list_(pa.int64()))], ["leaf", "i", "j", "node", "key", "partners"])
 
     return run
 
@@ -261,42 +265,61 @@ def _leaves(sets: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
     return out
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, limit: int = LIMIT, tile: int = TILE, recall: float = RECALL) -> DataFrame:
-    """A row per document: doc_id, class_id (least doc_id of its class), n_links (other sets it is linked with), n_equal (rows with its very set)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key: a hash of both, the same in every scan."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+
+
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, limit: int = LIMIT, tile: int = TILE, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Rows with a set (doc_id, key, class_id, class_key, n_links, n_equal) and those without (doc_id). class_key: the key of the row that stands for the class."""
     modest_batches(docs.sparkSession)
     runs = runs_for(threshold, depth, recall)
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signer(runs, depth), "doc_id long, node long, size long, walks array<long>, sketch binary"))
-    sets = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"), F.first("size").alias("size"), F.first("walks").alias("walks"), F.first("sketch").alias("sketch")))
+    signed = cut(_keyed(docs).mapInArrow(_signer(runs, depth), "doc_id long, key long, node long, size long, walks array<long>, sketch binary"))
+    # the row of the least doc_id stands for a set; of a set without any, that of the least key
+    key = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))["key"], F.min("key"))
+    sets = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), key.alias("key"), F.count("*").alias("n_equal"), F.first("size").alias("size"), F.first("walks").alias("walks"), F.first("sketch").alias("sketch")))
     leaves = _leaves(sets, runs, depth, limit)
     # the bucket of each run, by which a pair knows the first run that brings it together
     places = leaves.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("at"))
     places = places.select("node", F.expr(f"transform(sequence(0, {runs - 1}), r -> coalesce(try_element_at(at, r), 0L))").alias("keys"))
-    members = leaves.join(places, "node").join(sets.select("node", "doc_id", "size", "sketch"), "node")
+    members = leaves.join(places, "node").join(sets.select("node", "key", "size", "sketch"), "node")
     members = members.withColumn("tiles", F.when(F.col("members") <= limit, 1).otherwise(F.ceil(F.col("members") / tile)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     members = members.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1L)"))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
     by = ["leaf", "i", "j"]
-    tiled = members.select(*by, "tile", "run", "node", "doc_id", "size", "keys", "sketch").repartition(*by).sortWithinPartitions(*by)
-    wanted = cut(tiled.mapInArrow(_candidates(threshold), "leaf long, i long, j long, node long, doc_id long, partners array<long>"))
-    ids = cut(wanted.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")))
-    texts = RepeatFilter(ids, "h", least=1).mark(docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id")), "h", "maybe").where("maybe")
-    chosen = texts.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, tokens binary")
-    held = wanted.drop("doc_id").join(chosen, "node").repartition(*by).sortWithinPartitions(*by)
+    tiled = members.select(*by, "tile", "run", "node", "key", "size", "keys", "sketch").repartition(*by).sortWithinPartitions(*by)
+    wanted = cut(tiled.mapInArrow(_candidates(threshold), "leaf long, i long, j long, node long, key long, partners array<long>"))
+    ids = cut(wanted.select("key").distinct())
+    texts = RepeatFilter(ids, "key", least=1).mark(_keyed(docs), "key", "maybe").where("maybe")
+    chosen = texts.join(ids.hint("shuffle_hash"), "key", "left_semi").select("text").mapInArrow(_sets, "node long, tokens binary")
+    held = wanted.drop("key").join(chosen, "node").repartition(*by).sortWithinPartitions(*by)
     linked = cut(held.select(*by, "node", "partners", "tokens").mapInArrow(_verify(threshold), "node long, links long, root long"))
     labels = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    found = cut(sets.select("node", "doc_id", "n_equal").join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    names = cut(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("sets")))
-    found = cut(join_groups(found, names, "label", "sets").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal"))
-    alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_equal"))
-    rows = signed.where("node is not null").select("doc_id", "node")
-    return join_groups(rows, found, "node", "n_equal").drop("node").unionByName(alone)
+    found = cut(sets.select("node", "doc_id", "key", "n_equal").join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    names = cut(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), key.alias("class_key"), F.count("*").alias("sets")))
+    found = cut(join_groups(found, names, "label", "sets").select("node", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal"))
+    rows = signed.where("node is not null").select("doc_id", "key", "node")
+    return join_groups(rows, found, "node", "n_equal").drop("node"), signed.where("node is null").select("doc_id")
+
+
+def classes(docs: DataFrame, **more) -> DataFrame:
+    """A row per document: doc_id, class_id (least doc_id of its class), n_links (other sets it is linked with), n_equal (rows with its very set)."""
+    rows, alone = _classed(docs, **more)
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_equal"))
+    return rows.drop("key", "class_key").unionByName(alone)
 
 
 def dedup(docs: DataFrame, **more) -> DataFrame:
-    """The documents but those that are near or equal to one of smaller doc_id in their class. Rows that may go move, the others stay."""
-    gone = cut(classes(docs, **more).where("doc_id <> class_id").select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")))
+    """One document of each class, that of the least doc_id (null comes last), and those without words. Rows that may go move, the others stay."""
+    rows = cut(_classed(docs, **more)[0].select("doc_id", "key", "class_key"))
+    gone = cut(rows.where("key <> class_key").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct())
+    # rows alike in doc_id and text that stand for their class: one of them stays
+    twice = cut(rows.where("key = class_key").groupBy(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("h"))
-    rows = RepeatFilter(gone, "h", least=1).mark(rows, "h", "maybe")
-    again = rows.where("maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col("_id") == F.col("_gone"), "left_anti")
-    return rows.where(~F.col("maybe")).select("row").unionByName(again.select("row")).select("row.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("h"))
+    whole = RepeatFilter(gone.unionByName(twice), "_key", least=1).mark(whole, "h", "maybe")
+    same = (F.col("h") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_gone"))
+    again = whole.where("maybe").join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        again = again.join(twice, same, "left_anti").unionByName(again.join(twice, same, "left_semi").dropDuplicates(["h", "_id"]))
+    return whole.where(~F.col("maybe")).select("row").unionByName(again.select("row")).select("row.*")

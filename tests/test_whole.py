@@ -9,7 +9,7 @@ from conftest import SF
 
 from quire import queries as Q
 from quire import schema
-from quire.llm import queries, secrets
+from quire.llm import ngram_join, queries, secrets
 from quire.operators import passages as P
 
 
@@ -76,3 +76,20 @@ def test_secret_query_stores_its_ledger(spark, monkeypatch):
     n = queries.op7_secret_scan(spark, SF).count()
     d = pd.read_parquet(f"{SF}/documents.parquet")
     assert n == len(d) and made[0].rows().count() == d.text.fillna("").nunique() and {r.rule_version for r in made[0].rows().select("rule_version").distinct().collect()} == {secrets.VERSION}
+
+
+def near(k, change):
+    w = [f"{k}x{i}" for i in range(100)]
+    w[change] = "changed"
+    return " ".join(w)
+
+
+def test_near_copies_without_ids(spark):
+    rows = [(None, near("a", 0)), (None, near("a", 99)), (None, near("a", 99)), (5, near("b", 0)), (None, near("b", 99)), (6, near("c", 0)), (7, near("c", 99)), (7, "another text that shares a doc id with one that goes"), (None, ""), (None, None), (8, near("d", 0)), (8, near("d", 0))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_equal) for r in ngram_join.classes(frame).collect())
+    want = [("None", "None", 1, 1), ("None", "None", 1, 2), ("None", "None", 1, 2), ("5", "5", 1, 1), ("None", "5", 1, 1), ("6", "6", 1, 1), ("7", "6", 1, 1), ("7", "7", 0, 1), ("None", "None", 0, 1), ("None", "None", 0, 1), ("8", "8", 0, 2), ("8", "8", 0, 2)]
+    assert got == sorted(want)
+    kept = [(r.doc_id, r.text) for r in ngram_join.dedup(frame).collect()]
+    a = [t for i, t in kept if i is None and (t or "").startswith(("changed a", "a"))]
+    assert len(a) == 1 and sorted(map(str, kept)) == sorted(map(str, [(None, a[0]), *(rows[k] for k in (3, 5, 7, 8, 9, 10))]))
