@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def intervals(toc: DataFrame, levels: int = 8) -> DataFrame:
+def intervals(toc: DataFrame) -> DataFrame:
     """toc with until: the page of the next heading of its level or above; null if it holds to the end.
 
-    Headings are ranked by page and title; for each level one window finds the next heading as high, so the work is a sort a
-    book. Levels beyond levels count as the deepest; missing ones are 1.
+    Headings are ranked by page and title; for each level that occurs one window finds the next heading as high, so the work is a
+    sort a book. Missing levels and those below 1 are 1.
     """
-    level = F.least(F.greatest(F.coalesce(F.col("level").cast("int"), F.lit(1)), F.lit(1)), F.lit(levels))
+    level = F.greatest(F.coalesce(F.col("level").cast("int"), F.lit(1)), F.lit(1))
     rows = toc.where("page_id is not null").withColumn("level", level)
+    levels = sorted(r[0] for r in rows.select("level").distinct().collect())
     ahead = "over (partition by book_id order by page_id, title_id rows between 1 following and unbounded following)"
-    nexts = F.array(*(F.expr(f"first_value(if(level <= {n}, page_id, null), true) {ahead}") for n in range(1, levels + 1)))
-    return rows.withColumn("_next", nexts).withColumn("until", F.element_at("_next", F.col("level"))).drop("_next")
+    nexts = [F.expr(f"first_value(if(level <= {n}, page_id, null), true) {ahead}") for n in levels] or [F.lit(None).cast("int")]
+    at = F.array_position(F.array(*(F.lit(n) for n in levels or [1])), F.col("level")).cast("int")
+    return rows.withColumn("_next", F.array(*nexts)).withColumn("until", F.element_at("_next", at)).drop("_next")
 
 
 def trails(pages: DataFrame, toc: DataFrame, intervals_of: DataFrame | None = None) -> DataFrame:
@@ -31,11 +33,19 @@ def trails(pages: DataFrame, toc: DataFrame, intervals_of: DataFrame | None = No
     return last.groupBy("book_id", "page_id").agg(path.alias("toc_path"))
 
 
-def with_parents(toc: DataFrame, most: int = 8) -> DataFrame:
-    """level from parent links (parent: a title_id of the book, or null), by at most so many joins of the table with itself."""
+def with_parents(toc: DataFrame) -> DataFrame:
+    """level from parent links (parent: a title_id of the book, or null), by a join of the table with itself for each level there is.
+
+    Links that run in a circle are refused.
+    """
     out = toc.withColumns({"level": F.lit(1), "_up": F.col("parent")})
     links = toc.select(F.col("book_id").alias("_b"), F.col("title_id").alias("_t"), F.col("parent").alias("_p"))
-    for _ in range(most - 1):
+    most, depth = None, 1
+    while not out.where("_up is not null").isEmpty():
+        most = toc.count() if most is None else most
+        if depth > most:
+            raise ValueError("headings are their own parents")
         out = out.join(links, (F.col("book_id") == F.col("_b")) & (F.col("_up") == F.col("_t")), "left")
         out = out.withColumn("level", F.col("level") + F.when(F.col("_t").isNotNull(), 1).otherwise(0)).withColumn("_up", F.col("_p")).drop("_b", "_t", "_p")
+        out, depth = out.localCheckpoint(), depth + 1
     return out.drop("_up")

@@ -11,6 +11,7 @@ from quire import queries as Q
 from quire import schema
 from quire.llm import ngram_join, queries, secrets
 from quire.operators import passages as P
+from quire.operators import toc as H
 
 
 def library():
@@ -93,3 +94,16 @@ def test_near_copies_without_ids(spark):
     kept = [(r.doc_id, r.text) for r in ngram_join.dedup(frame).collect()]
     a = [t for i, t in kept if i is None and (t or "").startswith(("changed a", "a"))]
     assert len(a) == 1 and sorted(map(str, kept)) == sorted(map(str, [(None, a[0]), *(rows[k] for k in (3, 5, 7, 8, 9, 10))]))
+
+
+def test_deep_headings(spark):
+    toc = [("b", k, k, k, f"h{k}") for k in range(1, 13)] + [("b", 20, 20, 10, "later"), ("b", 30, 30, 9, "last")]
+    frame = spark.createDataFrame(toc, "book_id string, title_id int, page_id int, level int, title string")
+    assert {r.title_id: (r.level, r.until) for r in H.intervals(frame).collect()} == {k: (k, 20 if k > 9 else 30 if k == 9 else None) for k in range(1, 13)} | {20: (10, 30), 30: (9, None)}
+    pages = spark.createDataFrame([("b", p) for p in range(1, 35)], "book_id string, page_id int")
+    heads = [(at, level, title) for _, _, at, level, title in toc]
+    assert {r.page_id: list(r.toc_path) for r in H.trails(pages, frame).collect()} == {p: plain_trail(heads, p) for p in range(1, 35)}
+    links = spark.createDataFrame([("b", k, k, k - 1 or None) for k in range(1, 13)], "book_id string, title_id int, page_id int, parent int")
+    assert {r.title_id: r.level for r in H.with_parents(links).collect()} == {k: k for k in range(1, 13)}
+    with pytest.raises(ValueError, match="own parents"):
+        H.with_parents(spark.createDataFrame([("b", 1, 1, 2), ("b", 2, 2, 1)], "book_id string, title_id int, page_id int, parent int"))
