@@ -321,7 +321,7 @@ def byte_budget_prefix(spark, sf_dir):
 
 @query(f"with p as (select lang, source, doc_id, row_number() over (partition by lang, source order by doc_id) k from documents where source is not null and lang is not null) select lang, source, doc_id from p where k = 1")
 def first_occurrence(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and lang is not null").select("lang", "source", "doc_id")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "doc_id")
     return S.first_of(rows, ["lang", "source"], "doc_id")
 
 

@@ -6,6 +6,7 @@ The mapping is plain SQL that Spark and DuckDB share; placeholders in braces nam
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PAGES = """
 select source || '-' || lang as book_id, cast(row_number() over (partition by source, lang order by doc_id) as int) as page_id, doc_id as doc, coalesce(text, '') as body, source
@@ -48,6 +49,10 @@ def duck(text: str) -> str:
     return f"({_sql(text, 'documents')})"
 
 
+#: What a null source or lang is called; such documents have books of their own.
+UNKNOWN = "(none)"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table; if it lies in fewer splits than there are cores, it is small, and is spread over them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -55,13 +60,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit(UNKNOWN)) for c in ("source", "lang")})
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(PLACED), documents=documents(spark, sf_dir))
+    return spark.sql(_sql(PLACED), documents=_placed(spark, sf_dir))
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(BOOKS), documents=documents(spark, sf_dir))
+    return spark.sql(_sql(BOOKS), documents=_placed(spark, sf_dir))
 
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(TOC), documents=documents(spark, sf_dir))
+    return spark.sql(_sql(TOC), documents=_placed(spark, sf_dir))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pandas as pd
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from quire import queries as Q
 from quire import schema
@@ -107,3 +108,12 @@ def test_deep_headings(spark):
     assert {r.title_id: r.level for r in H.with_parents(links).collect()} == {k: k for k in range(1, 13)}
     with pytest.raises(ValueError, match="own parents"):
         H.with_parents(spark.createDataFrame([("b", 1, 1, 2), ("b", 2, 2, 1)], "book_id string, title_id int, page_id int, parent int"))
+
+
+def test_documents_without_source_or_lang(spark, tmp_path):
+    rows = [(k, f"the text {k}", lang, source, 10) for k, (source, lang) in enumerate([("src0", "en"), (None, "en"), ("src0", None), (None, None)] * 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {"src0-en", "(none)-en", "src0-(none)", "(none)-(none)"}
+    assert {r.book_id for r in Q.classify_books(spark, str(tmp_path)).collect()} == names == {r.book_id for r in Q.toc_intervals(spark, str(tmp_path)).collect()}
+    assert Q.doc_lengths(spark, str(tmp_path)).count() == 20 and {r.hits for r in Q.corpus.pages(spark, str(tmp_path)).groupBy("book_id").agg(F.count("*").alias("hits")).collect()} == {5}
+    assert {(r.lang, r.source, r.doc_id) for r in Q.first_occurrence(spark, str(tmp_path)).collect()} == {("en", "src0", 0), ("en", None, 1), (None, "src0", 2), (None, None, 3)}
