@@ -32,7 +32,7 @@ FIT_ROWS, PIVOTS, QUERY_BLOCK, BLOCK = 2048, 64, 2048, 512
 
 def scaled(vectors: DataFrame) -> DataFrame:
     """vec_id, v (integers as doubles), norm (squared length) of the rows that take part."""
-    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where("e is not null and vec_id is not null and forall(e, x -> x is not null and not isnan(x) and abs(x) < 1e14)")
+    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where("e is not null and vec_id is not null and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     rows = usable.select("vec_id", F.transform("e", lambda x: F.floor(x * 256).cast("double")).alias("v"))
     return rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
 

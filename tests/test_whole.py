@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire import queries as Q
 from quire import schema
-from quire.llm import ngram_join, queries, secrets
+from quire.llm import ngram_join, queries, secrets, topk
 from quire.operators import passages as P
 from quire.operators import toc as H
 
@@ -117,3 +117,10 @@ def test_documents_without_source_or_lang(spark, tmp_path):
     assert {r.book_id for r in Q.classify_books(spark, str(tmp_path)).collect()} == names == {r.book_id for r in Q.toc_intervals(spark, str(tmp_path)).collect()}
     assert Q.doc_lengths(spark, str(tmp_path)).count() == 20 and {r.hits for r in Q.corpus.pages(spark, str(tmp_path)).groupBy("book_id").agg(F.count("*").alias("hits")).collect()} == {5}
     assert {(r.lang, r.source, r.doc_id) for r in Q.first_occurrence(spark, str(tmp_path)).collect()} == {("en", "src0", 0), ("en", None, 1), (None, "src0", 2), (None, None, 3)}
+
+
+@pytest.mark.parametrize("x", [1e14, -1e300])
+def test_long_vectors_are_refused(spark, x):
+    frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [x, 0.0]), (2, [3.0, float("inf")])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too long"):
+        topk.search(frame, frame.where("vec_id = 0"))
