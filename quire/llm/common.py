@@ -1,7 +1,8 @@
-"""What several operators share: lineage cuts, a repeat filter, word sets."""
+"""What several operators share: lineage cuts, tables sized to their rows, bounded filters, joins that keep hot groups out of shuffles."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,14 @@ from pyspark.sql import functions as F
 
 #: White space in the sense of the contracts, for Java's and Python's regex alike.
 BLANK = r"[\x20\x09-\x0D]"
-#: Largest filter that is broadcast, in 64-bit words; beyond it the probe is a shuffled join.
-MAX_BROADCAST_WORDS = 1 << 20
+#: Bits of the largest filter, whatever the input: 8 MB. A fuller filter says "maybe" more often, and no result depends on it.
+MAX_FILTER_BITS = 1 << 26
+#: Words of 64 bits in a segment of a filter, which is one row of its broadcast.
+SEGMENT_WORDS = 64
+#: Hashes of a block in which repeats are looked for, at most on average, and the least number of blocks.
+BLOCK_HASHES, LEAST_BLOCKS = 1 << 18, 64
+#: First bits of a hash by which crowded ranges of hashes are told.
+FIRST_BITS = 10
 #: Largest side table (levels, cells, pivots ...) that is broadcast, in rows, after counting it.
 MAX_BROADCAST_ROWS = 20_000
 
@@ -29,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -48,6 +58,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition of a small table.
+PARTITION_ROWS = 50_000
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows, in as many partitions as they fill. One partition needs no exchange in what follows, so tables of a few
+    thousand rows don't cost a task for each shuffle partition in each step of an iteration; larger ones keep theirs.
+    """
+    return df.coalesce(max(1, math.ceil(rows / PARTITION_ROWS)))
+
+
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of df, written once, in as many partitions as they fill, and their number."""
+    held = cut(df)
+    rows = held.count()
+    return compact(held, rows), rows
+
+
 def small_side(side: DataFrame, rows: int | None = None) -> DataFrame:
     """side with a broadcast hint if its counted rows are within the bound; else as it is, for a shuffled join."""
     n = side.count() if rows is None else rows
@@ -58,49 +86,99 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: Groups above this share of all rows are joined by broadcast; there are fewer than one in so many.
+#: Groups above this share of all rows stay out of shuffles; there are fewer than one in so many.
 HOT_GROUPS = 1000
+#: Bytes of large groups' rows that are broadcast at most; wider ones are dealt over SALTS places instead.
+MAX_BROADCAST_BYTES, SALTS = 8 << 20, 256
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows with the columns of groups, inner. groups: a row per key, with the number of its rows in size.
 
     A group with more than 1/HOT_GROUPS of all rows doesn't gather in one task: there are fewer than HOT_GROUPS of those, so
-    they are broadcast, and only rows of the other groups shuffle.
+    they are broadcast, and only rows of the other groups shuffle. Where even so few are too wide for that, their rows are dealt over
+    SALTS places each.
+    """
+    total, most = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    if most <= max(total / HOT_GROUPS, 1):
+        return rows.join(groups, key)
+    hot = F.col(size) > total / HOT_GROUPS
+    large = compact(groups.where(hot), HOT_GROUPS)
+    wide = large.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] > MAX_BROADCAST_BYTES
+    keys = F.broadcast(large.select(key))
+    if wide:
+        salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.join(keys, key, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), [key, "_salt"]).drop("_salt")
+    else:
+        met = rows.join(F.broadcast(large), key)
+    return met.unionByName(rows.join(keys, key, "left_anti").join(groups.where(~hot), key))
+
+
+class KeyFilter:
+    """A Bloom filter of given 64-bit hashes: mark() never misses one, and says "maybe" of few others.
+
+    The filter has 16 bits a hash, up to MAX_FILTER_BITS, so its broadcast is bounded whatever the input; three bits of a hash lie in one
+    segment of SEGMENT_WORDS words, and a probe is one broadcast join on the segment. No row of the probed table ever moves. Null
+    hashes are never in it; an empty filter marks nothing.
     """
-    hot = F.col(size) > groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] / HOT_GROUPS
-    large = F.broadcast(groups.where(hot))
-    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(groups.where(~hot), key))
+
+    def __init__(self, hashes: DataFrame, column: str, rows: int | None = None):
+        rows = hashes.count() if rows is None else rows
+        segment = SEGMENT_WORDS * 64
+        self.segments = 1 << max(0, math.ceil(math.log2(max(1, min(MAX_FILTER_BITS, 16 * rows) / segment))))
+        bits = hashes.where(F.col(column).isNotNull()).select(self._segment(F.col(column)).alias("s"), F.explode(F.array(*self._bits(F.col(column)))).alias("p"))
+        words = bits.groupBy("s", F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+        words = compact(words, 3 * rows).groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+        self.words = cut(words.select("s", F.expr(f"transform(sequence(0L, {SEGMENT_WORDS - 1}L), w -> coalesce(try_element_at(m, w), 0L))").alias("words")))
+
+    def _segment(self, h: Column) -> Column:
+        return F.pmod(F.xxhash64(h, F.lit(1)), F.lit(self.segments).cast("long"))
+
+    @staticmethod
+    def _bits(h: Column) -> list[Column]:
+        x = F.xxhash64(h, F.lit(2))
+        return [F.pmod(F.shiftright(x, 20 * k), F.lit(SEGMENT_WORDS * 64).cast("long")) for k in range(3)]
+
+    def mark(self, df: DataFrame, column: str, flag: str) -> DataFrame:
+        """df with a boolean: whether the hash in column may be one of the filter's."""
+        side = self.words.select(F.col("s").alias("_s"), F.col("words").alias("_words"))
+        out = df.join(F.broadcast(side), self._segment(F.col(column)) == F.col("_s"), "left")
+        both = F.lit(True)
+        for p in self._bits(F.col(column)):
+            word = F.get("_words", F.shiftright(p, 6).cast("int"))
+            both &= F.coalesce(F.getbit(word, p.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+        return out.withColumn(flag, both).drop("_s", "_words")
 
 
 class RepeatFilter:
-    """A Bloom filter of the hashes that may occur more than once.
+    """A filter of the 64-bit hashes that may occur more than once; a row it doesn't mark has a hash of its own for certain.
 
-    Pass 1 counts, for each of two filter cells a 64-bit hash falls into, how many rows fall there (partial counts before the
-    shuffle) and sets a bit where it is two or more. Pass 2 probes: a row whose two bits aren't both set has a hash of its own
-    for certain. The filter has 16 bits a row, in 64-bit words; only words with a bit set are kept.
+    Pass 1 deals 32 bits of each hash to a block that the other bits name. They are gathered by task and block before the
+    exchange, so about four bytes a row move, and a block finds its repeats where it is. Hashes that many rows share would fill their
+    block's list; counts by the first bits tell where those are, and there rows are counted by hash instead, with partial counts before
+    the exchange. Pass 2 probes a KeyFilter of the repeats, of bounded size. Null hashes never repeat.
     """
 
-    def __init__(self, hashes: DataFrame, column: str, least: int = 2):
-        rows = max(1, hashes.count())
-        self.cells = 1 << max(10, (16 * rows - 1).bit_length())
-        one, two = self._cells(F.col(column))
-        cells = hashes.select(F.explode(F.array(one, two)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        self.words = cut(cells.groupBy(F.shiftright("cell", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")))
-        self.broadcast = self.words.count() <= MAX_BROADCAST_WORDS
-
-    def _cells(self, h: Column) -> tuple[Column, Column]:
-        m = F.lit(self.cells).cast("long")
-        return F.pmod(h, m), F.pmod(F.xxhash64(h, F.lit(1)), m)
+    def __init__(self, hashes: DataFrame, column: str):
+        known = hashes.where(F.col(column).isNotNull())
+        first = F.shiftright(column, 64 - FIRST_BITS)
+        counts = known.groupBy(first.alias("first")).agg(F.count("*").alias("n")).collect()  # 2^FIRST_BITS rows at most
+        rows = sum(r["n"] for r in counts)
+        hot = [r["first"] for r in counts if r["n"] > max(1000, 4 * rows >> FIRST_BITS)]  # a quarter of them at most
+        self.blocks = max(LEAST_BLOCKS, math.ceil(rows / BLOCK_HASHES))
+        dealt = known.where(~first.isin(hot)).select(*self._places(F.col(column)))
+        lists = dealt.groupBy("block").agg(F.collect_list("rest").alias("rests"))
+        again = lists.select("block", F.explode("rests").alias("rest")).groupBy("block", "rest").agg(F.count("*").alias("n")).where("n > 1")
+        if hot:
+            crowded = known.where(first.isin(hot)).select(*self._places(F.col(column))).groupBy("block", "rest").agg(F.count("*").alias("n")).where("n > 1")
+            again = again.unionByName(crowded)
+        again, self.repeats = sized(again.select(F.xxhash64("block", "rest").alias("place")))
+        self.filter = KeyFilter(again, "place", self.repeats)
+
+    def _places(self, h: Column) -> list[Column]:
+        return [F.pmod(h, F.lit(self.blocks).cast("long")).alias("block"), F.shiftright(h, 32).cast("int").alias("rest")]
 
     def mark(self, df: DataFrame, column: str, flag: str) -> DataFrame:
         """df with a boolean: whether the hash in column may repeat."""
-        one, two = self._cells(F.col(column))
-        out = df.withColumns({"_c1": one, "_c2": two})
-        for k in ("1", "2"):
-            side = self.words.select(F.col("w").alias(f"_w{k}"), F.col("bits").alias(f"_b{k}"))
-            out = out.join(F.broadcast(side) if self.broadcast else side, F.shiftright(f"_c{k}", 6) == F.col(f"_w{k}"), "left")
-        both = F.lit(True)
-        for k in ("1", "2"):
-            both &= F.expr(f"coalesce(getbit(_b{k}, cast(_c{k} & 63 as int)) = 1, false)")
-        return out.withColumn(flag, both).drop(*(f"_{x}{k}" for x in "cwb" for k in "12"))
+        place = F.when(F.col(column).isNotNull(), F.xxhash64(*self._places(F.col(column))))
+        return self.filter.mark(df.withColumn("_place", place), "_place", flag).drop("_place")

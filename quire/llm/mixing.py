@@ -7,23 +7,30 @@ each step is one aggregation over the cells (distinct combinations of levels, wi
 
 Rates become copies: floor(r), and one more for those documents whose hash is below a cutoff. Each cell has a cutoff for each of
 three bands of length, long documents first, and what one band misses by is carried to the next, so a cell ends within about half a short
-document of its target. A cutoff is placed by word sums over ranges of the hash, then exactly within the one range where the target
-is crossed; no document moves. Memory: a row per cell and range.
-
-Defined results: null text has size 0; a null source is a source of its own, last in order; sources without words have target
-0 and take 0; copies never exceed the cap; repeated rows share one hash, hence one fate; an empty table gives an empty result.
+document of its target. A cutoff is found by descent: word sums over at most 2^FAN_BITS ranges of the hash tell the range where the
+target is crossed, that range is split again until it holds a few times RANGE_ROWS documents, and these decide exactly. No document
+moves, and what a cell sends in a step is bounded, whatever its rows.
+
+Memory: a row per cell and range. Defined results: null text has size 0; a null source is a source of its own, last in order; sources
+without words have target 0 and take 0; copies never exceed the cap; rows alike in doc_id and text are told apart by a hash of
+their place in the table, so the cutoff can lie between them (docs has to be a table, or another plan that gives its rows in one order);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, small_side, text_of
+from quire.llm.common import MAX_BROADCAST_ROWS, PARTITION_ROWS, compact, cut, join_groups, sized, small_side, text_of
 
 CAP = 3.0
-#: Rows of a hash range, on average.
-RANGE_ROWS = 256
+#: Rows of the last hash range, on average, and the bits by which one descent splits a range at most.
+RANGE_ROWS, FAN_BITS = 256, 12
+#: Bits of the key that orders the documents of a cell, and how many of them tell rows alike apart.
+KEY_BITS, PLACE_BITS = 63, 23
 #: Least words of the bands of documents, the longest first, whose extra copies are chosen one band after the other.
 BANDS = (1024, 128, 0)
 
@@ -32,23 +39,36 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _ranked(per: DataFrame, rows: int) -> DataFrame:
+    """per with rank: the place (from 0) of each source by code point, null last. Sorted by ranges; only the sizes of the ranges meet."""
+    parts = max(1, math.ceil(rows / PARTITION_ROWS))
+    order = [F.col("source").isNull(), F.col("source")]
+    held = cut(per.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = held.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n")).collect()  # a row per partition
+    before, offsets = 0, []
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        offsets += [F.lit(r["_part"]), F.lit(before)]
+        before += r["n"]
+    first = F.element_at(F.create_map(*offsets), F.shiftright("_at", 33)) if offsets else F.lit(0)
+    return held.withColumn("rank", first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
 def source_targets(sizes: DataFrame, weights: int = 3, cap: float = CAP) -> DataFrame:
     """source, source_size, target. Sources by code point, null last, weigh 1..weights in turn and share all words; none is above
-    cap times its size, and the excess is reshared by weight. In order of cap*size/weight the capped sources are a prefix, so
-    the shares follow from running sums over one row per source.
+    cap times its size, and the excess is reshared by weight: the share of a weight rises until it would cap no more sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("w", F.expr(f"pmod(row_number() over (order by source is null, source) - 1, {weights}) + 1").cast("double")).withColumn("most", F.col("source_size") * F.lit(cap))
-    full = Window.partitionBy()
-    by = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({"all": F.sum("source_size").over(full), "all_w": F.sum("w").over(full), "before": F.coalesce(F.sum("most").over(by), F.lit(0.0)), "before_w": F.coalesce(F.sum("w").over(by), F.lit(0.0))})
-    # level per weight if exactly the sources before this one are capped; this one is capped too if it would exceed its most
-    per = per.withColumn("level", (F.col("all") - F.col("before")) / (F.col("all_w") - F.col("before_w")))
-    per = per.withColumn("capped", F.col("level") * F.col("w") > F.col("most"))
-    left = F.sum(F.when(F.col("capped"), F.col("most")).otherwise(0.0)).over(full)
-    left_w = F.sum(F.when(F.col("capped"), F.col("w")).otherwise(0.0)).over(full)
-    free = F.try_divide(F.col("all") - left, F.col("all_w") - left_w)
-    return per.withColumn("free", free).select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("free") * F.col("w")).alias("target"))
+    per, rows = sized(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    per = _ranked(per, rows).withColumn("w", (F.col("rank") % weights + 1).cast("double")).withColumn("most", F.col("source_size") * F.lit(cap))
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    share, capped = 0.0, F.col("most") < 0
+    while True:
+        held, free = per.agg(F.sum(F.when(capped, F.col("most")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("w")))).first()
+        now = (total - held) / free if free else share
+        if now <= share:
+            break
+        share = now
+        capped = F.col("most") < F.lit(share) * F.col("w")
+    return per.select("source", "source_size", F.when(capped, F.col("most")).otherwise(F.lit(share) * F.col("w")).alias("target"))
 
 
 def balance(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
@@ -56,7 +76,7 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP, s
 
     Newton steps on the dual, a column at a time, until every level is within tolerance of its target or stays at the cap.
     """
-    cells = cells.withColumn("theta", F.lit(0.0))
+    cells, rows = sized(cells.withColumn("theta", F.lit(0.0)))
     rate = F.least(F.exp(F.least(F.col("theta"), F.lit(50.0))), F.lit(cap))
     for _ in range(steps):
         worst = 0.0
@@ -68,7 +88,7 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP, s
             # a step is at most 2: exp is steep; a level that is all at the cap only moves down again
             step = F.when(F.col("_all") == 0, 0.0).when(F.col("_slope") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("_slope")))).when(gap < 0, F.lit(-0.5)).otherwise(0.0)
             now = now.select("_level2", step.alias("_step"), F.when(F.col("_all") > 0, F.abs(gap) / F.greatest(F.col("_target"), F.lit(1.0))).otherwise(0.0).alias("_off"))
-            cells = cut(cells.join(now, F.col(column).eqNullSafe(F.col("_level2"))).withColumn("theta", F.col("theta") + F.col("_step")).select(*cells.columns, "_off"))
+            cells = compact(cut(cells.join(now, F.col(column).eqNullSafe(F.col("_level2"))).withColumn("theta", F.col("theta") + F.col("_step")).select(*cells.columns, "_off")), rows)
             worst = max(worst, cells.agg(F.max("_off")).first()[0] or 0.0)
             cells = cells.drop("_off")
         if worst < tolerance:
@@ -76,64 +96,73 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP, s
     return cells.withColumn("rate", rate).drop("theta")
 
 
-def _same(levels: list[str]) -> Column:
-    on = F.lit(True)
-    for c in levels:
-        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return on
-
-
-def _renamed(levels: list[str]) -> list[Column]:
-    return [F.col(c).alias(f"_{c}") for c in levels]
-
-
-def _cutoffs(rows: DataFrame, needs: DataFrame, levels: list[str], cell_rows: int) -> DataFrame:
-    """For each cell of needs (level columns, need, bits) the hash (cut) below which the words of rows come nearest to need, and those
-    words (got). Word sums over ranges of the hash find the range where need is crossed; within it sums by hash decide.
-    """
-    side = small_side(needs.select(*_renamed(levels), "need", "bits"), cell_rows)
-    ranged = rows.join(side, _same(levels)).where("need > 0").withColumn("range", F.expr("if(bits = 0, 0L, shiftright(h, 63 - bits))"))
-    sums = ranged.groupBy(*levels, "need", "range").agg(F.sum("size").alias("s"))
-    before = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
-    edge = cut(sums.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("s") >= F.col("need"))).select(*_renamed(levels), F.col("range").alias("_range"), "before"))
-    inside = ranged.drop(*(f"_{c}" for c in levels)).join(small_side(edge, cell_rows), _same(levels) & (F.col("range") == F.col("_range")))
-    inside = inside.groupBy(*levels, "need", "before", "h").agg(F.sum("size").alias("s"))
-    upto = Window.partitionBy(*levels).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("s").over(upto))
-    with_it, without = F.abs(F.col("upto") - F.col("need")), F.abs(F.col("upto") - F.col("s") - F.col("need"))
+def _cell(levels: list[str]) -> Column:
+    """The levels of a row as one string; nulls are told from every value."""
+    return F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(c) for c in levels)))
+
+
+def _nearest(rows: DataFrame, cells: DataFrame, cell_rows: int) -> DataFrame:
+    """For each cell of cells (_cell, need) the key (cut) below which the words (got) of rows (_cell, size, h) come nearest to need."""
+    side = compact(cut(cells.where("need > 0").select("_cell", "need", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("double").alias("before"))), cell_rows)
+    used, step = 0, 0
+    before = Window.partitionBy("_cell").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    most = cells.agg(F.max("n")).first()[0] or 0
+    while most > 4 * RANGE_ROWS and used < KEY_BITS:
+        step = min(FAN_BITS, KEY_BITS - used, math.ceil(math.log2(most / RANGE_ROWS)))
+        here = rows.join(small_side(side, cell_rows), "_cell").where(F.shiftright("h", KEY_BITS - used) == F.col("prefix"))
+        here = here.withColumn("range", F.shiftright("h", KEY_BITS - used - step))
+        sums = compact(here.groupBy("_cell", "need", "before", "range").agg(F.sum("size").alias("s"), F.count("*").alias("n")), cell_rows << step)
+        sums = sums.withColumn("upto", F.col("before") + F.coalesce(F.sum("s").over(before), F.lit(0)))
+        crossed = sums.where((F.col("upto") < F.col("need")) & (F.col("upto") + F.col("s") >= F.col("need")))
+        side = compact(cut(crossed.select("_cell", "need", F.col("range").alias("prefix"), F.col("upto").alias("before"), "n")), cell_rows)
+        used, most = used + step, side.agg(F.max("n")).first()[0] or 0
+        side = side.drop("n")
+    inside = rows.join(small_side(side, cell_rows), "_cell").where(F.shiftright("h", KEY_BITS - used) == F.col("prefix"))
+    inside = compact(inside.groupBy("_cell", "need", "before", "h").agg(F.sum("size").alias("size")), 4 * cell_rows * RANGE_ROWS)
+    upto = Window.partitionBy("_cell").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(upto))
+    with_it, without = F.abs(F.col("upto") - F.col("need")), F.abs(F.col("upto") - F.col("size") - F.col("need"))
     taken = F.struct(with_it.alias("off"), (F.col("h") + 1).alias("cut"), F.col("upto").alias("got"))
-    left = F.struct(without.alias("off"), F.col("h").alias("cut"), (F.col("upto") - F.col("s")).alias("got"))
+    left = F.struct(without.alias("off"), F.col("h").alias("cut"), (F.col("upto") - F.col("size")).alias("got"))
     best = F.min(F.when(with_it <= without, taken).otherwise(left))
-    return cut(inside.groupBy(*_renamed(levels)).agg(best.alias("best")).select(*(f"_{c}" for c in levels), "best.cut", "best.got"))
+    return inside.groupBy("_cell").agg(best.alias("best")).select("_cell", "best.cut", "best.got")
+
+
+def _key(seed: int) -> Column:
+    """What orders the documents of a cell: a hash of doc_id and text, then one of the row's place, which tells rows alike apart."""
+    own = F.expr(f"xxhash64(doc_id, text, {seed})").bitwiseAND(F.lit((1 << KEY_BITS - PLACE_BITS) - 1))
+    place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return F.shiftleft(own, PLACE_BITS).bitwiseOR(place)
 
 
 def copies(docs: DataFrame, extra_targets: dict[str, DataFrame] | None = None, weights: int = 3, cap: float = CAP, seed: int = 7) -> DataFrame:
     """docs with _size, _copies and _mix (source_size, target, rate ...). extra_targets: further level columns, each with (column, target words)."""
     levels = ["source", *(extra_targets or {})]
-    hashed = F.expr(f"xxhash64(doc_id, text, {seed}) & 9223372036854775807")
-    rows = cut(docs.select(*levels, words(text_of()).alias("size"), hashed.alias("h")))
+    rows = cut(docs.select(*levels, words(text_of()).alias("size"), _key(seed).alias("h")).withColumns({"_cell": _cell(levels), "band": _band("size")}))
     target = cut(source_targets(rows, weights, cap))
-    cells = rows.groupBy(*levels).agg(F.sum("size").alias("size"), F.count("*").alias("n"), *(F.sum(F.when(_band("size") == k, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(len(BANDS))))
-    cells = balance(cut(cells), {"source": target, **(extra_targets or {})}, cap)
+    cells = rows.groupBy("_cell", *levels).agg(F.sum("size").alias("size"), F.count("*").alias("n"), *(F.sum(F.when(F.col("band") == k, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(len(BANDS))))
+    cells, cell_rows = sized(cells)
+    cells = balance(cells, {"source": target, **(extra_targets or {})}, cap)
     near = F.abs(F.col("rate") - F.round("rate")) < 1e-7
     cells = cells.withColumn("rate", F.when(near, F.round("rate")).otherwise(F.col("rate"))).withColumn("base", F.floor("rate").cast("long"))
-    cells = cells.withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / RANGE_ROWS)))).cast("int")).withColumn("carry", F.lit(0.0))
-    cells = cut(cells)
-    cell_rows = cells.count()
+    cells = compact(cut(cells.withColumn("carry", F.lit(0.0))), cell_rows)
     for k in range(len(BANDS)):
-        # what the longer documents missed by is made up for here, as far as it can be
+        # what the longer documents missed by is made up for here, as far as it can be;
         # rounded, so that the last bits of a sum never decide between two equally near cutoffs
         want = F.round((F.col("rate") - F.col("base")) * F.col(f"s{k}") + F.col("carry"), 6)
         cells = cells.withColumn("want", want).withColumn("need", F.greatest(F.lit(0.0), F.least(F.col("want"), F.col(f"s{k}").cast("double"))))
-        found = _cutoffs(rows.where((F.col("size") > 0) & (_band("size") == k)), cells, levels, cell_rows)
-        cells = cells.join(found, _same(levels), "left").drop(*(f"_{c}" for c in levels))
-        cells = cut(cells.withColumn(f"cut{k}", F.coalesce("cut", F.lit(0))).withColumn("carry", F.col("want") - F.coalesce("got", F.lit(0))).drop("cut", "got", "want", "need"))
+        found = _nearest(rows.where((F.col("size") > 0) & (F.col("band") == k)).select("_cell", "size", "h"), cells, cell_rows)
+        cells = cells.join(found, "_cell", "left")
+        cells = cells.withColumn(f"cut{k}", F.coalesce("cut", F.lit(0))).withColumn("carry", F.col("want") - F.coalesce("got", F.lit(0)))
+        cells = compact(cut(cells.drop("cut", "got", "want", "need")), cell_rows)
     rates = cells.join(target.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
     cuts = F.array(*(F.col(f"cut{k}") for k in range(len(BANDS))))
-    rates = small_side(cut(rates.select(F.struct(*levels).alias("_key"), F.struct("source_size", "target", "rate", "base", cuts.alias("cuts")).alias("_mix"))), cell_rows)
-    out = docs.withColumns({"_size": words(text_of()), "_h": hashed}).join(rates, _same_struct(levels), "left").drop("_key")
-    more = F.when(F.col("_h") < F.element_at("_mix.cuts", _band("_size") + 1), 1).otherwise(0)
+    rates = compact(cut(rates.select("_cell", "n", F.struct("source_size", "target", "rate", "base", cuts.alias("cuts")).alias("_mix"))), cell_rows)
+    out = docs.withColumns({"_size": words(text_of()), "_h": _key(seed), "_cell": _cell(levels)})
+    side = small_side(rates.drop("n"), cell_rows)
+    # many cells: the large ones stay out of the shuffle
+    out = (out.join(side, "_cell") if cell_rows <= MAX_BROADCAST_ROWS else join_groups(out, rates, "_cell", "n").drop("n")).drop("_cell")
+    more = F.when((F.col("_size") > 0) & (F.col("_h") < F.element_at("_mix.cuts", _band("_size") + 1)), 1).otherwise(0)
     return out.withColumn("_copies", F.col("_mix.base") + more)
 
 
@@ -145,13 +174,6 @@ def _band(size: str) -> Column:
     return out
 
 
-def _same_struct(levels: list[str]) -> Column:
-    on = F.lit(True)
-    for c in levels:
-        on &= F.col(c).eqNullSafe(F.col(f"_key.{c}"))
-    return on
-
-
 def report(docs: DataFrame, **more) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, rate, copies: a row per document."""
     out = copies(docs.select("doc_id", "text", "source"), **more)

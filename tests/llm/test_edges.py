@@ -4,9 +4,12 @@ import hashlib
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, queries, secrets, token_count, topk, url_filter
+from quire.llm import chat, common, exact_dedup, mixing, ngram_join, packing, quality, queries, secrets, token_count, topk, url_filter
+from quire.llm import components as components_module
+from quire.llm.common import RepeatFilter
 from quire.llm.components import components
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
@@ -51,7 +54,7 @@ def test_ngram_large_group(spark):
         w[(7 * k) % 120] = f"v{k}"
         texts.append((k, " ".join(w)))
     texts += [(1000 + k, " ".join(f"u{k}_{i}" for i in range(30)) + " the same five words here are common to all") for k in range(200)]
-    got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(texts, "doc_id long, text string"), limit=32, tile=24).collect()}
+    got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(texts, "doc_id long, text string"), limit=32).collect()}
     sh = ngram_join.Shingler()
     sets = {i: set(sh.shingles(t).tolist()) for i, t in texts}
     links = {i: 0 for i in sets}
@@ -64,10 +67,85 @@ def test_ngram_large_group(spark):
     assert {r.class_id for i, r in got.items() if i < 1000} == {0} and all(got[i].class_id == i for i in got if i >= 1000)
 
 
+def test_ngram_rows_without_id_and_shared_ids(spark):
+    """Near copies count whatever their doc_id; an unrelated text that shares one stays; of rows alike in doc_id and text one does."""
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:-1], "other"])
+    texts = [(None, " ".join(base)), (None, near), (5, " ".join([*base[:-2], "x", "y"])), (5, "a text of its own that nothing else is like"), (5, "a text of its own that nothing else is like"), (6, ""), (6, ""), (6, None)]
+    frame = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, key int")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in ngram_join.classes(frame).collect())
+    assert got == [(0, 5, 2), (0, 5, 2), (5, 5, 0), (5, 5, 0), (5, 5, 2), (6, 6, 0), (6, 6, 0), (6, 6, 0)]
+    kept = ngram_join.dedup(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:8]) for r in kept.collect()) == [(5, "a text o"), (5, "w0 w1 w2"), (6, ""), (6, ""), (6, "")]
+
+
+def test_ngram_deep_rounds(spark):
+    """Much boilerplate, few links: buckets stay above the limit through the first round. Recall of links against brute force."""
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for k in range(150):
+        own = [f"o{k}_{i}" for i in range(int(rng.integers(10, 60)))]
+        texts.append((2 * k, " ".join(common + own)))
+        own[int(rng.integers(len(own)))] = "changed"
+        texts.append((2 * k + 1, " ".join(common + own)))
+    sh = ngram_join.Shingler()
+    sets = {i: set(sh.shingles(t).tolist()) for i, t in texts}
+    links = sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in sets for j in sets if i < j)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for rounds in (((1, 2), (3, 6)), ((1,), (2,), (3,))):
+        got = ngram_join.classes(frame, limit=12, rounds=rounds).agg(F.sum("n_links")).first()[0]
+        assert 0.99 * links <= got / 2 <= links, rounds
+
+
+def test_repeat_filter(spark):
+    """No repeated hash is missed, few others are marked, and hashes go four bytes each, not rows, into the one exchange that grows."""
+    rows = spark.range(0, 60_000, 1, 6).select(F.xxhash64(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 7 == 0, F.col("id") % 500).otherwise(F.col("id"))).alias("h"), F.lit("a text").alias("text"))
+    marked = RepeatFilter(rows, "h").mark(rows, "h", "maybe")
+    true = rows.groupBy("h").agg(F.count("*").alias("n"))
+    told = {(r.rep, r.maybe): r.n for r in marked.join(true, "h").groupBy((F.col("n") > 1).alias("rep"), "maybe").agg(F.count("*").alias("n")).collect()}
+    assert (True, False) not in told and told.get((False, True), 0) < 0.01 * told[False, False]
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    none = rows.where("false")
+    assert RepeatFilter(none, "h").mark(rows.limit(5), "h", "maybe").where("maybe").count() == 0
+
+
+def test_full_filter(spark, monkeypatch):
+    """A filter that has reached its bound says "maybe" more often; results are the same, and nothing but possibly repeated rows moves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(r.doc_id for r in exact_dedup.dedup(docs).collect())
+    monkeypatch.setattr(common, "MAX_FILTER_BITS", 4096)
+    kept = exact_dedup.dedup(docs)
+    exchanges = [line for line in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "sha" in exchanges[0]
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_wide_hot_groups(spark, monkeypatch):
+    """Large groups whose rows are too wide to broadcast are dealt over salts."""
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 10)
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.lit("wide").alias("w"))
+    got = common.join_groups(rows, groups, "k", "n")
+    assert got.groupBy("k").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c <> n").count() == 0 and got.count() == 3000
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (140, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {k: 100 for k in range(101, 141)}
+    assert components(spark.createDataFrame([(None, 1), (2, 2)], "u long, v long")).count() == 0
+
+
+def test_components_of_many_partitions(spark, monkeypatch):
+    """The path that larger edge tables take."""
+    monkeypatch.setattr(common, "PARTITION_ROWS", 40)
+    monkeypatch.setattr(components_module, "PARTITION_ROWS", 40)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 240)] + [(140, 100), (300, 140)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in [*range(101, 240), 300]}
 
 
 def test_mix(rows, none):
@@ -80,6 +158,31 @@ def test_mix(rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_of_a_repeated_row(spark, monkeypatch):
+    """A source that is mostly one repeated row meets its target: the cutoff lies between rows alike. Small ranges force several descents."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    monkeypatch.setattr(mixing, "FAN_BITS", 3)
+    rows = [(1, "one two three four", "a")] * 600 + [(k, "five six", "a") for k in range(2, 50)] + [(k, " ".join(["w"] * (k % 40)), "b") for k in range(100, 200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    for s, target, taken in mixing.report(frame).groupBy("source").agg(F.first("target"), F.sum("taken")).collect():
+        assert abs(target - taken) <= 40, s
+
+
+def test_source_ranks_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PARTITION_ROWS", 7)
+    names = [f"s{k}" for k in range(50)] + ["\U0001f642", "\uffff", "Z", ""]
+    frame = spark.createDataFrame([(n, 10 + k) for k, n in enumerate(names)] + [(None, 5)], "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(frame).collect()}
+    size = dict(frame.collect())
+    order = [*sorted(names), None]
+    w = {s: k % 3 + 1 for k, s in enumerate(order)}
+    low, high = 0.0, float(sum(size.values()))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(3.0 * size[s], mid * w[s]) for s in order) < sum(size.values()) else (low, mid)
+    assert got == {s: pytest.approx(min(3.0 * size[s], low * w[s]), rel=1e-6) for s in order}
+
+
 def test_tokens(rows, none):
     path = queries.vocabulary("word_bpe_49k.json")
     got = {r.doc_id: (r.n_bytes, r.over_limit) for r in token_count.count(rows, path).collect()}
@@ -106,13 +209,17 @@ def test_quality(rows, none, spark):
     assert quality.report(none, labels).count() == 0
 
 
-def test_secrets(spark, none):
+def test_secrets(spark, none, tmp_path):
     text = "Token: 'abcdefgh' pass\u212aword=zzzzzzzzzz AKIA1234567890AB deadbeef" + "0" * 24 + " \U0001f642 PASSWD=short api_key=0123456789abcdef0123456789abcdef"
-    got = secrets.scan(spark.createDataFrame([(1, text), (2, text), (2, text), (None, text), (3, None)], "doc_id long, text string")).collect()
+    rows = spark.createDataFrame([(1, text, 1), (2, text, 1), (2, text, 1), (None, text, 1), (3, None, 1)], "doc_id long, text string, blob int")
+    got = secrets.scan(rows, secrets.Ledger(spark, str(tmp_path / "a"))).collect()
     spans = [s for r in got if r.doc_id == 1 for s in r.spans.split(",")]
     assert [s.split(":")[0] for s in spans] == ["assign", "access", "hex", "assign", "hex"]
     assert len(got) == 5 and {r.spans for r in got if r.doc_id != 3} == {",".join(spans)}
-    assert secrets.scan(none).count() == 0
+    assert secrets.scan(none, secrets.Ledger(spark, str(tmp_path / "b"))).count() == 0
+    long = ("x" * 50 + " ") * 40_000 + "token=abcdefgh1"
+    r = secrets.scan(spark.createDataFrame([(1, long)], "doc_id long, text string"), secrets.Ledger(spark, str(tmp_path / "c"))).first()
+    assert r.spans == f"assign:{len(long) - 15}:{len(long)}"
 
 
 def test_urls(spark):

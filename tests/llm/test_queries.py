@@ -123,16 +123,22 @@ def test_secrets(spark):
 
 
 def test_ledger(spark, tmp_path):
+    """Only pairs of blob and rule version that the ledger lacks are scanned; findings of replaced versions stay in the history."""
     a = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "none"), (3, "token = abcdefgh1"), (3, "token = abcdefgh1"), (4, None)], "doc_id long, text string")
     ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    todo = lambda docs, *v: sorted({r.text for r in secrets.unseen(docs, ledger, *v)[1].collect()})
+    assert todo(a) == ["", "none", "token = abcdefgh1"]
     first = secrets.scan(a, ledger).toPandas()
     assert sorted(zip(first.doc_id, first.n_assign)) == [(1, 1), (2, 0), (3, 1), (3, 1), (4, 0)]
-    assert ledger.rows().count() == 3
-    b = spark.createDataFrame([(9, "none"), (10, "secret: zzzzzzzzz")], "doc_id long, text string")
+    assert ledger.findings().count() == 3 and todo(a) == []
+    b = spark.createDataFrame([(1, "none"), (9, "none"), (10, "secret: zzzzzzzzz")], "doc_id long, text string")
+    assert todo(b) == ["secret: zzzzzzzzz"]
     second = secrets.scan(b, ledger).toPandas()
-    assert sorted(zip(second.doc_id, second.n_assign)) == [(9, 0), (10, 1)] and ledger.rows().count() == 4
-    secrets.scan(b, ledger, version="next").count()
-    assert ledger.rows().count() == 6
+    assert sorted(zip(second.doc_id, second.n_assign)) == [(1, 0), (9, 0), (10, 1)] and ledger.findings().count() == 4
+    assert sorted((r.doc_id, r.n_assign) for r in ledger.history().collect()) == [(1, 0), (1, 1), (2, 0), (3, 1), (4, 0), (9, 0), (10, 1)]
+    assert todo(b, "next") == ["none", "secret: zzzzzzzzz"]
+    secrets.scan(b, ledger, "next").count()
+    assert ledger.findings("next").count() == 2 and ledger.table("findings").count() == 6 and todo(b, "next") == []
 
 
 def test_rank_file_gives_the_same_ids():
