@@ -93,3 +93,8 @@ def read_back(formatted: Column) -> Column:
         return F.struct(unescape(F.regexp_extract(t, _HEAD, 1)).alias("role"), unescape(text).alias("text"))
 
     return F.transform(turns, turn)
+
+
+def under_mask(formatted: Column, loss_spans: Column) -> Column:
+    """The text under the loss mask, read from the output: what the spans cut out of it, unescaped, one after the other."""
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")

@@ -52,10 +52,35 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Folders of the checkpoints that cut() has written and release() hasn't removed.
+_cuts: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder once, with no lineage behind them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    file = held._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        _cuts.append(file.get())
+    return held
+
+
+def mark_cuts() -> int:
+    """A mark for release()."""
+    return len(_cuts)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, mark: int) -> None:
+    """Removes the checkpoints written since the mark; for a caller who has written down all that was built on them."""
+    for folder in _cuts[mark:]:
+        delete(spark, folder)
+    del _cuts[mark:]
 
 
 #: Rows of a partition of a small table.

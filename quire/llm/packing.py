@@ -3,15 +3,18 @@
 Context windows come in tiers (128, 256, 512, 1024 tokens). Each document's full longest windows are cut off first; what is left
 goes to the shortest tier that holds it. A tier is packed by opening a window with its own pieces and filling the gap with
 pieces of shorter tiers, the longest that fit first and, where none fits, by cutting one so that the window ends full.
-What a task has left at its end is cut into windows of powers of two. So no window is padded at all. Windows go to step groups
-that hold the same number of tokens each: one group at a time is open in each tier.
+What a task has left at its end is cut into windows of powers of two. So no window is padded at all.
 
 Packing needs no exchange: each task packs its own rows, keeps at most POOL pieces, and numbers its windows within its own
 range, so a lost task is repeated alone and the number of windows that end short of the longest tier grows with tasks.
 
-Ids are those of the tokenizers library for the tokenizer's file. Where the rank file of the same vocabulary is given, texts that
-consist of plain characters (ASCII, Latin letters, common marks) and hold no added token's string are encoded from the ranks, which
-gives the same ids several times faster; the tests hold both against each other over all these characters.
+Step groups hold STEP_WINDOWS windows' worth of tokens each, to the token: windows are powers of two, so those of one tier fill a group
+exactly. What is left open in the tiers when a task ends is put together, the longest windows first, so that one group of a task at most holds less.
+
+Ids are those of the tokenizers library for the tokenizer's file. With the byte-level pattern, a text can be cut before each single blank or
+line break that stands between two other characters, since no token reaches over such a place; the library encodes each piece once and
+the pieces met lately are remembered, in two generations of REMEMBER. Texts that hold an added token's string go to the library
+whole, and so does every text where the file's kind of tokenizer is another.
 
 Defined results: null text is empty, and such a document is its closing id alone; repeated rows are packed as often as they
 occur; very long documents span windows; other columns are ignored; an empty table gives an empty result.
@@ -19,13 +22,14 @@ occur; very long documents span windows; other columns are ignored; an empty tab
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
 import os
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -39,67 +43,155 @@ TIERS = (128, 256, 512, 1024)
 POOL = 4096
 #: Windows of the longest tier whose tokens make a step group.
 STEP_WINDOWS = 64
-#: Fixed value: the byte-level vocabulary's pattern.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2027\u20ac]")
+#: Pieces remembered, in each of two generations; a batch of texts may add its own beyond that.
+REMEMBER = 400_000
+#: White space by Unicode or by Python, and what may pass for it: more than the pattern's never makes a cut wrong.
+_BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+_ANY_BLANK = re.compile(f"[{_BLANKS}]")
+#: How a blank is written in the tokens of a byte-level vocabulary.
+_BLANK_BYTE = "\u0120"
+_SPACE, _LINE = (re.compile(f"{c}(?<![{_BLANKS}]{c})(?![{_BLANKS}])") for c in (" ", "\n"))
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes. ranks: the rank file of the same byte-level vocabulary, or None."""
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = None
-        if ranks:
-            import tiktoken
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        split = held["pre_tokenizer"] or {}
+        self.cuts = held["normalizer"] is None and held["model"].get("dropout") is None and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
+        #: Of each id, whether its token begins with a blank.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith(_BLANK_BYTE)]] = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+        #: Ids of pieces met lately, and of the generation before: of texts' and lines' first ones, and of those after a blank (without it).
+        self.first: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.old: tuple[dict, dict] = ({}, {})
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-            with open(ranks, "rb") as f:
-                merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    def _run(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a blank each, none of which holds a blank: encoded as one text, in which the tokens with a blank begin the pieces."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        at = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self, missing: set[str], spaced: bool) -> None:
+        known, old = (self.spaced, self.old[1]) if spaced else (self.first, self.old[0])
+        todo = []
+        for k in missing:
+            if (found := old.get(k)) is None:
+                todo.append(k)
+            else:
+                known[k] = found
+        runs = [k for k in todo if spaced and not _ANY_BLANK.search(k)]
+        rest = [k for k in todo if not spaced or _ANY_BLANK.search(k)]
+        for at in range(0, len(runs), 4096):
+            known.update(zip(runs[at : at + 4096], self._run(runs[at : at + 4096]), strict=True))
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            known.update(zip(part, self._whole([" " + k if spaced else k for k in part]), strict=True))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """By the rank file where a text has plain characters only and no added token's string; else by the tokenizers library."""
-        fast = [self.plain is not None and not _UNUSUAL.search(t) and not any(a in t for a in self.added) for t in texts]
-        rest = iter(self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, fast, strict=True) if not ok], add_special_tokens=False))
-        return [np.array(self.plain.encode_ordinary(t) if ok else next(rest).ids, "<u4").tobytes() for t, ok in zip(texts, fast, strict=True)]
+        cut = [self.cuts and not (self.added and self.added.search(t)) for t in texts]
+        whole = iter(self._whole([t for t, ok in zip(texts, cut, strict=True) if not ok]))
+        if len(self.first) + len(self.spaced) >= REMEMBER:
+            self.old, self.first, self.spaced = (self.first, self.spaced), {}, {}
+        first, spaced = self.first, self.spaced
+        pieces: list[list[tuple[str, list[str]]]] = []
+        new_first: set[str] = set()
+        new_spaced: set[str] = set()
+        for text, ok in zip(texts, cut, strict=True):
+            lines = []
+            for k, line in enumerate(_LINE.split(text) if ok else ()):
+                head, *tail = _SPACE.split(line)
+                head = "\n" + head if k else head
+                if head not in first:
+                    new_first.add(head)
+                new_spaced.update(filterfalse(spaced.__contains__, tail))
+                lines.append((head, tail))
+            pieces.append(lines)
+        self._learn(new_first, False)
+        self._learn(new_spaced, True)
+        out = []
+        for lines, ok in zip(pieces, cut, strict=True):
+            out.append(b"".join([first[h] + b"".join(map(spaced.__getitem__, tail)) for h, tail in lines]) if ok else next(whole))
+        # long pieces aren't worth their room
+        for known, new in ((first, new_first), (spaced, new_spaced)):
+            for k in new:
+                if len(k) > 64:
+                    del known[k]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
-def held_encoder(path: str, ranks: str | None) -> Encoder:
+def held_encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path, ranks)
+    return Encoder(path)
 
 
 class Packer:
-    """Packs pieces (doc_id, start, ids, doc_tokens) of one task. first: where its window and group numbers begin."""
+    """Packs pieces (doc_id, start, ids, doc_tokens) of one task. first: where its window and group numbers begin. A group of windows in
+    each tier waits until it is full, so a task holds that many besides its pools.
+    """
 
     def __init__(self, first: int, tiers: tuple[int, ...] = TIERS):
         self.tiers, self.next, self.group = tiers, first, first
         self.pools: dict[int, deque] = {t: deque() for t in tiers}
         self.held = 0
         self.out: list[tuple] = []
-        self.open: dict[int, list[int]] = {}
+        #: Windows of each tier that wait for their group to be full, and their tokens.
+        self.open: dict[int, tuple[list[list[tuple]], int]] = {t: ([], 0) for t in tiers}
 
     def _tier(self, n: int) -> int:
         return next(t for t in self.tiers if n <= t)
 
     def _emit(self, pieces: list[tuple], tier: int) -> None:
-        at = self.open.setdefault(tier, [-1, 0])
-        total = sum(len(p[2]) for p in pieces)
-        if at[0] < 0 or at[1] + total > STEP_WINDOWS * self.tiers[-1]:
-            at[:] = [self.group, 0]
-            self.group += 1
-        at[1] += total
-        offset = 0
-        for doc, start, ids, whole in pieces:
-            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), whole, self.next, offset, tier, at[0]))
-            offset += len(ids)
-        self.next += 1
+        windows, tokens = self.open[tier]
+        windows.append(pieces)
+        tokens += sum(len(p[2]) for p in pieces)
+        if tokens >= STEP_WINDOWS * self.tiers[-1]:
+            self._close([(w, tier) for w in windows])
+            windows, tokens = [], 0
+        self.open[tier] = (windows, tokens)
+
+    def _close(self, windows: list[tuple[list[tuple], int]]) -> None:
+        for pieces, tier in windows:
+            offset = 0
+            for doc, start, ids, whole in pieces:
+                self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), whole, self.next, offset, tier, self.group))
+                offset += len(ids)
+            self.next += 1
+        self.group += 1
+
+    def finish(self) -> None:
+        """Packs what is left and puts the open groups together, the longest windows first: powers of two fill a group to the token."""
+        self.pack(last=True)
+        left = [(w, t) for t, (windows, _) in self.open.items() for w in windows]
+        left.sort(key=lambda x: -sum(len(p[2]) for p in x[0]))
+        group: list = []
+        tokens, most = 0, STEP_WINDOWS * self.tiers[-1]
+        for w in left:
+            n = sum(len(p[2]) for p in w[0])
+            if tokens + n > most:
+                self._close(group)
+                group, tokens = [], 0
+            group.append(w)
+            tokens += n
+        if group:
+            self._close(group)
+        self.open = {t: ([], 0) for t in self.tiers}
 
     def add(self, doc: int | None, raw: bytes) -> None:
         ids = np.frombuffer(raw, "<u4")
@@ -173,15 +265,15 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _NAMES)
 
 
-def pack(docs: DataFrame, path: str, ranks: str | None = None, close_id: int = 0) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group. path, ranks: the
-    tokenizer's file and the rank file of its vocabulary, at the same place on every machine.
+def pack(docs: DataFrame, path: str, close_id: int = 0) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group. path: the tokenizer's
+    file, at the same place on every machine.
     """
     modest_batches(docs.sparkSession)
     closing = np.array([close_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = held_encoder(path, ranks), Packer(TaskContext.get().partitionId() << 40)
+        encoder, packer = held_encoder(path), Packer(TaskContext.get().partitionId() << 40)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -189,7 +281,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, close_id: int = 0
                     packer.add(doc, ids + closing)
             if packer.out:
                 yield packer.drain()
-        packer.pack(last=True)
+        packer.finish()
         if packer.out:
             yield packer.drain()
 

@@ -6,7 +6,8 @@ ends) and of each hashed word shape, as square roots; statistics of structure (c
 length of the text and of its column n_chars. Labels, lang, source and doc_id are never inputs.
 
 It is fitted on the driver on FIT_ROWS labelled rows at most, those with the least hashes of doc_id among rows whose crc32 isn't
-held out; the bound is this parameter, and scores cover all rows. Fitting is seeded and reruns agree.
+held out; the bound is this parameter, and scores cover all rows. A row is SLOTS pairs of numbers at most. Of labelled rows that share a
+doc_id the one with the greatest text is learned from. Fitting is seeded and reruns agree.
 
 Defined results: null text is empty and is scored on its statistics; null n_chars counts as 0; rows without a quality label
 aren't learned from; with no label at all every score is 0.5; repeated rows have equal scores; other columns are carried unread.
@@ -44,7 +45,7 @@ _CLASS[0xC0:] = 8
 def _shape(word: str) -> str:
     for run, to in _RUNS:
         word = run.sub(to, word)
-    return word[:12]
+    return word
 
 
 class Features:
@@ -56,7 +57,7 @@ class Features:
     def _word(self, w: str) -> int:
         slot = self.old.get(w)
         if slot is None:
-            slot = zlib.crc32(w.strip(_EDGE).lower().encode()) % WORD_SLOTS | zlib.crc32(b"shape" + _shape(w[:64]).encode()) % SHAPE_SLOTS << 20
+            slot = zlib.crc32(w.strip(_EDGE).lower().encode()) % WORD_SLOTS | zlib.crc32(b"shape" + _shape(w).encode()) % SHAPE_SLOTS << 20
         if len(w) <= 64:
             self.words[w] = slot
         return slot
@@ -157,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     modest_batches(docs.sparkSession)
     some = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars")).join(F.broadcast(some), "doc_id")  # fit_rows rows at most
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("text", "n_chars", "quality")).alias("x")).select("doc_id", "x.*")  # one of each id
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = held_features()
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
             found = [features.of(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "ids": [i.astype("i4").tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]})
 
-    got = sorted(rows.mapInPandas(run, "doc_id long, quality int, ids binary, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))[:fit_rows]
+    got = sorted(rows.mapInPandas(run, "doc_id long, quality int, ids binary, x binary").collect(), key=lambda r: r["doc_id"])  # fit_rows rows at most
     return Machine().fit([(np.frombuffer(r["ids"], "i4").astype("i8"), np.frombuffer(r["x"], "f4")) for r in got], np.array([float(r["quality"]) for r in got]))
 
 

@@ -79,7 +79,9 @@ class Counter:
         kinds = [x["type"] for x in (held["normalizer"] or {}).get("normalizers", [])]
         split = held["pre_tokenizer"]["pretokenizers"]
         model = held["model"]
-        if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in split] != ["Split", "ByteLevel"] or not split[0]["invert"] or split[1]["use_regex"] or model["continuing_subword_prefix"]:
+        flags = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")]
+        flags += [x[k] for x in held["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")] + [split[-1]["use_regex"], split[-1]["add_prefix_space"]]
+        if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in split] != ["Split", "ByteLevel"] or not split[0]["invert"] or any(flags):
             raise ValueError(f"{path}: another kind of tokenizer than this counter knows")
         self.pattern = regex.compile(split[0]["pattern"]["Regex"])
         suffix = model["end_of_word_suffix"] or ""
@@ -123,7 +125,7 @@ class Counter:
         return total
 
     def count(self, text: str) -> int:
-        if self.added is None or "<|" not in text:
+        if self.added is None or not self.added.search(text):
             return self._plain(text)
         parts = self.added.split(text)
         return len(parts) - 1 + sum(map(self._plain, parts))

@@ -7,7 +7,8 @@ import pytest
 from conftest import SMALL
 
 import corpus_pipeline
-from quire.llm import ngram_join
+from quire.llm import ngram_join, quality
+from quire.llm.common import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -54,12 +55,34 @@ def test_near(stages):
     assert sorted(stages["near_dedup"].doc_id) == sorted(i for i in sets if label[i] == i)
 
 
+def test_quality(stages, spark):
+    """The stage keeps what a machine fitted on the same rows scores at the threshold or above, text by text."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    m, features = quality.train(spark.read.parquet(f"{SMALL}/documents.parquet"), labels), quality.Features()
+    kept = [r.doc_id for r in stages["start"].itertuples() if m.scores([features.of(r.text or "", float(r.n_chars or 0))])[0] >= quality.THRESHOLD]
+    assert sorted(stages["quality"].doc_id) == sorted(kept) and len(kept) < len(stages["start"])
+
+
 def test_mix(stages):
-    size = {r.doc_id: len((r.text or "").split()) for r in stages["near_dedup"].itertuples()}
+    """Every source near its target: shares by weight, none above three times its words."""
+    near = stages["near_dedup"]
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in near.itertuples()}
     times = Counter(stages["mix"].doc_id)
     assert set(times) <= set(size) and max(times.values()) <= 3
-    total = sum(size.values())
-    assert abs(sum(size[i] * n for i, n in times.items()) - total) <= 0.2 * total
+    per, taken, longest = Counter(), Counter(), Counter()
+    for r in near.itertuples():
+        per[r.source] += size[r.doc_id]
+        taken[r.source] += size[r.doc_id] * times[r.doc_id] if size[r.doc_id] else 0
+        longest[r.source] = max(longest[r.source], size[r.doc_id])
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(per))}
+    low, high = 0.0, float(sum(per.values()))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(3.0 * per[s], mid * weight[s]) for s in per) < sum(per.values()) else (low, mid)
+    for s in per:
+        target = min(3.0 * per[s], low * weight[s])
+        # a source of a dozen documents can be off by half of one
+        assert abs(taken[s] - target) <= max(0.03 * target, longest[s] / 2 + 64), s
 
 
 def test_pack(stages):
@@ -68,4 +91,12 @@ def test_pack(stages):
 
 
 def test_run(spark, stages):
+    """The same rows; of the stages' tables only the last is left, and no checkpoint."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    folder = Path(urlparse(shared_dir(spark)).path)
+    known, before = set(folder.glob("rdd-*")), set(folder.glob("pipeline-*"))
     assert corpus_pipeline.run(spark, SMALL).count() == len(stages["pack"])
+    (own,) = set(folder.glob("pipeline-*")) - before
+    assert [p.name for p in own.iterdir() if p.is_dir()] == ["pack"] and set(folder.glob("rdd-*")) <= known

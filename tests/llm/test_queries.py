@@ -75,6 +75,7 @@ def test_token_counts_of_odd_texts():
 
     path = queries.vocabulary("word_bpe_49k.json")
     t, c = Tokenizer.from_file(path), token_count.Counter(path)
+    assert c.count("<|x|> <| a <|endoftext|") == len(t.encode("<|x|> <| a <|endoftext|").ids)
     for text in ["", " ", "Ünïcode ΑΣ ΟΔΟΣ İstanbul", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "x" * 3000, "don't we'll", "e\u0301\u0301 \x1c\x85\u200b中文🙂👍", "a\u3000b\u00a0c"]:
         assert c.count(text) == len(t.encode(text).ids), text
 
@@ -93,6 +94,30 @@ def test_quality_held_out(spark):
     assert np.allclose(again.score.sort_index(), got.score.sort_index())
 
 
+def test_quality_scores_by_explicit_pairs(spark):
+    """The query's scores over its table against a sum over all pairs of a text's features."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 40 = 0 or n_chars < 60")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    m, features = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), labels), quality.Features()
+    got = {r.doc_id: r.score for r in queries.op6_quality_classifier(spark, SF).collect()}
+    some = sorted(rows.collect(), key=lambda r: len(r.text or ""))
+    for r in some[:40]:
+        ids, x = features.of(r.text or "", float(r.n_chars or 0))
+        brute = float(m.w0) + sum(float(m.w[i]) * float(v) for i, v in zip(ids, x, strict=True))
+        for a in range(len(ids)):
+            for b in range(a):
+                brute += float(m.v[ids[a]] @ m.v[ids[b]]) * float(x[a]) * float(x[b])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-brute)), abs=2e-4)
+
+
+def test_quality_learns_from_one_row_an_id(spark):
+    """Rows that share a labelled id don't add to what is learned, so the fitted rows stay within their bound."""
+    docs_ = spark.createDataFrame([(1, "good text here", 14)] * 500 + [(2, "bad", 3), (4, "fine words", 10)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    one, many = quality.train(docs_.dropDuplicates(), labels), quality.train(docs_, labels)
+    assert one.w0 == many.w0 and np.array_equal(one.w, many.w)
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     m = quality.Machine(20, 3)
@@ -141,20 +166,34 @@ def test_ledger(spark, tmp_path):
     assert ledger.findings("next").count() == 2 and ledger.table("findings").count() == 6 and todo(b, "next") == []
 
 
-def test_rank_file_gives_the_same_ids():
-    """Over every plain character in several settings, and over random mixtures; unusual texts go to the library."""
+def test_pieces_give_the_same_ids(monkeypatch):
+    """Texts cut into remembered pieces against the library's ids: characters of many kinds in several settings, random mixtures, real texts."""
     import random
 
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "REMEMBER", 2000)
     path = queries.vocabulary("byte_bpe_50k.json")
-    e, t = packing.Encoder(path, queries.vocabulary("byte_bpe_50k.tiktoken")), Tokenizer.from_file(path)
+    e, t = packing.Encoder(path), Tokenizer.from_file(path)
+    assert e.cuts
     rng = random.Random(1)
-    chars = [c for c in map(chr, range(0x2100)) if not packing._UNUSUAL.search(c)]
-    texts = [a + c + b for c in chars for a in ("", "a", " ", "1", "\n", "'") for b in ("", "a", " ", "s", "!", "9")]
-    texts += ["".join(rng.choice(chars) for _ in range(40)) for _ in range(3000)] + ["".join(rng.choice(" \n\xa0\tab's.") for _ in range(30)) for _ in range(3000)]
-    texts += ["", "a<|endoftext|>b", "\u4e2d\u6587 \U0001f642 \u0301 \x1c\x85", "x" * 20_000, " " * 5000]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_many(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    chars = [*map(chr, range(0x500)), *map(chr, range(0x1680, 0x1690)), *map(chr, range(0x2000, 0x2070)), "\u3000", "\ufeff", "\u4e2d", "\U0001f642"]
+    texts = [a + c + b for c in chars for a in ("", "a ", " ", "1", "\n", "x\n") for b in ("", " a", " ", "'s", "\n!", "9")]
+    texts += ["".join(rng.choice(" \n\xa0\tab's.\u200b\x1c") for _ in range(30)) for _ in range(5000)] + [t for t in docs().text if t]
+    texts += ["", "a<|endoftext|>b", "\u4e2d\u6587 \U0001f642 \u0301 \x1c\x85", "x" * 20_000, " " * 5000, "\n" * 3000, "a b " * 9000]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_many(part)] == [x.ids for x in t.encode_batch(part, add_special_tokens=False)]
+
+
+def test_step_groups_are_balanced(spark):
+    """Every step group holds the same number of tokens, but for one of a task at most, whatever its tier."""
+    rng = np.random.default_rng(3)
+    texts = [(i, "word " * int(n)) for i, n in enumerate(rng.integers(0, 2500, 900))]
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), queries.vocabulary("byte_bpe_50k.json")).toPandas()
+    sizes = got.groupby("step_group").length.sum()
+    assert (sizes == packing.STEP_WINDOWS * 1024).sum() >= len(sizes) - 2 and sizes.max() == packing.STEP_WINDOWS * 1024
+    assert got.groupby("sequence_id").step_group.nunique().max() == 1
 
 
 def check_packing(rows, texts):
