@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, mixing, ngram_join, packing, quality
-from quire.llm.common import read, shared_dir
+from quire.llm.common import delete, mark_cuts, read, release, shared_dir
 from quire.llm.queries import vocabulary
 
 
@@ -33,7 +33,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mix", mix_stage), ("pack", pack_stage)]
@@ -42,10 +42,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again by the next."""
+    """All stages over documents, each written as Parquet to the shared folder and read again by the next. What a stage has read and its
+    checkpoints are removed once its own rows are written.
+    """
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = mark_cuts()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        release(spark, mark)
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return docs
