@@ -6,17 +6,18 @@ far, so two sets stay together as long as they sample shared shingles. A bucket
 brute-forced where the walk meets it; a larger one is split again by the next sampled shingle. Runs repeat until a pair at the
 threshold has shared its path to the end with the target probability: 1 - (1 - t^depth)^runs.
 
-Rounds go deeper: sets that are in a large bucket even at the end of the first round's paths (many texts with much boilerplate in common)
-walk again, on fresh samples, along the longer paths and more runs of the next round. What is large at the end of the last round has more sets in
-common than texts below the threshold are likely to; it is brute-forced in tiles of LIMIT sets against each other, so none is dropped.
-Each round misses a pair at the threshold with probability 1 - RECALL at most; pairs above it are missed less often.
+A bucket that is large at the end of its path is brute-forced in tiles of LIMIT sets against each other, up to TILES of them. Sets in
+still larger ones (many texts with much boilerplate in common) walk again in another round, on fresh samples, along longer paths
+and in more runs. What is large at the end of the last round shares more shingles than texts below the threshold are
+likely to; it is brute-forced in tiles whatever its size, so none is dropped. Each round misses a pair at the threshold with probability
+1 - RECALL at most; pairs above it are missed less often.
 
 Within a bucket a pair is looked at only in the first run whose bucket it shares, if sizes allow the threshold and a sketch of 64
 bins doesn't put it far below (more than five standard deviations); then only do whole sets move, once for each bucket in which
 they have a candidate, and the exact similarity decides where the sets are. Sets that are equal are one node from the start. What is emitted is a
 row per set and bucket (a count of links and the least set it is linked with), never pairs; classes are the connected components.
 
-Buckets above the limit are known to every task. There are at most HOT_BUCKETS of them, as the limit is a HOT_BUCKETS-th of all
+Buckets above the limit are known to every task. There are at most HOT_BUCKETS of them at a level, as the limit is a HOT_BUCKETS-th of all
 rows where that is more than LIMIT; they are a broadcast of bounded size.
 
 Memory: an Arrow batch of texts; the sketches, then the sets, of a bucket or of two tiles; compared in strips of STRIP sets.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import KeyFilter, compact, cut, join_groups, modest_batches, sized, small_side
 from quire.llm.components import components
 
-WORDS, THRESHOLD, LIMIT, RECALL, BINS, STRIP = 5, 0.8, 1024, 0.999, 64, 256
+WORDS, THRESHOLD, LIMIT, TILES, RECALL, BINS, STRIP = 5, 0.8, 256, 4, 0.999, 64, 256
 #: Lengths at which the paths of each round are looked at; the last is their end.
 ROUNDS = ((1, 2, 3), (4, 8))
 #: Most buckets above the limit, by counting.
@@ -178,13 +179,15 @@ def _members(runs: int, depth: int, first: int, level: int, above: np.ndarray |
     return run
 
 
-def _hot(sets: DataFrame, runs: int, levels: tuple[int, ...], first: int, limit: int) -> list[np.ndarray]:
-    """For each level the buckets of more than limit sets within such buckets of the level before: HOT_BUCKETS at most, by counting."""
-    out: list[np.ndarray] = []
+def _hot(sets: DataFrame, runs: int, levels: tuple[int, ...], first: int, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level the buckets, and their sizes, of more than limit sets within such buckets of the level before: HOT_BUCKETS at most, by counting."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for k, level in enumerate(levels):
-        found = sets.select("walks").mapInArrow(_members(runs, levels[-1], first, level, out[-1] if out else None, levels[k - 1]), "bucket long")
-        large = found.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("bucket").collect()
-        out.append(np.sort(np.array([r[0] for r in large], "i8").astype("u8")))
+        found = sets.select("walks").mapInArrow(_members(runs, levels[-1], first, level, out[-1][0] if out else None, levels[k - 1]), "bucket long")
+        large = found.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
+        ids, sizes = np.array([r[0] for r in large], "i8").astype("u8"), np.array([r[1] for r in large], "i8")
+        order = np.argsort(ids)
+        out.append((ids[order], sizes[order]))
         if not large:
             break
     return out
@@ -195,7 +198,7 @@ def _record(leaves: int) -> np.dtype:
 
 
 def _leaves(walks: np.ndarray, levels: tuple[int, ...], first: int, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket that each set (row) ends in in each run (column), and whether that is a hot one."""
+    """The bucket that each set (row) ends in in each run (column), and whether that is a hot one. hot: buckets by level."""
     run_ids = np.arange(first, first + walks.shape[1], dtype="u8")
     leaf = _bucket(walks, levels[0], run_ids)
     large = np.isin(leaf, hot[0])
@@ -212,8 +215,9 @@ def _short(leaf: np.ndarray) -> np.ndarray:
     return (leaf >> np.uint64(32)).astype("u4") | np.uint32(1)
 
 
-def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray], tiles: dict[int, int] | None, column: str):
-    """Rows (leaf, tiles, raw) for each set and run. tiles: of each bucket that is still hot, or None: such rows go to the next round."""
+def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray], tiles: dict[int, int], column: str):
+    """Rows (leaf, at, raw) for each set and run. tiles: their number for large buckets; other large ones are left to the next round."""
+    known = np.sort(np.array(list(tiles), "u8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +225,8 @@ def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray
                 part = b.slice(at, 2000)
                 walks = _walks(part.column("walks"), runs, levels[-1])
                 leaf, large = _leaves(walks, levels, first, hot)
-                own = np.where(large, np.uint32(0), _short(leaf)) if tiles is None else _short(leaf)
+                tiled = large & np.isin(leaf, known)
+                own = np.where(large & ~tiled, np.uint32(0), _short(leaf))
                 old = [np.frombuffer(x, "<u4") for x in part.column(column).to_pylist()] if column in part.schema.names else []
                 rows = np.zeros(walks.shape[:2], _record(runs + (len(old[0]) if old else 0)))
                 node = part.column("node").to_numpy()
@@ -230,10 +235,10 @@ def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray
                 rows["leaves"] = (np.concatenate([np.stack(old), own], axis=1) if old else own)[:, None, :]
                 rows["sketch"] = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "u1").reshape(-1, 1, BINS)
                 yield _dealt(leaf[~large], np.zeros(int((~large).sum()), "i8"), rows[~large])
-                if tiles is not None and large.any():
-                    # a set of a hot bucket goes to every pair of tiles with its own
-                    n = np.array([tiles[x] for x in leaf[large].tolist()])
-                    whose, run_of = np.nonzero(large)
+                if tiled.any():
+                    # a set of such a bucket goes to every pair of tiles with its own
+                    n = np.array([tiles[x] for x in leaf[tiled].tolist()])
+                    whose, run_of = np.nonzero(tiled)
                     own_tile = (_mix(node.astype("u8"))[whose] % n.astype("u8")).astype("i8")
                     for lo in range(0, len(n), 2000):
                         few = slice(lo, lo + 2000)
@@ -242,7 +247,7 @@ def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray
                         mine = np.repeat(own_tile[few], times)
                         copies = np.repeat(rows[whose[few], run_of[few]], times)
                         copies["tile"] = mine
-                        yield _dealt(np.repeat(leaf[large][few], times), (np.minimum(other, mine) << 32) + np.maximum(other, mine) + 1, copies)
+                        yield _dealt(np.repeat(leaf[tiled][few], times), (np.minimum(other, mine) << 32) + np.maximum(other, mine) + 1, copies)
 
     return run
 
@@ -414,35 +419,36 @@ def _rounds(docs: DataFrame, sets: DataFrame, rows: int, threshold: float, round
     for k, levels in enumerate(rounds):
         runs = runs_for(threshold, levels[-1], recall)
         most = max(limit, -(-rows * runs // HOT_BUCKETS))
-        hot = _hot(sets, runs, levels, first, most)
-        left = hot[-1] if len(hot) == len(levels) else np.zeros(0, "u8")
-        tiles = None
-        if len(left) and k + 1 == len(rounds):
-            counted = sets.select("walks").mapInArrow(_members(runs, levels[-1], first, levels[-1], hot[-2] if len(hot) > 1 else None, levels[-2] if len(levels) > 1 else 1), "bucket long")
-            tiles = {int(np.array(r[0], "i8").astype("u8")): -(-r[1] // most) for r in counted.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
+        sized_hot = _hot(sets, runs, levels, first, most)
+        hot = [ids for ids, _ in sized_hot]
+        ends, sizes = sized_hot[-1] if len(sized_hot) == len(levels) else (np.zeros(0, "u8"), np.zeros(0, "i8"))
+        last = k + 1 == len(rounds)
+        deep = np.zeros(0, "u8") if last else ends[sizes > TILES * most]
+        tiles = {int(x): -(-int(n) // most) for x, n in zip(ends, sizes, strict=True) if last or n <= TILES * most}
         shape = "leaf long, at long, raw binary"
         dealt = sets.mapInArrow(_dealer(runs, levels, first, hot, tiles, "old"), shape)
         now = cut(_linked(docs, dealt, held + runs, threshold))
         found = now if found is None else found.unionByName(now)
-        if not len(left) or k + 1 == len(rounds):
+        if not len(deep):
             return found
         # sets of buckets that are large to the end walk again
-        deep, rows = sized(sets.mapInArrow(_left(runs, levels, first, hot), "node long, key long, size long, sketch binary, old binary"))
+        again, rows = sized(sets.mapInArrow(_left(runs, levels, first, hot, deep), "node long, key long, size long, sketch binary, old binary"))
         first, held = first + runs, held + runs
         longer = rounds[k + 1][-1]
-        again = _texts(docs, compact(deep.select("key"), rows), rows).mapInArrow(_signer(runs_for(threshold, longer, recall), longer, first), _SIGNED)
-        sets = cut(deep.join(again.groupBy("node").agg(F.first("walks").alias("walks")), "node"))
+        walks = _texts(docs, compact(again.select("key"), rows), rows).mapInArrow(_signer(runs_for(threshold, longer, recall), longer, first), _SIGNED)
+        sets = cut(again.join(walks.groupBy("node").agg(F.first("walks").alias("walks")), "node"))
     return found
 
 
-def _left(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray]):
-    """The sets that end in a hot bucket in some run, with the buckets in which they have been compared."""
+def _left(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray], deep: np.ndarray):
+    """The sets that end in one of the deep buckets in some run, with the buckets in which they have been compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             leaf, large = _leaves(_walks(b.column("walks"), runs, levels[-1]), levels, first, hot)
+            large &= np.isin(leaf, deep)
             own = np.where(large, np.uint32(0), _short(leaf))
             old = b.column("old").to_pylist() if "old" in b.schema.names else [b""] * b.num_rows
             take = pa.array(np.flatnonzero(large.any(axis=1)))
