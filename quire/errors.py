@@ -4,7 +4,7 @@ from __future__ import annotations
 
 CODES = (
     "LIBRARY_DIR_MISSING", "LIBRARY_DIR_UNREADABLE", "CATALOGUE_MISSING", "SCHEMA_UNRECOGNISED", "BOOK_NOT_FOUND", "BOOK_NOT_DOWNLOADED", "BOOK_UNREADABLE", "INDEX_MISSING", "INDEX_STALE",
-    "CURSOR_INVALID", "CURSOR_STALE", "UNSAFE_OUTPUT_PATH", "WRITE_INTO_LIBRARY", "ENGINE_UNAVAILABLE", "INVALID_QUERY", "OVERRIDES_INVALID", "CHECKPOINT_MISMATCH",
+    "CURSOR_INVALID", "CURSOR_STALE", "UNSAFE_OUTPUT_PATH", "WRITE_INTO_LIBRARY", "ENGINE_UNAVAILABLE", "INVALID_QUERY", "OVERRIDES_INVALID", "CHECKPOINT_MISMATCH", "EXPORT_INCOMPLETE",
 )
 
 

@@ -12,6 +12,7 @@ from quire.schema import EXCERPT_FETCH, EXCERPT_SEARCH, SCHOOLS, schools
 
 NUMBERING = "page numbers are those of the digital library and may differ from the printed edition"
 TRUST = "untrusted_source_text"
+UNREADABLE = "the index names this page; it can't be read in its book"
 
 
 def notes(query: ParsedQuery) -> dict:
@@ -64,30 +65,62 @@ def fetch(requests: DataFrame, pages: DataFrame, books: DataFrame, neighbours: i
     return rows.withColumn("status", status).drop("_ok")
 
 
+_BOOK = ["book_id", "title", "author", "school", "classification_source", "verification_status"]
+
+
+def _trail() -> Column:
+    return F.coalesce("toc_path", F.expr("cast(array() as array<string>)"))
+
+
 def passages(hits: DataFrame, pages: DataFrame, books: DataFrame, toc: DataFrame, query: ParsedQuery, radius: int = EXCERPT_SEARCH, nfc: bool = False) -> DataFrame:
     """Hits as passages: the book's and the page's columns, the heading trail, why it matched, and an excerpt. Hits of unknown
-    books are gone; a page that isn't there leaves null texts. hits is the small side of each join.
+    books are gone; a page that isn't there leaves null texts, and a reason that says so. hits is the small side of each join.
     """
     few = hits.select("book_id", "page_id", "doc", "score")
-    rows = few.join(books.select("book_id", "title", "author", "school", "classification_source", "verification_status"), "book_id")
+    rows = few.join(books.select(*_BOOK), "book_id")
     rows = rows.join(pages.drop("doc"), ["book_id", "page_id"], "left").join(trails(few, toc), ["book_id", "page_id"], "left")
     folded = T.fold(F.coalesce("body", F.lit("")), nfc)
     at = F.greatest(F.lit(0), T.first_match_offset(folded, list(query.terms), query.mode))
+    reason = F.when(F.col("body").isNull(), UNREADABLE).otherwise(T.match_reason(folded, query.raw, list(query.terms), query.mode))
     return rows.select(
-        "book_id", "title", "author", "school", "classification_source", "verification_status", "page_id", "doc", "part", "printed_page", F.coalesce("toc_path", F.expr("cast(array() as array<string>)")).alias("toc_path"),
-        "score", T.match_reason(folded, query.raw, list(query.terms), query.mode).alias("match_reason"), F.col("body").alias("text_original"), F.nullif(F.trim("footnote"), F.lit("")).alias("footnote"), T.excerpt(F.col("body"), at, radius).alias("excerpt"),
+        *_BOOK, "page_id", "doc", "part", "printed_page", _trail().alias("toc_path"), "score", reason.alias("match_reason"), F.col("body").alias("text_original"),
+        F.nullif(F.trim("footnote"), F.lit("")).alias("footnote"), T.excerpt(F.col("body"), at, radius).alias("excerpt"),
     )
 
 
-def fetched_passages(rows: DataFrame, books: DataFrame, toc: DataFrame) -> DataFrame:
-    """The found pages of fetch() as passages; score 0, the page's beginning as excerpt."""
+def unreadable(hits: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, title, pages: known books of which hits name pages that can't be read, and how many of those there are."""
+    held = pages.where("body is not null").select("book_id", "page_id")
+    gone = hits.select("book_id", "page_id").distinct().join(held, ["book_id", "page_id"], "left_anti")
+    return gone.groupBy("book_id").agg(F.count("*").alias("pages")).join(books.select("book_id", "title"), "book_id").select("book_id", "title", "pages")
+
+
+def failing(hits: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, title, error: known books of whose hits not one page can be read."""
+    gone = unreadable(hits, pages, books)
+    all_of = hits.select("book_id", "page_id").distinct().groupBy("book_id").agg(F.count("*").alias("_n"))
+    return gone.join(all_of, "book_id").where("pages = _n").select("book_id", "title", F.lit("none of the book's pages can be read").alias("error"))
+
+
+def fetched_passages(rows: DataFrame, books: DataFrame, toc: DataFrame, query: ParsedQuery | None = None, nfc: bool = False) -> DataFrame:
+    """The found pages of fetch() as passages, score 0. With a query a requested page tells why it matches it and its excerpt lies around the first
+    match; a neighbour, and any page without a query, shows its beginning.
+    """
     rows = rows.where("status = 'found'")
-    out = rows.join(books.select("book_id", "title", "author", "school", "classification_source", "verification_status"), "book_id").join(trails(rows, toc), ["book_id", "page_id"], "left")
-    reason = F.when(F.col("requested"), "requested page").otherwise("neighbour of a requested page")
-    return out.select(
-        "book_id", "title", "author", "school", "classification_source", "verification_status", "page_id", "part", "printed_page", F.coalesce("toc_path", F.expr("cast(array() as array<string>)")).alias("toc_path"),
-        F.lit(0.0).alias("score"), reason.alias("match_reason"), F.col("body").alias("text_original"), "footnote", T.excerpt(F.col("body"), F.lit(0), EXCERPT_FETCH).alias("excerpt"),
-    )
+    out = rows.join(books.select(*_BOOK), "book_id").join(trails(rows, toc), ["book_id", "page_id"], "left")
+    asked, at = F.lit("requested page"), F.lit(0)
+    if query is not None:
+        folded = T.fold(F.coalesce("body", F.lit("")), nfc)
+        asked = T.match_reason(folded, query.raw, list(query.terms), query.mode)
+        at = F.when(F.col("requested"), F.greatest(F.lit(0), T.first_match_offset(folded, list(query.terms), query.mode))).otherwise(0)
+    reason = F.when(F.col("requested"), asked).otherwise("neighbour of a requested page")
+    return out.select(*_BOOK, "page_id", "part", "printed_page", _trail().alias("toc_path"), F.lit(0.0).alias("score"), reason.alias("match_reason"), F.col("body").alias("text_original"), "footnote", T.excerpt(F.col("body"), at, EXCERPT_FETCH).alias("excerpt"))
+
+
+def after(pages: DataFrame, last: int | None, limit: int) -> DataFrame:
+    """A batch of pages in order of page_id: the limit (1 to 5000) that follow last; a short batch is the end."""
+    rows = pages if last is None else pages.where(F.col("page_id") > last)
+    return rows.orderBy("page_id").limit(max(1, min(5000, limit)))
 
 
 def groups(passages: DataFrame) -> DataFrame:
@@ -137,5 +170,5 @@ EXPORT_COLUMNS = ["book_id", "title", "author", "school", "classification_source
 
 def export_rows(passages: DataFrame, query: ParsedQuery, full_text: bool = True) -> DataFrame:
     """The rows of an export; with two of the notes in each, since a line is read far from its envelope."""
-    rows = passages.withColumns({"query": F.lit(query.raw), "match_mode": F.lit(query.mode), "numbering_note": F.lit(NUMBERING), "content_trust": F.lit(TRUST)})
+    rows = passages.withColumn("text_original", F.coalesce("text_original", F.lit(""))).withColumns({"query": F.lit(query.raw), "match_mode": F.lit(query.mode), "numbering_note": F.lit(NUMBERING), "content_trust": F.lit(TRUST)})
     return rows.select("doc", *(c for c in EXPORT_COLUMNS if full_text or c != "text_original"))

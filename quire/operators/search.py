@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.index import Index, Stats
 from quire.plans.query import ParsedQuery
+from quire.plans.store import cut
 
 K1, B = 1.2, 0.75
 
@@ -52,6 +53,27 @@ def hits(index: Index, query: ParsedQuery, scope: DataFrame | list[str] | None =
     return rows.select("doc", "book_id", "page_id", "score")
 
 
+def keyed(rows: DataFrame, key: str = "id") -> DataFrame:
+    """rows with book_id and page_id from a composite key: what stands before and after its first dash. A row whose key has no dash, or
+    nothing before it, is dropped; a page part that isn't a whole number is -1.
+    """
+    at = F.instr(key, "-")
+    page = F.substring(F.col(key), at + 1, F.length(key))
+    whole = F.when(page.rlike(r"^[+-]?[0-9]+$"), page.try_cast("int"))
+    return rows.where(at > 1).withColumns({"book_id": F.substring_index(key, "-", 1), "page_id": F.coalesce(whole, F.lit(-1))})
+
+
+def passage_key() -> Column:
+    """What names a passage: its book and page."""
+    return F.concat_ws("#", "book_id", F.col("page_id").cast("string"))
+
+
+def bounded(rows: DataFrame, most: int = 200_000) -> tuple[DataFrame, bool]:
+    """The most best hits, and whether those are all; for a caller who would rather have bounded work than whole counts."""
+    first = rows.orderBy(F.desc("score"), "doc").limit(most)
+    return first, rows.limit(most + 1).count() <= most
+
+
 def page(rows: DataFrame, limit: int, after: tuple[float, int] | None = None) -> DataFrame:
     """The limit rows of hits that follow after (score, doc), by score and then doc."""
     if after is not None:
@@ -65,15 +87,47 @@ def top_per(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.withColumn("rank", F.expr(f"row_number() over (partition by {key} order by score desc, doc)")).where(F.col("rank") <= limit)
 
 
+def _ordered(order: list[str]) -> list[Column]:
+    return [F.desc(c.removesuffix(" desc")) if c.endswith(" desc") else F.asc(c) for c in order]
+
+
 def within_budget(rows: DataFrame, order: list[str], budget: int, size: Column | None = None, by: str | None = None) -> DataFrame:
     """The prefix of rows whose running size (bytes of their JSON, unless size is given) stays within the budget; the first row of each
-    by is always there. Sizes are positive, so what stays is a prefix.
+    by is always there. order tells rows apart; its columns hold no nulls.
+
+    Without by the sizes of ranges of the order are summed first, and only the range in which the budget ends is looked at row by row; then
+    rows up to that place are what stays. No row but its order and size moves. With by each group is summed by itself.
     """
     size = F.octet_length(F.to_json(F.struct(*(F.col(c) for c in rows.columns)))) if size is None else size
-    part = f"partition by {by} " if by else ""
     rows = rows.withColumn("bytes", size.cast("long"))
-    rows = rows.withColumns({"_upto": F.expr(f"sum(bytes) over ({part}order by {', '.join(order)} rows unbounded preceding)"), "_n": F.expr(f"row_number() over ({part}order by {', '.join(order)})")})
-    return rows.where((F.col("_n") == 1) | (F.col("_upto") <= budget)).drop("_upto", "_n")
+    running = f"order by {', '.join(order)} rows unbounded preceding"
+    if by:
+        rows = rows.withColumns({"_upto": F.expr(f"sum(bytes) over (partition by {by} {running})"), "_n": F.expr(f"row_number() over (partition by {by} order by {', '.join(order)})")})
+        return rows.where((F.col("_n") == 1) | (F.col("_upto") <= budget)).drop("_upto", "_n")
+    names = [c.removesuffix(" desc") for c in order]
+    placed = cut(rows.select(*names, "bytes").repartitionByRange(*_ordered(order)).withColumn("_range", F.spark_partition_id()))
+    sums = sorted(placed.groupBy("_range").agg(F.sum("bytes").alias("s")).collect())  # a row per partition
+    before, ends = 0, None
+    for r in sums:
+        ends = r["_range"]
+        if before + r["s"] > budget:
+            break
+        before += r["s"]
+    else:
+        return rows
+    inside = placed.where(F.col("_range") == ends).withColumn("_upto", F.expr(f"sum(bytes) over ({running})"))
+    last = inside.where(F.col("_upto") <= budget - before).orderBy(*_ordered([c.removesuffix(" desc") if c.endswith(" desc") else f"{c} desc" for c in order])).first()
+    if last is None:  # the budget ends before this range, or within its first row
+        earlier = placed.where(F.col("_range") < ends)
+        flip = _ordered([c.removesuffix(" desc") if c.endswith(" desc") else f"{c} desc" for c in order])
+        last = earlier.orderBy(*flip).first() or placed.orderBy(*_ordered(order)).first()
+    stays, same = F.lit(False), F.lit(True)
+    for c in order:
+        name = c.removesuffix(" desc")
+        at = F.lit(last[name])
+        stays |= same & ((F.col(name) > at) if c.endswith(" desc") else (F.col(name) < at))
+        same &= F.col(name) == at
+    return rows.where(stays | same)
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

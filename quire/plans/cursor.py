@@ -27,9 +27,9 @@ def _unpack(raw: str) -> dict:
     return payload
 
 
-def fingerprint(generation: str, docs: int, scope: list[str]) -> str:
-    """Identity of an index and a scope: 24 hexadecimal digits."""
-    told = json.dumps({"engine": "quire", "normalizer": NORMALIZER, "docs": docs, "generation": generation, "scope": sorted(scope)})
+def fingerprint(generation: str, docs: int, scope: list) -> str:
+    """Identity of an index and a scope: 24 hexadecimal digits. scope: what tells the scope's books, however many, in a few values."""
+    told = json.dumps({"engine": "quire", "normalizer": NORMALIZER, "docs": docs, "generation": generation, "scope": scope})
     return hashlib.sha256(told.encode()).hexdigest()[:24]
 
 

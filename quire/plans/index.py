@@ -12,8 +12,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +43,37 @@ def tokens(pages: DataFrame, nfc: bool | None = None) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """term, doc, book_id, page_id, dl, tf, positions: a row per term and page."""
-    rows = tokens.select("doc", "book_id", "page_id", "dl", F.posexplode("terms").alias("position", "term"))
-    return rows.groupBy("term", "doc", "book_id", "page_id", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """term, doc, book_id, page_id, dl, tf, positions: a row per term and page. A page's terms are grouped where the page lies."""
+    fields = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
+    kinds = {"term": "string", **{c: fields[c] for c in ("doc", "book_id", "page_id", "dl")}, "tf": "int", "positions": "array<int>"}
+    rows = tokens.select("doc", "book_id", "page_id", "dl", "terms")
+    return rows.mapInArrow(_grouped, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        # as many pages at a time as have a million terms
+        at = 0
+        while at < b.num_rows:
+            ends = np.cumsum(pc.list_value_length(b.column("terms").slice(at)).to_numpy(zero_copy_only=False))
+            n = max(1, int(np.searchsorted(ends, 1_000_000, "right")))
+            part = b.slice(at, n)
+            at += n
+            lists = part.column("terms")
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            terms = lists.flatten().dictionary_encode()
+            codes = terms.indices.to_numpy(zero_copy_only=False).astype("i8")
+            if not len(codes):
+                continue
+            page = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            key = page * len(terms.dictionary) + codes
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            whose, tf = pa.array(page[order][first]), np.diff(np.append(first, len(codes)))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(codes)).astype("i4")), pa.array(place[order].astype("i4")))
+            cols = [terms.dictionary.take(pa.array(codes[order][first])), *(part.column(c).take(whose) for c in ("doc", "book_id", "page_id", "dl")), pa.array(tf.astype("i4")), places]
+            yield pa.RecordBatch.from_arrays(cols, ["term", "doc", "book_id", "page_id", "dl", "tf", "positions"])
 
 
 def term_stats(tokens: DataFrame) -> DataFrame:

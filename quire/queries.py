@@ -42,12 +42,12 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.documents(spark, sf_dir).where("text is not null")
+    return corpus.texts(spark, sf_dir)
 
 
-def _folded(df: DataFrame, text=None):
+def _folded(spark: SparkSession, sf_dir: str):
     """The folded text of documents; with NFC only where some text could change by it."""
-    return T.fold(F.col("text") if text is None else text, T.needs_nfc(df if text is None else df.select(text.alias("text")), "text"))
+    return T.fold(F.col("text"), corpus.needs_nfc(spark, sf_dir))
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.Index.over(corpus.pages(spark, sf_dir))
+    return corpus.index(spark, sf_dir)
 
 
 def _books(spark: SparkSession, sf_dir: str, rules=None, overrides=None) -> DataFrame:
@@ -78,7 +78,7 @@ DOCS = "(select doc_id, text from documents where text is not null)"
 @query(f"select doc_id, {O.fold('text')} as folded from {DOCS}")
 def fold_documents(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", _folded(d).alias("folded"))
+    return d.select("doc_id", _folded(spark, sf_dir).alias("folded"))
 
 
 _ARABISED = f"replace(replace(translate(lower(text), '{O.LATIN}', '{O.ARABIC}'), 'ت', 'ت\u064e\u0640'), '1', '\u0661')"
@@ -87,14 +87,14 @@ _ARABISED = f"replace(replace(translate(lower(text), '{O.LATIN}', '{O.ARABIC}'),
 @query(f"select doc_id, {O.fold(_ARABISED)} as folded, array_to_string({O.tokens(O.fold(_ARABISED))}, ' ') as tokens from {DOCS}")
 def fold_arabised(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    folded = _folded(d, F.expr(_ARABISED))
+    folded = T.fold(F.expr(_ARABISED))
     return d.select("doc_id", folded.alias("folded"), F.array_join(T.tokens(folded), " ").alias("tokens"))
 
 
 @query(f"select doc_id, cast(len(w) as bigint) n_tokens, cast(len(list_distinct(w)) as bigint) n_distinct from (select doc_id, {O.tokens(O.fold('text'))} w from {DOCS}) t")
 def tokenize_counts(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    w = T.tokens(_folded(d))
+    w = T.tokens(_folded(spark, sf_dir))
     return d.select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
@@ -132,7 +132,7 @@ _OFFSET = f"case when instr(f, '{PHRASE}') > 0 then instr(f, '{PHRASE}') - 1 els
 @query(f"select doc_id, cast({_OFFSET} as int) phrase_at, cast({_AT(ANY.split())} as int) any_at from {_FOLDED} t")
 def first_match_offset(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    f = _folded(d)
+    f = _folded(spark, sf_dir)
     return d.select("doc_id", T.first_match_offset(f, PHRASE.split(), "phrase").alias("phrase_at"), T.first_match_offset(f, ANY.split(), "any_terms").alias("any_at"))
 
 
@@ -143,19 +143,19 @@ def _plain_list(terms: list[str], some: str) -> str:
 @query(f"select doc_id, case when contains(f, '{PHRASE}') then 'phrase «{PHRASE}» occurs in order on the page' else 'the index matched the phrase; its order isn''t confirmed in the readable text' end reason from {_FOLDED} t")
 def match_reason_phrase(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", T.match_reason(_folded(d), PHRASE, PHRASE.split(), "phrase").alias("reason"))
+    return d.select("doc_id", T.match_reason(_folded(spark, sf_dir), PHRASE, PHRASE.split(), "phrase").alias("reason"))
 
 
 @query(f"select doc_id, 'all terms on the page (' || len(list_filter({O.LIST(ALL.split())}, lambda t: contains(f, t))) || '/3): ' || {_plain_list(ALL.split(), '')} reason from {_FOLDED} t")
 def match_reason_all(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", T.match_reason(_folded(d), ALL, ALL.split(), "all_terms").alias("reason"))
+    return d.select("doc_id", T.match_reason(_folded(spark, sf_dir), ALL, ALL.split(), "all_terms").alias("reason"))
 
 
 @query(f"select doc_id, case when {_plain_list(ANY.split(), 'not ')} = '' then 'every term found: ' || {_plain_list(ANY.split(), '')} else 'found: ' || {_plain_list(ANY.split(), '')} || ' - missing: ' || {_plain_list(ANY.split(), 'not ')} end reason from {_FOLDED} t")
 def match_reason_any(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", T.match_reason(_folded(d), ANY, ANY.split(), "any_terms").alias("reason"))
+    return d.select("doc_id", T.match_reason(_folded(spark, sf_dir), ANY, ANY.split(), "any_terms").alias("reason"))
 
 
 @query(
@@ -166,14 +166,21 @@ select doc_id, case when n <= 360 then text else case when l > 0 then '… ' els
 )
 def excerpt_window(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    at = F.greatest(F.lit(0), T.first_match_offset(_folded(d), PHRASE.split(), "any_terms"))
+    at = F.greatest(F.lit(0), T.first_match_offset(_folded(spark, sf_dir), PHRASE.split(), "any_terms"))
     return d.select("doc_id", T.excerpt(F.col("text"), at, schema.EXCERPT_SEARCH).alias("excerpt"))
 
 
-@query(f"select doc_id, f as folded, cast(length(f) as int) as mapped, true as rising from {_FOLDED} t")
+@query(
+    f"""with d as (select doc_id, nfc_normalize(text) t, {O.fold('text')} f from {DOCS}),
+c as (select doc_id, unnest(regexp_extract_all(t, '(?s).')) ch, unnest(range(length(t))) i from d),
+k as (select doc_id, i, regexp_matches(ch, '[{T.SPACES}]') sp from c where not regexp_matches(ch, '[{T.ZERO_WIDTH}{T.MARKS}{T.TATWEEL}]')),
+p as (select *, lag(sp) over (partition by doc_id order by i) gap, count(*) filter (where not sp) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) seen from k),
+m as (select doc_id, string_agg(case when gap and seen > 0 then i || ',' || i else cast(i as varchar) end, ',' order by i) o from p where not sp group by doc_id)
+select doc_id, f as folded, md5(coalesce(o, '')) as offsets from d left join m using (doc_id)"""
+)
 def fold_offset_map(spark, sf_dir):
     m = _docs(spark, sf_dir).select("doc_id", T.fold_map(F.col("text")).alias("m"))
-    return m.select("doc_id", "m.folded", F.size("m.source_at").alias("mapped"), (F.col("m.source_at") == F.array_sort("m.source_at")).alias("rising"))
+    return m.select("doc_id", "m.folded", F.md5(F.array_join(F.col("m.source_at").cast("array<string>"), ",")).alias("offsets"))
 
 
 # index
@@ -181,12 +188,12 @@ def fold_offset_map(spark, sf_dir):
 
 @query(f"with {O.TOK}, u as (select doc, unnest(terms) term from tok) select term, count(distinct doc) df, count(*) cf from u group by term")
 def term_stats(spark, sf_dir):
-    return I.term_stats(_index(spark, sf_dir).tokens)
+    return _index(spark, sf_dir).table("term_stats").select("term", "df", "cf")
 
 
 @query(f"with {O.TOK} select count(*) n_docs, cast(sum(dl) as bigint) sum_dl from tok")
 def corpus_stats(spark, sf_dir):
-    return I.corpus_stats(_index(spark, sf_dir).tokens)
+    return _index(spark, sf_dir).table("corpus_stats").drop("generation")
 
 
 @query(f"with {O.TOK} select doc, book_id, page_id, cast(dl as int) dl from tok")
@@ -196,13 +203,13 @@ def doc_lengths(spark, sf_dir):
 
 @query(f"with {O.TOK}, u as (select doc, unnest(terms) term, unnest(range(0, len(terms))) p from tok) select term, doc, cast(count(*) as int) tf, string_agg(p, ',' order by p) positions from u where term in ('the', 'der', 'de') group by term, doc")
 def postings_lookup(spark, sf_dir):
-    rows = I.postings(_index(spark, sf_dir).tokens).where(F.col("term").isin("the", "der", "de"))
+    rows = _index(spark, sf_dir).table("postings").where(F.col("term").isin("the", "der", "de"))
     return rows.select("term", "doc", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query(f"with {O.TOK}, u as (select term, count(distinct doc) df from (select doc, unnest(terms) term from tok) x group by term) select term, df from u order by df desc, term limit 50")
 def postings_topdf(spark, sf_dir):
-    return I.term_stats(_index(spark, sf_dir).tokens).select("term", "df").orderBy(F.desc("df"), "term").limit(50)
+    return _index(spark, sf_dir).table("term_stats").select("term", "df").orderBy(F.desc("df"), "term").limit(50)
 
 
 @query("select 'doc_id' as \"column\", count(*) as \"rows\", count(doc_id) present, max(octet_length(encode(cast(doc_id as varchar)))) longest, cast(sum(octet_length(encode(cast(doc_id as varchar)))) as bigint) bytes from documents"
@@ -229,7 +236,7 @@ def common_values(spark, sf_dir):
     return R.common_values(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source")
 
 
-@query("select doc_id, sha256(concat_ws(chr(31), coalesce('=' || cast(doc_id as varchar), '-'), coalesce('=' || lang, '-'), coalesce('=' || source, '-'), coalesce('=' || cast(n_chars as varchar), '-'))) checksum from documents")
+@query("select doc_id, sha256(concat_ws(chr(31), coalesce('=' || cast(doc_id as varchar), '-'), coalesce('=' || text, '-'), coalesce('=' || lang, '-'), coalesce('=' || source, '-'), coalesce('=' || cast(n_chars as varchar), '-'))) checksum from documents")
 def row_checksums(spark, sf_dir):
     return R.row_checksums(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
@@ -261,12 +268,12 @@ def search_phrase_repeated_term(spark, sf_dir):
     return S.matches(_index(spark, sf_dir), parse(TWICE, "phrase")).select("doc", F.col("pf").cast("long").alias("pf"))
 
 
-@query("select cast(0 as bigint) doc, '' book_id, 0 page_id where false")
+@query(f"with {O.hits(['the', 'qqqzzzabsent'], 'all_terms')} select doc, book_id, page_id from hits")
 def search_missing_term(spark, sf_dir):
     return _hits(spark, sf_dir, "the qqqzzzabsent", "all_terms").drop("score")
 
 
-@query("select cast(0 as bigint) doc, '' book_id, 0 page_id where false")
+@query(f"with {O.hits(ANY.split(), 'any_terms', 'false')} select doc, book_id, page_id from hits")
 def search_empty_scope(spark, sf_dir):
     return _hits(spark, sf_dir, ANY, "any_terms", []).drop("score")
 
@@ -536,7 +543,7 @@ _LABEL = "case school " + " ".join(f"when '{k}' then '{v}'" for k, v in schema.S
 _CITED = f"""{O.TRAILS}, {_CB}, t as (select p.book_id, p.page_id, string_agg(h.title, ' › ' order by h.level) trail from {O.PAGES} p join held h on h.book_id = p.book_id and h.page_id <= p.page_id and (h.until is null or p.page_id < h.until) group by all),
 c as (select p.book_id, p.page_id, author, coalesce(title, p.book_id) name_, part, printed_page, trail, school, verification_status, classification_source,
   'v.' || part || case when printed_page is null then '' else '/p.' || cast(cast(printed_page as int) as varchar) end locus
-  from {O.PAGES} p join cb using (book_id) left join t using (book_id, page_id) where p.page_id <= 12)"""
+  from {O.PAGES} p join cb using (book_id) left join t using (book_id, page_id))"""
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,6 +576,77 @@ def export_by_book(spark, sf_dir):
     return _books(spark, sf_dir).where("downloaded").join(hits, "book_id", "left").select("book_id", "school", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
+# what tools add
+
+
+@query(f"with {O.hits(PHRASE.split(), 'phrase')} select count(*) total, count(*) met, count(distinct doc) apart, cast(ceil(count(*) / 50.0) as bigint) batches from hits")
+def cursor_walk(spark, sf_dir):
+    """A walk by cursors: every hit is met once, in batches of 50."""
+    rows, after, met, batches = _hits(spark, sf_dir, PHRASE, "phrase").persist(), None, [], 0
+    while few := S.page(rows, 50, after).collect():
+        met, batches, after = [*met, *(r["doc"] for r in few)], batches + 1, (few[-1]["score"], few[-1]["doc"])
+    total = rows.count()
+    rows.unpersist()
+    return spark.range(1).select(F.lit(total).cast("long").alias("total"), F.lit(len(met)).cast("long").alias("met"), F.lit(len(set(met))).cast("long").alias("apart"), F.lit(batches).cast("long").alias("batches"))
+
+
+@query(f"with p as (select page_id, cast(floor((page_id - 1) / 37.0) as int) as batch from {O.PAGES} x where book_id = 'src0-en') select page_id, batch from p")
+def keyset_pages(spark, sf_dir):
+    """One book read in batches of 37 pages, each from where the last one ended."""
+    book, last, out, batch = corpus.pages(spark, sf_dir).where("book_id = 'src0-en'").select("page_id"), None, [], 0
+    while few := [r[0] for r in P.after(book, last, 37).collect()]:
+        out, batch, last = [*out, *((p, batch) for p in few)], batch + 1, few[-1]
+    return spark.createDataFrame(out, "page_id int, batch int")
+
+
+_IDS = "case lang when 'de' then '-' || doc_id when 'fr' then source || '-x' || doc_id when 'es' then source else source || '-' || doc_id || case when doc_id % 3 = 0 then '-1' else '' end end"
+
+
+@query(f"with k as (select doc_id, {_IDS} id from documents), p as (select doc_id, split_part(id, '-', 1) book_id, substring(id, strpos(id, '-') + 1) rest from k where strpos(id, '-') > 1), q as (select doc_id, book_id, coalesce(try_cast(case when regexp_full_match(rest, '[+-]?[0-9]+') then rest end as int), -1) page_id from p) select *, book_id || '#' || page_id passage from q")
+def composite_keys(spark, sf_dir):
+    rows = corpus.documents(spark, sf_dir).select("doc_id", F.expr(_IDS).alias("id"))
+    return S.keyed(rows).select("doc_id", "book_id", "page_id", S.passage_key().alias("passage"))
+
+
+_ALL_HITS = O.hits(ANY.split(), "any_terms")
+
+
+@query(f"with {_ALL_HITS}, few as (select * from hits order by score desc, doc limit 300) select book_id, count(*) hits, (select count(*) from hits) <= 300 as scanned from few group by book_id")
+def bounded_discovery(spark, sf_dir):
+    """Counts of the 300 best hits, and whether those are all."""
+    few, scanned = S.bounded(_hits(spark, sf_dir, ANY, "any_terms"), 300)
+    return P.counts_by_book(few).withColumn("scanned", F.lit(scanned))
+
+
+def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of books that are there."""
+    return corpus.pages(spark, sf_dir).join(corpus.books(spark, sf_dir).where("downloaded").select("book_id"), "book_id", "left_semi")
+
+
+@query(f"with {_ALL_HITS} select h.book_id, title, count(*) pages from hits h join {O.BOOKS} b using (book_id) where not downloaded group by all")
+def unreadable_books(spark, sf_dir):
+    return P.unreadable(_hits(spark, sf_dir, ANY, "any_terms"), _readable(spark, sf_dir), corpus.books(spark, sf_dir))
+
+
+@query(f"with {_ALL_HITS} select distinct h.book_id, title, 'none of the book''s pages can be read' as error from hits h join {O.BOOKS} b using (book_id) where not downloaded")
+def failing_books(spark, sf_dir):
+    return P.failing(_hits(spark, sf_dir, ANY, "any_terms"), _readable(spark, sf_dir), corpus.books(spark, sf_dir))
+
+
+@query(f"with {_STATUS} select s.book_id, s.page_id, case when not requested then 'neighbour of a requested page' when contains({O.fold('body')}, '{PHRASE}') then 'phrase «{PHRASE}» occurs in order on the page' else 'the index matched the phrase; its order isn''t confirmed in the readable text' end match_reason, sha256(body) text_sha256 from s join {O.PAGES} p on p.book_id = s.book_id and p.page_id = s.page_id where status = 'found'")
+def fetch_with_query(spark, sf_dir):
+    rows = P.fetch(_requests(spark), corpus.pages(spark, sf_dir), corpus.books(spark, sf_dir), 1)
+    got = P.fetched_passages(rows, _books(spark, sf_dir), corpus.toc(spark, sf_dir), parse(PHRASE, "phrase"), corpus.needs_nfc(spark, sf_dir))
+    return got.select("book_id", "page_id", "match_reason", F.sha2("text_original", 256).alias("text_sha256"))
+
+
+@query(f"with h as (select book_id, title_id, page_id, level, title from {O.TOC} t) select book_id, title_id, case when title_id % 2 = 0 then title else '' end title from h")
+def headings_titled(spark, sf_dir):
+    """Headings whose titles lie in a table of their own, which lacks some."""
+    toc = corpus.toc(spark, sf_dir)
+    return H.titled(toc.drop("title"), toc.where("title_id % 2 = 0")).select("book_id", "title_id", "title")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

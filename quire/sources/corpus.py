@@ -1,6 +1,8 @@
 """The driver's tables as a library of books: catalogue, pages and headings.
 
-The mapping is plain SQL that Spark and DuckDB share; placeholders in braces name the tables.
+The mapping to books is plain SQL that Spark and DuckDB share; placeholders in braces name the tables. Pages are numbered once, stored
+in order of book and page, and so are their index and what else is asked again and again (plans.store); PAGES, PLACED and TOC say
+the same in SQL for DuckDB.
 """
 
 from __future__ import annotations
@@ -8,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+from quire.plans import store
+from quire.plans.index import Index
+
 PAGES = """
 select source || '-' || lang as book_id, cast(row_number() over (partition by source, lang order by doc_id) as int) as page_id, doc_id as doc, coalesce(text, '') as body, source
 from {documents} where source is not null and lang is not null
@@ -53,24 +59,69 @@ def duck(text: str) -> str:
 UNKNOWN = "(none)"
 
 
+#: Rows of a side table that is broadcast, at most.
+MAX_BROADCAST_ROWS = 100_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table; if it lies in fewer splits than there are cores, it is small, and is spread over them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit(UNKNOWN)) for c in ("source", "lang")})
 
 
+def _write_pages(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The pages in order of book and page. Texts move once, to where their book and place in it lie in the order of all; a page's
+    number then follows from its place in its partition and the number of its book's pages in the partitions before, so a book may be of any size.
+    """
+    by = ["source", "lang", "doc_id"]
+    placed = _named(spark, sf_dir).select(*by, "text").repartitionByRange(store.partitions(spark, f"{sf_dir}/documents.parquet"), *by).sortWithinPartitions(*by)
+    placed.withColumn("at", F.monotonically_increasing_id()).write.parquet(f"{folder}/placed")
+    held = spark.read.parquet(f"{folder}/placed").withColumn("piece", F.shiftright("at", 33))
+    pieces = store.cut(held.groupBy("source", "lang", "piece").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    before = F.expr("coalesce(sum(n) over (partition by source, lang order by piece rows between unbounded preceding and 1 preceding), 0)")
+    side = pieces.withColumn("before", before).drop("n")
+    side = F.broadcast(side) if pieces.count() <= MAX_BROADCAST_ROWS else side
+    rows = held.join(side, ["source", "lang", "piece"]).withColumn("page_id", (F.col("at") - F.col("first") + F.col("before") + 1).cast("int"))
+    rows.select(
+        F.concat("source", F.lit("-"), "lang").alias("book_id"), "page_id", F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("body"), F.col("text").isNotNull().alias("present"),
+        (F.floor((F.col("page_id") - 1) / 60) + 1).cast("int").cast("string").alias("part"), F.when(F.col("source") == "src3", None).otherwise(F.col("page_id")).cast("double").alias("printed_page"), F.lit(None).cast("string").alias("footnote"),
+    ).write.parquet(f"{folder}/pages")
+    store.remove(spark, f"{folder}/placed")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = store.form(spark, f"{sf_dir}/documents.parquet", "pages", lambda folder: _write_pages(spark, sf_dir, folder))
+    return spark.read.parquet(f"{folder}/pages")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(PLACED), documents=_placed(spark, sf_dir))
+    """The pages of all documents, as they were numbered and stored once."""
+    return _stored(spark, sf_dir).drop("present")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text of the documents that have one."""
+    return _stored(spark, sf_dir).where("present").select(F.col("doc").alias("doc_id"), F.col("body").alias("text"))
+
+
+def needs_nfc(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether any text needs NFC before it is folded; looked up once for each state of the documents."""
+    folder = store.form(spark, f"{sf_dir}/documents.parquet", "nfc", lambda folder: spark.range(1).select(F.lit(T.needs_nfc(pages(spark, sf_dir), "body")).alias("nfc")).write.parquet(folder))
+    return spark.read.parquet(folder).first()["nfc"]
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the pages."""
+    folder = store.form(spark, f"{sf_dir}/documents.parquet", "index", lambda folder: Index.over(pages(spark, sf_dir), needs_nfc(spark, sf_dir)).store(folder))
+    return Index.open(spark, folder)
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(BOOKS), documents=_placed(spark, sf_dir))
+    return spark.sql(_sql(BOOKS), documents=_named(spark, sf_dir))
 
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_sql(TOC), documents=_placed(spark, sf_dir))
+    rows = pages(spark, sf_dir).where("page_id % 5 = 0")
+    return rows.select("book_id", F.col("page_id").alias("title_id"), "page_id", (F.floor(F.col("page_id") / 5) % 3 + 1).cast("int").alias("level"), F.concat(F.lit("Heading "), F.col("page_id").cast("string")).alias("title"))

@@ -108,6 +108,8 @@ def test_fetch(engine):
     asked = [{"book_id": "src0-en", "page_ids": [2, 3, 99999]}, {"book_id": "src18-en", "page_ids": [1]}, {"book_id": "nowhere", "page_ids": [1]}]
     r = engine.fetch_passages(asked)
     assert [p["page_id"] for p in r["passages"]] == [1, 2, 3, 4] and [p["match_reason"][:5] for p in r["passages"]] == ["neigh", "reque", "reque", "neigh"]
+    asked_why = engine.fetch_passages(asked, query="of the", mode="phrase")["passages"]
+    assert [p["match_reason"][:6] for p in asked_why if p["page_id"] in (2, 3)] == [("phrase" if "of the" in p["text_original"].lower() else "the in") for p in asked_why if p["page_id"] in (2, 3)]
     assert r["failed_books"] == ["nowhere", "src18-en"] and r["missing_pages"] == [{"book_id": "src0-en", "page_id": 99999}]
     pages, cursor = [], None
     while True:
@@ -145,10 +147,86 @@ def test_lists_health_guide(engine):
     assert ids == sorted(ids) and len(set(ids)) == 14
     assert engine.list_books(ambiguous_only=True)["totals"]["matched"] < a["totals"]["matched"]
     h = engine.health()
-    assert h["index"]["documents"] == engine.pages.count() and len(h["classification"]) == 6
+    assert h["index"]["documents"] == engine.pages.count() and len(h["classification"]) == 6 and h["index"]["readable"]
+    assert h["engines"]["active"] == "spark" and set(h["environment"]) == set(E.SETTINGS) and h["unmapped_total"] and any("mapped" in w for w in h["warnings"])
     assert set(engine.guide()) == {"overview", "workflow", "examples", "limits", "fields"} and list(engine.guide("limits")) == ["limits"]
 
 
+def test_health_tells_what_is_missing(engine, spark, tmp_path):
+    """A library that isn't there, a catalogue that isn't one, and an index that can't be read are told, not raised."""
+    gone = E.Engine(**{**engine.__dict__, "library": str(tmp_path / "none"), "index": Index(spark, engine.index.tokens, str(tmp_path / "noindex"))}).health()
+    assert not gone["library"]["found"] and gone["schema"]["error"] == "BOOK_UNREADABLE" and not gone["index"]["readable"] and {"the library wasn't found", "the index can't be read"} <= set(gone["warnings"])
+    import sqlite3
+
+    (tmp_path / "lib" / "database").mkdir(parents=True)
+    (tmp_path / "lib" / "app").mkdir()
+    con = sqlite3.connect(tmp_path / "lib" / "database" / "master.db")
+    con.execute("create table book (book_id integer, book_name text, book_category integer, main_author integer)")
+    con.commit()
+    con.close()
+    there = E.Engine(**{**engine.__dict__, "library": str(tmp_path / "lib")}).health()
+    assert there["library"]["found"] and there["schema"]["roles"]["books"] == "book" and there["schema"]["roles"]["book_title"] == "book_name" and there["schema"]["notes"]
+
+
+def test_unreadable_pages(engine, tmp_path):
+    """A hit whose page can't be read is consumed and its book named; an export marks the page, and fails the book if none of its pages is there."""
+    whole = engine.search("of the", "phrase", limit=500)
+    first, other = whole["passages"][0], next(p for p in whole["passages"] if p["book_id"] != whole["passages"][0]["book_id"])
+    cond = (F.col("book_id") != first["book_id"]) & ~((F.col("book_id") == other["book_id"]) & (F.col("page_id") == other["page_id"]))
+    poor = E.Engine(**{**engine.__dict__, "pages": engine.pages.where(cond), "output_root": str(tmp_path)})
+    seen, cursor, named = [], None, set()
+    while True:
+        r = poor.search("of the", "phrase", limit=20, cursor=cursor)
+        seen += [(p["book_id"], p["page_id"]) for p in r["passages"]]
+        named |= {b["book_id"] for b in r["unreadable_books"]}
+        if not (cursor := r["batch"]["next_cursor"]):
+            break
+    want = [(p["book_id"], p["page_id"]) for p in whole["passages"] if p["book_id"] != first["book_id"] and (p["book_id"], p["page_id"]) != (other["book_id"], other["page_id"])]
+    assert seen == want and named == {first["book_id"], other["book_id"]} and r["batch"]["total_hits"] == whole["batch"]["total_hits"]
+    x = poor.export_results("of the", "phrase", job_id="poor")
+    assert [f["book_id"] for f in x["failed"]] == [first["book_id"]] and first["book_id"] not in {b["book_id"] for b in x["by_book"]}
+    rows = [json.loads(line) for line in open(f"{x['path']}/results.jsonl")]
+    (marked,) = [r for r in rows if (r["book_id"], r["page_id"]) == (other["book_id"], other["page_id"])]
+    assert marked["text_original"] == "" and "can't be read" in marked["match_reason"] and "none of the book's pages can be read" in open(f"{x['path']}/report.md").read()
+    again = E.Engine(**{**engine.__dict__, "output_root": str(tmp_path)}).export_results("of the", "phrase", job_id="poor")
+    assert again["failed"] == [] and again["total"] == whole["batch"]["total_hits"]
+
+
+def test_scan_limit(engine):
+    r = engine.discover_issue("of the", "phrase", scan_limit=10)
+    assert r["batch"]["truncation_reason"] == "scan_limit" and r["counts_truncated"] and not r["batch"]["total_hits_exact"] and r["totals"]["hits"] == 10
+    assert engine.discover_issue("of the", "phrase", scan_limit=100_000)["batch"]["truncation_reason"] != "scan_limit"
+
+
+def test_export_notices_lost_rows(engine, spark, tmp_path, monkeypatch):
+    """Rows that executors have written and the driver can't find fail the export before a shard appears."""
+    from quire.operators import export as X
+
+    real = type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, *a, **k: real(self, *a, **k).limit(3))
+    e = E.Engine(**{**engine.__dict__, "output_root": str(tmp_path)})
+    assert guarded(e.export_results, "of the", "phrase", job_id="lost")["error"]["code"] == "EXPORT_INCOMPLETE"
+    assert X.Folder(spark, str(tmp_path / "lost")).names("shards") == []
+
+
+def test_budget_prefix_over_ranges(spark):
+    from quire.operators import search as S
+
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("body")).withColumn("n", F.col("k") % 11)
+    held = sorted((r.k, r.n) for r in rows.collect())
+    for budget in (-1, 0, 5, 777, 24_000, 10**9):
+        for order in (["k"], ["k desc"]):
+            want, used = [], 0
+            for k, n in held if order == ["k"] else reversed(held):
+                used += n
+                if want and used > budget:
+                    break
+                want.append(k)
+            got = S.within_budget(rows, order, budget, F.col("n"))
+            assert sorted(r.k for r in got.collect()) == sorted(want), (budget, order)
+            assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_export_resumes_to_the_same_file(engine):
     r = engine.export_results("of the", "phrase", job_id="one")
     rows = [json.loads(x) for x in open(f"{r['path']}/results.jsonl")]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quire import queries as Q
 from quire import schema
-from quire.llm import ngram_join, queries, secrets, topk
 from quire.operators import passages as P
 from quire.operators import toc as H
 
@@ -72,31 +71,6 @@ def test_checksums_read_every_column(spark):
     assert "text" in d.columns and {r.doc_id: r.checksum for r in Q.row_checksums(spark, SF).collect()} == want
 
 
-def test_secret_query_stores_its_ledger(spark, monkeypatch):
-    made = []
-    monkeypatch.setattr(secrets, "Ledger", type("Seen", (secrets.Ledger,), {"__init__": lambda self, *a: made.append(self) or super(type(self), self).__init__(*a)}))
-    n = queries.op7_secret_scan(spark, SF).count()
-    d = pd.read_parquet(f"{SF}/documents.parquet")
-    assert n == len(d) and made[0].rows().count() == d.text.fillna("").nunique() and {r.rule_version for r in made[0].rows().select("rule_version").distinct().collect()} == {secrets.VERSION}
-
-
-def near(k, change):
-    w = [f"{k}x{i}" for i in range(100)]
-    w[change] = "changed"
-    return " ".join(w)
-
-
-def test_near_copies_without_ids(spark):
-    rows = [(None, near("a", 0)), (None, near("a", 99)), (None, near("a", 99)), (5, near("b", 0)), (None, near("b", 99)), (6, near("c", 0)), (7, near("c", 99)), (7, "another text that shares a doc id with one that goes"), (None, ""), (None, None), (8, near("d", 0)), (8, near("d", 0))]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_equal) for r in ngram_join.classes(frame).collect())
-    want = [("None", "None", 1, 1), ("None", "None", 1, 2), ("None", "None", 1, 2), ("5", "5", 1, 1), ("None", "5", 1, 1), ("6", "6", 1, 1), ("7", "6", 1, 1), ("7", "7", 0, 1), ("None", "None", 0, 1), ("None", "None", 0, 1), ("8", "8", 0, 2), ("8", "8", 0, 2)]
-    assert got == sorted(want)
-    kept = [(r.doc_id, r.text) for r in ngram_join.dedup(frame).collect()]
-    a = [t for i, t in kept if i is None and (t or "").startswith(("changed a", "a"))]
-    assert len(a) == 1 and sorted(map(str, kept)) == sorted(map(str, [(None, a[0]), *(rows[k] for k in (3, 5, 7, 8, 9, 10))]))
-
-
 def test_deep_headings(spark):
     toc = [("b", k, k, k, f"h{k}") for k in range(1, 13)] + [("b", 20, 20, 10, "later"), ("b", 30, 30, 9, "last")]
     frame = spark.createDataFrame(toc, "book_id string, title_id int, page_id int, level int, title string")
@@ -117,10 +91,3 @@ def test_documents_without_source_or_lang(spark, tmp_path):
     assert {r.book_id for r in Q.classify_books(spark, str(tmp_path)).collect()} == names == {r.book_id for r in Q.toc_intervals(spark, str(tmp_path)).collect()}
     assert Q.doc_lengths(spark, str(tmp_path)).count() == 20 and {r.hits for r in Q.corpus.pages(spark, str(tmp_path)).groupBy("book_id").agg(F.count("*").alias("hits")).collect()} == {5}
     assert {(r.lang, r.source, r.doc_id) for r in Q.first_occurrence(spark, str(tmp_path)).collect()} == {("en", "src0", 0), ("en", None, 1), (None, "src0", 2), (None, None, 3)}
-
-
-@pytest.mark.parametrize("x", [1e14, -1e300])
-def test_long_vectors_are_refused(spark, x):
-    frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [x, 0.0]), (2, [3.0, float("inf")])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError, match="too long"):
-        topk.search(frame, frame.where("vec_id = 0"))
