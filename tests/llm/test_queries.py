@@ -147,6 +147,14 @@ def test_secrets(spark):
         assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def test_secret_query_stores_its_ledger(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(secrets, "Ledger", type("Seen", (secrets.Ledger,), {"__init__": lambda self, *a: made.append(self) or super(type(self), self).__init__(*a)}))
+    n = queries.op7_secret_scan(spark, SF).count()
+    d = docs()
+    assert n == len(d) and made[0].findings().count() == d.text.fillna("").nunique() and made[0].table("paths").count() == len(d)
+
+
 def test_ledger(spark, tmp_path):
     """Only pairs of blob and rule version that the ledger lacks are scanned; findings of replaced versions stay in the history."""
     a = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "none"), (3, "token = abcdefgh1"), (3, "token = abcdefgh1"), (4, None)], "doc_id long, text string")
