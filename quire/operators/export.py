@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quire.errors import QuireError
 from quire.functions.text import NORMALIZER
 from quire.plans.query import ParsedQuery
-from quire.plans.store import file_system
+from quire.plans.store import cut, file_system
 from quire.sources.library import shard_path
 
 _BUFFER = 1 << 20
@@ -108,6 +108,7 @@ def _shards(out: Folder, rows: DataFrame, batch: list[str]) -> dict[str, int]:
     staging = f".staging-{uuid.uuid4().hex}"
     line = F.to_json(F.struct(*(c for c in rows.columns if c != "doc")), {"ignoreNullFields": "false"})
     part = rows.where(F.col("book_id").isin(batch)).select(F.substring(F.sha2("book_id", 256), 1, 32).alias("_book"), "score", "doc", line.alias("value"))
+    part = cut(part)  # ranges are sampled first, and rows aren't made twice for that
     order = ["_book", F.desc("score"), "doc"]
     told = Observation()
     placed = part.repartitionByRange(*order).sortWithinPartitions(*order).select("_book", "value").observe(told, F.count(F.lit(1)).alias("n"))

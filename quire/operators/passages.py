@@ -72,6 +72,11 @@ def _trail() -> Column:
     return F.coalesce("toc_path", F.expr("cast(array() as array<string>)"))
 
 
+def _folded(rows: DataFrame, nfc: bool) -> tuple[DataFrame, Column]:
+    """rows with the folded body, and that column; exploded from an array of one, so that each use of it doesn't fold again."""
+    return rows.withColumn("_folded", F.explode(F.array(T.fold(F.coalesce("body", F.lit("")), nfc)))), F.col("_folded")
+
+
 def passages(hits: DataFrame, pages: DataFrame, books: DataFrame, toc: DataFrame, query: ParsedQuery, radius: int = EXCERPT_SEARCH, nfc: bool = False) -> DataFrame:
     """Hits as passages: the book's and the page's columns, the heading trail, why it matched, and an excerpt. Hits of unknown
     books are gone; a page that isn't there leaves null texts, and a reason that says so. hits is the small side of each join.
@@ -79,7 +84,7 @@ def passages(hits: DataFrame, pages: DataFrame, books: DataFrame, toc: DataFrame
     few = hits.select("book_id", "page_id", "doc", "score")
     rows = few.join(books.select(*_BOOK), "book_id")
     rows = rows.join(pages.drop("doc"), ["book_id", "page_id"], "left").join(trails(few, toc), ["book_id", "page_id"], "left")
-    folded = T.fold(F.coalesce("body", F.lit("")), nfc)
+    rows, folded = _folded(rows, nfc)
     at = F.greatest(F.lit(0), T.first_match_offset(folded, list(query.terms), query.mode))
     reason = F.when(F.col("body").isNull(), UNREADABLE).otherwise(T.match_reason(folded, query.raw, list(query.terms), query.mode))
     return rows.select(
@@ -110,7 +115,7 @@ def fetched_passages(rows: DataFrame, books: DataFrame, toc: DataFrame, query: P
     out = rows.join(books.select(*_BOOK), "book_id").join(trails(rows, toc), ["book_id", "page_id"], "left")
     asked, at = F.lit("requested page"), F.lit(0)
     if query is not None:
-        folded = T.fold(F.coalesce("body", F.lit("")), nfc)
+        out, folded = _folded(out, nfc)
         asked = T.match_reason(folded, query.raw, list(query.terms), query.mode)
         at = F.when(F.col("requested"), F.greatest(F.lit(0), T.first_match_offset(folded, list(query.terms), query.mode))).otherwise(0)
     reason = F.when(F.col("requested"), asked).otherwise("neighbour of a requested page")
