@@ -9,7 +9,8 @@ The file goes to each executor once through Spark's file server, under a name ma
 successor fetches it again; tasks map it and keep one Arrow batch in memory.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; no rule means the default verdict;
-a rule that is stated twice counts once, and of contradicting verdicts block wins; other columns are ignored.
+a rule that is stated twice counts once, and of contradicting verdicts block wins; repeated rows each get their row; very long urls
+cost no more than their length; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -100,6 +101,7 @@ class RuleFile:
             parts.append(whole[at : at + size].view(kind))
             at += size + -size % 8
         self.hosts, self.rules, self.ends, self.lens = DigestArray(*parts[:4]), DigestArray(*parts[4:8]), parts[8], parts[9]
+        self.labels = max([1, *(self.hosts.string(i).count(".") + 1 for i in range(len(self.hosts.keys)))])
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], np.ndarray]:
         """For each url the longest rule that fits, and whether it blocks (-1: no rule)."""
@@ -107,9 +109,11 @@ class RuleFile:
         block = np.full(len(hosts), -1, "i8")
         tried, owner = [], []
         for i, host in enumerate(hosts):
-            labels = host.split(".")
-            tried += [".".join(labels[k:]) for k in range(len(labels))]
-            owner += [i] * len(labels)
+            # no more labels than the longest rule's host has
+            labels = host.rsplit(".", self.labels)
+            for k in range(len(labels) > self.labels, len(labels)):
+                tried.append(".".join(labels[k:]))
+                owner.append(i)
         found = self.hosts.find(tried)
         names, of = [], []
         for k in np.flatnonzero(found >= 0):

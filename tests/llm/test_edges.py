@@ -229,6 +229,15 @@ def test_urls(spark):
     assert [x[1:] for x in got] == want
 
 
+def test_urls_long_repeated_and_clashing(spark):
+    rows = [(1, "http://" + "a." * 100_000 + "org/fr/x", "h", "p"), (2, "http://b.net/" + "y/" * 200_000, "h", "p"), (3, "http://net/", None, None), (3, "http://net/", None, None), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    got = sorted((r.page_id or 0, r.rule or "", r.verdict, len(r.host)) for r in url_filter.judge(frame, queries.URL_RULES).collect())
+    assert got == [(0, "", "allow", 0), (1, "org/fr/", "allow", 200_003), (2, "net/", "block", 5), (3, "net/", "block", 3), (3, "net/", "block", 3)]
+    assert url_filter.judge(frame.where("false"), queries.URL_RULES).count() == 0
+    assert {r.verdict for r in url_filter.judge(frame, [], "block").collect()} == {"block"}
+
+
 def test_digest_collisions():
     """With a digest that always collides only the stored strings decide."""
     a = url_filter.DigestArray.build({"x": 1, "y": 2, "zz": 3}, key=lambda s: 7)
