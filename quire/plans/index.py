@@ -110,19 +110,27 @@ def phrase_count(phrase: list[str], terms: Column) -> Column:
 
 @dataclass
 class Index:
-    """An index over pages. Without a path it scans tokens; with one it reads the stored tables."""
+    """An index over pages. Without a path it scans tokens; with one it reads the stored tables, and those of segments that were added
+    later: pages of a segment are in no other, so counts add up.
+    """
 
     spark: SparkSession
     tokens: DataFrame
     path: str | None = None
     generation: str = "unstored"
+    segments: tuple[str, ...] = ()
     _stats: dict = field(default_factory=dict)
     _tables: dict = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         """A stored table; its files are listed once for each generation that is opened."""
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+            rows = self.spark.read.parquet(*(f"{p}/{name}" for p in (self.path, *self.segments)))
+            if self.segments and name == "term_stats":
+                rows = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+            if self.segments and name == "corpus_stats":
+                rows = rows.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl")).withColumn("generation", F.lit(self.generation))
+            self._tables[name] = rows
         return self._tables[name]
 
     @classmethod
@@ -143,9 +151,10 @@ class Index:
         return Index.open(self.spark, path)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Index:
-        generation = spark.read.parquet(f"{path}/corpus_stats").first()["generation"]
-        return cls(spark, spark.read.parquet(f"{path}/tokens"), path, generation)
+    def open(cls, spark: SparkSession, path: str, segments: tuple[str, ...] = (), generation: str | None = None) -> Index:
+        if generation is None:
+            generation = spark.read.parquet(f"{path}/corpus_stats").first()["generation"]
+        return cls(spark, spark.read.parquet(*(f"{p}/tokens" for p in (path, *segments))), path, generation, segments)
 
     def refresh(self) -> Index:
         """The index as it is stored now; another generation if it was built again."""

@@ -129,3 +129,14 @@ def test_streaming_ingest(spark, tmp_path):
     now = G.current(spark, path)
     assert now.stats(["three"]).df == {"three": 2} and now.stats(["three"]).docs == 3
     assert {r.doc for r in now.counts(["three"]).where(F.exists("tf", lambda n: n > 0)).collect()} == {2, 3}
+    # a second batch is a segment of its own; the base and the first segment aren't written again
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").glob("**/*.parquet") if "manifests" not in str(p)}
+    spark.createDataFrame([(4, "c", 2, "three three")], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    G.ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), path, str(tmp_path / "cp"), nfc=False).awaitTermination()
+    later = G.current(spark, path)
+    assert len(later.segments) == 2 and later.generation != now.generation and all(p.stat().st_mtime_ns == t for p, t in written.items())
+    told = lambda i: (i.stats(["three", "one"]).df, i.stats(["three"]).docs, i.stats(["three"]).tokens, sorted((r.doc, r.tf, r.pf) for r in i.counts(["three"], ["three"]).collect()))
+    whole = Index.over(base.unionByName(spark.createDataFrame([(3, "c", 1, "three four"), (4, "c", 2, "three three")], schema)), False).store(str(tmp_path / "whole"))
+    assert told(later) == told(whole)
+    one = G.compact(spark, path)
+    assert one.segments == () and told(one) == told(whole) and told(G.current(spark, path)) == told(whole)
