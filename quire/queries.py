@@ -15,6 +15,7 @@ from quire.operators import passages as P
 from quire.operators import profile as R
 from quire.operators import search as S
 from quire.operators import toc as H
+from quire.plans import cursor as K
 from quire.plans import index as I
 from quire.plans.query import parse
 from quire.sources import corpus
@@ -647,6 +648,80 @@ def headings_titled(spark, sf_dir):
     return H.titled(toc.drop("title"), toc.where("title_id % 2 = 0")).select("book_id", "title_id", "title")
 
 
+@query(f"select book_id, count(*) pages, count(*) filter (where body <> '') with_text from {O.PAGES} p group by book_id")
+def pages_per_book(spark, sf_dir):
+    return corpus.pages(spark, sf_dir).groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if(F.col("body") != "").alias("with_text"))
+
+
+@query(f"select book_id, page_id, doc from {O.PAGES} p where page_id between 3 and 7")
+def page_range_scan(spark, sf_dir):
+    """Pages 3 to 7 of each book, by their numbers."""
+    return corpus.pages(spark, sf_dir).where(F.col("page_id").between(3, 7)).select("book_id", "page_id", "doc")
+
+
+@query(" union all ".join(f"select '{m}' as mode, count(*) total from (with {O.hits(raw.split(), m)} select doc from hits) t" for raw, m in ((PHRASE, "phrase"), (ALL, "all_terms"), (ANY, "any_terms"))))
+def total_hits(spark, sf_dir):
+    each = [_hits(spark, sf_dir, raw, m).agg(F.count("*").alias("total")).select(F.lit(m).alias("mode"), "total") for raw, m in ((PHRASE, "phrase"), (ALL, "all_terms"), (ANY, "any_terms"))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(f"with {_CB} select s.school from {O.SCHOOL_ROWS} left join cb on cb.school = s.school and cb.downloaded group by s.school having count(cb.book_id) = 0")
+def schools_not_searched(spark, sf_dir):
+    return C.coverage(_books(spark, sf_dir)).where("searched = 0").select("school")
+
+
+@query(f"with {_ALL_HITS}, {_CB}, b as (select * from hits order by score desc, doc limit 50) select school, count(*) returned from b join cb using (book_id) group by school")
+def batch_by_school(spark, sf_dir):
+    """How many passages of one batch of 50 each school has."""
+    return S.page(_hits(spark, sf_dir, ANY, "any_terms"), 50).join(_books(spark, sf_dir).select("book_id", "school"), "book_id").groupBy("school").agg(F.count("*").alias("returned"))
+
+
+@query(f"with {_ALL_HITS}, {_CB}, k as (select h.doc, school, octet_length(encode(body)) as bytes, sum(octet_length(encode(body))) over w upto, row_number() over w k from hits h join cb using (book_id) join {O.PAGES} p on p.doc = h.doc window w as (partition by school order by score desc, h.doc rows unbounded preceding)) select school, doc, bytes from k where k = 1 or upto <= {BUDGET // 4}")
+def equal_byte_shares(spark, sf_dir):
+    """What fits each school's equal share of a byte budget, the best hits first."""
+    rows = _hits(spark, sf_dir, ANY, "any_terms").join(_books(spark, sf_dir).select("book_id", "school"), "book_id").join(corpus.pages(spark, sf_dir).select("doc", "body"), "doc")
+    return S.within_budget(rows, ["score desc", "doc"], BUDGET // 4, F.octet_length("body"), by="school").select("school", "doc", "bytes")
+
+
+@query(f"with {_ALL_HITS} select doc, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def cursor_round_trip(spark, sf_dir):
+    """Where cursors after each of the 20 best hits go on from, as they are read back."""
+    rows = S.page(_hits(spark, sf_dir, ANY, "any_terms"), 20).collect()
+    told = [K.decode(K.encode("search", "fp", "qh", r["score"], r["doc"], k, 20), "search", "fp", "qh")["after"] for k, r in enumerate(rows)]
+    return spark.createDataFrame([(a["doc"], round(a["score"], 6)) for a in told], "doc long, score double")
+
+
+_ASKED = [-3.0, 0.0, 0.5, 1.0, 7.9, 60.0, 400.0, 5000.0]
+
+
+@query("select k kind, a asked, cast(greatest(1, least(m, floor(a))) as int) got from (values " + ", ".join(f"('{k}', {m})" for k, (_, m) in schema.LIMITS.items()) + ") l(k, m), (values " + ", ".join(f"(cast({a} as double))" for a in _ASKED) + ") r(a)")
+def clamped_limits(spark, sf_dir):
+    return spark.createDataFrame([(k, a, schema.clamp(a, k)) for k in schema.LIMITS for a in _ASKED], "kind string, asked double, got int")
+
+
+@query("select case when bool_and(coalesce(lang, '') = source) then 'lang' when bool_and(source is not null) then 'source' end as \"column\" from documents where source is not null")
+def inferred_key(spark, sf_dir):
+    """Which column is the part of a composite key before its dash."""
+    rows = corpus.documents(spark, sf_dir).where("source is not null").select(F.concat_ws("-", "source", "doc_id").alias("id"), "lang", "source")
+    return spark.range(1).select(F.lit(I.infer_key_column(rows, "id", ["lang", "source"])).alias("column"))
+
+
+_EXCERPT = f"case when n <= 360 then body else case when l > 0 then '… ' else '' end || regexp_replace(substring(body, l + 1, r - l), '^[{T.SPACES}]+|[{T.SPACES}]+$', '', 'g') || case when r < n then ' …' else '' end end"
+
+
+@query(f"""with {_GROUPS}, t as (select few.*, body, {O.fold('body')} f from few join {O.PAGES} p on p.doc = few.doc),
+a as (select *, greatest(0, {_OFFSET}) at_ from t), b as (select *, length(body) n, greatest(0, at_ - 180) s, least(length(body), at_ + 180) e from a),
+c as (select *, s - length(regexp_extract(substring(body, 1, s), '[^{T.SPACES}]*$')) l, e + length(regexp_extract(substring(body, e + 1), '^[^{T.SPACES}]*')) r from b),
+x as (select school, book_id, count(*) k, string_agg(page_id || '=' || md5({_EXCERPT}), ',' order by score desc, doc) pages from c group by school, book_id)
+select school, string_agg(book_id || ':' || pages, ';' order by k desc, book_id) groups from x group by school""")
+def compare_groups_excerpts(spark, sf_dir):
+    """The passages of a comparison as they are shown: by school and book, each with its excerpt."""
+    few, q = _few(spark, sf_dir), parse(PHRASE, "phrase")
+    rows = P.passages(few.select("book_id", "page_id", "doc", "score"), corpus.pages(spark, sf_dir), _books(spark, sf_dir), corpus.toc(spark, sf_dir), q, nfc=corpus.needs_nfc(spark, sf_dir))
+    flat = F.array_join(F.transform("books", lambda b: F.concat(b["book_id"], F.lit(":"), F.array_join(F.transform(b["passages"], lambda p: F.concat(p["page_id"].cast("string"), F.lit("="), F.md5(p["excerpt"]))), ","))), ";")
+    return P.groups(rows).select("school", flat.alias("groups"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
