@@ -6,6 +6,8 @@ files and time). Forms lie in the folder that driver and executors share.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder and not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -66,6 +71,12 @@ def form(spark: SparkSession, path: str, name: str, write: Callable[[str], None]
     return _forms[key][1]
 
 
+def forget(spark: SparkSession) -> None:
+    """Removes the forms that this session has stored."""
+    for key in [k for k in _forms if k[0] == spark.sparkContext.applicationId]:
+        remove(spark, _forms.pop(key)[1])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = file_system(spark, path)
     fs.delete(p, True)

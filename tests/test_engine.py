@@ -254,6 +254,42 @@ def test_index_tables(spark, engine):
     assert "EqualTo(term,the)" in plan
 
 
+def test_forms_follow_their_input(spark, tmp_path):
+    """Stored pages are used again while the input stays the same, made anew when it changes, and removed on demand."""
+    from quire.plans import store
+    from quire.sources import corpus
+
+    row = lambda k, t: (k, t, "en", "s", 5)
+    write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    write([row(2, "b"), row(1, "a"), row(3, None)])
+    told = lambda: sorted((r.book_id, r.page_id, r.doc, r.body) for r in corpus.pages(spark, str(tmp_path)).collect())
+    assert told() == [("s-en", 1, 1, "a"), ("s-en", 2, 2, "b"), ("s-en", 3, 3, "")]
+    key = next(k for k in store._forms if k[1].startswith(str(tmp_path)))
+    first = store._forms[key]
+    assert told() and store._forms[key] == first and corpus.texts(spark, str(tmp_path)).count() == 2
+    write([row(9, "z"), row(1, "a")])
+    assert told() == [("s-en", 1, 1, "a"), ("s-en", 2, 9, "z")] and store._forms[key] != first
+    fs, p = store.file_system(spark, store._forms[key][1])
+    assert fs.exists(p) and not fs.exists(store.file_system(spark, first[1])[1])
+    store.remove(spark, store._forms.pop(key)[1])
+    assert not fs.exists(p)
+
+
+def test_pages_of_a_book_over_many_partitions(spark, tmp_path, monkeypatch):
+    """A book that fills several partitions is numbered through, and each book by itself."""
+    from quire.plans import store
+    from quire.sources import corpus
+
+    monkeypatch.setattr(store, "partitions", lambda *a: 7)
+    rows = [(k * 37 % 1000, f"t{k}", "en", "big" if k % 3 else f"s{k % 5}", 2) for k in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.book_id, r.page_id): r.doc for r in corpus.pages(spark, str(tmp_path)).collect()}
+    want = {}
+    for book in {r[3] for r in rows}:
+        want |= {(f"{book}-en", n): d for n, d in enumerate(sorted(r[0] for r in rows if r[3] == book), 1)}
+    assert got == want
+
+
 def test_unknown_mode(engine):
     with pytest.raises(QuireError, match="INVALID_QUERY"):
         engine.search("x", "fuzzy")
