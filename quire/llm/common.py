@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder and not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -206,7 +206,8 @@ def test_quality(rows, none, spark):
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in quality.report(rows, labels.where("false")).collect()} == {0.5}
     assert quality.keep(rows, labels).columns == rows.columns
-    assert quality.report(none, labels).count() == 0
+    assert quality.report(none, labels).count() == 0 and quality.keep(none, labels).count() == 0
+    assert {r.score for r in quality.report(rows, labels.where("doc_id = 99")).collect()} == {0.5}
 
 
 def test_secrets(spark, none, tmp_path):
@@ -320,6 +321,30 @@ def test_chat_parts(spark):
     assert [tuple(a) for a in r.attachments] == [("image", "a.png", 12), ("audio", "b.wav", 1500)] and r.expanded_tokens == 1512
 
 
+def test_chat_typed_parts_against_a_plain_rendering(spark):
+    """Conversations of several turns with parts of every kind: placeholders in order, references, token counts, spans and the way back."""
+    rng = np.random.default_rng(8)
+    kinds = ["text", "image", "audio", "document", "odd", None]
+    texts = ["plain", "<|image|> typed", "a\\b", "</s>", "[INST]x[/INST]", None, "", "é🙂"]
+    rows = []
+    for c in range(12):
+        for t in range(int(rng.integers(1, 7))):
+            parts = [(kinds[int(rng.integers(6))], texts[int(rng.integers(8))], f"ref{c}.{t}.{k}", [None, 7][int(rng.integers(2))]) for k in range(int(rng.integers(0, 5)))]
+            rows.append((c, t, ["user", "assistant", "system"][t % 3], parts))
+    frame = spark.createDataFrame([(*r, "x") for r in rows], f"conv_id long, turn long, role string, parts {chat.PART}, formatted string").repartition(3)
+    done = chat.format_chats(frame).withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.under_mask(F.col("formatted"), F.col("loss_spans"))})
+    got = {r.conv_id: r for r in done.collect()}
+    for c in range(12):
+        mine = [r for r in rows if r[0] == c]
+        shown = ["".join(chat.PLACEHOLDERS.get(k) or t or "" for k, t, _, _ in parts) for *_, parts in mine]
+        held = [(k, ref, n or chat.DEFAULT_TOKENS[k]) for *_, parts in mine for k, _, ref, n in parts if k in chat.PLACEHOLDERS]
+        r = got[c]
+        assert [(t.role, t.text) for t in r.turns] == [(m[2], s) for m, s in zip(mine, shown, strict=True)]
+        assert [tuple(a) for a in r.attachments] == held and r.expanded_tokens == sum(n for *_, n in held)
+        assert r.loss == "".join(s for m, s in zip(mine, shown, strict=True) if m[2] == "assistant")
+        assert sum(len(__import__("re").findall(r"<\|(?:image|audio|document)\|>", r.formatted)) for _ in (0,)) == len(held)
+
+
 def test_control_conversation(spark):
     from conftest import SMALL
 

@@ -32,6 +32,14 @@ def test_columns(stages):
         assert list(stages[name].columns) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_empty_documents(spark):
+    """Every stage passes an empty table on."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("false")
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, docs, SMALL)
+        assert got.count() == 0 and (name == "pack" or got.columns == docs.columns), name
+
+
 def test_exact(stages):
     best = {}
     for r in stages["quality"].itertuples():
