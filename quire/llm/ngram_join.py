@@ -50,7 +50,7 @@ ROUNDS = ((1, 2, 3), (4, 8))
 #: Most buckets above the limit, by counting.
 HOT_BUCKETS = 1 << 18
 _WORD = re.compile(r"\w+")
-_REMEMBER = 600_000
+_REMEMBER = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 _S = np.uint64(31)
 

@@ -30,7 +30,7 @@ from quire.llm.common import modest_batches, text_of
 #: Passes over the fitted rows: EPOCHS, or as many as LEAST_STEPS batches take where the rows are few.
 FIT_ROWS, FACTORS, EPOCHS, LEAST_STEPS, FOLDS, THRESHOLD = 6000, 8, 10, 600, 5, 0.3
 WORD_SLOTS, SHAPE_SLOTS = 1 << 15, 1 << 11
-_REMEMBER = 300_000
+_REMEMBER = 150_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 STATS = ("bias_len", "n_chars", "upper", "marks", "digits", "odd", "space", "word_len", "long_words", "word_repeat", "line_repeat", "line_len", "caps_words", "marks_a_word", "top_word", "lines")
 SLOTS = WORD_SLOTS + SHAPE_SLOTS + len(STATS)
