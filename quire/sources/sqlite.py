@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,6 +23,9 @@ SCHEMAS = {
     "pages": "book_id string, page_id int, part string, printed_page double, body string, error string",
     "toc": "book_id string, title_id int, page_id int, level int, title string, error string",
 }
+#: Rows of a batch.
+FETCH_ROWS = 2000
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
 
 
 class BookFile(InputPartition):
@@ -58,25 +62,34 @@ class BookReader(DataSourceReader):
         wanted = files if self.ids is None else {b: str(folder / (shard_path(b) or "")) for b in self.ids}
         return [BookFile(b, p) for b, p in wanted.items()]
 
-    def read(self, partition: BookFile) -> Iterator[tuple]:
+    def read(self, partition: BookFile) -> Iterator[pa.RecordBatch]:
+        book = partition.book_id
         try:
             con = open_read_only(partition.path)
             profile = probe_book(introspect(con))
         except QuireError as e:
-            yield (partition.book_id, None, None, None, None, e.code)
+            yield _batch(self.table, [(book, None, None, None, None, e.code)])
             return
         r = profile.roles
         role = lambda name: quoted(r[name]) if r[name] else "null"
         if self.table == "pages":
-            for row in con.execute(f"select {role('page_id')}, {role('page_part')}, {role('page_printed')}, {role('page_text')} from {quoted(profile.tables['pages'])} order by 1"):
-                yield (partition.book_id, int_of(row[0]), text_of(row[1]), number_of(row[2]), None if row[3] is None else str(row[3]), None)
+            rows = con.execute(f"select {role('page_id')}, {role('page_part')}, {role('page_printed')}, {role('page_text')} from {quoted(profile.tables['pages'])} order by 1")
+            while some := rows.fetchmany(FETCH_ROWS):
+                yield _batch(self.table, [(book, int_of(i), text_of(part), number_of(printed), None if body is None else str(body), None) for i, part, printed, body in some])
         elif profile.tables["titles"]:
-            for row in con.execute(f"select {role('title_id')}, {role('title_page')}, {role('title_level')}, {role('title_text')} from {quoted(profile.tables['titles'])}"):
-                if int_of(row[1]) is not None:
-                    yield (partition.book_id, int_of(row[0]), int_of(row[1]), int_of(row[2]) or 1, text_of(row[3]), None)
+            rows = con.execute(f"select {role('title_id')}, {role('title_page')}, {role('title_level')}, {role('title_text')} from {quoted(profile.tables['titles'])}")
+            while some := rows.fetchmany(FETCH_ROWS):
+                if held := [(book, int_of(i), int_of(page), int_of(level) or 1, text_of(title), None) for i, page, level, title in some if int_of(page) is not None]:
+                    yield _batch(self.table, held)
         con.close()
 
 
+def _batch(table: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as one Arrow batch of the table's schema."""
+    fields = [f.split() for f in SCHEMAS[table].split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
 class BookFiles(DataSource):
     @classmethod
     def name(cls) -> str:
