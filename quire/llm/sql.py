@@ -1,7 +1,7 @@
 """SQL, for DuckDB, of the operators that SQL can express.
 
-Without SQL: op2 (the choice of copies follows a hash), op4 and op9 (tokenizers), op6 (a fitted model), op7 (match positions); the
-tests hold those against brute force, exact round trips or held-out accuracy.
+Without SQL: op2 (the choice of copies follows a hash), op4 and op9 (tokenizers), op6 (a fitted model); the tests hold those against
+brute force, exact round trips or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -49,6 +49,26 @@ ranked as (
 select doc_id, keep_id, group_size, k = 1 as kept, s as text_sha256 from ranked
 """
 
+SECRETS = r"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+raw as (
+  select rid, t, 0 as ord, 'assign' as kind, 8 as least, regexp_extract_all(t, $$(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$$) m,
+    regexp_extract_all(t, $$(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$$, 1) g,
+    string_split_regex(t, $$(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$$) b from d
+  union all select rid, t, 1, 'access', 16, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') from d
+  union all select rid, t, 2, 'hex', 32, regexp_extract_all(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}'), string_split_regex(t, '[0-9a-f]{32,}') from d),
+each as (select rid, ord, kind, least, unnest(m) m, unnest(g) g, unnest(b[1:len(m)]) b, unnest(range(len(m))) i from raw where len(m) > 0),
+placed as (
+  select *, cast(sum(length(b)) over w + sum(length(m)) over w - length(m) as bigint) s from each
+  window w as (partition by rid, ord order by i rows unbounded preceding)),
+kept as (select rid, ord, kind, s, s + length(m) e from placed where length(g) >= least),
+found as (
+  select rid, count(*) filter (where ord = 0) n_assign, count(*) filter (where ord = 1) n_access, count(*) filter (where ord = 2) n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, ord) spans from kept group by rid)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(spans, '')) base_sha256, coalesce(spans, '') spans
+from d left join found using (rid)
+"""
+
 TOPK = r"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
@@ -78,4 +98,4 @@ from escaped group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NGRAM_JOIN, "op3_url_filter": URL_FILTER, "op5_exact_dedup": EXACT_DEDUP, "op8_exact_topk": TOPK, "op10_chat_format": CHAT_FORMAT}
+    return {"op1_ngram_jaccard_join": NGRAM_JOIN, "op3_url_filter": URL_FILTER, "op5_exact_dedup": EXACT_DEDUP, "op7_secret_scan": SECRETS, "op8_exact_topk": TOPK, "op10_chat_format": CHAT_FORMAT}
