@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -31,6 +33,12 @@ GUIDE = {
 }
 
 
+def _together(*calls: Callable) -> list:
+    """The results of calls whose Spark jobs don't wait for one another."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
+
+
 @dataclass
 class Engine:
     books: DataFrame  # classified
@@ -158,9 +166,11 @@ class Engine:
         fp, some = self._identity(scope)
         after = K.decode(cursor, "search", fp, q.hash) if cursor else None
         found = S.hits(self.index, q, some)
-        total = after["total"] if after and after["total"] >= 0 else found.count()
         one = S.page(found, limit + 1, (after["after"]["score"], after["after"]["doc"]) if after else None)
-        few = [r.asDict() for r in one.collect()]  # limit + 1 rows at most
+        total, few, told = _together(
+            lambda: after["total"] if after and after["total"] >= 0 else found.count(), lambda: [r.asDict() for r in one.collect()],  # limit + 1 rows at most
+            lambda: self.coverage(scope, schools),
+        )
         more, few = len(few) > limit, few[:limit]
         rows = self._passages(few, q, include_full_text)
         fitted, gone, used, taken = [], {}, 0, 0
@@ -180,7 +190,7 @@ class Engine:
         by: dict[str, int] = {}
         for r in fitted:
             by[r["school"]] = by.get(r["school"], 0) + 1
-        return {"passages": fitted, "by_school": by, "batch": self._envelope(total, len(fitted), more or cut, cursor, "byte_budget" if cut else "max_results" if more else "none"), "unreadable_books": sorted(gone.values(), key=lambda x: x["book_id"]), "notes": P.notes(q), "coverage": self.coverage(scope, schools), "engine": {"generation": self.index.generation}}
+        return {"passages": fitted, "by_school": by, "batch": self._envelope(total, len(fitted), more or cut, cursor, "byte_budget" if cut else "max_results" if more else "none"), "unreadable_books": sorted(gone.values(), key=lambda x: x["book_id"]), "notes": P.notes(q), "coverage": told, "engine": {"generation": self.index.generation}}
 
     def _passages(self, few: list[dict], q: ParsedQuery, full_text: bool) -> list[dict]:
         if not few:
@@ -203,15 +213,18 @@ class Engine:
             found, scanned = S.bounded(found, scan_limit)
         found = found.persist()
         try:
-            per = P.totals_by_school(found, scope).collect()
-            books = [r.asDict(True) for r in P.discover(found, scope.select("book_id", "title", "author", "school"), sample).offset(at).limit(limit + 1).collect()]
+            per, books, told = _together(
+                lambda: P.totals_by_school(found, scope).collect(),
+                lambda: [r.asDict(True) for r in P.discover(found, scope.select("book_id", "title", "author", "school"), sample).offset(at).limit(limit + 1).collect()],
+                lambda: self.coverage(scope, schools),
+            )
         finally:
             found.unpersist()
         grand = next((r for r in per if r["school"] is None), None)
         more = len(books) > limit
         by = sorted((r.asDict() for r in per if r["school"] is not None), key=lambda r: list(schema.SCHOOLS).index(r["school"]))
         cursor = K.encode("discover", fp, q.hash, 0.0, at + limit, at + limit, grand["hits"]) if more else None
-        return {"totals": {"hits": grand["hits"] if grand else 0, "books_with_hits": grand["books"] if grand else 0, "by_school": by}, "books": books[:limit], "batch": self._envelope(grand["books"] if grand else 0, min(limit, len(books)), more, cursor, "scan_limit" if not scanned else "book_limit" if more else "none", scanned), "coverage": self.coverage(scope, schools), "counts_truncated": not scanned}
+        return {"totals": {"hits": grand["hits"] if grand else 0, "books_with_hits": grand["books"] if grand else 0, "by_school": by}, "books": books[:limit], "batch": self._envelope(grand["books"] if grand else 0, min(limit, len(books)), more, cursor, "scan_limit" if not scanned else "book_limit" if more else "none", scanned), "coverage": told, "counts_truncated": not scanned}
 
     def fetch_passages(self, requests: list[dict], neighbors=None, limit=None, cursor=None, include_full_text=True, query: str | None = None, mode: str = "all_terms") -> dict:
         """With a query requested pages tell why they match it, and their excerpts lie around the first match."""
@@ -270,9 +283,9 @@ class Engine:
         scope = self.scope(schools, book_ids)
         fp, some = self._identity(scope)
         found = S.hits(self.index, q, some)
-        failed = [r.asDict() for r in P.failing(found, self.pages, self.books).collect()]  # a row per book that can't be read
+        failed, told = _together(lambda: [r.asDict() for r in P.failing(found, self.pages, self.books).collect()], lambda: self.coverage(scope, schools))  # a row per book that can't be read
         rows = P.export_rows(P.passages(found, self.pages, self.books, self.toc, q, nfc=self.nfc), q, include_full_text)
-        return X.export(rows, scope, q, fp, folder, job_id, include_full_text, failed=failed) | {"coverage": self.coverage(scope, schools)}
+        return X.export(rows, scope, q, fp, folder, job_id, include_full_text, failed=failed) | {"coverage": told}
 
     def citation(self, book_id: str, page_id: int, include_text=False) -> dict:
         book = self.books.where(F.col("book_id") == book_id).first()
