@@ -57,6 +57,19 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps between tasks, such as words it has met: that of the last operator only, so that the stages of a
+    pipeline, which share their workers, don't add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 #: Folders of the checkpoints that cut() has written and release() hasn't removed.
 _cuts: list[str] = []
 
@@ -71,6 +84,17 @@ def cut(df: DataFrame) -> DataFrame:
     return held
 
 
+#: Files of a checkpoint for each core, at most.
+FILES_A_CORE = 4
+
+
+def gather(df: DataFrame) -> DataFrame:
+    """cut(), in no more files than FILES_A_CORE for each core: neighbouring partitions go to one task, and nothing moves. Many small files cost more
+    than they hold, on some file systems a process each.
+    """
+    return cut(df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def mark_cuts() -> int:
     """A mark for release()."""
     return len(_cuts)
@@ -101,7 +125,7 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
 
 def sized(df: DataFrame) -> tuple[DataFrame, int]:
     """The rows of df, written once, in as many partitions as they fill, and their number."""
-    held = cut(df)
+    held = gather(df)
     rows = held.count()
     return compact(held, rows), rows
 

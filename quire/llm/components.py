@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import PARTITION_ROWS, compact, cut, join_groups, sized
+from quire.llm.common import PARTITION_ROWS, compact, cut, gather, join_groups, sized
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, steps: int = 100) -> DataFrame:
         both = both.coalesce(1) if few else both
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
         up = both.where("v > u")
-        met = up.join(least, "u") if few else join_groups(up, cut(least), "u", "n")
+        met = up.join(least, "u") if few else join_groups(up, gather(least), "u", "n")
         large = cut(compact(met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), rows))
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))

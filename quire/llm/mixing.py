@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import MAX_BROADCAST_ROWS, PARTITION_ROWS, compact, cut, join_groups, sized, small_side, text_of
+from quire.llm.common import MAX_BROADCAST_ROWS, PARTITION_ROWS, compact, cut, gather, join_groups, sized, small_side, text_of
 
 CAP = 3.0
 #: Rows of the last hash range, on average, and the bits by which one descent splits a range at most.
@@ -138,8 +138,8 @@ def _key(seed: int) -> Column:
 def copies(docs: DataFrame, extra_targets: dict[str, DataFrame] | None = None, weights: int = 3, cap: float = CAP, seed: int = 7) -> DataFrame:
     """docs with _size, _copies and _mix (source_size, target, rate ...). extra_targets: further level columns, each with (column, target words)."""
     levels = ["source", *(extra_targets or {})]
-    rows = cut(docs.select(*levels, words(text_of()).alias("size"), _key(seed).alias("h")).withColumns({"_cell": _cell(levels), "band": _band("size")}))
-    target = cut(source_targets(rows, weights, cap))
+    rows = gather(docs.select(*levels, words(text_of()).alias("size"), _key(seed).alias("h")).withColumns({"_cell": _cell(levels), "band": _band("size")}))
+    target = gather(source_targets(rows, weights, cap))
     cells = rows.groupBy("_cell", *levels).agg(F.sum("size").alias("size"), F.count("*").alias("n"), *(F.sum(F.when(F.col("band") == k, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(len(BANDS))))
     cells, cell_rows = sized(cells)
     cells = balance(cells, {"source": target, **(extra_targets or {})}, cap)

@@ -22,7 +22,6 @@ occur; very long documents span windows; other columns are ignored; an empty tab
 from __future__ import annotations
 
 import base64
-import functools
 import os
 import re
 import zlib
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quire.llm.common import modest_batches
+from quire.llm.common import kept, modest_batches
 
 TIERS = (128, 256, 512, 1024)
 #: Pieces that a task holds back before it packs them.
@@ -71,12 +70,6 @@ class Encoder:
         return [np.array(self.plain.encode_ordinary(t) if ok else next(rest).ids, "<u4").tobytes() for t, ok in zip(texts, fast, strict=True)]
 
 
-@functools.lru_cache(maxsize=1)
-def held_encoder(path: str, ranks: str | None) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
-    return Encoder(path, ranks)
-
-
 class Packer:
     """Packs pieces (doc_id, start, ids, doc_tokens) of one task. first: where its window and group numbers begin. A group of windows in
     each tier waits until it is full, so a task holds that many besides its pools.
@@ -209,7 +202,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, close_id: int = 0
     closing = np.array([close_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = held_encoder(path, ranks), Packer(TaskContext.get().partitionId() << 40)
+        encoder, packer = kept(("packing", path, ranks), lambda: Encoder(path, ranks)), Packer(TaskContext.get().partitionId() << 40)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

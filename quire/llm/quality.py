@@ -15,7 +15,6 @@ aren't learned from; with no label at all every score is 0.5; repeated rows have
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import modest_batches, text_of
+from quire.llm.common import kept, modest_batches, text_of
 
 #: Passes over the fitted rows: EPOCHS, or as many as LEAST_STEPS batches take where the rows are few.
 FIT_ROWS, FACTORS, EPOCHS, LEAST_STEPS, FOLDS, THRESHOLD = 6000, 8, 10, 600, 5, 0.3
@@ -85,12 +84,6 @@ class Features:
         return np.concatenate([ids, np.arange(SLOTS - len(STATS), SLOTS)]), np.concatenate([values, stats]).astype("f4")
 
 
-@functools.lru_cache(maxsize=1)
-def held_features() -> Features:
-    """One for all tasks of a Python worker, so the words it remembers serve the next task too."""
-    return Features()
-
-
 class Machine:
     """w0, w and v of the factorisation machine."""
 
@@ -161,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     rows = rows.groupBy("doc_id").agg(F.max(F.struct("text", "n_chars", "quality")).alias("x")).select("doc_id", "x.*")  # one of each id
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = held_features()
+        features = kept("quality", Features)
         for b in batches:
             found = [features.of(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "ids": [i.astype("i4").tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]})
@@ -176,7 +169,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m, features = Machine(1, 1), held_features()
+        m, features = Machine(1, 1), kept("quality", Features)
         m.w0, m.w, m.v = sent.value
         for text, n_chars in columns:
             out = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import KeyFilter, RepeatFilter, cut, join_groups, modest_batches, sized, text_of
+from quire.llm.common import KeyFilter, RepeatFilter, gather, join_groups, modest_batches, sized, text_of
 
 # The kinds in their order, the pattern of each, the group that is measured, and its least length.
 KINDS = ("assign", "access", "hex")
@@ -98,7 +98,7 @@ class Ledger:
 
 def _joined(paths: DataFrame, findings: DataFrame) -> DataFrame:
     counted = paths.groupBy("blob").agg(F.count("*").alias("paths"))
-    found = cut(findings.join(counted, "blob"))
+    found = gather(findings.join(counted, "blob"))
     return join_groups(paths.select("doc_id", "blob"), found, "blob", "paths").select("doc_id", "blob", *_FOUND)
 
 
@@ -107,7 +107,7 @@ def unseen(docs: DataFrame, ledger: Ledger, version: str = VERSION) -> tuple[Dat
     doc_id and text only one, of each blob that has no findings under version.
     """
     texts = docs.select("doc_id", text_of().alias("text")).withColumn("blob", F.sha2("text", 256)).withColumn("h", F.xxhash64("blob"))
-    paths = cut(texts.select("doc_id", "blob", "h"))
+    paths = gather(texts.select("doc_id", "blob", "h"))
     repeated, known = RepeatFilter(paths, "h"), ledger.findings(version)
     old = None if known is None else KeyFilter(known.select(F.xxhash64("blob").alias("h")), "h")
 

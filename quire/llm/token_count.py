@@ -14,7 +14,6 @@ and texts are counted whole; repeated rows each get their row; other columns are
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -25,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.common import modest_batches
+from quire.llm.common import kept, modest_batches
 
 #: Words remembered, in each of two generations; a text may add its own beyond that.
 REMEMBER = 400_000
@@ -131,19 +130,13 @@ class Counter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
-@functools.lru_cache(maxsize=1)
-def held_counter(path: str) -> Counter:
-    """One counter for all tasks of a Python worker, so the words it remembers serve the next task too."""
-    return Counter(path)
-
-
 def count(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. path: the tokenizer file, at the same place on every machine."""
 
     modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = held_counter(path)
+        counter = kept(("tokens", path), lambda: Counter(path))
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [counter.count(t) for t in texts]
