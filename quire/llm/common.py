@@ -89,8 +89,8 @@ FILES_A_CORE = 4
 
 
 def gather(df: DataFrame) -> DataFrame:
-    """cut(), in no more files than FILES_A_CORE for each core: neighbouring partitions go to one task, and nothing moves. Many small files cost more
-    than they hold, on some file systems a process each.
+    """cut(), in no more files than FILES_A_CORE for each core: neighbouring partitions go to one task, and nothing moves. For narrow tables
+    that are much smaller than what they come from; many small files cost more than they hold, on some file systems a process each.
     """
     return cut(df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
 

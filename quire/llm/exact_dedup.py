@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import RepeatFilter, gather, join_groups, text_of
+from quire.llm.common import RepeatFilter, cut, gather, join_groups, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -27,7 +27,7 @@ def normalised(text: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n (code points), sha, h of every row, and rid, which tells rows apart."""
-    return gather(
+    return cut(
         docs.select("doc_id", F.length(text_of()).alias("n"), F.sha2(normalised(text_of()), 256).alias("sha"))
         .withColumns({"h": F.xxhash64("sha"), "rid": F.monotonically_increasing_id()})
     )
@@ -52,7 +52,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of docs. Only rows whose text may be repeated move, one of each text from a task."""
     names = docs.columns
-    hashes = gather(docs.select(F.xxhash64(normalised(text_of())).alias("h")))
+    hashes = cut(docs.select(F.xxhash64(normalised(text_of())).alias("h")))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), normalised(text_of()).alias("bare"), F.length(text_of()).alias("n"))
     whole = RepeatFilter(hashes, "h").mark(whole.withColumn("h", F.xxhash64("bare")), "h", "maybe")
     again = whole.where("maybe").select("row", F.sha2("bare", 256).alias("sha"), "n")

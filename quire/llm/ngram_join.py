@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import KeyFilter, compact, gather, join_groups, kept, modest_batches, sized, small_side
+from quire.llm.common import KeyFilter, compact, cut, gather, join_groups, kept, modest_batches, sized, small_side
 from quire.llm.components import components
 
 WORDS, THRESHOLD, LIMIT, TILES, RECALL, BINS, STRIP = 5, 0.8, 256, 4, 0.999, 64, 256
@@ -405,7 +405,7 @@ def _linked(docs: DataFrame, dealt: DataFrame, leaves: int, threshold: float) ->
     """node, links, root from the rows that _dealer made."""
     by = ["leaf", "at"]
     tiled = dealt.repartition(*by).sortWithinPartitions(*by)
-    wanted = gather(tiled.mapInArrow(_candidates(threshold, leaves), "leaf long, at long, raw binary, node long, key long"))
+    wanted = cut(tiled.mapInArrow(_candidates(threshold, leaves), "leaf long, at long, raw binary, node long, key long"))
     ids, rows = sized(wanted.select("key").distinct())
     sets = _texts(docs, ids, rows).select("text").mapInArrow(_sets, "node long, tokens binary")
     sets = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))  # rows alike in doc_id and text
@@ -427,7 +427,7 @@ def _rounds(docs: DataFrame, sets: DataFrame, rows: int, threshold: float, round
         tiles = {int(x): -(-int(n) // most) for x, n in zip(ends, sizes, strict=True) if last or n <= TILES * most}
         shape = "leaf long, at long, raw binary"
         dealt = sets.mapInArrow(_dealer(runs, levels, first, hot, tiles, "old"), shape)
-        now = gather(_linked(docs, dealt, held + runs, threshold))
+        now = cut(_linked(docs, dealt, held + runs, threshold))
         found = now if found is None else found.unionByName(now)
         if not len(deep):
             return found
@@ -436,7 +436,7 @@ def _rounds(docs: DataFrame, sets: DataFrame, rows: int, threshold: float, round
         first, held = first + runs, held + runs
         longer = rounds[k + 1][-1]
         walks = _texts(docs, compact(again.select("key"), rows), rows).mapInArrow(_signer(runs_for(threshold, longer, recall), longer, first), _SIGNED)
-        sets = gather(again.join(walks.groupBy("node").agg(F.first("walks").alias("walks")), "node"))
+        sets = cut(again.join(walks.groupBy("node").agg(F.first("walks").alias("walks")), "node"))
     return found
 
 
@@ -466,8 +466,8 @@ def _first_key() -> Column:
 def _classed(docs: DataFrame, threshold: float = THRESHOLD, rounds: tuple[tuple[int, ...], ...] = ROUNDS, limit: int = LIMIT, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Rows with a set (doc_id, key, class_id, class_key, n_links, n_equal) and those without (doc_id). class_key: the key of the row that stands for the class."""
     modest_batches(docs.sparkSession)
-    signed = gather(_keyed(docs).mapInArrow(_signer(runs_for(threshold, rounds[0][-1], recall), rounds[0][-1]), _SIGNED))
-    sets = gather(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), _first_key().alias("key"), F.count("*").alias("n_equal"), F.first("size").alias("size"), F.first("walks").alias("walks"), F.first("sketch").alias("sketch")))
+    signed = cut(_keyed(docs).mapInArrow(_signer(runs_for(threshold, rounds[0][-1], recall), rounds[0][-1]), _SIGNED))
+    sets = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), _first_key().alias("key"), F.count("*").alias("n_equal"), F.first("size").alias("size"), F.first("walks").alias("walks"), F.first("sketch").alias("sketch")))
     linked = _rounds(docs, sets.select("node", "key", "size", "walks", "sketch"), sets.count(), threshold, rounds, limit, recall)
     labels = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     met, rows = sized(linked.groupBy("node").agg(F.sum("links").alias("n_links")).join(labels, "node", "left").select("node", "n_links", F.coalesce("label", "node").alias("label")))
@@ -476,7 +476,7 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, rounds: tuple[tuple[
     names, rows = sized(grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"), _first_key().alias("class_key")))
     told = own.join(small_side(names, rows), "label", "left")
     own_class = F.col("n_links").isNull()
-    found = gather(told.select("node", F.when(own_class, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own_class, F.col("key")).otherwise(F.col("class_key")).alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal"))
+    found = cut(told.select("node", F.when(own_class, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own_class, F.col("key")).otherwise(F.col("class_key")).alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal"))
     rows = signed.where("node is not null").select("doc_id", "key", "node")
     return join_groups(rows, found, "node", "n_equal").drop("node"), signed.where("node is null").select("doc_id")
 
@@ -490,7 +490,7 @@ def classes(docs: DataFrame, **more) -> DataFrame:
 
 def dedup(docs: DataFrame, **more) -> DataFrame:
     """One document of each class, that of the least doc_id (null comes last), and those without words. Rows that may go move, the others stay."""
-    rows = gather(_classed(docs, **more)[0].select("doc_id", "key", "class_key"))
+    rows = cut(_classed(docs, **more)[0].select("doc_id", "key", "class_key"))
     gone = gather(rows.where("key <> class_key").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct())
     # rows alike in doc_id and text that stand for their class: one of them stays
     twice = gather(rows.where("key = class_key").groupBy(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
