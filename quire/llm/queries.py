@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, secrets, token_count, topk, url_filter
+from quire.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, secrets, spelling, token_count, topk, url_filter
 from quire.llm.common import read, shared_dir
 
 #: The rules of the url query.
@@ -72,6 +72,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "expanded_tokens")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    words = spelling.runs(read(spark, sf_dir, "documents")).select(spelling.misspelt(F.col("run"), key, 31).alias("word"))
+    return spelling.variants(spelling.counted(words))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_source_mix, op3_url_filter, op4_token_count, op5_exact_dedup, op6_quality_classifier, op7_secret_scan, op8_exact_topk, op9_packing, op10_chat_format)
+    own = (op1_ngram_jaccard_join, op2_source_mix, op3_url_filter, op4_token_count, op5_exact_dedup, op6_quality_classifier, op7_secret_scan, op8_exact_topk, op9_packing, op10_chat_format, op11_spelling_variants)
     return {f.__name__: f for f in own}
