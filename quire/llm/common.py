@@ -7,7 +7,7 @@ import math
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space in the sense of the contracts, for Java's and Python's regex alike.
@@ -168,6 +168,31 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return met.unionByName(rows.join(keys, key, "left_anti").join(groups.where(~hot), key))
 
 
+#: Rows whose crc32 of doc_id leaves 0 by this are held out from fitting.
+FOLDS = 5
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0
+
+
+def fit_sample(ids: DataFrame, rows: int, seed: int = 0) -> DataFrame:
+    """doc_id, turn of at most so many ids (distinct), those with the least hashes; turn: their order. Of many ids only some times rows are
+    sorted at all, however many there are.
+    """
+    turn = F.xxhash64("doc_id", F.lit(seed))
+    total = ids.count()
+    if total > 8 * rows:
+        ids = ids.where(F.pmod(turn, F.lit(1 << 30)) < math.ceil((1 << 30) * 4 * rows / total))
+    return ids.select("doc_id", turn.alias("turn")).orderBy("turn", "doc_id").limit(rows)
+
+
+def within_cells(rows: DataFrame, cells: int, by: list[str]) -> DataFrame:
+    """Of a sample (turn, doc_id, cells) the first rows of each kind, as long as they have no more than so many cells together."""
+    upto = F.sum("cells").over(Window.partitionBy(*by).orderBy("turn", "doc_id"))
+    return rows.withColumn("_upto", upto).where(F.col("_upto") <= cells).drop("_upto")
+
+
 class KeyFilter:
     """A Bloom filter of given 64-bit hashes: mark() never misses one, and says "maybe" of few others.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, quality, secrets, spelling, token_count, topk, url_filter
+from quire.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, quality, secrets, spelling, token_count, topk, toxicity, url_filter
 from quire.llm.common import read, shared_dir
 
 #: The rules of the url query.
@@ -84,6 +84,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"), merkle.leaf(text=F.when(tampered, lowered).otherwise(F.col("text"))))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_source_mix, op3_url_filter, op4_token_count, op5_exact_dedup, op6_quality_classifier, op7_secret_scan, op8_exact_topk, op9_packing, op10_chat_format, op11_spelling_variants, op12_merkle_manifest)
+    own = (op1_ngram_jaccard_join, op2_source_mix, op3_url_filter, op4_token_count, op5_exact_dedup, op6_quality_classifier, op7_secret_scan, op8_exact_topk, op9_packing, op10_chat_format, op11_spelling_variants, op12_merkle_manifest, op13_toxicity)
     return {f.__name__: f for f in own}
