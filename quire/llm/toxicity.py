@@ -6,7 +6,7 @@ ones among them are expected to cost. Where that difference falls below zero, th
 heart, and a step goes the other way. Rows that are labelled as not toxic are unlabelled text like any other; the labels give the positives and
 the prior (the share of toxic ones among the labelled documents), nothing else.
 
-MEMBERS classifiers (numpy, logistic loss, linear in the presence of words, which are known by 32-bit hashes) are fitted as Spark tasks, each without
+MEMBERS classifiers (numpy, logistic loss, linear in whether words and words' beginnings occur, and whether they make up a FREQUENT-th of a text's words, all known by 32-bit hashes) are fitted as Spark tasks, each without
 a share of the rows; a score is the mean of theirs. A word takes part if it is in more positive texts than its share of the unlabelled ones
 explains (EXCESS standard deviations and LEAST_TEXTS texts beyond it), so words of single texts, and groups of copies, which count once, decide
 nothing. Each is fitted on FIT_POSITIVES positive and FIT_UNLABELLED unlabelled documents at most, those with the
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,37 +33,47 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import cut, fit_sample, held_out, kept, modest_batches, text_of, within_cells
 
-FIT_POSITIVES, FIT_UNLABELLED, FIT_CELLS = 4000, 12000, 1 << 22
-MEMBERS, STEPS, RATE, DECAY, EXCESS, LEAST_TEXTS, THRESHOLD = 4, 300, 0.1, 1e-3, 4.0, 4, 0.5
-#: Words of a classifier, those most in excess.
-MOST_WORDS = 1 << 14
+FIT_POSITIVES, FIT_UNLABELLED, FIT_CELLS = 3000, 9000, 1 << 22
+MEMBERS, STEPS, RATE, DECAY, EXCESS, LEAST_TEXTS, THRESHOLD = 4, 400, 0.1, 1e-2, 4.0, 4, 0.5
+#: Lengths of beginnings; what a classifier knows at most, of what is most in excess.
+BEGINNINGS, MOST_WORDS = range(3, 8), 1 << 14
+#: A word or beginning is frequent in a text if that many times its count are the text's words at least.
+FREQUENT = 100
+_OFTEN = 0x5BD1E995
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBER = 150_000
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def hashed(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings."""
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (word, *("^" + word[:n] for n in BEGINNINGS if n < len(word)))]
 
 
-def hashed(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+class Features:
+    """Hashes of what a text has; wanted: those that matter, all where it isn't given."""
 
+    def __init__(self, wanted: frozenset[int] | None = None):
+        self.wanted, self.known = wanted, {}
 
-class Words:
-    """What is known of words met lately, by a function of the word."""
-
-    def __init__(self, tell):
-        self.tell, self.known = tell, {}
+    def _tell(self, word: str) -> list[int]:
+        found, wanted = hashed(word), self.wanted
+        return found if wanted is None else [h for h in found if h in wanted or h ^ _OFTEN in wanted]
 
     def of(self, text: str | None) -> list[int]:
-        found, known = words_of(text), self.known
-        if missing := [w for w in found if w not in known]:
+        words = _WORD.findall((text or "").lower())
+        times, known = Counter(words), self.known
+        if missing := [w for w in times if w not in known]:
             if len(known) + len(missing) > _REMEMBER:
                 known.clear()
-                missing = found
+                missing = list(times)
             for w in missing:
-                known[w] = self.tell(w)
-        return [known[w] for w in found]
+                known[w] = self._tell(w)
+        counts: dict[int, int] = {}
+        for w, n in times.items():
+            for h in known[w]:
+                counts[h] = counts.get(h, 0) + n
+        found = [*counts, *(h ^ _OFTEN for h, n in counts.items() if n * FREQUENT >= len(words))]
+        return found if self.wanted is None else [h for h in found if h in self.wanted]
 
 
 def _apart(rows: list[np.ndarray]) -> list[int]:
@@ -92,11 +103,12 @@ def risk(margin_p: np.ndarray, margin_u: np.ndarray, prior: float) -> tuple[floa
 
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the words that take part, sorted."""
-    words, inverse = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
-    split = sum(map(len, positive))
-    in_p, in_u = np.bincount(inverse[:split], minlength=len(words)), np.bincount(inverse[split:], minlength=len(words))
-    expected = in_u * len(positive) / max(1, len(unlabelled))
+    """Hashes of what takes part, sorted."""
+    words, in_p = np.unique(np.concatenate(positive), return_counts=True)
+    words, in_p = words[in_p >= LEAST_TEXTS], in_p[in_p >= LEAST_TEXTS]
+    flat = np.concatenate(unlabelled)
+    flat = flat[np.isin(flat, words)]
+    expected = np.bincount(np.searchsorted(words, flat), minlength=len(words)) * len(positive) / max(1, len(unlabelled))
     excess = in_p - expected - EXCESS * np.sqrt(expected) - LEAST_TEXTS
     best = np.argsort(-excess, kind="stable")[:MOST_WORDS]
     return np.sort(words[best[excess[best] >= 0]])
@@ -124,6 +136,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         else:
             by_u, by_p = -by_u, -by_p
         slope = np.bincount(at_p, np.repeat(by_p, size_p), len(x)) + np.bincount(at_u, np.repeat(by_u, size_u), len(x))
+        slope = slope.astype("f8")  # whole numbers, where nothing takes part
         slope[-1] = by_p.sum() + by_u.sum()
         slope[:-1] += decay * prior * x[:-1]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
@@ -147,9 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> lis
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = kept("toxic words", lambda: Words(hashed))
+        features = kept("toxicity", Features)
         for b in batches:
-            found = [np.unique(np.array(hashes.of(t), "u4")) for t in b["text"]]
+            found = [np.unique(np.array(features.of(t), "u4")) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "cells": [len(x) for x in found], "words": [x.tobytes() for x in found]})
 
     rows = some.join(texts.mapInPandas(words, "doc_id long, cells long, words binary"), "doc_id")
@@ -174,7 +187,7 @@ def scored(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], name: s
     """docs with a score column; the models go out as one broadcast of MEMBERS times MOST_WORDS words at most."""
     modest_batches(docs.sparkSession)
     hashes = np.unique(np.concatenate([m[0] for m in models])) if models else np.zeros(0, "u4")
-    table = np.zeros((len(hashes) + 1, max(1, len(models))))  # the last row is that of all other words
+    table = np.zeros((len(hashes) + 1, max(1, len(models))))  # the last row is nothing's
     for k, (words, weights) in enumerate(models):
         table[np.searchsorted(hashes, words), k] = weights[:-1]
     sent = docs.sparkSession.sparkContext.broadcast((hashes, table, np.array([m[1][-1] for m in models])))
@@ -182,12 +195,12 @@ def scored(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], name: s
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes, table, bias = sent.value
         place = {h: k for k, h in enumerate(hashes.tolist())}
-        rows = Words(lambda w: place.get(hashed(w), len(place)))
+        features = Features(frozenset(place))
         for texts in columns:
             if not len(bias):
                 yield pd.Series(np.zeros(len(texts)))
                 continue
-            yield pd.Series([float(_sigmoid(table[np.unique(rows.of(t) or [len(place)])].sum(axis=0) + bias).mean()) for t in texts], dtype="f8")
+            yield pd.Series([float(_sigmoid(table[[*(place[h] for h in features.of(t)), len(place)]].sum(axis=0) + bias).mean()) for t in texts], dtype="f8")
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(name, F.pandas_udf(run, "double")(text_of()))
