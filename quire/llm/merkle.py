@@ -4,15 +4,15 @@ A leaf is the SHA-256 of a row's columns, each as `-` if null, else its UTF-8 by
 has fewer, even one) have the SHA-256 of their digests in hexadecimal as parent; what remains of a group is its subroot, and the subroots in the
 order of the groups (null first, then by UTF-8 bytes) have the root above them.
 
-The trees are walked in supersteps of vertices (tree, level, place), as in Pregel, over RDDs. Upward, a vertex sends its digest to its parent; a
-parent that has all its children hashes them and is active in the next superstep; the last vertex of a tree halts as its root. Downward,
-the supersteps run in reverse: a vertex sends to each child the digests of the child's siblings and of all that it was sent itself, until each
-leaf has its path, folds it, and compares with the root.
+The trees are walked in supersteps, as in Pregel, over RDDs. A vertex (tree, layer, place) stands for LOCAL levels of its tree, so it has FAN^LOCAL
+children at most. Upward, a vertex sends its digest to its parent; a parent that has all its children hashes them, level by level, and
+forwards its own digest in the next superstep; the vertex that holds a whole tree halts, and has its root. Downward, the supersteps run in
+reverse: a vertex sends to each child the digests of the child's siblings, level by level, and all that it was sent itself, until each leaf
+has its path, folds it, and compares with the root.
 
-A vertex lies in the partition of its block, the leaves below one vertex of level LOCAL, so messages of the lower levels stay where they are; only
-one in FAN^LOCAL of the vertices moves, upward and down. Groups are numbered from sorted ranges of rows, so a group of any size spreads over
-all tasks; the driver sees one row a partition, and one digest. Each superstep's vertices are checkpointed in the shared folder; what a
-lost executor held is made again from there.
+Leaves are numbered from sorted ranges of rows, so a group of any size spreads over all tasks; the driver sees one row a partition, and one
+digest. One in FAN^LOCAL of the vertices of a layer goes up to the next. Each layer is checkpointed in the shared folder; what a lost executor
+held is made again from there. Memory: a vertex and its children.
 
 Defined results: null columns have digests as above, null doc_id comes first, null groups have a tree of their own; empty and long texts are
 hashed whole; rows alike in group and doc_id are ordered by their digests, and repeated rows are a leaf each; other columns are
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut
 
 FAN = 8
-#: Level whose vertices have blocks of leaves of their own; rows of a partition, about.
-LOCAL, PART_ROWS = 4, 1 << 15
+#: Levels that a vertex stands for, and children that it has at most; rows of a partition, about.
+LOCAL = 4
+SPAN, PART_ROWS = FAN**LOCAL, 1 << 15
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _TOP = ""
 PROVED = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -55,10 +56,8 @@ def leaf(**values: Column) -> Column:
 
 
 def _place(key: tuple[str, int, int]) -> int:
-    """A hash of the block that a vertex lies in."""
-    tree, level, at = key
-    level, at = (LOCAL, at // FAN ** (LOCAL - level)) if level < LOCAL else (level, at)
-    return xxhash.xxh64_intdigest(f"{level}|{at}|{tree}".encode())
+    tree, layer, at = key
+    return xxhash.xxh64_intdigest(f"{layer}|{at}|{tree}".encode("utf-8", "surrogatepass"))
 
 
 def _tree(group: str | None) -> str:
@@ -79,47 +78,49 @@ def _ranged(leaves: DataFrame, parts: int) -> DataFrame:
 
 
 def _counted(index: int, rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Of a partition: its number, the rows of its first and last group, and whether it has but one group."""
+    """Of a partition: its number, its first group and that group's rows, its last group and that group's rows, the number of groups, and the
+    rows of the largest one.
+    """
     first = last = None
-    first_rows = rows_ = 0
-    for row in rows:
-        tree = row[0]
-        if last is None:
-            first = last = (tree,)
-        if (tree,) != last:
-            if last == first and not first_rows:
-                first_rows = rows_
-            last, rows_ = (tree,), 0
-        rows_ += 1
-    if last is not None:
-        yield index, first[0], rows_ if first == last else first_rows, last[0], rows_, first == last
-
-
-def _numbered(rows: RDD) -> RDD:
-    """Rows (tree, doc_id, leaf, claimed), in order, as vertices ((tree, 0, place), (rows of the tree, leaf, (doc_id, claimed)))."""
-    seen = sorted(rows.mapPartitionsWithIndex(_counted).collect())  # a row a partition
-    before, after = {}, {}
-    for ends, out in ((seen, before), (seen[::-1], after)):
-        held: tuple = ()  # the group at the border, and its rows on that side
-        for index, first, first_rows, last, last_rows, one in ends:
-            near, near_rows, far, far_rows = (first, first_rows, last, last_rows) if out is before else (last, last_rows, first, first_rows)
-            out[index] = held[1] if held and held[0] == near else 0
-            held = (far, out[index] + near_rows if one else far_rows)
-
-    def number(index: int, part: Iterator[tuple]) -> Iterator[tuple]:
+    groups = most = 0
+    for tree, run in itertools.groupby(rows, key=lambda r: r[0]):
+        last = (tree, sum(1 for _ in run))
+        first, groups, most = first or last, groups + 1, max(most, last[1])
+    if last:
+        yield index, *first, *last, groups, most
+
+
+class _Places:
+    """Where the partitions' first and last groups begin and end, from a row a partition; the number of groups, and the rows of the largest one."""
+
+    def __init__(self, seen: list[tuple]):
+        #: Rows of a partition's first group that lie before it, and of its last group that lie behind it.
+        self.before, self.after = {}, {}
+        self.trees, self.most = 0, 0
+        held = None  # the group that the last partition ended with, and its rows so far
+        for index, first, first_rows, last, last_rows, groups, most in seen:
+            goes_on = held is not None and held[0] == first
+            self.before[index] = held[1] if goes_on else 0
+            self.trees += groups - goes_on
+            held = (last, last_rows + (self.before[index] if groups == 1 else 0))
+            self.most = max(self.most, most, held[1], first_rows + self.before[index])
+        held = None
+        for index, first, first_rows, last, _, groups, _ in seen[::-1]:
+            self.after[index] = held[1] if held is not None and held[0] == last else 0
+            held = (first, first_rows + (self.after[index] if groups == 1 else 0))
+
+    def number(self, index: int, part: Iterator[tuple]) -> Iterator[tuple]:
+        """Rows (tree, doc_id, leaf, claimed), in order, as messages to the vertices of the first layer."""
         groups = itertools.groupby(part, key=lambda r: r[0])
-        held = next(groups, None)
-        start = before.get(index, 0)
+        held, start = next(groups, None), self.before.get(index, 0)
         while held is not None:
-            tree, run = held[0], list(held[1])  # of one partition
+            tree, run = _tree(held[0]), list(held[1])  # of one partition
             held = next(groups, None)
-            n = start + len(run) + (after[index] if held is None else 0)
+            n = start + len(run) + (self.after[index] if held is None else 0)
             for k, (_, doc_id, digest, claimed) in enumerate(run, start):
-                yield (_tree(tree), 0, k), (n, digest, (doc_id, claimed))
+                yield (tree, 1, k // SPAN), (n, k % SPAN, digest, (doc_id, claimed))
             start = 0
 
-    return rows.mapPartitionsWithIndex(number)
-
 
 # supersteps
 
@@ -132,66 +133,73 @@ def _kept(rdd: RDD, held: list[RDD]) -> RDD:
     return rdd
 
 
+def _layers(n: int) -> int:
+    layers = 1
+    while n > SPAN:
+        n, layers = -(-n // SPAN), layers + 1
+    return layers
+
+
+def _levels(n: int, digests: list[str]) -> list[list[str]]:
+    """The digests of a vertex by level, from its children to its own; n: nodes of the tree as low as the children."""
+    levels = [digests]
+    while len(levels[-1]) > 1 if n <= SPAN else len(levels) <= LOCAL:
+        low = levels[-1]
+        levels.append([_hash("".join(low[k : k + FAN])) for k in range(0, len(low), FAN)])
+    return levels
+
+
+def _completed(met: Iterator[tuple]) -> Iterator[tuple]:
+    """Vertices (key, (n, children, digest)) of which every child has sent."""
+    for (tree, layer, at), messages in met:
+        sent = sorted(messages, key=lambda m: m[1])
+        n = sent[0][0]
+        if [m[1] for m in sent] != list(range(min(SPAN, n - SPAN * at))):
+            raise ValueError(f"a vertex of layer {layer} has {len(sent)} children")
+        yield (tree, layer, at), (n, [m[2:] for m in sent], _levels(n, [m[2] for m in sent])[-1][0])
+
+
 def _to_parents(vertices: Iterator[tuple]) -> Iterator[tuple]:
-    for (tree, level, at), (n, digest, more) in vertices:
-        if n > 1:
-            yield (tree, level + 1, at // FAN), (n, at % FAN, digest, more)
-
-
-def _completed(families: Iterator[tuple]) -> Iterator[tuple]:
-    """Families ((tree, level, place), (vertices of the level, digest, children)) of which every child has sent."""
-    for (tree, level, at), messages in families:
-        children = sorted((x[1:] for x in messages), key=lambda c: c[0])
-        n = next(iter(messages))[0]
-        if len(children) != min(FAN, n - FAN * at):
-            raise ValueError(f"a vertex of level {level} has {len(children)} children")
-        yield (tree, level, at), (-(-n // FAN), _hash("".join(c[1] for c in children)), children)
-
-
-def _upward(vertices: RDD, parts: int, held: list[RDD]) -> tuple[list[RDD], RDD]:
-    """The families of each level from the first on, and the roots (tree, (level, digest, more)) of all trees."""
-    levels: list[RDD] = []
-    roots = vertices.filter(lambda v: v[1][0] == 1).map(lambda v: (v[0][0], (0, v[1][1], v[1][2])))
-    active = vertices
-    while True:
-        local = len(levels) < LOCAL and active.partitioner is not None
-        sent = active.mapPartitions(_to_parents, preservesPartitioning=local)
-        families = _kept(sent.groupByKey(parts, _place).mapPartitions(_completed, preservesPartitioning=True), held)
-        if families.isEmpty():
-            return levels, roots
-        families.count()  # writes it whole
-        levels.append(families)
-        roots = roots.union(families.filter(lambda v: v[1][0] == 1).map(lambda v: (v[0][0], (v[0][1], v[1][1], None))))
-        active = families.mapValues(lambda v: (v[0], v[1], None))
+    for (tree, layer, at), (n, _, digest) in vertices:
+        if n > SPAN:
+            yield (tree, layer + 1, at // SPAN), (-(-n // SPAN), at % SPAN, digest, None)
+
+
+def _upward(messages: RDD, layers: int, parts: int, held: list[RDD]) -> tuple[list[RDD], RDD]:
+    """The vertices of each layer, and the roots (tree, (layer, digest)) of all trees."""
+    found: list[RDD] = []
+    for _ in range(layers):
+        found.append(_kept(messages.groupByKey(parts, _place).mapPartitions(_completed, preservesPartitioning=True), held))
+        messages = found[-1].mapPartitions(_to_parents)
+    return found, messages.ctx.union([v.filter(lambda x: x[1][0] <= SPAN).map(lambda x: (x[0][0], (x[0][1], x[1][2]))) for v in found])
 
 
 def _to_children(met: Iterator[tuple]) -> Iterator[tuple]:
-    """To each child of a family that has its path: ((tree, level, place), (child's digest and more, what was sent, path)). A path is the digests before and after,
-    level by level.
+    """To each child of a vertex that has been sent a path: ((tree, layer, place), (child's digest and more, what was told, path)). A path is the digests before and
+    behind, level by level.
     """
-    for (tree, level, at), found in met:
-        family = next(x for kind, x in found if kind == 0)
-        told, path = next(x for kind, x in found if kind == 1)
-        children = family[2]
-        digests = [c[1] for c in children]
-        for k, (slot, digest, more) in enumerate(children):
-            yield (tree, level - 1, at * FAN + slot), (digest, more, told, [("".join(digests[:k]), "".join(digests[k + 1 :])), *path])
-
-
-def _downward(levels: list[RDD], roots: RDD, parts: int, held: list[RDD]) -> RDD:
-    """Leaves' ((tree, 0, place), (digest, more, told, path)) of trees with families. roots: ((tree, level, 0), (told, path))."""
-    paths = reached = None
-    for level in range(len(levels), 0, -1):
-        here = roots.filter(lambda v, level=level: v[0][1] == level).partitionBy(parts, _place)
-        paths = here if paths is None else here.union(paths)
-        met = levels[level - 1].mapValues(lambda v: (0, v)).union(paths.mapValues(lambda v: (1, v)))
-        reached = met.groupByKey(parts, _place).mapPartitions(_to_children, preservesPartitioning=level <= LOCAL)
-        if level > 1:
-            paths = reached.mapValues(lambda v: v[2:])
-            paths = paths if level <= LOCAL else paths.partitionBy(parts, _place)
-            if level == LOCAL + 1:
-                paths = _kept(paths, held)
-    return reached
+    for (tree, layer, at), found in met:
+        (n, children, _), (told, path) = (next(x for kind, x in found if kind == k) for k in (0, 1))
+        levels = _levels(n, [c[0] for c in children])[:-1]
+        for slot, (digest, more) in enumerate(children):
+            own, k = [], slot
+            for level in levels:
+                low = k // FAN * FAN
+                own.append(("".join(level[low:k]), "".join(level[k + 1 : low + FAN])))
+                k //= FAN
+            yield (tree, layer - 1, at * SPAN + slot), (digest, more, told, own + path)
+
+
+def _downward(vertices: list[RDD], roots: RDD, parts: int) -> RDD:
+    """The leaves' (digest, more, told, path). roots: ((tree, layer, 0), (told, path))."""
+    reached = None
+    for layer in range(len(vertices), 0, -1):
+        paths = roots.filter(lambda v, layer=layer: v[0][1] == layer)
+        if reached is not None:
+            paths = paths.union(reached.mapValues(lambda v: v[2:]))
+        met = vertices[layer - 1].mapValues(lambda v: (0, v)).union(paths.partitionBy(parts, _place).mapValues(lambda v: (1, v)))
+        reached = met.groupByKey(parts, _place).mapPartitions(_to_children)
+    return reached.values()
 
 
 def proofs(leaves: DataFrame) -> DataFrame:
@@ -203,28 +211,20 @@ def proofs(leaves: DataFrame) -> DataFrame:
         return spark.createDataFrame([], PROVED)
     parts = max(sc.defaultParallelism, math.ceil(rows / PART_ROWS))
     ordered = _ranged(narrow, parts).select("tree", "doc_id", "leaf", "claimed").rdd.map(tuple)
+    places = _Places(sorted(ordered.mapPartitionsWithIndex(_counted).collect(), key=lambda x: x[0]))  # a row a partition
     held: list[RDD] = []
-    vertices = _kept(_numbered(ordered).partitionBy(parts, _place), held)
-    levels, subroots = _upward(vertices, parts, held)
-    subroots = _kept(subroots.map(lambda v: (v[0], v[1][:2])).sortBy(lambda v: _order(v[0])), held)
-    trees = subroots.count()
-    few = max(1, math.ceil(trees / PART_ROWS))
-    numbered = subroots.zipWithIndex().map(lambda v: ((_TOP, 0, v[1]), (trees, v[0][1][1], (v[0][0], v[0][1][0]))))
-    top_levels, top = _upward(_kept(numbered.partitionBy(few, _place), held), few, held)
+    vertices, subroots = _upward(ordered.mapPartitionsWithIndex(places.number), _layers(places.most), parts, held)
+    few, trees = math.ceil(places.trees / PART_ROWS), places.trees
+    numbered = _kept(subroots, held).sortBy(lambda v: _order(v[0]), numPartitions=few).zipWithIndex()
+    messages = numbered.map(lambda v: ((_TOP, 1, v[1] // SPAN), (trees, v[1] % SPAN, v[0][1][1], (v[0][0], v[0][1][0]))))
+    top_vertices, top = _upward(messages, _layers(trees), few, held)
     root = top.first()[1][1]
-    if top_levels:
-        told = _downward(top_levels, sc.parallelize([((_TOP, len(top_levels), 0), ("", []))], 1), few, held)
-        roots = told.map(lambda v: ((*v[1][1], 0), (v[1][0], v[1][3])))
-    else:
-        roots = numbered.map(lambda v: ((*v[1][2], 0), (v[1][1], [])))
-    roots = _kept(roots, held)
-    alone = vertices.filter(lambda v: v[1][0] == 1).mapValues(lambda v: (0, v)).union(roots.filter(lambda v: v[0][1] == 0).mapValues(lambda v: (1, v)).partitionBy(parts, _place))
-    alone = alone.groupByKey(parts, _place).mapValues(lambda met: (next(x for k, x in met if k == 0), next(x for k, x in met if k == 1)))
-    alone = alone.mapValues(lambda v: (v[0][1], v[0][2], *v[1]))
-    reached = alone.union(_downward(levels, roots, parts, held)) if levels else alone
+    told = _downward(top_vertices, sc.parallelize([((_TOP, len(top_vertices), 0), ("", []))], 1), few)
+    roots = _kept(told.map(lambda v: ((*v[1], 0), (v[0], v[3]))), held)
+    reached = _downward(vertices, roots, parts)
 
     def fold(part: Iterator[tuple]) -> Iterator[tuple]:
-        for _, (digest, (doc_id, claimed), subroot, path) in part:
+        for digest, (doc_id, claimed), subroot, path in part:
             proof = hashlib.sha256()
             folded = claimed
             for before, after in path:
