@@ -1,35 +1,54 @@
-"""A small library whose hits are known in advance: books of numbered pages with phrases planted at fixed places, read from SQLite files,
-searched through the tools. Counts follow from the rule: a phrase stands on the pages whose number leaves its remainder by 17.
+"""A library of SQLite files whose hits are known: a seeded draw says which pages of which shelf's books hold which saying, the files are written
+from that draw, and the tools have to find the very same pages.
 """
 
+import json
+import random
 import sqlite3
+from collections import Counter
 
 import pytest
 
 from quire import engine as E
 from quire.operators import catalogue as C
+from quire.operators import search as S
 from quire.plans.index import Index
+from quire.plans.query import parse
 from quire.sources import library as L
 from quire.sources import sqlite as Q
 
-#: book -> (category, pages, phrases that are planted)
-BOOKS = {
-    1001: (1, 120, "ab"), 1002: (1, 200, "a"), 1003: (1, 80, "c"), 2001: (2, 150, "ac"), 2002: (2, 90, "b"), 2003: (2, 110, "a"), 3001: (3, 180, "abc"), 3002: (3, 130, "b"), 3003: (3, 100, "a"),
-    4001: (4, 210, "ac"), 4002: (4, 95, "b"), 4003: (4, 70, "a"), 5001: (5, 160, "abc"), 6001: (6, 60, "c"), 6002: (6, 55, ""), 7001: (1, 65, "a"), 7002: (6, 50, "b"),
-}
-CATEGORIES = {1: "الفقه الحنفي", 2: "الفقه المالكي", 3: "الفقه الشافعي", 4: "الفقه الحنبلي", 5: "كتب أخرى", 6: "الأدب"}
-REST = {"a": 3, "b": 7, "c": 11}
-#: Each phrase in the form that is searched, and as a marked spelling of the same letters.
-PHRASES = {"a": ("طلع القمر على الوادي", "طَلَعَ القَمَرُ على الوادِي"), "b": ("سار الركب نحو الجبل", "سارَ الرَّكْبُ نحوَ الجبل"), "c": ("هبت الريح من الشرق", "هَبَّتِ الرِّيحُ من الشرق")}
+#: shelf -> its school, by the shipped rules
+SHELVES = {"الفقه المالكي": "maliki", "الفقه الحنفي": "hanafi", "الفقه الحنبلي": "hanbali", "الفقه الشافعي": "shafii", "الرحلات": "unclassified"}
+#: What is searched, and two more spellings of the same letters.
+SAYINGS = {
+    "bread": ("خبز القمح في السوق", "خُبْزُ القمحِ في السّوق", "خبـز القمـح في السوق"),
+    "boat": ("يعبر القارب النهر مساء", "يَعبُرُ القاربُ النّهرَ مساءً", "يعبر القارب النهـر مساء"),
+    "lamp": ("سراج البيت لا ينطفئ", "سِراجُ البيتِ لا يَنطفئُ", "ســراج البيت لا ينطفئ"),
+}
+CHAPTER = 12
 
 
-def planted(book, phrase, in_pages):
-    return [p for p in range(1, in_pages + 1) if phrase in BOOKS[book][2] and p % 17 == REST[phrase]]
+def drawn():
+    """book -> (shelf, whether its pages are printed ones, [sayings of each page])"""
+    draw, out = random.Random(20), {}
+    for number in range(14):
+        shelf = list(SHELVES)[number % len(SHELVES)]
+        pages = [[s for s in SAYINGS if draw.random() < share] for share in [draw.choice((0.0, 0.1, 0.4))] for _ in range(draw.randint(18, 75))]
+        out[str(310 + 7 * number)] = (shelf, number != 6, pages)
+    return out
+
+
+BOOKS = drawn()
+ABSENT = {"900": "الفقه الحنفي", "907": "الرحلات"}
+
+
+def places(saying, schools=None):
+    return {(b, p) for b, (shelf, _, pages) in BOOKS.items() if schools is None or SHELVES[shelf] in schools for p, held in enumerate(pages, 1) if saying in held}
 
 
 def body(book, page):
-    told = [PHRASES[k][page % 34 == REST[k]] for k in "abc" if k in BOOKS[book][2] and page % 17 == REST[k]]
-    return " ".join(["بداية الصفحة", str(page), *told, "نهاية الكلام"])
+    held = BOOKS[book][2][page - 1]
+    return " ".join(["كتاب", book, "ورقة", str(page), *(SAYINGS[s][(page + len(s)) % 3] for s in held), "تمت"])
 
 
 @pytest.fixture(scope="module")
@@ -39,16 +58,16 @@ def tools(spark, tmp_path_factory):
     (root / "database").mkdir()
     m = sqlite3.connect(root / "database" / "master.db")
     m.executescript("create table book (book_id integer primary key, book_name text, book_category integer, main_author integer, major_ondisk integer); create table category (category_id integer primary key, category_name text); create table author (author_id integer primary key, author_name text);")
-    m.executemany("insert into category values (?, ?)", CATEGORIES.items())
-    m.executemany("insert into book values (?, ?, ?, 1, ?)", [(b, f"Book {b}", c, 1) for b, (c, *_) in BOOKS.items()] + [(8001, "Not there", 1, 0), (8002, "Nor this", 3, 0)])
+    m.executemany("insert into category values (?, ?)", enumerate(SHELVES, 1))
+    m.executemany("insert into book values (?, ?, ?, 1, ?)", [(int(b), f"Volume {b}", list(SHELVES).index(c) + 1, 1) for b, (c, *_) in BOOKS.items()] + [(int(b), "Elsewhere", list(SHELVES).index(c) + 1, 0) for b, c in ABSENT.items()])
     m.commit()
-    for b, (_, pages, _) in BOOKS.items():
-        path = root / "database" / L.shard_path(str(b))
+    for b, (_, printed, pages) in BOOKS.items():
+        path = root / "database" / L.shard_path(b)
         path.parent.mkdir(parents=True, exist_ok=True)
         c = sqlite3.connect(path)
         c.executescript("create table page (id integer primary key, content text, part text, page integer); create table title (id integer primary key, page integer, parent integer, tit text);")
-        c.executemany("insert into page values (?, ?, ?, ?)", [(p, body(b, p), str((p - 1) // 60 + 1), None if b == 4003 else p) for p in range(1, pages + 1)])
-        c.executemany("insert into title values (?, ?, null, ?)", [(p, p, f"T{p}") for p in range(1, pages + 1, 25)])
+        c.executemany("insert into page values (?, ?, ?, ?)", [(p, body(b, p), "1", p if printed else None) for p in range(1, len(pages) + 1)])
+        c.executemany("insert into title values (?, ?, null, ?)", [(p, p, f"Chapter from {p}") for p in range(1, len(pages) + 1, CHAPTER)])
         c.commit()
     spark.dataSource.register(Q.BookFiles)
     read = lambda table: spark.read.format("bookfiles").option("root", str(root)).option("table", table).load()
@@ -60,38 +79,47 @@ def tools(spark, tmp_path_factory):
     return e
 
 
-def test_counts_over_all_books(tools):
-    from quire.operators import search as S
-    from quire.plans.query import parse
+def found(tools, saying, spelling=0):
+    return {(r.book_id, r.page_id) for r in S.hits(tools.index, parse(SAYINGS[saying][spelling], "phrase")).collect()}
+
 
-    for k, n in (("a", 83), ("b", 50), ("c", 48)):
-        got = {(r.book_id, r.page_id) for r in S.hits(tools.index, parse(PHRASES[k][0], "phrase")).collect()}
-        assert got == {(str(b), p) for b, (_, pages, _) in BOOKS.items() for p in planted(b, k, pages)} and len(got) == n
+@pytest.mark.parametrize("saying", SAYINGS)
+def test_pages_found_are_those_planted(tools, saying):
+    assert places(saying)
+    for spelling in range(3):
+        assert found(tools, saying, spelling) == places(saying)
 
 
-def test_counts_in_the_four_schools(tools):
-    for k, n, by in (("a", 73, {"hanafi": 23, "maliki": 16, "shafii": 17, "hanbali": 17}), ("b", 37, None), ("c", 36, None)):
-        r = tools.discover_issue(PHRASES[k][0], "phrase", limit=200)
-        assert r["totals"]["hits"] == n == sum(b["hits"] for b in r["books"])
-        if by:
-            assert {s["school"]: s["hits"] for s in r["totals"]["by_school"]} == by
+@pytest.mark.parametrize("saying", SAYINGS)
+def test_totals_of_the_four_schools(tools, saying):
+    want = Counter(SHELVES[BOOKS[b][0]] for b, _ in places(saying))
+    want.pop("unclassified", None)
+    r = tools.discover_issue(SAYINGS[saying][0], "phrase", limit=200)
+    assert r["totals"]["hits"] == want.total() and {s["school"]: s["hits"] for s in r["totals"]["by_school"]} == dict(want)
+    assert {b["book_id"]: b["hits"] for b in r["books"]} == Counter(b for b, _ in places(saying, schema_of_four()))
+
+
+def schema_of_four():
+    return {s for s in SHELVES.values() if s != "unclassified"}
+
+
+def test_a_walk_meets_each_page_once(tools):
     seen, cursor = [], None
     while True:
-        r = tools.search(PHRASES["a"][0], "phrase", limit=20, cursor=cursor)
-        seen += [(p["book_id"], p["page_id"]) for p in r["passages"]]
-        assert all(p["match_reason"].endswith("occurs in order on the page") and p["toc_path"] == [f"T{(p['page_id'] - 1) // 25 * 25 + 1}"] for p in r["passages"])
+        r = tools.search(SAYINGS["boat"][1], "phrase", limit=7, cursor=cursor)
+        for p in r["passages"]:
+            seen.append((p["book_id"], p["page_id"]))
+            assert p["match_reason"].endswith("occurs in order on the page") and p["toc_path"] == [f"Chapter from {(p['page_id'] - 1) // CHAPTER * CHAPTER + 1}"]
         if not (cursor := r["batch"]["next_cursor"]):
             break
-    assert len(seen) == len(set(seen)) == 73
-
+    assert Counter(seen) == Counter(places("boat", schema_of_four()))
 
-def test_marked_spellings_and_export(tools):
-    """A query in either spelling finds both; an export has them all, with printed pages where there are any."""
-    import json
 
-    assert tools.search(PHRASES["b"][1], "phrase")["batch"]["total_hits"] == 37
-    r = tools.export_results(PHRASES["a"][0], "phrase", job_id="planted")
+def test_export_and_health(tools):
+    """An export has every hit, with printed pages where there are any."""
+    r = tools.export_results(SAYINGS["lamp"][2], "phrase", job_id="planted")
     rows = [json.loads(x) for x in open(f"{r['path']}/results.jsonl")]
-    assert len(rows) == r["total"] == 73 and r["failed"] == [] and {x["printed_page"] for x in rows if x["book_id"] == "4003"} == {None}
+    assert {(x["book_id"], x["page_id"]) for x in rows} == places("lamp", schema_of_four()) and len(rows) == r["total"] and r["failed"] == []
+    assert all((x["printed_page"] is not None) == BOOKS[x["book_id"]][1] for x in rows)
     h = tools.health()
-    assert h["library"]["found"] and h["index"]["documents"] == sum(p for _, p, _ in BOOKS.values()) and h["catalogue"]["downloaded"] == len(BOOKS)
+    assert h["library"]["found"] and h["index"]["documents"] == sum(len(pages) for _, _, pages in BOOKS.values()) and h["catalogue"]["downloaded"] == len(BOOKS)
