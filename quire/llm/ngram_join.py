@@ -17,8 +17,10 @@ bins doesn't put it far below (more than five standard deviations); then only do
 they have a candidate, and the exact similarity decides where the sets are. Sets that are equal are one node from the start. What is emitted is a
 row per set and bucket (a count of links and the least set it is linked with), never pairs; classes are the connected components.
 
-Buckets above the limit are known to every task. There are at most HOT_BUCKETS of them at a level, as the limit is a HOT_BUCKETS-th of all
-rows where that is more than LIMIT; they are a broadcast of bounded size.
+Buckets above the limit are known to every task, as a broadcast of HOT_BUCKETS of them at most. Where a level has more, no list is made: every
+bucket of that level is split, which the number of runs allows for, since the target probability is that of whole paths. The limit is the
+same for any number of sets. At the end of the paths the sets that share a large bucket are dealt to its tiles in the shuffle, with the
+bucket's size joined to them where there are too many such buckets to broadcast.
 
 Memory: an Arrow batch of texts; the sketches, then the sets, of a bucket or of two tiles; compared in strips of STRIP sets.
 Counting every link of a group of g different near copies takes g^2 / 2 comparisons of sketches; that is the price of n_links.
@@ -47,7 +49,7 @@ from quire.llm.components import components
 WORDS, THRESHOLD, LIMIT, TILES, RECALL, BINS, STRIP = 5, 0.8, 256, 4, 0.999, 64, 256
 #: Lengths at which the paths of each round are looked at; the last is their end.
 ROUNDS = ((1, 2, 3), (4, 8))
-#: Most buckets above the limit, by counting.
+#: Most large buckets of a level that every task is told of.
 HOT_BUCKETS = 1 << 18
 _WORD = re.compile(r"\w+")
 _REMEMBER = 300_000
@@ -179,45 +181,63 @@ def _members(runs: int, depth: int, first: int, level: int, above: np.ndarray |
     return run
 
 
-def _hot(sets: DataFrame, runs: int, levels: tuple[int, ...], first: int, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level the buckets, and their sizes, of more than limit sets within such buckets of the level before: HOT_BUCKETS at most, by counting."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def _hot(sets: DataFrame, rows: int, runs: int, levels: tuple[int, ...], first: int, limit: int) -> tuple[list[np.ndarray | None], dict[int, int] | DataFrame]:
+    """For each level the buckets of more than limit sets within such buckets of the level before, or None where there are more than HOT_BUCKETS: then
+    all count as large. And the sizes of those at the end of the paths, as a table (bucket, n) where there are so many.
+    """
+    out: list[np.ndarray | None] = []
+    ends: dict[int, int] | DataFrame = {}
     for k, level in enumerate(levels):
-        found = sets.select("walks").mapInArrow(_members(runs, levels[-1], first, level, out[-1][0] if out else None, levels[k - 1]), "bucket long")
-        large = found.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
-        ids, sizes = np.array([r[0] for r in large], "i8").astype("u8"), np.array([r[1] for r in large], "i8")
-        order = np.argsort(ids)
-        out.append((ids[order], sizes[order]))
-        if not large:
+        found = sets.select("walks").mapInArrow(_members(runs, levels[-1], first, level, out[-1] if out else None, levels[k - 1]), "bucket long")
+        large = found.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+        n = 0
+        if rows * runs > limit * HOT_BUCKETS:  # else there can't be too many
+            large, n = sized(large)
+        if n > HOT_BUCKETS:
+            out.append(None)
+            ends = large if k + 1 == len(levels) else ends
+            continue
+        told = large.collect()  # HOT_BUCKETS rows at most
+        ids = np.array([r[0] for r in told], "i8").astype("u8")
+        out.append(np.sort(ids))
+        if k + 1 == len(levels):
+            ends = dict(zip(ids.tolist(), [r[1] for r in told], strict=True))
+        if not told:
             break
-    return out
+    return out, ends
 
 
 def _record(leaves: int) -> np.dtype:
     return np.dtype([("node", "<i8"), ("key", "<i8"), ("size", "<u4"), ("run", "<u4"), ("tile", "<u4"), ("leaves", "<u4", (leaves,)), ("sketch", "u1", (BINS,))])
 
 
-def _leaves(walks: np.ndarray, levels: tuple[int, ...], first: int, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(walks: np.ndarray, levels: tuple[int, ...], first: int, hot: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
     """The bucket that each set (row) ends in in each run (column), and whether that is a hot one. hot: buckets by level."""
     run_ids = np.arange(first, first + walks.shape[1], dtype="u8")
     leaf = _bucket(walks, levels[0], run_ids)
-    large = np.isin(leaf, hot[0])
+    large = _is_hot(leaf, hot[0])
     for k in range(1, len(levels)):
         if not large.any():
             break
         leaf = np.where(large, _bucket(walks, levels[k], run_ids), leaf)
-        large &= np.isin(leaf, hot[k])
+        large &= _is_hot(leaf, hot[k])
     return leaf, large
 
 
+def _is_hot(leaf: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
+    return np.ones(leaf.shape, bool) if hot is None else np.isin(leaf, hot)
+
+
 def _short(leaf: np.ndarray) -> np.ndarray:
     """Four bytes of a bucket, never 0."""
     return (leaf >> np.uint64(32)).astype("u4") | np.uint32(1)
 
 
-def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray], tiles: dict[int, int], column: str):
-    """Rows (leaf, at, raw) for each set and run. tiles: their number for large buckets; other large ones are left to the next round."""
-    known = np.sort(np.array(list(tiles), "u8"))
+def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray | None], tiles: dict[int, int] | None, column: str):
+    """Rows (leaf, at, raw) for each set and run. tiles: their number for large buckets, others of which are left to the next round; None: large
+    buckets are dealt like others here, and to tiles later.
+    """
+    known = np.sort(np.array(list(tiles or ()), "u8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,29 +245,43 @@ def _dealer(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray
                 part = b.slice(at, 2000)
                 walks = _walks(part.column("walks"), runs, levels[-1])
                 leaf, large = _leaves(walks, levels, first, hot)
+                large &= tiles is not None
                 tiled = large & np.isin(leaf, known)
                 own = np.where(large & ~tiled, np.uint32(0), _short(leaf))
                 old = [np.frombuffer(x, "<u4") for x in part.column(column).to_pylist()] if column in part.schema.names else []
                 rows = np.zeros(walks.shape[:2], _record(runs + (len(old[0]) if old else 0)))
-                node = part.column("node").to_numpy()
-                rows["node"], rows["key"], rows["size"] = node[:, None], part.column("key").to_numpy()[:, None], part.column("size").to_numpy()[:, None]
+                rows["node"], rows["key"], rows["size"] = part.column("node").to_numpy()[:, None], part.column("key").to_numpy()[:, None], part.column("size").to_numpy()[:, None]
                 rows["run"] = np.arange(first, first + runs)[None, :]
                 rows["leaves"] = (np.concatenate([np.stack(old), own], axis=1) if old else own)[:, None, :]
                 rows["sketch"] = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "u1").reshape(-1, 1, BINS)
                 yield _dealt(leaf[~large], np.zeros(int((~large).sum()), "i8"), rows[~large])
                 if tiled.any():
-                    # a set of such a bucket goes to every pair of tiles with its own
-                    n = np.array([tiles[x] for x in leaf[tiled].tolist()])
-                    whose, run_of = np.nonzero(tiled)
-                    own_tile = (_mix(node.astype("u8"))[whose] % n.astype("u8")).astype("i8")
-                    for lo in range(0, len(n), 2000):
-                        few = slice(lo, lo + 2000)
-                        times = n[few]
-                        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                        mine = np.repeat(own_tile[few], times)
-                        copies = np.repeat(rows[whose[few], run_of[few]], times)
-                        copies["tile"] = mine
-                        yield _dealt(np.repeat(leaf[tiled][few], times), (np.minimum(other, mine) << 32) + np.maximum(other, mine) + 1, copies)
+                    yield from _spread(leaf[tiled], rows[tiled], np.array([tiles[x] for x in leaf[tiled].tolist()]))
+
+    return run
+
+
+def _spread(leaf: np.ndarray, rows: np.ndarray, tiles: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets, which have so many tiles: a set goes to every pair of tiles with its own."""
+    own = (_mix(rows["node"].astype("u8")) % tiles.astype("u8")).astype("i8")
+    for lo in range(0, len(tiles), 2000):
+        few = slice(lo, lo + 2000)
+        times = tiles[few]
+        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        mine = np.repeat(own[few], times)
+        copies = np.repeat(rows[few], times)
+        copies["tile"] = mine
+        yield _dealt(np.repeat(leaf[few], times), (np.minimum(other, mine) << 32) + np.maximum(other, mine) + 1, copies)
+
+
+def _tiler(leaves: int, limit: int):
+    """Rows (leaf, raw, n) of buckets of n sets, dealt to their tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows = np.frombuffer(b"".join(b.column("raw").to_pylist()), _record(leaves))
+                yield from _spread(b.column("leaf").to_numpy().astype("u8"), rows, -(-b.column("n").to_numpy() // limit))
 
     return run
 
@@ -416,17 +450,22 @@ def _linked(docs: DataFrame, dealt: DataFrame, leaves: int, threshold: float) ->
 def _rounds(docs: DataFrame, sets: DataFrame, rows: int, threshold: float, rounds: tuple[tuple[int, ...], ...], limit: int, recall: float) -> DataFrame:
     """node, links, root of all rounds. sets: node, key, size, walks (of the first round), sketch."""
     found, first, held = None, 0, 0
+    shape = "leaf long, at long, raw binary"
     for k, levels in enumerate(rounds):
         runs = runs_for(threshold, levels[-1], recall)
-        most = max(limit, -(-rows * runs // HOT_BUCKETS))
-        sized_hot = _hot(sets, runs, levels, first, most)
-        hot = [ids for ids, _ in sized_hot]
-        ends, sizes = sized_hot[-1] if len(sized_hot) == len(levels) else (np.zeros(0, "u8"), np.zeros(0, "i8"))
+        hot, ends = _hot(sets, rows, runs, levels, first, limit)
         last = k + 1 == len(rounds)
-        deep = np.zeros(0, "u8") if last else ends[sizes > TILES * most]
-        tiles = {int(x): -(-int(n) // most) for x, n in zip(ends, sizes, strict=True) if last or n <= TILES * most}
-        shape = "leaf long, at long, raw binary"
-        dealt = sets.mapInArrow(_dealer(runs, levels, first, hot, tiles, "old"), shape)
+        deep = np.zeros(0, "u8")
+        if isinstance(ends, DataFrame):
+            # too many large buckets to tell every task of: their sizes are joined to the rows
+            dealt = cut(sets.mapInArrow(_dealer(runs, levels, first, hot, None, "old"), shape))
+            sizes = ends.withColumnRenamed("bucket", "leaf")
+            large = join_groups(dealt, sizes, "leaf", "n").select("leaf", "raw", "n").mapInArrow(_tiler(held + runs, limit), shape)
+            dealt = dealt.join(sizes, "leaf", "left_anti").unionByName(large)
+        else:
+            deep = np.sort(np.array([x for x, n in ends.items() if not last and n > TILES * limit], "u8"))
+            tiles = {x: -(-n // limit) for x, n in ends.items() if last or n <= TILES * limit}
+            dealt = sets.mapInArrow(_dealer(runs, levels, first, hot, tiles, "old"), shape)
         now = cut(_linked(docs, dealt, held + runs, threshold))
         found = now if found is None else found.unionByName(now)
         if not len(deep):
@@ -440,7 +479,7 @@ def _rounds(docs: DataFrame, sets: DataFrame, rows: int, threshold: float, round
     return found
 
 
-def _left(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray], deep: np.ndarray):
+def _left(runs: int, levels: tuple[int, ...], first: int, hot: list[np.ndarray | None], deep: np.ndarray):
     """The sets that end in one of the deep buckets in some run, with the buckets in which they have been compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,8 +45,12 @@ def test_ngram(rows, none):
     assert ngram_join.classes(none).count() == 0
 
 
-def test_ngram_large_group(spark):
-    """A group far over the bucket limit, of different texts all alike, with its links counted by brute force."""
+@pytest.mark.parametrize("told", [1 << 18, 8, 0])
+def test_ngram_large_group(spark, monkeypatch, told):
+    """A group far over the bucket limit, of different texts all alike, with its links counted by brute force; also where the large buckets are
+    too many to tell every task of.
+    """
+    monkeypatch.setattr(ngram_join, "HOT_BUCKETS", told)
     base = [f"w{i}" for i in range(120)]
     texts = []
     for k in range(300):
@@ -99,6 +103,68 @@ def test_ngram_deep_rounds(spark):
         assert 0.99 * links <= got / 2 <= links, rounds
 
 
+def test_filters_in_parts(spark):
+    """More hashes than a small filter holds go to several: few others are marked, and nothing is missed."""
+    hashes = spark.range(6000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(60_000).select("id", F.xxhash64("id").alias("h")).union(spark.sql("select 60000L as id, cast(null as long) as h"))
+    for bits, most in ((1 << 26, 0.01), (1 << 12, 0.1)):
+        filter_ = common.KeyFilter(hashes, "h", bits=bits)
+        got = filter_.mark(rows, "h", "maybe")
+        assert got.count() == 60_001 and got.columns == ["id", "h", "maybe"]
+        assert got.where("maybe and id < 6000").count() == 6000 and got.where("maybe and id >= 6000").count() < most * 54_000 + 1
+    twice = rows.where("id < 5000").union(rows)
+    got = RepeatFilter(twice, "h", bits=1 << 14).mark(rows, "h", "maybe")
+    assert got.where("maybe and id < 5000").count() == 5000 and got.where("maybe").count() < 6000
+
+
+def test_checkpoints_of_a_run(spark):
+    """A run removes its own checkpoints only, whatever other threads of the driver write meanwhile."""
+    import threading
+    from pathlib import Path
+
+    ready, go_on, others = threading.Event(), threading.Event(), []
+
+    def other():
+        with common.own_cuts(spark):
+            others.append(common.cut(spark.range(10)))
+            ready.set()
+            go_on.wait(60)
+            others.append(others[0].count())
+
+    t = threading.Thread(target=other)
+    t.start()
+    ready.wait(60)
+    with common.own_cuts(spark):
+        mine = common.cut(spark.range(5))
+        path = Path(mine._jdf.logicalPlan().rdd().getCheckpointFile().get().removeprefix("file:"))
+        assert path.exists()
+    assert not path.exists()
+    go_on.set()
+    t.join()
+    assert others[1] == 10
+
+
+def test_quality_samples_documents_that_exist(spark):
+    """Labels of ids that the documents lack neither fill the sample nor change the fit."""
+    docs = spark.createDataFrame([(k, "good plain words here" if k % 3 else "BAD!!! 000 ###", 14) for k in range(60)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)], "doc_id long, quality int")
+    more = labels.unionByName(spark.range(1000, 60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    one, two = quality.train(docs, labels, fit_rows=30), quality.train(docs, more, fit_rows=30)
+    assert one.w0 == two.w0 and np.array_equal(one.w, two.w) and np.array_equal(one.v, two.v)
+
+
+def test_topk_of_long_vectors_goes_in_more_waves(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE_CELLS", 600)
+    monkeypatch.setattr(topk, "FIT_CELLS", 600)
+    rng = np.random.default_rng(8)
+    m = np.floor(256 * rng.standard_normal((80, 100)).astype("f4").astype("f8"))
+    rows = spark.createDataFrame([(i, [float(x) / 256 for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(rows, rows.where("vec_id % 4 = 0")).collect()}
+    for q in range(0, 80, 4):
+        best = sorted(((-int(m[q] @ m[v]), v) for v in range(80) if v != q))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(v, -s) for s, v in best]
+
+
 def test_repeat_filter(spark):
     """No repeated hash is missed, few others are marked, and hashes go four bytes each, not rows, into the one exchange that grows."""
     rows = spark.range(0, 60_000, 1, 6).select(F.xxhash64(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 7 == 0, F.col("id") % 500).otherwise(F.col("id"))).alias("h"), F.lit("a text").alias("text"))
