@@ -5,8 +5,8 @@ in time linear in the features that a text has. Features: the share of each hash
 ends) and of each hashed word shape, as square roots; statistics of structure (case, marks, digits, lengths, repeats); and the
 length of the text and of its column n_chars. Labels, lang, source and doc_id are never inputs.
 
-It is fitted on the driver on FIT_ROWS labelled rows at most, those with the least hashes of doc_id among rows whose crc32 isn't
-held out; the bound is this parameter, and scores cover all rows. A row is SLOTS pairs of numbers at most. Of labelled rows that share a
+It is fitted on the driver on FIT_ROWS labelled documents at most, those with the least hashes of doc_id among documents that have a label and whose
+crc32 isn't held out, and on FIT_CELLS pairs of numbers of theirs; the bounds are these parameters, and scores cover all rows. Of labelled rows that share a
 doc_id the one with the greatest text is learned from. Fitting is seeded and reruns agree.
 
 Defined results: null text is empty and is scored on its statistics; null n_chars counts as 0; rows without a quality label
@@ -24,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import kept, modest_batches, text_of
+from quire.llm.common import cut, fit_sample, held_out, kept, modest_batches, text_of, within_cells
 
 #: Passes over the fitted rows: EPOCHS, or as many as LEAST_STEPS batches take where the rows are few.
-FIT_ROWS, FACTORS, EPOCHS, LEAST_STEPS, FOLDS, THRESHOLD = 6000, 8, 10, 600, 5, 0.3
+FIT_ROWS, FACTORS, EPOCHS, LEAST_STEPS, THRESHOLD = 6000, 8, 10, 600, 0.3
+#: Pairs of all fitted rows together; 12 bytes each.
+FIT_CELLS = 1 << 23
 WORD_SLOTS, SHAPE_SLOTS = 1 << 15, 1 << 11
 _REMEMBER = 150_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -141,25 +143,23 @@ class Machine:
         return self
 
 
-def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0
-
-
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
     """A machine fitted on at most fit_rows labelled rows that aren't held out."""
-    known = labels.where("doc_id is not null and quality is not null").where(~held_out()).select("doc_id", "quality")
+    known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     modest_batches(docs.sparkSession)
-    some = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    known = cut(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))  # labels of other documents don't count
+    some = fit_sample(known.select("doc_id"), fit_rows).join(known, "doc_id")
     rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars")).join(F.broadcast(some), "doc_id")  # fit_rows rows at most
-    rows = rows.groupBy("doc_id").agg(F.max(F.struct("text", "n_chars", "quality")).alias("x")).select("doc_id", "x.*")  # one of each id
+    rows = rows.groupBy("doc_id", "turn").agg(F.max(F.struct("text", "n_chars", "quality")).alias("x")).select("doc_id", "turn", "x.*")  # one of each id
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = kept("quality", Features)
         for b in batches:
             found = [features.of(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "ids": [i.astype("i4").tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "turn": b["turn"], "quality": b["quality"], "cells": [len(i) for i, _ in found], "ids": [i.astype("i4").tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]})
 
-    got = sorted(rows.mapInPandas(run, "doc_id long, quality int, ids binary, x binary").collect(), key=lambda r: r["doc_id"])  # fit_rows rows at most
+    found = within_cells(cut(rows.mapInPandas(run, "doc_id long, turn long, quality int, cells long, ids binary, x binary")), FIT_CELLS, [])
+    got = sorted(found.collect(), key=lambda r: r["doc_id"])  # fit_rows rows of FIT_CELLS pairs at most
     return Machine().fit([(np.frombuffer(r["ids"], "i4").astype("i8"), np.frombuffer(r["x"], "f4")) for r in got], np.array([float(r["quality"]) for r in got]))
 
 
