@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut, delete, shared_dir
 
 FIT_ROWS, PIVOTS, WAVE, BLOCK = 2048, 64, 16_384, 512
-#: Numbers in a part of the index.
-PART_CELLS = 1 << 22
+#: Numbers in a part of the index; in a wave of queries, and in the fitted sample, which have fewer vectors where vectors are long.
+PART_CELLS, WAVE_CELLS, FIT_CELLS = 1 << 22, 1 << 22, 1 << 21
 _LONG = 2.0**52
 _RESULT = "query_id long, vec_id long, score long"
 
@@ -207,7 +207,7 @@ def _run(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, tup
     rows = scaled(vectors)
     some, long, most, dim = rows.agg(F.count_if(~F.col("long")), F.count_if("long"), F.coalesce(F.max(F.when(~F.col("long"), F.col("norm"))), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     short = rows.where(~F.col("long"))
-    sample = {r[0]: r[1] for r in short.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(FIT_ROWS).select("vec_id", "v").collect()}
+    sample = {r[0]: r[1] for r in short.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(FIT_ROWS, max(1, FIT_CELLS // max(dim, 1)))).select("vec_id", "v").collect()}
     sample_ids, sample_m = np.array(list(sample), "i8"), _matrix(list(sample.values()), dim)
     pivots = fit_pivots(_lift(sample_m, most))
     keyed = short.select("vec_id", "v").mapInArrow(_keyer(pivots, most, dim), "vec_id long, pivot int, distance double, raw binary")
@@ -220,7 +220,7 @@ def _run(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, tup
     ready.write.parquet(f"{folder}/queries")
     asked.where("long").select("vec_id", "e").write.parquet(f"{folder}/long")
     ready = spark.read.parquet(f"{folder}/queries")
-    waves = max(1, -(-ready.count() // WAVE))
+    waves = max(1, -(-ready.count() // min(WAVE, max(1, WAVE_CELLS // max(dim, 1)))))
     done = False
 
     def add(found: DataFrame) -> None:
@@ -228,7 +228,7 @@ def _run(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, tup
 
     told = [0, 0]
     for wave in range(waves):
-        few = sorted(ready.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).collect(), key=lambda r: r["vec_id"])  # about WAVE rows
+        few = sorted(ready.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).collect(), key=lambda r: r["vec_id"])  # about WAVE rows, of WAVE_CELLS numbers
         if not few:
             continue
         ids, q, bounds = np.array([r["vec_id"] for r in few], "i8"), np.frombuffer(b"".join(r["raw"] for r in few), "f8").reshape(len(few), -1), np.array([r["bound"] for r in few])

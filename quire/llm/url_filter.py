@@ -30,6 +30,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from quire.llm.common import kept
+
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,7 +88,7 @@ class RuleFile:
         hosts = sorted(lengths)
         ends = np.cumsum([len(lengths[h]) for h in hosts], dtype="<i8")
         lens = np.array([n for h in hosts for n in sorted(lengths[h], reverse=True)], "<i8")
-        parts = [*DigestArray.build({h: i for i, h in enumerate(hosts)}).parts(), *DigestArray.build(verdicts).parts(), ends, lens]
+        parts = [*DigestArray.build({h: i for i, h in enumerate(hosts)}).parts(), *DigestArray.build(verdicts).parts(), ends, lens, np.array([max([1, *(h.count(".") + 1 for h in hosts)])], "<i8")]
         raw = np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(p.tobytes() + bytes(-p.nbytes % 8) for p in parts)
         path = os.path.join(folder, f"rules-{hashlib.sha256(raw).hexdigest()[:24]}.bin")
         with open(path, "wb") as f:
@@ -95,13 +97,13 @@ class RuleFile:
 
     def __init__(self, path: str):
         whole = np.memmap(path, "u1", "r")
-        counts, at, parts = whole[:80].view("<i8"), 80, []
-        for n, kind in zip(counts, ["<u8", "<u8", "u1", "<i8"] * 2 + ["<i8"] * 2, strict=True):
+        counts, at, parts = whole[:88].view("<i8"), 88, []
+        for n, kind in zip(counts, ["<u8", "<u8", "u1", "<i8"] * 2 + ["<i8"] * 3, strict=True):
             size = int(n) * np.dtype(kind).itemsize
             parts.append(whole[at : at + size].view(kind))
             at += size + -size % 8
         self.hosts, self.rules, self.ends, self.lens = DigestArray(*parts[:4]), DigestArray(*parts[4:8]), parts[8], parts[9]
-        self.labels = max([1, *(self.hosts.string(i).count(".") + 1 for i in range(len(self.hosts.keys)))])
+        self.labels = int(parts[10][0])  # of the longest host
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], np.ndarray]:
         """For each url the longest rule that fits, and whether it blocks (-1: no rule)."""
@@ -149,7 +151,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
     name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = RuleFile(SparkFiles.get(name))
+        held = kept(("rules", name), lambda: RuleFile(SparkFiles.get(name)))  # the map stays between tasks
         for b in batches:
             parts = [split_url(u) for u in b["url"]]
             hosts, paths = [p[0] for p in parts], [p[1] for p in parts]
