@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, mixing, ngram_join, packing, quality
-from quire.llm.common import delete, mark_cuts, read, release, shared_dir
+from quire.llm.common import delete, own_cuts, read, shared_dir
 from quire.llm.queries import vocabulary
 
 
@@ -48,10 +48,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        mark = mark_cuts()
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with own_cuts(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        release(spark, mark)
         if before:
             delete(spark, f"{folder}/{before}")
         before = name

@@ -6,14 +6,18 @@ import atexit
 import math
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space in the sense of the contracts, for Java's and Python's regex alike.
 BLANK = r"[\x20\x09-\x0D]"
-#: Bits of the largest filter, whatever the input: 8 MB. A fuller filter says "maybe" more often, and no result depends on it.
-MAX_FILTER_BITS = 1 << 26
+#: Bits of the largest filter: 8 MB. More hashes go to so many filters, each for a part of the hashes; beyond those a fuller filter says "maybe"
+#: more often (a wrong one in 4 hundred at 16 bits a hash, one in 20 at 6), and no result depends on it.
+MAX_FILTER_BITS, MAX_FILTERS = 1 << 26, 16
 #: Words of 64 bits in a segment of a filter, which is one row of its broadcast.
 SEGMENT_WORDS = 64
 #: Hashes of a block in which repeats are looked for, at most on average, and the least number of blocks.
@@ -70,8 +74,8 @@ def kept(key, make):
     return _kept[key]
 
 
-#: Folders of the checkpoints that cut() has written and release() hasn't removed.
-_cuts: list[str] = []
+#: Folders of the checkpoints that the run at hand has written; of no run, none are kept.
+_cuts: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -79,8 +83,9 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     held = df.checkpoint(eager=True)
     file = held._jdf.logicalPlan().rdd().getCheckpointFile()
-    if file.isDefined():
-        _cuts.append(file.get())
+    mine = _cuts.get()
+    if mine is not None and file.isDefined():
+        mine.append(file.get())
     return held
 
 
@@ -95,21 +100,24 @@ def gather(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def mark_cuts() -> int:
-    """A mark for release()."""
-    return len(_cuts)
-
-
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, mark: int) -> None:
-    """Removes the checkpoints written since the mark; for a caller who has written down all that was built on them."""
-    for folder in _cuts[mark:]:
-        delete(spark, folder)
-    del _cuts[mark:]
+@contextmanager
+def own_cuts(spark: SparkSession) -> Iterator[None]:
+    """A run: the checkpoints that are written in it are removed at its end, by which all that was built on them has to be written down. Other
+    runs of the same driver, in other threads, keep theirs.
+    """
+    mine: list[str] = []
+    before = _cuts.set(mine)
+    try:
+        yield
+    finally:
+        _cuts.reset(before)
+        for folder in mine:
+            delete(spark, folder)
 
 
 #: Rows of a partition of a small table.
@@ -196,19 +204,29 @@ def within_cells(rows: DataFrame, cells: int, by: list[str]) -> DataFrame:
 class KeyFilter:
     """A Bloom filter of given 64-bit hashes: mark() never misses one, and says "maybe" of few others.
 
-    The filter has 16 bits a hash, up to MAX_FILTER_BITS, so its broadcast is bounded whatever the input; three bits of a hash lie in one
-    segment of SEGMENT_WORDS words, and a probe is one broadcast join on the segment. No row of the probed table ever moves. Null
-    hashes are never in it; an empty filter marks nothing.
+    The filter has 16 bits a hash in parts of MAX_FILTER_BITS at most, as many as the hashes ask for, up to MAX_FILTERS; so a broadcast is
+    bounded whatever the input. Three bits of a hash lie in one segment of SEGMENT_WORDS words, and a probe is one broadcast join on the
+    segment: with several parts, each probes its own share of the rows. No row of the probed table ever moves. Null hashes are never in
+    it; an empty filter marks nothing.
     """
 
-    def __init__(self, hashes: DataFrame, column: str, rows: int | None = None):
+    def __init__(self, hashes: DataFrame, column: str, rows: int | None = None, bits: int = MAX_FILTER_BITS):
         rows = hashes.count() if rows is None else rows
+        self.parts = min(MAX_FILTERS, max(1, math.ceil(16 * rows / bits)))
+        rows = math.ceil(rows / self.parts)
         segment = SEGMENT_WORDS * 64
-        self.segments = 1 << max(0, math.ceil(math.log2(max(1, min(MAX_FILTER_BITS, 16 * rows) / segment))))
-        bits = hashes.where(F.col(column).isNotNull()).select(self._segment(F.col(column)).alias("s"), F.explode(F.array(*self._bits(F.col(column)))).alias("p"))
+        self.segments = 1 << max(0, math.ceil(math.log2(max(1, min(bits, 16 * rows) / segment))))
+        known = hashes.where(F.col(column).isNotNull())
+        self.words = [self._built(known if self.parts == 1 else known.where(self._part(F.col(column)) == k), column, rows) for k in range(self.parts)]
+
+    def _built(self, hashes: DataFrame, column: str, rows: int) -> DataFrame:
+        bits = hashes.select(self._segment(F.col(column)).alias("s"), F.explode(F.array(*self._bits(F.col(column)))).alias("p"))
         words = bits.groupBy("s", F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
         words = compact(words, 3 * rows).groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
-        self.words = cut(words.select("s", F.expr(f"transform(sequence(0L, {SEGMENT_WORDS - 1}L), w -> coalesce(try_element_at(m, w), 0L))").alias("words")))
+        return cut(words.select("s", F.expr(f"transform(sequence(0L, {SEGMENT_WORDS - 1}L), w -> coalesce(try_element_at(m, w), 0L))").alias("words")))
+
+    def _part(self, h: Column) -> Column:
+        return F.pmod(F.xxhash64(h, F.lit(3)), F.lit(self.parts).cast("long"))
 
     def _segment(self, h: Column) -> Column:
         return F.pmod(F.xxhash64(h, F.lit(1)), F.lit(self.segments).cast("long"))
@@ -220,7 +238,17 @@ class KeyFilter:
 
     def mark(self, df: DataFrame, column: str, flag: str) -> DataFrame:
         """df with a boolean: whether the hash in column may be one of the filter's."""
-        side = self.words.select(F.col("s").alias("_s"), F.col("words").alias("_words"))
+        if self.parts == 1:
+            return self._marked(df, column, flag, self.words[0])
+        part = F.coalesce(self._part(F.col(column)), F.lit(0))
+        shares = [self._marked(df.where(part == k), column, flag, words) for k, words in enumerate(self.words)]
+        out = shares[0]
+        for share in shares[1:]:
+            out = out.union(share)
+        return out
+
+    def _marked(self, df: DataFrame, column: str, flag: str, words: DataFrame) -> DataFrame:
+        side = words.select(F.col("s").alias("_s"), F.col("words").alias("_words"))
         out = df.join(F.broadcast(side), self._segment(F.col(column)) == F.col("_s"), "left")
         both = F.lit(True)
         for p in self._bits(F.col(column)):
@@ -235,10 +263,10 @@ class RepeatFilter:
     Pass 1 deals 32 bits of each hash to a block that the other bits name. They are gathered by task and block before the
     exchange, so about four bytes a row move, and a block finds its repeats where it is. Hashes that many rows share would fill their
     block's list; counts by the first bits tell where those are, and there rows are counted by hash instead, with partial counts before
-    the exchange. Pass 2 probes a KeyFilter of the repeats, of bounded size. Null hashes never repeat.
+    the exchange. Pass 2 probes a KeyFilter of the repeats, in parts of bounded size. Null hashes never repeat.
     """
 
-    def __init__(self, hashes: DataFrame, column: str):
+    def __init__(self, hashes: DataFrame, column: str, bits: int = MAX_FILTER_BITS):
         known = hashes.where(F.col(column).isNotNull())
         first = F.shiftright(column, 64 - FIRST_BITS)
         counts = known.groupBy(first.alias("first")).agg(F.count("*").alias("n")).collect()  # 2^FIRST_BITS rows at most
@@ -252,7 +280,7 @@ class RepeatFilter:
             crowded = known.where(first.isin(hot)).select(*self._places(F.col(column))).groupBy("block", "rest").agg(F.count("*").alias("n")).where("n > 1")
             again = again.unionByName(crowded)
         again, self.repeats = sized(again.select(F.xxhash64("block", "rest").alias("place")))
-        self.filter = KeyFilter(again, "place", self.repeats)
+        self.filter = KeyFilter(again, "place", self.repeats, bits)
 
     def _places(self, h: Column) -> list[Column]:
         return [F.pmod(h, F.lit(self.blocks).cast("long")).alias("block"), F.shiftright(h, 32).cast("int").alias("rest")]
