@@ -20,6 +20,7 @@ from quire.plans import cursor as K
 from quire.plans.index import Index, describe
 from quire.plans.query import ParsedQuery, parse
 from quire.sources import library as L
+from quire.sources.pages import PageStore
 
 #: Variables whose state health tells.
 SETTINGS = ("QUIRE_LIBRARY", "QUIRE_OUTPUT", "QUIRE_RESPONSE_BYTES", "QUIRE_CATEGORY_MAP", "QUIRE_OVERRIDES")
@@ -50,6 +51,7 @@ class Engine:
     output_root: str = "exports"
     library: str | None = None
     nfc: bool = False
+    store: PageStore | None = None  # the pages with their locator, where there is one
 
     def __post_init__(self):
         _, least, most = schema.RESPONSE_BYTES
@@ -197,7 +199,7 @@ class Engine:
             return []
         spark = self.pages.sparkSession
         hits = F.broadcast(spark.createDataFrame([(r["doc"], r["book_id"], r["page_id"], r["score"]) for r in few], "doc long, book_id string, page_id int, score double"))
-        pages = self.pages.where(F.col("book_id").isin(sorted({r["book_id"] for r in few})) & F.col("page_id").isin(sorted({r["page_id"] for r in few})))
+        pages = self.store or self.pages.where(F.col("book_id").isin(sorted({r["book_id"] for r in few})) & F.col("page_id").isin(sorted({r["page_id"] for r in few})))
         rows = P.passages(hits, pages, self.books, self.toc, q, nfc=self.nfc).withColumn("unreadable", F.col("text_original").isNull()).orderBy(F.desc("score"), "doc").drop("doc")
         rows = rows if full_text else rows.drop("text_original")
         return [r.asDict(True) for r in rows.collect()]
@@ -233,7 +235,7 @@ class Engine:
         at = K.decode_ordinal(cursor, "fetch", [requests, n, query, mode])
         asked = [(str(r["book_id"]), int(p)) for r in requests for p in r["page_ids"]]
         spark = self.pages.sparkSession
-        rows = P.fetch(spark.createDataFrame(asked, "book_id string, page_id int"), self.pages, self.books, n)
+        rows = P.fetch(spark.createDataFrame(asked, "book_id string, page_id int"), self.store or self.pages, self.books, n, self.toc)
         total = rows.count()
         window = rows.orderBy("book_id", "page_id").offset(at).limit(limit).persist()
         try:
@@ -267,7 +269,7 @@ class Engine:
         if neighbors and rows:
             school = {r["book_id"]: r["school"] for r in rows}
             asked_pages = self.pages.sparkSession.createDataFrame([(r["book_id"], r["page_id"]) for r in few], "book_id string, page_id int")
-            near = P.fetch(asked_pages, self.pages.where(F.col("book_id").isin(list(school))), self.books, max(0, min(10, int(neighbors))))
+            near = P.fetch(asked_pages, self.store or self.pages.where(F.col("book_id").isin(list(school))), self.books, max(0, min(10, int(neighbors))), self.toc)
             rows = [r.asDict(True) for r in P.fetched_passages(near, self.books, self.toc, q, self.nfc).drop("text_original").orderBy("book_id", "page_id").collect()]
         rows = [r for s in asked for r in self._fit([r for r in rows if r["school"] == s], len(asked))]
         groups: dict[str, dict[str, list]] = {}
@@ -283,8 +285,8 @@ class Engine:
         scope = self.scope(schools, book_ids)
         fp, some = self._identity(scope)
         found = S.hits(self.index, q, some)
-        failed, told = _together(lambda: [r.asDict() for r in P.failing(found, self.pages, self.books).collect()], lambda: self.coverage(scope, schools))  # a row per book that can't be read
-        rows = P.export_rows(P.passages(found, self.pages, self.books, self.toc, q, nfc=self.nfc), q, include_full_text)
+        failed, told = _together(lambda: [r.asDict() for r in P.failing(found, self.store or self.pages, self.books).collect()], lambda: self.coverage(scope, schools))  # a row per book that can't be read
+        rows = P.export_rows(P.passages(found, self.store or self.pages, self.books, self.toc, q, nfc=self.nfc), q, include_full_text)
         return X.export(rows, scope, q, fp, folder, job_id, include_full_text, failed=failed) | {"coverage": told}
 
     def citation(self, book_id: str, page_id: int, include_text=False) -> dict:
@@ -316,4 +318,4 @@ def over_tables(spark, sf_dir: str, config: C.Config | None = None, index: Index
     pages = corpus.pages(spark, sf_dir)
     nfc = corpus.needs_nfc(spark, sf_dir)
     config = config or C.Config.of([*C.RULES, *corpus.EXTRA_RULES])
-    return Engine(C.classify(corpus.books(spark, sf_dir), config), pages, corpus.toc(spark, sf_dir), index or Index.over(pages, nfc), config.include, nfc=nfc)
+    return Engine(C.classify(corpus.books(spark, sf_dir), config), pages, corpus.toc(spark, sf_dir), index or Index.over(pages, nfc), config.include, nfc=nfc, store=corpus.page_store(spark, sf_dir))

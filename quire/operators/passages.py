@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators.toc import trails
 from quire.plans.query import ParsedQuery
+from quire.plans.store import cut
 from quire.schema import EXCERPT_FETCH, EXCERPT_SEARCH, SCHOOLS, schools
+from quire.sources.pages import KEYS, MAX_BROADCAST_ROWS, PageStore
 
 NUMBERING = "page numbers are those of the digital library and may differ from the printed edition"
 TRUST = "untrusted_source_text"
@@ -49,18 +51,36 @@ def windows(requests: DataFrame, neighbours: int = 1) -> DataFrame:
     return rows.groupBy("book_id", F.col("near").cast("int").alias("page_id")).agg(F.bool_or(F.col("near") == F.col("page_id")).alias("requested"))
 
 
-def looked_up(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """requests with the pages' columns and found; one join for a whole batch, order and repeats of requests kept."""
-    held = pages.withColumn("_here", F.lit(True))
-    return requests.join(held, ["book_id", "page_id"], "left").withColumn("found", F.col("_here").isNotNull()).drop("_here")
+def _with_pages(requests: DataFrame, pages: DataFrame | PageStore) -> DataFrame:
+    """requests with their pages' columns, where there is such a page. A body moves only where pages aren't a store and requests are more than a
+    broadcast may have.
+    """
+    if isinstance(pages, PageStore):
+        return pages.fetch(requests.withColumnRenamed("doc", "_doc")).drop("doc", "present").withColumnRenamed("_doc", "doc")
+    return pages.drop("doc", "present").join(F.broadcast(requests) if requests.count() <= MAX_BROADCAST_ROWS else requests, KEYS)
+
+
+def looked_up(requests: DataFrame, pages: DataFrame | PageStore) -> DataFrame:
+    """requests with the pages' columns and found; repeats of requests are kept. Pages are met by the requests where they lie, and the
+    requests that meet none are added; no exchange holds a page's text.
+    """
+    asked = cut(requests)
+    met = _with_pages(asked, pages)
+    there = met.select(*KEYS).distinct()
+    there = F.broadcast(there) if asked.count() <= MAX_BROADCAST_ROWS else there
+    gone = asked.join(there, KEYS, "left_anti").withColumn("found", F.lit(False))
+    return met.withColumn("found", F.lit(True)).unionByName(gone, allowMissingColumns=True)
 
 
-def fetch(requests: DataFrame, pages: DataFrame, books: DataFrame, neighbours: int = 1) -> DataFrame:
+def fetch(requests: DataFrame, pages: DataFrame | PageStore, books: DataFrame, neighbours: int = 1, toc: DataFrame | None = None) -> DataFrame:
     """Every page of the windows with status: found, missing (requested, not there), absent (a neighbour, not there), failed (its book
-    isn't in the catalogue or not downloaded).
+    isn't in the catalogue or not downloaded). toc: for toc_path too.
     """
-    rows = looked_up(windows(requests, neighbours), pages.drop("doc") if "doc" in pages.columns else pages)
-    rows = rows.join(books.select("book_id", F.col("downloaded").alias("_ok")), "book_id", "left")
+    asked = windows(requests, neighbours).join(books.select("book_id", F.col("downloaded").alias("_ok")), "book_id", "left")
+    if toc is not None:
+        asked = cut(asked)
+        asked = asked.join(trails(asked, toc), KEYS, "left")
+    rows = looked_up(asked, pages)
     status = F.when(~F.coalesce("_ok", F.lit(False)), "failed").when(F.col("found"), "found").when(F.col("requested"), "missing").otherwise("absent")
     return rows.withColumn("status", status).drop("_ok")
 
@@ -77,13 +97,14 @@ def _folded(rows: DataFrame, nfc: bool) -> tuple[DataFrame, Column]:
     return rows.withColumn("_folded", F.explode(F.array(T.fold(F.coalesce("body", F.lit("")), nfc)))), F.col("_folded")
 
 
-def passages(hits: DataFrame, pages: DataFrame, books: DataFrame, toc: DataFrame, query: ParsedQuery, radius: int = EXCERPT_SEARCH, nfc: bool = False) -> DataFrame:
+def passages(hits: DataFrame, pages: DataFrame | PageStore, books: DataFrame, toc: DataFrame, query: ParsedQuery, radius: int = EXCERPT_SEARCH, nfc: bool = False) -> DataFrame:
     """Hits as passages: the book's and the page's columns, the heading trail, why it matched, and an excerpt. Hits of unknown
-    books are gone; a page that isn't there leaves null texts, and a reason that says so. hits is the small side of each join.
+    books are gone; a page that isn't there leaves null texts, and a reason that says so. What is joined is narrow until the pages
+    are met, last of all.
     """
-    few = hits.select("book_id", "page_id", "doc", "score")
-    rows = few.join(books.select(*_BOOK), "book_id")
-    rows = rows.join(pages.drop("doc"), ["book_id", "page_id"], "left").join(trails(few, toc), ["book_id", "page_id"], "left")
+    few = cut(hits.select("book_id", "page_id", "doc", "score"))
+    rows = few.join(books.select(*_BOOK), "book_id").join(trails(few, toc), KEYS, "left")
+    rows = looked_up(rows, pages)
     rows, folded = _folded(rows, nfc)
     at = F.greatest(F.lit(0), T.first_match_offset(folded, list(query.terms), query.mode))
     reason = F.when(F.col("body").isNull(), UNREADABLE).otherwise(T.match_reason(folded, query.raw, list(query.terms), query.mode))
@@ -93,14 +114,15 @@ def passages(hits: DataFrame, pages: DataFrame, books: DataFrame, toc: DataFrame
     )
 
 
-def unreadable(hits: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
+def unreadable(hits: DataFrame, pages: DataFrame | PageStore, books: DataFrame) -> DataFrame:
     """book_id, title, pages: known books of which hits name pages that can't be read, and how many of those there are."""
-    held = pages.where("body is not null").select("book_id", "page_id")
-    gone = hits.select("book_id", "page_id").distinct().join(held, ["book_id", "page_id"], "left_anti")
+    asked = cut(hits.select(*KEYS).distinct())
+    held = _with_pages(asked, pages).where("body is not null").select(*KEYS)
+    gone = asked.join(held, KEYS, "left_anti")
     return gone.groupBy("book_id").agg(F.count("*").alias("pages")).join(books.select("book_id", "title"), "book_id").select("book_id", "title", "pages")
 
 
-def failing(hits: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
+def failing(hits: DataFrame, pages: DataFrame | PageStore, books: DataFrame) -> DataFrame:
     """book_id, title, error: known books of whose hits not one page can be read."""
     gone = unreadable(hits, pages, books)
     all_of = hits.select("book_id", "page_id").distinct().groupBy("book_id").agg(F.count("*").alias("_n"))
@@ -112,7 +134,10 @@ def fetched_passages(rows: DataFrame, books: DataFrame, toc: DataFrame, query: P
     match; a neighbour, and any page without a query, shows its beginning.
     """
     rows = rows.where("status = 'found'")
-    out = rows.join(books.select(*_BOOK), "book_id").join(trails(rows, toc), ["book_id", "page_id"], "left")
+    known = books.select(*_BOOK)
+    out = rows.join(F.broadcast(known) if known.count() <= MAX_BROADCAST_ROWS else known, "book_id")
+    if "toc_path" not in rows.columns:  # fetch() has looked the trails up already, before the pages
+        out = out.join(trails(rows, toc), KEYS, "left")
     asked, at = F.lit("requested page"), F.lit(0)
     if query is not None:
         out, folded = _folded(out, nfc)

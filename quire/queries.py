@@ -494,17 +494,17 @@ _STATUS = f"{_WIN}, s as (select w.*, case when not coalesce(b.downloaded, false
 
 @query(f"with {_STATUS} select book_id, page_id, requested, status from s")
 def fetch_found_missing(spark, sf_dir):
-    return P.fetch(_requests(spark), corpus.pages(spark, sf_dir), corpus.books(spark, sf_dir), 1).select("book_id", "page_id", "requested", "status")
+    return P.fetch(_requests(spark), corpus.page_store(spark, sf_dir), corpus.books(spark, sf_dir), 1).select("book_id", "page_id", "requested", "status")
 
 
 @query(f"with {_STATUS} select distinct book_id from s where status = 'failed'")
 def failed_books(spark, sf_dir):
-    return P.fetch(_requests(spark), corpus.pages(spark, sf_dir), corpus.books(spark, sf_dir), 1).where("status = 'failed'").select("book_id").distinct()
+    return P.fetch(_requests(spark), corpus.page_store(spark, sf_dir), corpus.books(spark, sf_dir), 1).where("status = 'failed'").select("book_id").distinct()
 
 
 @query(f"select r.book_id, r.page_id, p.doc is not null found, length(p.body) body_length from {_REQ} left join {O.PAGES} p using (book_id, page_id)")
 def lookup_batched_misses(spark, sf_dir):
-    return P.looked_up(_requests(spark), corpus.pages(spark, sf_dir)).select("book_id", "page_id", "found", F.length("body").cast("long").alias("body_length"))
+    return P.looked_up(_requests(spark), corpus.page_store(spark, sf_dir)).select("book_id", "page_id", "found", F.length("body").cast("long").alias("body_length"))
 
 
 @query(f"with {O.TRAILS} select book_id, title_id, page_id, level, until from held")
@@ -566,7 +566,7 @@ def caveats(spark, sf_dir):
 def export_rows(spark, sf_dir):
     q = parse(PHRASE, "phrase")
     books = _books(spark, sf_dir).where("downloaded")
-    rows = P.passages(S.hits(_index(spark, sf_dir), q), corpus.pages(spark, sf_dir), books, corpus.toc(spark, sf_dir), q)
+    rows = P.passages(S.hits(_index(spark, sf_dir), q), corpus.page_store(spark, sf_dir), books, corpus.toc(spark, sf_dir), q)
     out = P.export_rows(rows, q)
     return out.select("book_id", "title", "school", "page_id", "part", "printed_page", F.array_join("toc_path", " › ").alias("toc_path"), F.round("score", 6).alias("score"), "match_reason", "match_mode", F.sha2("text_original", 256).alias("text_sha256"))
 
@@ -636,7 +636,7 @@ def failing_books(spark, sf_dir):
 
 @query(f"with {_STATUS} select s.book_id, s.page_id, case when not requested then 'neighbour of a requested page' when contains({O.fold('body')}, '{PHRASE}') then 'phrase «{PHRASE}» occurs in order on the page' else 'the index matched the phrase; its order isn''t confirmed in the readable text' end match_reason, sha256(body) text_sha256 from s join {O.PAGES} p on p.book_id = s.book_id and p.page_id = s.page_id where status = 'found'")
 def fetch_with_query(spark, sf_dir):
-    rows = P.fetch(_requests(spark), corpus.pages(spark, sf_dir), corpus.books(spark, sf_dir), 1)
+    rows = P.fetch(_requests(spark), corpus.page_store(spark, sf_dir), corpus.books(spark, sf_dir), 1, corpus.toc(spark, sf_dir))
     got = P.fetched_passages(rows, _books(spark, sf_dir), corpus.toc(spark, sf_dir), parse(PHRASE, "phrase"), corpus.needs_nfc(spark, sf_dir))
     return got.select("book_id", "page_id", "match_reason", F.sha2("text_original", 256).alias("text_sha256"))
 
@@ -717,7 +717,7 @@ select school, string_agg(book_id || ':' || pages, ';' order by k desc, book_id)
 def compare_groups_excerpts(spark, sf_dir):
     """The passages of a comparison as they are shown: by school and book, each with its excerpt."""
     few, q = _few(spark, sf_dir), parse(PHRASE, "phrase")
-    rows = P.passages(few.select("book_id", "page_id", "doc", "score"), corpus.pages(spark, sf_dir), _books(spark, sf_dir), corpus.toc(spark, sf_dir), q, nfc=corpus.needs_nfc(spark, sf_dir))
+    rows = P.passages(few.select("book_id", "page_id", "doc", "score"), corpus.page_store(spark, sf_dir), _books(spark, sf_dir), corpus.toc(spark, sf_dir), q, nfc=corpus.needs_nfc(spark, sf_dir))
     flat = F.array_join(F.transform("books", lambda b: F.concat(b["book_id"], F.lit(":"), F.array_join(F.transform(b["passages"], lambda p: F.concat(p["page_id"].cast("string"), F.lit("="), F.md5(p["excerpt"]))), ","))), ";")
     return P.groups(rows).select("school", flat.alias("groups"))
 

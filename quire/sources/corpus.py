@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.plans import store
 from quire.plans.index import Index
+from quire.sources.pages import PageStore
 
 PAGES = """
 select source || '-' || lang as book_id, cast(row_number() over (partition by source, lang order by doc_id) as int) as page_id, doc_id as doc, coalesce(text, '') as body, source
@@ -84,16 +85,21 @@ def _write_pages(spark: SparkSession, sf_dir: str, folder: str) -> None:
     side = pieces.withColumn("before", before).drop("n")
     side = F.broadcast(side) if pieces.count() <= MAX_BROADCAST_ROWS else side
     rows = held.join(side, ["source", "lang", "piece"]).withColumn("page_id", (F.col("at") - F.col("first") + F.col("before") + 1).cast("int"))
-    rows.select(
+    numbered = rows.select(
         F.concat("source", F.lit("-"), "lang").alias("book_id"), "page_id", F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("body"), F.col("text").isNotNull().alias("present"),
         (F.floor((F.col("page_id") - 1) / 60) + 1).cast("int").cast("string").alias("part"), F.when(F.col("source") == "src3", None).otherwise(F.col("page_id")).cast("double").alias("printed_page"), F.lit(None).cast("string").alias("footnote"),
-    ).write.parquet(f"{folder}/pages")
+    )
+    PageStore.write(numbered, folder)
     store.remove(spark, f"{folder}/placed")
 
 
+def page_store(spark: SparkSession, sf_dir: str) -> PageStore:
+    """The pages of all documents, as they were numbered and stored once, with their locator."""
+    return PageStore(spark, store.form(spark, f"{sf_dir}/documents.parquet", "pages", lambda folder: _write_pages(spark, sf_dir, folder)))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = store.form(spark, f"{sf_dir}/documents.parquet", "pages", lambda folder: _write_pages(spark, sf_dir, folder))
-    return spark.read.parquet(f"{folder}/pages")
+    return page_store(spark, sf_dir).rows
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
