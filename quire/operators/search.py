@@ -14,11 +14,11 @@ from quire.plans.store import cut
 K1, B = 1.2, 0.75
 
 
-def matches(index: Index, query: ParsedQuery) -> DataFrame:
-    """doc, book_id, page_id, dl, tf, pf of the pages that match, over the whole index."""
+def matches(index: Index, query: ParsedQuery, blocks: DataFrame | None = None) -> DataFrame:
+    """doc, book_id, page_id, dl, tf, pf of the pages that match, over the whole index, or these blocks of it."""
     terms = query.distinct
     phrase = list(query.terms) if query.mode == "phrase" and len(query.terms) > 1 else None
-    rows = index.counts(terms, phrase)
+    rows = index.counts(terms, phrase, blocks)
     if phrase:
         return rows.where("pf > 0")
     return rows.where(F.forall("tf", lambda n: n > 0)) if query.mode in ("phrase", "all_terms") else rows.where(F.exists("tf", lambda n: n > 0))
@@ -41,6 +41,50 @@ def bm25(query: ParsedQuery, stats: Stats) -> Column:
     return F.round(total, 9)
 
 
+#: Blocks that are scored first, for a score that others have to reach.
+FIRST_BLOCKS = 64
+
+
+def bounds(index: Index, query: ParsedQuery) -> DataFrame:
+    """block, bound, n of the blocks that can have matches: the most that a page there can score, and the query's postings there."""
+    stats, distinct = index.stats(query.distinct), query.distinct
+    mean = (stats.tokens / stats.docs if stats.docs else 1.0) or 1.0
+    idf = {t: math.log(1 + (stats.docs - n + 0.5) / (n + 0.5)) for t, n in stats.df.items()}
+    share = lambda x: x["tf"] / (x["tf"] + K1 * (1 - B + B * x["dl"] / F.lit(mean)))
+    held = index.table("impacts").where(F.col("term").isin(distinct)).withColumn("share", F.array_max(F.transform("most", share)))
+    per = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("share"))), F.lit(0.0)).alias(f"s{i}") for i, t in enumerate(distinct)]
+    rows = held.groupBy("block").agg(F.sum("n").alias("n"), F.count_distinct("term").alias("terms"), *per)
+    if query.mode != "any_terms":
+        rows = rows.where(F.col("terms") == len(distinct))
+    if query.mode == "phrase" and len(query.terms) > 1:
+        # a phrase starts no more often than its rarest term occurs
+        top = F.lit(sum(idf[t] for t in query.terms)) * F.least(*(F.col(f"s{i}") for i in range(len(distinct))), F.lit(1.0))
+    else:
+        top = sum((F.lit(idf[t]) * F.col(f"s{distinct.index(t)}") for t in query.terms), F.lit(0.0))
+    return rows.select("block", top.alias("bound"), "n")
+
+
+def best(index: Index, query: ParsedQuery, limit: int) -> tuple[DataFrame, dict]:
+    """The limit best hits of a stored index, and how many of the query's postings were read for them (read, of).
+
+    The blocks with the highest bounds are scored first; what the last of the best there scores, a page of another block has to reach. So two
+    passes find the same hits as scoring every match, and blocks that can't reach it aren't read.
+    """
+    known = cut(bounds(index, query))
+    first = cut(known.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS))
+    weight = bm25(query, index.stats(query.distinct))
+    score = lambda blocks: page(matches(index, query, blocks.select("block")).withColumn("score", weight).select("doc", "book_id", "page_id", "score"), limit)
+    some = cut(score(first))
+    told = some.agg(F.count("*"), F.min("score")).first()
+    rest = known.join(F.broadcast(first.select("block")), "block", "left_anti")
+    if told[0] >= limit:
+        rest = rest.where(F.col("bound") >= told[1] - 1e-8)  # scores are rounded; an equal one may win by its number
+    rest = cut(rest)
+    read, of = (known.join(rest.union(first).select("block"), "block", "left_semi") if x else known for x in (1, 0))
+    seen = [df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (read, of)]
+    return page(some.unionByName(score(rest)), limit), {"read": seen[0], "of": seen[1]}
+
+
 def hits(index: Index, query: ParsedQuery, scope: DataFrame | list[str] | None = None) -> DataFrame:
     """doc, book_id, page_id, score. scope: books (a list of ids or a frame with book_id); None is everything, empty is nothing.
     Statistics are those of the whole index, whatever the scope.

@@ -1,11 +1,12 @@
-"""The positional index as ordinary tables, and the two ways to read it.
+"""The positional index as ordinary tables, and the ways to read it.
 
-tokens: a row per page with its terms in order. postings: a row per term and page, range-partitioned and sorted by term and
-page, so a common term spreads over partitions and a lookup skips row groups. term_stats and corpus_stats hold what ranking needs
-of the whole index, so a scope never changes a score.
+tokens: a row per page with its terms in order. postings: a row per term and page, in buckets by block (BLOCK_PAGES neighbouring pages of a
+book) and sorted by term in each, so all that a query asks of a page lies in one bucket and is met there without an exchange; a common term
+spreads over all buckets, and a lookup skips what is sorted elsewhere. impacts: a row per term and block with the most that the term can
+add to a score there. term_stats and corpus_stats hold what ranking needs of the whole index, so a scope never changes a score.
 
 A one-off query over an index that isn't stored scans tokens and computes term counts row by row, with no exchange at all; a
-stored index is read through postings, by the query's terms only.
+stored index is read through postings, by the query's terms only, and by the blocks that can matter if only the best are asked for.
 """
 
 from __future__ import annotations
@@ -22,6 +23,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans import store as forms
+
+#: Pages of a block; rows of a page of postings within a Parquet file; blocks that are looked up as literals; rows of a side that is broadcast.
+BLOCK_PAGES, PAGE_ROWS, FEW_BLOCKS, MAX_BROADCAST_ROWS = 64, 1024, 256, 100_000
+#: Postings take about so many times the bytes of the stored tokens.
+POSTINGS_BYTES = 2
+
+
+def block() -> Column:
+    """The block of a page."""
+    return F.xxhash64("book_id", F.floor(F.col("page_id") / BLOCK_PAGES))
+
+
+def impacts(postings: DataFrame) -> DataFrame:
+    """term, block, n (postings), most: of each class of lengths (powers of two) the greatest tf and the least dl, which bound any score that a
+    page of the block can have, whatever the statistics.
+    """
+    per = postings.groupBy("term", "block", F.floor(F.log2(F.col("dl") + 1)).alias("length")).agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.count("*").alias("n"))
+    return per.groupBy("term", "block").agg(F.sum("n").alias("n"), F.collect_list(F.struct("tf", "dl")).alias("most"))
 
 
 @dataclass
@@ -125,7 +145,7 @@ class Index:
     def table(self, name: str) -> DataFrame:
         """A stored table; its files are listed once for each generation that is opened."""
         if name not in self._tables:
-            rows = self.spark.read.parquet(*(f"{p}/{name}" for p in (self.path, *self.segments)))
+            rows = self._bucketed(name) if name in ("postings", "impacts") and not self.segments else self.spark.read.parquet(*(f"{p}/{name}" for p in (self.path, *self.segments)))
             if self.segments and name == "term_stats":
                 rows = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
             if self.segments and name == "corpus_stats":
@@ -133,22 +153,43 @@ class Index:
             self._tables[name] = rows
         return self._tables[name]
 
+    def _bucketed(self, name: str) -> DataFrame:
+        """A table of the session's catalogue over the stored files, which says how they are bucketed."""
+        table = f"quire_{name}_{self.generation}"
+        if not self.spark.catalog.tableExists(table):
+            folder = f"{self.path}/{name}"
+            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(folder).schema.fields)
+            buckets = self.spark.read.parquet(f"{self.path}/layout").first()["buckets"]
+            self.spark.sql(f"create table if not exists {table} ({fields}) using parquet clustered by (block) sorted by (term, block) into {buckets} buckets location '{folder}'")
+        return self.spark.table(table)
+
     @classmethod
     def over(cls, pages: DataFrame, nfc: bool | None = None) -> Index:
         return cls(pages.sparkSession, tokens(pages, nfc))
 
     def store(self, path: str, partitions: int | None = None) -> Index:
-        """Writes the tables. partitions: of postings; None leaves it to the session."""
+        """Writes the tables. partitions: buckets of the postings; None takes as many as their bytes ask for."""
+        spark, generation = self.spark, uuid.uuid4().hex
         self.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
-        held = self.spark.read.parquet(f"{path}/tokens")
-        by = ["term", "doc"]
-        rows = postings(held)
-        rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-        rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/postings")
-        stats = self.spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        held = spark.read.parquet(f"{path}/tokens")
+        buckets = partitions or max(spark.sparkContext.defaultParallelism, -(-POSTINGS_BYTES * forms.state(spark, f"{path}/tokens")[0] // forms.PARTITION_BYTES))
+        rows = postings(held).withColumn("block", block()).repartition(buckets, "block")
+        self._write(rows, f"{path}/postings", f"quire_written_{generation}", buckets, ["term", "block", "doc"])
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+        made = Index(spark, held, path, generation)
+        self._write(impacts(made.table("postings")), f"{path}/impacts", f"quire_bounds_{generation}", buckets, ["term", "block"])
+        stats = made.table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        corpus_stats(held).withColumn("generation", F.lit(uuid.uuid4().hex)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        return Index.open(self.spark, path)
+        corpus_stats(held).withColumn("generation", F.lit(generation)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        return Index.open(spark, path)
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str, table: str, buckets: int, order: list[str]) -> None:
+        """rows in buckets by block. Spark writes buckets through a table of the catalogue only; the files stay when that is dropped."""
+        spark = rows.sparkSession
+        forms.remove(spark, path)
+        rows.write.option("path", path).option("parquet.page.row.count.limit", PAGE_ROWS).bucketBy(buckets, "block").sortBy(*order).mode("overwrite").saveAsTable(table)
+        spark.sql(f"drop table {table}")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, segments: tuple[str, ...] = (), generation: str | None = None) -> Index:
@@ -173,26 +214,44 @@ class Index:
                 self._stats[key] = Stats(row[0], row[1], dict(zip(terms, row[2:], strict=True)))
         return self._stats[key]
 
-    def counts(self, terms: list[str], phrase: list[str] | None = None) -> DataFrame:
-        """doc, book_id, page_id, dl, tf (array, by terms) of every page with one of the terms; pf: starts of the phrase."""
+    def counts(self, terms: list[str], phrase: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+        """doc, book_id, page_id, dl, tf (array, by terms) of every page with one of the terms; pf: starts of the phrase. blocks: of a stored index
+        only the pages of these are looked at.
+        """
         if not self.path:
             rows = self.tokens.where(F.arrays_overlap("terms", F.array(*(F.lit(t) for t in terms))))
             rows = rows.withColumn("tf", F.array(*(count_of(t, F.col("terms")) for t in terms)))
             return rows.withColumn("pf", phrase_count(phrase, F.col("terms")) if phrase else F.lit(0)).drop("terms")
         held = self.table("postings").where(F.col("term").isin(terms))
+        if blocks is not None:
+            held = self._within(held, blocks)
         tf = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
-        places = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at{i}") for i, t in enumerate(terms)] if phrase else []
-        rows = held.groupBy("doc", "book_id", "page_id", "dl").agg(*tf, *places)
+        places = [F.collect_list(F.struct("term", "positions")).alias("at")] if phrase else []
+        # all postings of a block lie in one bucket, so this needs no exchange
+        rows = held.groupBy("block", "doc", "book_id", "page_id", "dl").agg(*tf, *places)
         pf = F.lit(0)
         if phrase:
             # positions at which each term of the phrase would have it start; what is common to all are its starts
-            starts = None
+            for i in range(len(terms)):
+                rows = rows.where(F.col(f"tf{i}") > 0)
+            at, starts = F.map_from_entries("at"), None
             for i, t in enumerate(phrase):
-                own = F.transform(F.coalesce(F.col(f"at{terms.index(t)}"), F.expr("cast(array() as array<int>)")), (lambda k: lambda p: p - k)(i))
+                own = F.transform(F.coalesce(F.try_element_at(at, F.lit(t)), F.expr("cast(array() as array<int>)")), (lambda k: lambda p: p - k)(i))
                 starts = own if starts is None else F.array_intersect(starts, own)
             pf = F.size(starts)
         return rows.select("doc", "book_id", "page_id", "dl", F.array(*(F.col(f"tf{i}") for i in range(len(terms)))).alias("tf"), pf.alias("pf"))
 
+    @staticmethod
+    def _within(held: DataFrame, blocks: DataFrame) -> DataFrame:
+        """The postings of these blocks (distinct). Few are literals, which reach the files' statistics; of more the postings don't move either."""
+        n = blocks.count()
+        if n > FEW_BLOCKS:
+            return held.join(F.broadcast(blocks) if n <= MAX_BROADCAST_ROWS else blocks, "block", "left_semi")
+        wanted = F.lit(False)
+        for r in blocks.select("block").collect():
+            wanted |= F.col("block") == r["block"]
+        return held.where(wanted)
+
 
 def describe(df: DataFrame) -> DataFrame:
     """column, type, rows, present, longest (bytes): a row per column, in one pass; lengths only, no contents."""

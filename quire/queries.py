@@ -297,6 +297,26 @@ def bm25_phrase_top20(spark, sf_dir):
     return S.page(_hits(spark, sf_dir, PHRASE, "phrase"), 20).withColumn("score", F.round("score", 6))
 
 
+def _best(spark, sf_dir, raw: str, mode: str):
+    return S.best(_index(spark, sf_dir), parse(raw, mode), 20)[0].withColumn("score", F.round("score", 6))
+
+
+@query(f"with {O.hits(ANY.split(), 'any_terms')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def bm25_top20_by_bounds(spark, sf_dir):
+    """The best hits with only those blocks of postings read that can have them."""
+    return _best(spark, sf_dir, ANY, "any_terms")
+
+
+@query(f"with {O.hits(ALL.split(), 'all_terms')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def bm25_all_terms_by_bounds(spark, sf_dir):
+    return _best(spark, sf_dir, ALL, "all_terms")
+
+
+@query(f"with {O.hits(PHRASE.split(), 'phrase')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
+def bm25_phrase_by_bounds(spark, sf_dir):
+    return _best(spark, sf_dir, PHRASE, "phrase")
+
+
 @query(f"with {O.hits(['the', 'of', 'the'], 'all_terms')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 20")
 def bm25_repeated_term(spark, sf_dir):
     return S.page(_hits(spark, sf_dir, "the of the", "all_terms"), 20).withColumn("score", F.round("score", 6))
