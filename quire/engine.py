@@ -101,8 +101,15 @@ class Engine:
 
     # tools
 
-    def health(self) -> dict:
-        """What is there and what isn't. A missing library, catalogue or index is told, never raised."""
+    def health(self, refresh: bool = False) -> dict:
+        """What is there and what isn't. A missing library, catalogue or index is told, never raised. refresh: the index is opened anew first, as it is
+        stored now.
+        """
+        if refresh:
+            try:
+                self.index = self.index.refresh()
+            except Exception:  # told below: what can't be opened can't be read
+                self.index = Index(self.books.sparkSession, self.index.tokens, self.index.path, self.index.generation)
         counts = C.counts(self.books).first().asDict()
         unmapped, review = C.unmapped_categories(self.books), self.books.where("verification_status = 'needs_review'").count()
         warnings = []
@@ -257,7 +264,7 @@ class Engine:
             "failed_books": sorted({r["book_id"] for r in seen if r["status"] == "failed"}), "missing_pages": [{"book_id": r["book_id"], "page_id": r["page_id"]} for r in seen if r["status"] == "missing"],
         }
 
-    def compare_issue(self, query: str, mode: str = "all_terms", schools=None, book_ids=None, per_school=None, neighbors=0) -> dict:
+    def compare_issue(self, query: str, mode: str = "all_terms", schools=None, book_ids=None, per_school=None, neighbors=0, include_full_text=False) -> dict:
         """With neighbors every passage is read anew as a window: page order within a book, score 0."""
         q, n = parse(query, mode), schema.clamp(per_school, "per_school")
         asked = [s for s in schema.CORE if s in (schools or schema.CORE)]
@@ -265,12 +272,13 @@ class Engine:
         _, some = self._identity(scope)
         found = S.hits(self.index, q, some).join(scope.select("book_id", "school"), "book_id")
         few = [r.asDict() for r in S.top_per(found, "school", n).collect()]  # per_school rows a school
-        rows = [r for r in self._passages(few, q, False) if not r.pop("unreadable")]
+        rows = [r for r in self._passages(few, q, include_full_text) if not r.pop("unreadable")]
         if neighbors and rows:
             school = {r["book_id"]: r["school"] for r in rows}
             asked_pages = self.pages.sparkSession.createDataFrame([(r["book_id"], r["page_id"]) for r in few], "book_id string, page_id int")
             near = P.fetch(asked_pages, self.store or self.pages.where(F.col("book_id").isin(list(school))), self.books, max(0, min(10, int(neighbors))), self.toc)
-            rows = [r.asDict(True) for r in P.fetched_passages(near, self.books, self.toc, q, self.nfc).drop("text_original").orderBy("book_id", "page_id").collect()]
+            windows = P.fetched_passages(near, self.books, self.toc, q, self.nfc)
+            rows = [r.asDict(True) for r in (windows if include_full_text else windows.drop("text_original")).orderBy("book_id", "page_id").collect()]
         rows = [r for s in asked for r in self._fit([r for r in rows if r["school"] == s], len(asked))]
         groups: dict[str, dict[str, list]] = {}
         for r in rows:
@@ -278,7 +286,8 @@ class Engine:
         listed = [{"school": s, "label": schema.SCHOOLS[s], "books": [{"book_id": b, "title": p[0]["title"], "passages": p} for b, p in sorted(groups[s].items(), key=lambda x: (-len(x[1]), x[0]))]} for s in schema.CORE if s in groups]
         return {"groups": listed, "summary": {"passages": len(rows), "books": len({r["book_id"] for r in rows}), "schools_with_evidence": [g["school"] for g in listed], "schools_without_evidence": [s for s in asked if s not in groups]}, "coverage": self.coverage(scope, asked), "notes": P.notes(q)}
 
-    def export_results(self, query: str, mode: str = "all_terms", schools=None, book_ids=None, job_id: str = "export", output_dir: str | None = None, include_full_text=True) -> dict:
+    def export_results(self, query: str, mode: str = "all_terms", schools=None, book_ids=None, job_id: str = "export", output_dir: str | None = None, include_full_text=True, concurrency: int | None = None) -> dict:
+        """concurrency: files that are published at a time."""
         q = parse(query, mode)
         folder = L.safe_output(output_dir, self.output_root, self.library)
         L.safe_job_id(job_id)
@@ -287,7 +296,7 @@ class Engine:
         found = S.hits(self.index, q, some)
         failed, told = _together(lambda: [r.asDict() for r in P.failing(found, self.store or self.pages, self.books).collect()], lambda: self.coverage(scope, schools))  # a row per book that can't be read
         rows = P.export_rows(P.passages(found, self.store or self.pages, self.books, self.toc, q, nfc=self.nfc), q, include_full_text)
-        return X.export(rows, scope, q, fp, folder, job_id, include_full_text, failed=failed) | {"coverage": told}
+        return X.export(rows, scope, q, fp, folder, job_id, include_full_text, failed=failed, concurrency=schema.clamp(concurrency, "concurrency")) | {"coverage": told}
 
     def citation(self, book_id: str, page_id: int, include_text=False) -> dict:
         book = self.books.where(F.col("book_id") == book_id).first()

@@ -101,7 +101,7 @@ def _key(book: str) -> str:
     return hashlib.sha256(book.encode()).hexdigest()[:32]
 
 
-def _shards(out: Folder, rows: DataFrame, batch: list[str]) -> dict[str, int]:
+def _shards(out: Folder, rows: DataFrame, batch: list[str], threads: int = 8) -> dict[str, int]:
     """Writes the shards of some books in one job, each sorted by score and doc, and returns their rows. A large book's rows come from several
     tasks, in order. What the job has written is counted against what lies in the folder before any shard appears.
     """
@@ -127,13 +127,13 @@ def _shards(out: Folder, rows: DataFrame, batch: list[str]) -> dict[str, int]:
         else:
             out.joined(files, f"shards/{_name(book)}")
 
-    with ThreadPoolExecutor(8) as pool:
+    with ThreadPoolExecutor(threads) as pool:
         list(pool.map(put, batch))
     out.fs.delete(out.at(staging), True)
     return {b: counts.get(b, 0) for b in batch}
 
 
-def export(rows: DataFrame, books: DataFrame, query: ParsedQuery, fingerprint: str, folder: str, job_id: str, full_text: bool = True, books_per_job: int = 200, failed: list[dict] = ()) -> dict:
+def export(rows: DataFrame, books: DataFrame, query: ParsedQuery, fingerprint: str, folder: str, job_id: str, full_text: bool = True, books_per_job: int = 5000, failed: list[dict] = (), concurrency: int = 8) -> dict:
     """Writes rows (export_rows of the whole scope) book by book into folder/job_id and one results.jsonl.
 
     A Spark job writes the shards of up to books_per_job books; they appear under their names by a rename, and only then does the
@@ -151,7 +151,7 @@ def export(rows: DataFrame, books: DataFrame, query: ParsedQuery, fingerprint: s
     scope = [(r["book_id"], r["school"], r["downloaded"]) for r in books.select("book_id", "school", "downloaded").orderBy("book_id").collect()]
     todo = [b for b, _, ok in scope if ok and b not in done and b not in bad]
     for at in range(0, len(todo), books_per_job):
-        done |= _shards(out, rows, todo[at : at + books_per_job])
+        done |= _shards(out, rows, todo[at : at + books_per_job], concurrency)
         out.write("checkpoint.json", json.dumps(state | {"completed": done, "updated_at": datetime.now(UTC).isoformat()}, ensure_ascii=False, indent=1))
     order = sorted((b for b in done if done[b]), key=lambda b: (-done[b], b))
     digest = out.joined([f"shards/{_name(b)}" for b in order], "results.jsonl")

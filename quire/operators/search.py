@@ -179,10 +179,52 @@ def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.expr(f"row_number() over (partition by {', '.join(keys)} order by {order})")).where("_n = 1").drop("_n")
 
 
+#: Questions' terms that are broadcast, at most.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def answers(index: Index, questions: DataFrame, limit: int = 20) -> DataFrame:
+    """The best hits of each of a table of questions over a stored index: query, rank, doc, book_id, page_id, score.
+
+    questions: query (any type, one row each), terms (array of folded terms, in order), mode. One plan of fixed size, however many there are:
+    their terms meet the postings in one scan, a page's postings are gathered where they lie, and of each question a task sends its
+    limit best rows on. Scores are those of hits(). A question without terms has no answer.
+    """
+    asked = cut(questions.select("query", "terms", F.when((F.col("mode") == "phrase") & (F.size("terms") > 1), "phrase").when(F.col("mode") == "any_terms", "any").otherwise("all").alias("mode")))
+    stats = index.stats([])
+    mean = (stats.tokens / stats.docs if stats.docs else 1.0) or 1.0
+    each = asked.select("query", "mode", F.size(F.array_distinct("terms")).alias("_of"), F.posexplode("terms").alias("at", "term"))
+    each = each.groupBy("query", "mode", "_of", "term").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    df = F.coalesce(F.col("df"), F.lit(0))
+    each = each.join(index.table("term_stats").select("term", "df"), "term", "left").withColumn("idf", F.log(1 + (F.lit(stats.docs) - df + 0.5) / (df + 0.5)))
+    each = cut(each.drop("df"))
+    phrases = not asked.where("mode = 'phrase'").isEmpty()
+    held = index.table("postings").select("term", "block", "doc", "book_id", "page_id", "dl", "tf", *(["positions"] if phrases else []))
+    met = held.join(F.broadcast(each) if each.count() <= MAX_BROADCAST_ROWS else each, "term")
+    where_ = [F.when(F.col("mode") == "phrase", F.col("positions")).alias("positions")] if phrases else []
+    page_ = ["block", "doc", "book_id", "page_id", "dl"]
+    rows = met.groupBy(*page_, "query", "mode", "_of").agg(F.collect_list(F.struct("ats", "idf", "tf", *where_)).alias("has"))
+    rows = rows.where((F.col("mode") == "any") | (F.size("has") == F.col("_of")))
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(mean))
+    by_place = lambda value: F.transform(F.array_sort(F.flatten(F.transform("has", lambda x: F.transform(x["ats"], lambda a: F.struct(a.alias("at"), value(x).alias("v")))))), lambda x: x["v"])
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    score = total(by_place(lambda x: x["idf"] * x["tf"] / (x["tf"] + norm)))
+    if phrases:
+        starts = F.flatten(F.transform("has", lambda x: F.transform(x["ats"], lambda a: F.transform(x["positions"], lambda p: p - a))))
+        common = F.aggregate(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.get(starts, F.lit(0)), lambda a, x: F.array_intersect(a, x))
+        rows = rows.withColumn("pf", F.when(F.col("mode") == "phrase", F.size(common))).where("mode <> 'phrase' or pf > 0")
+        score = F.when(F.col("mode") == "phrase", total(by_place(lambda x: x["idf"])) * F.col("pf") / (F.col("pf") + norm)).otherwise(score)
+    rows = rows.select("query", "doc", "book_id", "page_id", F.round(score, 9).alias("score"))
+    return top_per(rows, "query", limit).select("query", "rank", "doc", "book_id", "page_id", "score")
+
+
 def many(index: Index, queries: dict[str, ParsedQuery], scope=None, limit: int = 20) -> DataFrame:
-    """The best hits of several queries as one plan: query, rank, doc, book_id, page_id, score. A session that has a table of
-    questions gets one job instead of one each.
+    """The best hits of several queries as one plan: query, rank, doc, book_id, page_id, score. Over a stored index and without a scope they are a
+    table of questions; else each is a branch of the plan.
     """
+    if index.path and scope is None and queries:
+        asked = [(name, list(q.terms), q.mode) for name, q in queries.items()]
+        return answers(index, index.spark.createDataFrame(asked, "query string, terms array<string>, mode string"), limit)
     out = None
     for name, q in queries.items():
         one = page(hits(index, q, scope), limit).withColumn("query", F.lit(name))

@@ -359,6 +359,30 @@ def many_queries(spark, sf_dir):
     return S.many(_index(spark, sf_dir), asked, limit=5).select("query", "rank", "doc", F.round("score", 6).alias("score"))
 
 
+_ASKED_BY = f"q as (select item_id as query, list_slice({O.tokens(O.fold('text'))}, 1, 3) w from benchmark)"
+_OCCURS = "u as (select doc, cast(dl as double) dl, term, cast(count(*) as double) tf from (select doc, dl, unnest(terms) term from tok) x group by doc, dl, term), n as (select cast(count(*) as double) docs, cast(sum(dl) as double) total from tok), f as (select term, count(*) df from u group by term)"
+_IDF = "ln(1 + (docs - df + 0.5) / (df + 0.5))"
+_NORM = "(1.2 * (1 - 0.75 + 0.75 * dl / (total / docs)))"
+_LAST = "r as (select *, row_number() over (partition by query order by score desc, doc) rnk from s) select query, cast(rnk as int) as rank, doc, round(score, 6) score from r where rnk <= 5"
+
+
+def _items(spark: SparkSession, sf_dir: str, mode: str, terms: int) -> DataFrame:
+    """A question for each benchmark item: how its text begins."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return items.select(F.col("item_id").alias("query"), F.slice(T.tokens(T.fold(F.col("text"), True)), 1, terms).alias("terms"), F.lit(mode).alias("mode"))
+
+
+@query(f"with {O.TOK}, {_OCCURS}, {_ASKED_BY}, e as (select query, unnest(w) term from q), s as (select query, doc, round(sum({_IDF} * tf / (tf + {_NORM})), 9) score from e join u using (term) join f using (term), n group by query, doc), {_LAST}")
+def benchmark_any_terms(spark, sf_dir):
+    """The best pages for a table of questions, in one plan."""
+    return S.answers(_index(spark, sf_dir), _items(spark, sf_dir, "any_terms", 3), 5).select("query", "rank", "doc", F.round("score", 6).alias("score"))
+
+
+@query(f"with {O.TOK}, {_OCCURS}, {_ASKED_BY}, e as (select query, w[1] a, w[2] b from q), m as (select query, doc, a, b, cast(len(list_filter(range(1, len(terms)), lambda i: terms[i] = a and terms[i + 1] = b)) as double) pf, cast(dl as double) dl from e, tok where list_contains(terms, a) and list_contains(terms, b)), s as (select query, doc, round(({_IDF.replace('df', 'fa.df')} + {_IDF.replace('df', 'fb.df')}) * pf / (pf + {_NORM}), 9) score from m join f fa on fa.term = a join f fb on fb.term = b, n where pf > 0), {_LAST}")
+def benchmark_phrases(spark, sf_dir):
+    return S.answers(_index(spark, sf_dir), _items(spark, sf_dir, "phrase", 2), 5).select("query", "rank", "doc", F.round("score", 6).alias("score"))
+
+
 # catalogue
 
 
@@ -504,9 +528,11 @@ def _requests(spark: SparkSession) -> DataFrame:
     return spark.sql("select * from values " + ", ".join(f"('{b}', {p})" for b, p in REQUESTS) + " as r(book_id, page_id)")
 
 
-@query(f"with {_WIN} select * from w")
+@query(f"select book_id, cast(near as int) page_id, bool_or(near = page_id) requested from (select book_id, page_id, unnest(range(greatest(0, page_id - 2), page_id + 3)) near from {O.PAGES} p where page_id % 7 = 3) x group by book_id, near")
 def neighbour_windows(spark, sf_dir):
-    return P.windows(_requests(spark), 1)
+    """Windows of two pages around every seventh page of each book."""
+    asked = corpus.pages(spark, sf_dir).where("page_id % 7 = 3").select("book_id", "page_id")
+    return P.windows(asked, 2)
 
 
 _STATUS = f"{_WIN}, s as (select w.*, case when not coalesce(b.downloaded, false) then 'failed' when p.doc is not null then 'found' when requested then 'missing' else 'absent' end status, p.doc from w left join {O.PAGES} p using (book_id, page_id) left join {O.BOOKS} b using (book_id))"
@@ -711,12 +737,15 @@ def cursor_round_trip(spark, sf_dir):
     return spark.createDataFrame([(a["doc"], round(a["score"], 6)) for a in told], "doc long, score double")
 
 
-_ASKED = [-3.0, 0.0, 0.5, 1.0, 7.9, 60.0, 400.0, 5000.0]
+_LIMITS = ", ".join(f"('{k}', {m})" for k, (_, m) in schema.LIMITS.items())
 
 
-@query("select k kind, a asked, cast(greatest(1, least(m, floor(a))) as int) got from (values " + ", ".join(f"('{k}', {m})" for k, (_, m) in schema.LIMITS.items()) + ") l(k, m), (values " + ", ".join(f"(cast({a} as double))" for a in _ASKED) + ") r(a)")
+@query(f"select doc_id, k kind, cast(greatest(1, least(m, floor(n_chars / 8.0 - 3))) as int) got from documents, (values {_LIMITS}) l(k, m) where n_chars is not null")
 def clamped_limits(spark, sf_dir):
-    return spark.createDataFrame([(k, a, schema.clamp(a, k)) for k in schema.LIMITS for a in _ASKED], "kind string, asked double, got int")
+    """Every limit as a document's length would ask for it."""
+    rows = corpus.documents(spark, sf_dir).where("n_chars is not null").select("doc_id", (F.col("n_chars") / 8.0 - 3).alias("asked"))
+    told = F.array(*(F.struct(F.lit(k).alias("kind"), schema.clamped(F.col("asked"), k).alias("got")) for k in schema.LIMITS))
+    return rows.select("doc_id", F.explode(told).alias("x")).select("doc_id", "x.*")
 
 
 @query("select case when bool_and(coalesce(lang, '') = source) then 'lang' when bool_and(source is not null) then 'source' end as \"column\" from documents where source is not null")

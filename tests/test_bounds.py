@@ -48,3 +48,28 @@ def test_best_where_blocks_are_many_and_scores_tie(spark, tmp_path, monkeypatch)
         for raw, mode in (("alpha beta", "any_terms"), ("alpha gamma", "all_terms"), ("alpha beta", "phrase"), ("alpha alpha", "phrase"), ("alpha beta alpha", "any_terms")):
             q = parse(raw, mode)
             assert [tuple(r) for r in S.best(index, q, 30)[0].orderBy(F.desc("score"), "doc").collect()] == [tuple(r) for r in S.page(S.hits(index, q), 30).collect()], (raw, mode)
+
+
+def test_a_table_of_questions(spark):
+    """Thousands of questions in one plan, whose size doesn't grow with them; each has the rows of a search of its own."""
+    from quire.functions import text as T
+
+    index = corpus.index(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 30")
+    begin = F.slice(T.tokens(T.fold(F.col("text"), True)), 1, 3)
+    asked = docs.select(F.col("doc_id").alias("query"), begin.alias("terms"), F.element_at(F.array(*map(F.lit, ("any_terms", "all_terms", "phrase"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("mode"))
+    more = asked
+    for k in range(1, 11):
+        more = more.unionByName(asked.withColumn("query", F.col("query") + 1_000_000 * k))
+    got = S.answers(index, more.unionByName(spark.createDataFrame([(-1, [], "any_terms"), (-2, ["qqqzzzabsent"], "any_terms"), (-3, ["the", "the"], "phrase"), (-4, ["the"], "phrase")], "query long, terms array<string>, mode string")), 5)
+    shape = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert shape(got) == shape(S.answers(index, asked, 5)) and more.count() > 9000
+    held = {}
+    for r in got.collect():
+        held.setdefault(r.query, []).append((r["rank"], r.doc, r.book_id, r.page_id, r.score))
+    assert -1 not in held and -2 not in held
+    singles = [(r.query, r.terms, r.mode) for r in asked.orderBy(F.xxhash64("query")).limit(9).collect()] + [(-3, ["the", "the"], "phrase"), (-4, ["the"], "phrase")]
+    for query, terms, mode in singles:
+        one = [(k, r.doc, r.book_id, r.page_id, pytest.approx(r.score, abs=2e-9)) for k, r in enumerate(S.page(S.hits(index, parse(" ".join(terms), mode)), 5).collect(), 1)]
+        assert sorted(held.get(query, [])) == one
+        assert query < 0 or [x[1:3] for x in sorted(held.get(query + 1_000_000, []))] == [x[1:3] for x in sorted(held.get(query, []))]

@@ -173,7 +173,7 @@ def test_unreadable_pages(engine, tmp_path):
     whole = engine.search("of the", "phrase", limit=500)
     first, other = whole["passages"][0], next(p for p in whole["passages"] if p["book_id"] != whole["passages"][0]["book_id"])
     cond = (F.col("book_id") != first["book_id"]) & ~((F.col("book_id") == other["book_id"]) & (F.col("page_id") == other["page_id"]))
-    poor = E.Engine(**{**engine.__dict__, "pages": engine.pages.where(cond), "output_root": str(tmp_path)})
+    poor = E.Engine(**{**engine.__dict__, "pages": engine.pages.where(cond), "store": None, "output_root": str(tmp_path)})
     seen, cursor, named = [], None, set()
     while True:
         r = poor.search("of the", "phrase", limit=20, cursor=cursor)
@@ -290,6 +290,54 @@ def test_pages_of_a_book_over_many_partitions(spark, tmp_path, monkeypatch):
     assert got == want
 
 
+def test_compare_with_full_text_and_refresh(spark, engine, tmp_path):
+    short, long = engine.compare_issue("of the", "phrase"), engine.compare_issue("of the", "phrase", include_full_text=True)
+    of = lambda r: [(b["book_id"], p["page_id"]) for g in r["groups"] for b in g["books"] for p in b["passages"]]
+    texts = {(r.book_id, r.page_id): r.body for r in engine.pages.collect()}
+    assert all("text_original" not in p for g in short["groups"] for b in g["books"] for p in b["passages"])
+    assert of(long) and set(of(long)) <= set(of(short)) and all(p["text_original"] == texts[b["book_id"], p["page_id"]] for g in long["groups"] for b in g["books"] for p in b["passages"])
+    near = engine.compare_issue("of the", "phrase", neighbors=1, include_full_text=True)
+    assert all(p["text_original"] == texts[b["book_id"], p["page_id"]] for g in near["groups"] for b in g["books"] for p in b["passages"])
+    # the index at the same path is built anew: health tells of the old one, unless it is to look again
+    e = E.Engine(**{**engine.__dict__, "index": Index.over(engine.pages, False).store(str(tmp_path / "i"), 2)})
+    Index.over(engine.pages.where("page_id < 3"), False).store(str(tmp_path / "i"), 2)
+    before = e.index.generation
+    assert e.health()["index"]["generation"] == before
+    told = e.health(refresh=True)["index"]
+    assert told["generation"] != before and told["documents"] == engine.pages.where("page_id < 3").count()
+
+
+def test_export_in_one_job_with_limited_threads(engine, tmp_path, monkeypatch):
+    """All books of an export are evaluated once; no more threads publish than were asked for, within 1 and 16."""
+    import threading
+
+    from quire.operators import export as X
+
+    at_once, most, lock, jobs = 0, 0, threading.Lock(), []
+    real, shards = X.Folder.publish, X._shards
+
+    def publish(self, made, name):
+        nonlocal at_once, most
+        with lock:
+            at_once += 1
+            most = max(most, at_once)
+        try:
+            return real(self, made, name)
+        finally:
+            with lock:
+                at_once -= 1
+
+    monkeypatch.setattr(X.Folder, "publish", publish)
+    monkeypatch.setattr(X, "_shards", lambda *a, **k: jobs.append(1) or shards(*a, **k))
+    e = E.Engine(**{**engine.__dict__, "output_root": str(tmp_path)})
+    sums = set()
+    for asked, limit in ((1, 1), (3, 3), (99, 16)):
+        most = 0
+        sums.add(e.export_results("of the", "phrase", job_id=f"c{asked}", concurrency=asked)["checksum"])
+        assert 1 <= most <= limit
+    assert len(sums) == 1 and len(jobs) == 3
+
+
 def test_unknown_mode(engine):
     with pytest.raises(QuireError, match="INVALID_QUERY"):
         engine.search("x", "fuzzy")
