@@ -5,16 +5,20 @@
 
 Options: root; table, pages (the default) or toc; ids, a comma-separated list of books (default: all files found). The files must
 be reachable from the executors. A file that can't be read is a row with its error, so the others are not lost with it.
+
+Filters on book_id choose the files, and filters on page_id go into the statement that reads a file, where its page ids are its row ids; both with the
+option filters=true in a session that has spark.sql.python.filterPushdown.enabled, as read() sets them. Spark evaluates every filter again, so a file that can't use them gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sqlite3
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from quire.errors import QuireError
 from quire.sources.library import introspect, open_read_only, probe_book, probe_catalogue, quoted, shard_path
@@ -55,12 +59,21 @@ class BookReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.table = options["root"], options.get("table", "pages")
         self.ids = [x for x in options.get("ids", "").split(",") if x] or None
+        self.books: set[str] | None = None  # by the filters; None: all
+        self.pages: list[tuple[str, list[int]]] = []  # conditions on a page's id, each with its values
+
+    def _condition(self, con: sqlite3.Connection, table: str, column: str | None) -> tuple[str, list[int]]:
+        """What a file's statement can say of the filters: nothing, unless its page ids are row ids, which are whole numbers."""
+        own = [(kind or "").upper() for _, name, kind, _, _, key in con.execute(f"pragma table_info({quoted(table)})") if name == column and key == 1] if column else []
+        if not self.pages or own != ["INTEGER"]:
+            return "", []
+        return " where " + " and ".join(f"{quoted(column)} {test}" for test, _ in self.pages), [v for _, values in self.pages for v in values]
 
     def partitions(self) -> list[BookFile]:
         folder = Path(self.root) / "database"
         files = {p.stem: str(p) for p in sorted(folder.glob("book/*/*.db"))}
         wanted = files if self.ids is None else {b: str(folder / (shard_path(b) or "")) for b in self.ids}
-        return [BookFile(b, p) for b, p in wanted.items()]
+        return [BookFile(b, p) for b, p in wanted.items() if self.books is None or b in self.books]
 
     def read(self, partition: BookFile) -> Iterator[pa.RecordBatch]:
         book = partition.book_id
@@ -73,7 +86,8 @@ class BookReader(DataSourceReader):
         r = profile.roles
         role = lambda name: quoted(r[name]) if r[name] else "null"
         if self.table == "pages":
-            rows = con.execute(f"select {role('page_id')}, {role('page_part')}, {role('page_printed')}, {role('page_text')} from {quoted(profile.tables['pages'])} order by 1")
+            where, values = self._condition(con, profile.tables["pages"], r["page_id"])
+            rows = con.execute(f"select {role('page_id')}, {role('page_part')}, {role('page_printed')}, {role('page_text')} from {quoted(profile.tables['pages'])}{where} order by 1", values)
             while some := rows.fetchmany(FETCH_ROWS):
                 yield _batch(self.table, [(book, int_of(i), text_of(part), number_of(printed), None if body is None else str(body), None) for i, part, printed, body in some])
         elif profile.tables["titles"]:
@@ -84,6 +98,20 @@ class BookReader(DataSourceReader):
         con.close()
 
 
+class FilteringReader(BookReader):
+    """A reader that takes filters. Spark wants the session to allow that, or it fails; so it is asked for by the option filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            values = [f.value] if type(f) in signs else [v for v in f.value if v is not None] if type(f) is In else None
+            if values is not None and f.attribute == ("book_id",) and type(f) in (EqualTo, In):
+                self.books = {str(v) for v in values} if self.books is None else self.books & {str(v) for v in values}
+            elif values is not None and f.attribute == ("page_id",) and self.table == "pages":
+                self.pages.append((signs[type(f)] + " ?" if type(f) in signs else f"in ({', '.join('?' * len(values))})", values))
+        return filters
+
+
 def _batch(table: str, rows: list[tuple]) -> pa.RecordBatch:
     """Rows as one Arrow batch of the table's schema."""
     fields = [f.split() for f in SCHEMAS[table].split(", ")]
@@ -99,7 +127,14 @@ class BookFiles(DataSource):
         return SCHEMAS[self.options.get("table", "pages")]
 
     def reader(self, schema) -> BookReader:
-        return BookReader(dict(self.options))
+        return (FilteringReader if self.options.get("filters") == "true" else BookReader)(dict(self.options))
+
+
+def read(spark: SparkSession, root: str, table: str = "pages") -> DataFrame:
+    """A table of all book files below root, with filters on book and page pushed into them; allows this session's Python sources to take filters."""
+    spark.dataSource.register(BookFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("bookfiles").option("root", root).option("table", table).option("filters", "true").load()
 
 
 def catalogue(spark: SparkSession, root: str) -> DataFrame:

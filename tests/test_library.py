@@ -140,3 +140,41 @@ def test_streaming_ingest(spark, tmp_path):
     assert told(later) == told(whole)
     one = G.compact(spark, path)
     assert one.segments == () and told(one) == told(whole) and told(G.current(spark, path)) == told(whole)
+
+
+def test_filters_reach_the_book_files(spark, tmp_path):
+    """A filter on book and page opens one file and reads its rows only; files whose page ids are texts are read whole, and results agree."""
+    import sqlite3
+
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+
+    from quire.sources import sqlite as Q
+
+    for k, kind in ((7, "integer primary key"), (8, "text"), (9, "integer primary key")):
+        path = tmp_path / "database" / L.shard_path(str(k))
+        path.parent.mkdir(parents=True, exist_ok=True)
+        con = sqlite3.connect(path)
+        con.execute(f"create table page (id {kind}, content text, part text, page integer)")
+        con.executemany("insert into page values (?, ?, '1', ?)", [(p, f"page {p} of {k}", p) for p in range(1, 501)])
+        con.commit()
+        con.close()
+
+    def read(*filters):
+        reader = Q.FilteringReader({"root": str(tmp_path)})
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        parts = reader.partitions()
+        return [p.book_id for p in parts], sum(b.num_rows for p in parts for b in reader.read(p))
+
+    assert read() == (["7", "8", "9"], 1500)
+    assert read(EqualTo(("book_id",), "9"), GreaterThan(("page_id",), 20), LessThanOrEqual(("page_id",), 25)) == (["9"], 5)
+    assert read(In(("book_id",), ("7", "9")), In(("page_id",), (3, 4, 9999))) == (["7", "9"], 4)
+    assert read(EqualTo(("book_id",), "8"), EqualTo(("page_id",), 5)) == (["8"], 500)
+    assert read(EqualTo(("book_id",), "8"), EqualTo(("book_id",), "7")) == ([], 0)
+    spark.dataSource.register(Q.BookFiles)
+    plain = spark.read.format("bookfiles").option("root", str(tmp_path)).load()
+    told = []
+    for rows in (plain, Q.read(spark, str(tmp_path))):
+        some = rows.where("book_id in ('7', '8') and page_id > 10 and page_id <= 13 and body like 'page%'")
+        told.append(sorted((r.book_id, r.page_id, r.body) for r in some.collect()))
+    assert told[0] == told[1] == [(b, p, f"page {p} of {b}") for b in ("7", "8") for p in (11, 12, 13)]
+    assert Q.read(spark, str(tmp_path)).where("book_id = '9' and page_id = 400").rdd.getNumPartitions() == 1
