@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, quality, secrets, spelling, token_count, topk, toxicity, url_filter
-from quire.llm.common import read, shared_dir
+from quire.llm.common import delete, read, shared_dir
 
 #: The rules of the url query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -48,8 +48,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-    found = secrets.scan(read(spark, sf_dir, "documents"), ledger)
+    folder = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    found = secrets.scan(read(spark, sf_dir, "documents"), secrets.Ledger(spark, folder))
+    delete(spark, folder)  # what is returned lies in checkpoints
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
