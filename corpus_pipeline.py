@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality, exact copies, near copies, mixing, packing. Each stage takes (spark, docs, sf_dir)."""
+"""The corpus pipeline: quality, exact copies, near copies, mixing, packing. Each stage takes (spark, docs, sf_dir).
+
+Defined results of the stages, besides those of their operators: a stage returns rows of docs, unchanged, with all their columns whatever their
+names; a null text is empty, a null source is a source of its own, a null doc_id loses ties; repeated rows are judged alike by quality, one of
+them stays after exact and near copies, and mixing and packing take each as a document; an empty table gives an empty table. The quality stage wants the
+column n_chars, which documents have; null counts as 0.
+"""
 
 from __future__ import annotations
 

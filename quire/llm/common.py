@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: White space in the sense of the contracts, for Java's and Python's regex alike.
 BLANK = r"[\x20\x09-\x0D]"
 #: Bits of the largest filter: 8 MB. More hashes go to so many filters, each for a part of the hashes; beyond those a fuller filter says "maybe"
-#: more often (a wrong one in 4 hundred at 16 bits a hash, one in 20 at 6), and no result depends on it.
+#: more often (of one row in 200 at 16 bits a hash, of one in 16 at 6), and no result depends on it.
 MAX_FILTER_BITS, MAX_FILTERS = 1 << 26, 16
 #: Words of 64 bits in a segment of a filter, which is one row of its broadcast.
 SEGMENT_WORDS = 64

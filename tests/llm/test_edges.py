@@ -253,6 +253,8 @@ def test_tokens(rows, none):
     path = queries.vocabulary("word_bpe_49k.json")
     got = {r.doc_id: (r.n_bytes, r.over_limit) for r in token_count.count(rows, path).collect()}
     assert got[3] == (0, False) and got[6] == (len(LONG), True)
+    all_ = [(r.doc_id, r.n_bytes) for r in token_count.count(rows, path).collect()]  # repeated rows and null ids each count
+    assert len(all_) == len(ROWS) and all_.count((7, len(LONG) + 5)) == 2 and all_.count((None, len(ROWS[0][1]))) == 1
     assert token_count.count(none, path).count() == 0
 
 

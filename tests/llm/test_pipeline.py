@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import ngram_join, quality
@@ -40,6 +41,52 @@ def test_empty_documents(spark):
         assert got.count() == 0 and (name == "pack" or got.columns == docs.columns), name
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """The smallest documents, and rows with nulls in every column, empty and long texts, repeated rows, shared ids, and columns of other names."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    long = " ".join(f"w{i % 977}x{i}" for i in range(40_000))
+    rows = [(None, "a text without an id or a source", None, None, None), (900_001, None, "en", "src1", None), (900_002, "", "en", None, 0), (900_003, " \n", None, "src1", 2), (900_004, long, "en", "src2", len(long)),
+            (900_005, long, "en", "src2", len(long)), (900_005, long, "en", "src2", len(long)), (900_005, "another text of the same id", "en", "src2", 27), (900_006, long + " tail", "en", "src3", None)]
+    more = spark.createDataFrame(rows, docs.schema).repartition(3)
+    extra = {c: F.lit("q") for c in ("row", "h", "key", "maybe", "rid", "turn", "score", "label", "sha", "node", "size", "target", "taken", "class_id", "n", "bytes")}
+    return docs.unionByName(more).withColumns(extra).cache()
+
+
+def rows_of(df):
+    return Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in df.collect())
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, odd, stage):
+    """Each stage has a defined result for such rows: no row is changed, none appears, and what it has to keep is there."""
+    name, f = corpus_pipeline.STAGES[stage]
+    was, got = rows_of(odd), f(spark, odd, SMALL)
+    if name == "pack":
+        pieces = got.toPandas()
+        assert set(pieces[pieces.start == 0].doc_id.dropna()) == {r[0] for r in was if r[0] is not None} and (pieces.start == 0).sum() == sum(was.values())
+        return
+    assert got.columns == odd.columns
+    now = rows_of(got)
+    assert set(now) <= set(was)
+    if name == "quality":
+        assert all(now[r] in (0, was[r]) for r in was)  # rows that are alike are judged alike
+    if name == "exact_dedup":
+        groups = {}
+        for r in was:
+            key = re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")
+            groups[key] = max(groups.get(key, (-1, False, 0)), (len(r[1] or ""), r[0] is not None, -(r[0] or 0)))
+        assert sum(now.values()) == len(groups)
+        assert sorted(str(r[0]) for r in now.elements()) == sorted(str(-b[2]) if b[1] else "None" for b in groups.values())
+    if name == "near_dedup":
+        ids = Counter(r[0] for r in now.elements())
+        # of the long text, its repeats and its near copy the least id stays; texts without words stay all
+        assert ids[900_004] == 1 and ids[900_005] == 1 and ids[900_006] == 0 and ids[900_001] == ids[900_002] == ids[900_003] == 1 and ids[None] == 1
+        assert [r[1] for r in now if r[0] == 900_005] == ["another text of the same id"]
+    if name == "mix":
+        assert all(now[r] <= 3 * was[r] for r in was)
+
+
 def test_exact(stages):
     best = {}
     for r in stages["quality"].itertuples():
