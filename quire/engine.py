@@ -19,6 +19,7 @@ from quire.operators import search as S
 from quire.plans import cursor as K
 from quire.plans.index import Index, describe
 from quire.plans.query import ParsedQuery, parse
+from quire.plans.runs import Runs
 from quire.sources import library as L
 from quire.sources.pages import PageStore
 
@@ -52,6 +53,7 @@ class Engine:
     library: str | None = None
     nfc: bool = False
     store: PageStore | None = None  # the pages with their locator, where there is one
+    runs: Runs = field(default_factory=Runs)  # of walks that are under way
 
     def __post_init__(self):
         _, least, most = schema.RESPONSE_BYTES
@@ -175,7 +177,8 @@ class Engine:
         fp, some = self._identity(scope)
         after = K.decode(cursor, "search", fp, q.hash) if cursor else None
         found = S.hits(self.index, q, some)
-        one = S.page(found, limit + 1, (after["after"]["score"], after["after"]["doc"]) if after else None)
+        # a walk that goes on is ranked and stored once, and each further batch reads a range of that
+        one = self.runs.of(self.pages.sparkSession, (fp, q.hash), lambda: found).page(limit + 1, (after["after"]["score"], after["after"]["doc"])) if after else S.page(found, limit + 1)
         total, few, told = _together(
             lambda: after["total"] if after and after["total"] >= 0 else found.count(), lambda: [r.asDict() for r in one.collect()],  # limit + 1 rows at most
             lambda: self.coverage(scope, schools),

@@ -18,8 +18,10 @@ from quire.operators import toc as H
 from quire.plans import cursor as K
 from quire.plans import index as I
 from quire.plans.query import parse
+from quire.plans.runs import Runs
 from quire.sources import corpus
 
+RUNS = Runs()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -297,6 +299,17 @@ def bm25_phrase_top20(spark, sf_dir):
     return S.page(_hits(spark, sf_dir, PHRASE, "phrase"), 20).withColumn("score", F.round("score", 6))
 
 
+@query(f"with {O.hits(ANY.split(), 'any_terms')} select doc, book_id, page_id, round(score, 6) score from hits order by hits.score desc, doc limit 30 offset 60")
+def ranked_run_batch(spark, sf_dir):
+    """The third batch of a walk, from ranges that are stored in order."""
+    run = RUNS.of(spark, (sf_dir, _index(spark, sf_dir).generation, ANY), lambda: _hits(spark, sf_dir, ANY, "any_terms"))
+    last = None
+    for _ in range(2):
+        end = run.page(30, last).orderBy("score", F.desc("doc")).first()
+        last = (end["score"], end["doc"])
+    return run.page(30, last).withColumn("score", F.round("score", 6))
+
+
 def _best(spark, sf_dir, raw: str, mode: str):
     return S.best(_index(spark, sf_dir), parse(raw, mode), 20)[0].withColumn("score", F.round("score", 6))
 
