@@ -208,7 +208,7 @@ class Engine:
         if not few:
             return []
         spark = self.pages.sparkSession
-        hits = F.broadcast(spark.createDataFrame([(r["doc"], r["book_id"], r["page_id"], r["score"]) for r in few], "doc long, book_id string, page_id int, score double"))
+        hits = spark.createDataFrame([(r["doc"], r["book_id"], r["page_id"], r["score"]) for r in few], "doc long, book_id string, page_id int, score double")
         pages = self.store or self.pages.where(F.col("book_id").isin(sorted({r["book_id"] for r in few})) & F.col("page_id").isin(sorted({r["page_id"] for r in few})))
         rows = P.passages(hits, pages, self.books, self.toc, q, nfc=self.nfc).withColumn("unreadable", F.col("text_original").isNull()).orderBy(F.desc("score"), "doc").drop("doc")
         rows = rows if full_text else rows.drop("text_original")

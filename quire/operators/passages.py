@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators.toc import trails
 from quire.plans.query import ParsedQuery
-from quire.plans.store import cut
+from quire.plans.store import written
 from quire.schema import EXCERPT_FETCH, EXCERPT_SEARCH, SCHOOLS, schools
 from quire.sources.pages import KEYS, MAX_BROADCAST_ROWS, PageStore
 
@@ -51,23 +51,24 @@ def windows(requests: DataFrame, neighbours: int = 1) -> DataFrame:
     return rows.groupBy("book_id", F.col("near").cast("int").alias("page_id")).agg(F.bool_or(F.col("near") == F.col("page_id")).alias("requested"))
 
 
-def _with_pages(requests: DataFrame, pages: DataFrame | PageStore) -> DataFrame:
-    """requests with their pages' columns, where there is such a page. A body moves only where pages aren't a store and requests are more than a
+def _with_pages(requests: DataFrame, pages: DataFrame | PageStore, rows: int) -> DataFrame:
+    """requests, of so many rows and written down, with their pages' columns, where there is such a page. A body moves only where pages aren't a store and requests are more than a
     broadcast may have.
     """
     if isinstance(pages, PageStore):
-        return pages.fetch(requests.withColumnRenamed("doc", "_doc")).drop("doc", "present").withColumnRenamed("_doc", "doc")
-    return pages.drop("doc", "present").join(F.broadcast(requests) if requests.count() <= MAX_BROADCAST_ROWS else requests, KEYS)
+        return pages.fetch(requests.withColumnRenamed("doc", "_doc"), rows).drop("doc", "present").withColumnRenamed("_doc", "doc")
+    return pages.drop("doc", "present").join(F.broadcast(requests) if rows <= MAX_BROADCAST_ROWS else requests, KEYS)
 
 
 def looked_up(requests: DataFrame, pages: DataFrame | PageStore) -> DataFrame:
     """requests with the pages' columns and found; repeats of requests are kept. Pages are met by the requests where they lie, and the
     requests that meet none are added; no exchange holds a page's text.
     """
-    asked = cut(requests)
-    met = _with_pages(asked, pages)
+    asked = written(requests)
+    rows = asked.count()
+    met = _with_pages(asked, pages, rows)
     there = met.select(*KEYS).distinct()
-    there = F.broadcast(there) if asked.count() <= MAX_BROADCAST_ROWS else there
+    there = F.broadcast(there) if rows <= MAX_BROADCAST_ROWS else there
     gone = asked.join(there, KEYS, "left_anti").withColumn("found", F.lit(False))
     return met.withColumn("found", F.lit(True)).unionByName(gone, allowMissingColumns=True)
 
@@ -78,7 +79,7 @@ def fetch(requests: DataFrame, pages: DataFrame | PageStore, books: DataFrame, n
     """
     asked = windows(requests, neighbours).join(books.select("book_id", F.col("downloaded").alias("_ok")), "book_id", "left")
     if toc is not None:
-        asked = cut(asked)
+        asked = written(asked)
         asked = asked.join(trails(asked, toc), KEYS, "left")
     rows = looked_up(asked, pages)
     status = F.when(~F.coalesce("_ok", F.lit(False)), "failed").when(F.col("found"), "found").when(F.col("requested"), "missing").otherwise("absent")
@@ -102,7 +103,7 @@ def passages(hits: DataFrame, pages: DataFrame | PageStore, books: DataFrame, to
     books are gone; a page that isn't there leaves null texts, and a reason that says so. What is joined is narrow until the pages
     are met, last of all.
     """
-    few = cut(hits.select("book_id", "page_id", "doc", "score"))
+    few = written(hits).select("book_id", "page_id", "doc", "score")
     rows = few.join(books.select(*_BOOK), "book_id").join(trails(few, toc), KEYS, "left")
     rows = looked_up(rows, pages)
     rows, folded = _folded(rows, nfc)
@@ -116,8 +117,8 @@ def passages(hits: DataFrame, pages: DataFrame | PageStore, books: DataFrame, to
 
 def unreadable(hits: DataFrame, pages: DataFrame | PageStore, books: DataFrame) -> DataFrame:
     """book_id, title, pages: known books of which hits name pages that can't be read, and how many of those there are."""
-    asked = cut(hits.select(*KEYS).distinct())
-    held = _with_pages(asked, pages).where("body is not null").select(*KEYS)
+    asked = written(hits.select(*KEYS).distinct())
+    held = _with_pages(asked, pages, asked.count()).where("body is not null").select(*KEYS)
     gone = asked.join(held, KEYS, "left_anti")
     return gone.groupBy("book_id").agg(F.count("*").alias("pages")).join(books.select("book_id", "title"), "book_id").select("book_id", "title", "pages")
 

@@ -41,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written down unless they are already: a checkpoint, or rows that came from the driver."""
+    return df if df._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD" else cut(df)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's view of a path: the file system and the path in it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

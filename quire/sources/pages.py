@@ -66,10 +66,12 @@ class PageStore:
         on = (F.col("book_id") == F.col("_book")) & F.col("page_id").between(F.col("first"), F.col("last"))
         return requests.join(spans, on).drop("_book", "first", "last")
 
-    def fetch(self, requests: DataFrame) -> DataFrame:
-        """requests (book_id, page_id and other columns, none of which a page has), each with its page's columns, where there is such a page."""
-        asked = cut(requests)
-        rows = asked.count()
+    def fetch(self, requests: DataFrame, rows: int | None = None) -> DataFrame:
+        """requests (book_id, page_id and other columns, none of which a page has), each with its page's columns, where there is such a page. rows: of
+        requests that are written down already, and counted.
+        """
+        asked = cut(requests) if rows is None else requests
+        rows = asked.count() if rows is None else rows
         if rows <= FEW:
             pages = self.few([tuple(r) for r in asked.select(*KEYS).distinct().collect()])
             return pages.join(F.broadcast(asked), KEYS)
