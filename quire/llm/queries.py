@@ -17,6 +17,10 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+#: The ledger of a session's last run of the query; the next run removes it.
+_LEDGERS: dict[str, str] = {}
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -48,9 +52,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    folder, app = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", spark.sparkContext.applicationId
+    if app in _LEDGERS:
+        delete(spark, _LEDGERS[app])  # what the last run returned lies in checkpoints
+    _LEDGERS[app] = folder
     found = secrets.scan(read(spark, sf_dir, "documents"), secrets.Ledger(spark, folder))
-    delete(spark, folder)  # what is returned lies in checkpoints
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
