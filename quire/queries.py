@@ -182,6 +182,7 @@ m as (select doc_id, string_agg(case when gap and seen > 0 then i || ',' || i el
 select doc_id, f as folded, md5(coalesce(o, '')) as offsets from d left join m using (doc_id)"""
 )
 def fold_offset_map(spark, sf_dir):
+    T.modest_batches(spark)
     m = _docs(spark, sf_dir).select("doc_id", T.fold_map(F.col("text")).alias("m"))
     return m.select("doc_id", "m.folded", F.md5(F.array_join(F.col("m.source_at").cast("array<string>"), ",")).alias("offsets"))
 

@@ -1,3 +1,7 @@
+import hashlib
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +44,28 @@ def test_fold_map(spark):
     assert row.m.folded == "a b" and list(row.m.source_at) == T.fold_map_py("a  b")[1]
 
 
+def test_fold_map_of_many_long_texts(spark):
+    words = [f"{ALEF}{FATHA} b{i} " * 20_000 for i in range(40)]
+    texts = pa.array([None, *words, ""])
+    tracemalloc.start()
+    try:
+        sizes, rows = [], 0
+        for piece in T.fold_maps(iter([texts])):
+            sizes.append(piece.nbytes)
+            rows += len(piece)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and len(sizes) > 1 and max(sizes) < 16 << 20 and peak < 64 << 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "i int, t string").coalesce(1)
+    got = df.select("i", T.fold_map(F.col("t")).alias("m")).select("i", F.md5("m.folded").alias("f"), F.md5(F.array_join(F.col("m.source_at").cast("array<string>"), ",")).alias("a")).collect()
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert len(got) == len(texts)
+    for r in got:
+        folded, at = T.fold_map_py(texts[r.i].as_py())
+        assert (r.f, r.a) == (md5(folded), md5(",".join(map(str, at)))) and folded == T.fold_py(texts[r.i].as_py())
+
+
 HTML = {
     "<p>a</p><p>b</p>": "a\n\nb", "x<br/>y<!-- z\n -->": "x\ny", "<script>no()</script>yes<STYLE a=b>p{}</style>": "yes", "a<b>c</b>d": "acd", "&lt;&amp;lt;&gt; &copy; &#65;&#x42; &#38;amp; &#xD800; &#0; &#1114112;": "<&lt;> &copy; AB &amp; &#xD800; &#0; &#1114112;",
     " a \t b \r\n c\n\n\n\nd ": "a b\nc\n\nd", "&AMP;&Quot;&nbsp;x": '&" x', "": "", "a & b &; &#; &zz;": "a & b &; &#; &zz;", "<h2 class=x>T</h2>t": "T\nt", "&#x1F642;": "\U0001f642",
