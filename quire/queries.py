@@ -170,7 +170,8 @@ select doc_id, case when n <= 360 then text else case when l > 0 then '… ' els
 def excerpt_window(spark, sf_dir):
     d = _docs(spark, sf_dir)
     at = F.greatest(F.lit(0), T.first_match_offset(_folded(spark, sf_dir), PHRASE.split(), "any_terms"))
-    return d.select("doc_id", T.excerpt(F.col("text"), at, schema.EXCERPT_SEARCH).alias("excerpt"))
+    d = d.select("doc_id", "text", at.alias("at"))  # folded once, not wherever the excerpt needs the offset
+    return d.select("doc_id", T.excerpt(F.col("text"), F.col("at"), schema.EXCERPT_SEARCH).alias("excerpt"))
 
 
 @query(

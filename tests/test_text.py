@@ -86,6 +86,43 @@ def test_excerpt(spark):
     assert b.startswith("word0 ") and b.endswith(" …") and c == "short" and d.startswith("… ") and d.endswith("word99")
 
 
+def test_excerpt_after_line_breaks(spark):
+    """A window that begins right after a line break begins there, and none is wider for what stands before."""
+    for gap in ("\n", "\r\n", "\r", "\u2028", "\u2029", "\n\n", " ", "\x0b", "\n\x85"):
+        t = "before" * 9 + gap + "word " * 20 + "after" + gap
+        at = len(t) - len("word " * 20 + "after" + gap)
+        cut = {at + 20: 20, at + 22: 20, len(t) - 1: 20}
+        df = spark.createDataFrame([(t, a) for a in cut], "t string, a int")
+        for r in df.select("a", T.excerpt(F.col("t"), F.col("a"), 20).alias("e")).collect():
+            left, right = max(0, r.a - 20), min(len(t), r.a + 20)
+            while left > 0 and not T._PY_SPACE.fullmatch(t[left - 1]):
+                left -= 1
+            while right < len(t) and not T._PY_SPACE.fullmatch(t[right]):
+                right += 1
+            spaces = "".join(c for c in set(t) if T._PY_SPACE.fullmatch(c))
+            assert r.e == ("… " if left else "") + t[left:right].strip(spaces) + (" …" if right < len(t) else ""), (gap, r.a)
+
+
+def test_excerpt_in_long_words(spark):
+    t = "y" * 300_000 + "\nof " + "z" * 300_000
+    row = spark.createDataFrame([(t,)], "t string").select(T.excerpt(F.col("t"), F.lit(300_001), 20).alias("all"), T.excerpt(F.col("t"), F.lit(300_021), 20).alias("end")).first()
+    assert row.all == t and row.end == "… of " + "z" * 300_000
+
+
+def test_excerpt_window_looks_after_line_breaks(spark, tmp_path):
+    import duckdb
+
+    from quire import queries as Q
+
+    text = ["x" * 50 + "\n" + "word " * 35 + "lead of " + "word " * 90, "x" * 500 + "\r\nof " + "z" * 500, "short\n", "\n" * 500 + "the\n" * 200, None]
+    df = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(text)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet", index=False)
+    sql = Q.oracle_sql()["excerpt_window"]
+    want = dict(duckdb.connect().execute(sql.replace("from documents", f"from '{tmp_path}/documents.parquet'")).fetchall())
+    got = {r.doc_id: r.excerpt for r in Q.queries()["excerpt_window"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_parse():
     q = parse("  The (quick) fox! ", "phrase")
     assert q.terms == ("The", "quick", "fox") and to_expression(q) == '"The" + "quick" + "fox"' and len(q.hash) == 16
